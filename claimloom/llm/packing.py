@@ -66,7 +66,7 @@ class Encoder:
             spec = json.load(f)
         vocab, merges, pre = spec["model"]["vocab"], spec["model"].get("merges") or [], spec["pre_tokenizer"] or {}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        first = len(vocab) - len(added) - len(merges)
+        first = len(vocab.keys() - added.keys()) - len(merges)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
         ordered = all(vocab.get("".join(m)) == first + n for n, m in enumerate(pairs))
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
