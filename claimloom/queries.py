@@ -162,11 +162,12 @@ QUERIES = {
     "q3_co_investments": on_graph(insights.co_investments),
     "q4_topic_clusters": on_graph(insights.topic_clusters),
     "q5_entity_profile": on_graph(lambda g: lookup.profile(g, "Startup", "small ring")),
-    "q6_investor_profile": on_graph(lambda g: lookup.investor_profile(g, "Supplier#000000001")),
+    "q6_investor_profile": on_graph(lambda g: lookup.investor_profile(g, "Supplier#000000003")),
     "q7_node_claims": on_graph(_claims),
     "q8_search": on_graph(lambda g: joined_lists(lookup.search(g, "ring sm"))),
     "q9_entity_graph_nodes": on_graph(lambda g: named(subgraph.around(g, "startup:1", 120)[0])),
-    "q9_entity_graph_edges": on_graph(lambda g: subgraph.entity_graph(g, "small ring", 60)[1].select(*EDGE)),
+    "q9_entity_graph_edges": on_graph(lambda g: subgraph.around(g, "startup:1", 60)[1].select(*EDGE)),
+    "q9_best_match": on_graph(lambda g: g.nodes().where(F.col("id") == F.lit(subgraph.center(g, "small ring"))).select("id", "name")),
     "q10_landscape_nodes": on_graph(lambda g: named(subgraph.landscape(g, 10)[0])),
     "q10_landscape_edges": on_graph(lambda g: subgraph.landscape(g, 10)[1].select(*EDGE)),
     "q11_feed_edges": on_graph(lambda g: subgraph.feed(g)[1].select(*EDGE)),

@@ -163,7 +163,7 @@ def article(url: str | None, page: str | None) -> tuple:
     when = _first(root, lambda e: e.tag == "time" and e.attrs.get("datetime"))
     published = (when.attrs["datetime"] if when is not None else "") or _meta(root, "article:published_time") or _meta(root, "date")
     marked = [e for e in root.walk() if e.tag == "a" and ("tag" in (e.attrs.get("rel") or "").split() or (e.parent is not None and {"tags", "post-tags", "tag-links", "entry-tags"} & set(e.parent.classes())))]
-    tags = _distinct(x.lstrip("#") for t in [e.text() for e in marked] + [_meta(root, "keywords"), _meta(root, "article:tag")] for x in t.split(","))
+    tags = _distinct(x.strip().lstrip("#") for t in [e.text() for e in marked] + [_meta(root, "keywords"), _meta(root, "article:tag")] for x in t.split(","))
     author = one(lambda e: "author" in (e.attrs.get("rel") or "").split()) or one(lambda e: "author" in e.classes())
     article_tag = lambda e: e.tag == "article"
     box = None
