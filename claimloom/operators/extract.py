@@ -97,9 +97,9 @@ def gleaning_summary(merged: DataFrame) -> DataFrame:
 
 
 def clip(text: Column, most: int) -> Column:
-    """Single-spaced text of at most `most` characters and an ellipsis."""
+    """Single-spaced text of at most `most` characters, an ellipsis included."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("..."))).otherwise(flat)
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
 
 
 def deduplicated_topics(mentions: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import slug_column, tokens_column
@@ -172,9 +172,11 @@ def blocked_by_neighbours(cands: DataFrame, neighbours: DataFrame, index: DataFr
     cands: cand_id, article_id, entity_type, key; neighbours: neighbour_keys() rows.
     """
     near = neighbours.select(F.col("article_id").alias("na"), F.col("entity_type").alias("nt"), "k", F.explode("neighbours").alias("n"))
+    cands = cands.select("cand_id", "article_id", "entity_type", "key")
     met = cands.join(near, (F.col("article_id") == F.col("na")) & (F.col("entity_type") == F.col("nt")) & (F.col("key") == F.col("k")))
     of = met.withColumn("n_type", F.substring_index("n", ":", 1)).withColumn("n_key", F.expr("substr(n, instr(n, ':') + 1)")).where("n_type = entity_type").select("cand_id", "n_type", "n_key")
-    return of.join(index, (F.col("n_type") == F.col("entity_type")) & (F.col("n_key") == F.col("key"))).select("cand_id", "entity_id").distinct()
+    known = index.select(F.col("entity_type").alias("i_type"), F.col("key").alias("i_key"), "entity_id")
+    return of.join(known, (F.col("n_type") == F.col("i_type")) & (F.col("n_key") == F.col("i_key"))).select("cand_id", "entity_id").distinct()
 
 
 def blocked_by_graph(cands: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
@@ -207,6 +209,3 @@ def merged_entities(resolved: DataFrame, mentions: DataFrame, key, most: int = 5
     status = F.when(F.col("rank") == 2, "stated").when(F.col("rank") == 1, "attributed").otherwise("unsure")
     return names.join(pool, F.col("entity_id") == F.col("d_id"), "left").select("entity_id", "entity_type", F.get("names", F.lit(0)).alias("canonical_name"), F.slice("names", 2, 1_000_000).alias("aliases"), status.alias("evidence_status"), F.coalesce("descriptions", F.array().cast("array<string>")).alias("descriptions"))
 
-
-def as_expression(f, *columns: Column) -> Column:
-    return f(*columns)

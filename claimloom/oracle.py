@@ -124,8 +124,8 @@ SQL = {
       , c AS (SELECT rel_type AS relationship, CASE WHEN rel_type = 'MERGED_WITH' THEN 'undirected' WHEN src_id = 'startup:1' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN src_id = 'startup:1' THEN dst_id ELSE src_id END AS counterparty_id,
               coalesce(lifecycle_status, 'supported') AS lifecycle_status, coalesce(review_status, 'unreviewed') AS review_status, CASE WHEN rel_type = 'HAS_TOPIC' THEN 0 ELSE support END AS active_support_count, src_id AS source_id, dst_id AS target_id
               FROM edges WHERE (src_id = 'startup:1' OR dst_id = 'startup:1') AND rel_type IN ({DOMAIN}) AND src_label <> 'Article' AND dst_label <> 'Article')
-      SELECT 'claim' AS kind, c.*, coalesce(n.name, n.title) AS counterparty, n.label AS counterparty_type, CASE review_status WHEN 'accepted' THEN 'Accepted' ELSE 'Unreviewed' END AS status_label,
-             CASE WHEN review_status = 'unreviewed' AND lifecycle_status = 'supported' THEN 2 WHEN review_status = 'accepted' THEN 3 ELSE 4 END AS rank, concat_ws(':', relationship, direction, coalesce(n.name, n.title, counterparty_id)) AS label
+      SELECT 'claim' AS kind, c.*, coalesce(n.name, n.title) AS counterparty, n.label AS counterparty_type, CASE review_status WHEN 'accepted' THEN 'Accepted' ELSE 'Supported' END AS status_label,
+             CASE WHEN review_status = 'unreviewed' THEN 2 ELSE 3 END AS rank, concat_ws(':', relationship, direction, coalesce(n.name, n.title, counterparty_id)) AS label
       FROM c LEFT JOIN nodes n ON n.id = counterparty_id WHERE review_status NOT IN ('needs_review', 'rejected')""",
     "f10_gleaning": "SELECT 0::BIGINT AS entity_added, count(*) FILTER (p_size % 2 = 0 AND p_type <> upper(p_type)) AS entity_corrected, 0::BIGINT AS relation_added, 0::BIGINT AS relation_corrected FROM part",
     "q11_feed_edges": GRAPH + """
@@ -136,11 +136,11 @@ SQL = {
       SELECT id, min(h) AS hops FROM (SELECT id, 0 AS h FROM n0 UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2) GROUP BY id""",
     "q15_visible_nodes": GRAPH + """
       , d AS (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id)
-      SELECT n.id, label, coalesce(d.n, 0) AS degree, 2 * coalesce(d.n, 0) + CASE label WHEN 'Startup' THEN 62 WHEN 'Investor' THEN 58 WHEN 'Company' THEN 54 WHEN 'Person' THEN 45 WHEN 'Topic' THEN 38 WHEN 'Article' THEN 24 WHEN 'Source' THEN 20 ELSE 18 END AS score
+      SELECT n.id, label, coalesce(d.n, 0) AS degree, 2 * coalesce(d.n, 0) + CASE label WHEN 'Startup' THEN 62 WHEN 'Investor' THEN 58 WHEN 'Company' THEN 54 WHEN 'Topic' THEN 45 WHEN 'Person' THEN 38 WHEN 'Article' THEN 24 WHEN 'Source' THEN 20 ELSE 18 END AS score
       FROM nodes n LEFT JOIN d ON n.id = d.id ORDER BY score DESC, coalesce(name, title, n.id), n.id LIMIT 100""",
     "q16_neighbourhood": GRAPH + "SELECT DISTINCT unnest([a, b]) AS id FROM ways WHERE a = 'startup:1'",
     "q18_claim_counts": GRAPH + f"""
-      SELECT count(*) AS total, count(*) FILTER (r = 'needs_review') AS review, count(*) FILTER (r NOT IN ('needs_review', 'rejected')) AS supported, count(*) FILTER (r IN ('accepted', 'rejected')) AS reviewed, count(*) FILTER (r = 'rejected') AS rejected
+      SELECT count(*) FILTER (r = 'needs_review') AS review, count(*) FILTER (r NOT IN ('needs_review', 'rejected')) AS supported, count(*) FILTER (r IN ('accepted', 'rejected')) AS reviewed, count(*) FILTER (r = 'accepted') AS accepted, count(*) FILTER (r = 'rejected') AS rejected
       FROM (SELECT coalesce(review_status, 'unreviewed') AS r FROM edges WHERE (src_id = 'startup:1' OR dst_id = 'startup:1') AND rel_type IN ({DOMAIN}) AND src_label <> 'Article' AND dst_label <> 'Article')""",
     "g10_inverse_conflicts": GRAPH + f"""
       SELECT x.rel_type, x.src_id AS low_id, x.dst_id AS high_id FROM living x JOIN living y ON x.src_id = y.dst_id AND x.dst_id = y.src_id AND x.rel_type = y.rel_type WHERE x.rel_type IN ({DIRECTED}) AND x.src_id < x.dst_id""",
@@ -171,13 +171,13 @@ SQL = {
     "a19_density": GRAPH + "SELECT a AS n_nodes, b AS n_edges, CASE WHEN a > 1 THEN b / a ELSE 0.0 END AS density FROM (SELECT (SELECT count(*) FROM nodes) AS a, (SELECT count(*) FROM edges) AS b)",
     "o8_flow_layout": GRAPH + """
       , d AS (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id),
-      s AS (SELECT n.id, label, coalesce(name, title, n.id) AS shown, 2 * coalesce(d.n, 0) + CASE label WHEN 'Startup' THEN 62 WHEN 'Investor' THEN 58 WHEN 'Company' THEN 54 WHEN 'Person' THEN 45 WHEN 'Topic' THEN 38 WHEN 'Article' THEN 24 ELSE 20 END AS score FROM nodes n LEFT JOIN d ON n.id = d.id),
+      s AS (SELECT n.id, label, coalesce(name, title, n.id) AS shown, 2 * coalesce(d.n, 0) + CASE label WHEN 'Startup' THEN 62 WHEN 'Investor' THEN 58 WHEN 'Company' THEN 54 WHEN 'Topic' THEN 45 WHEN 'Person' THEN 38 WHEN 'Article' THEN 24 ELSE 20 END AS score FROM nodes n LEFT JOIN d ON n.id = d.id),
       r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, shown, id) AS position, count(*) OVER (PARTITION BY label) AS c FROM s)
       SELECT id, label, score, position, round(40.0 + 600.0 * position / (c + 1), 6) AS y FROM r""",
     "o9_highest_degree": GRAPH + "SELECT id, count(*) AS degree FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 1",
     "p1_p2_article_links": """
-      WITH u AS (SELECT page_id, url, replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'www.', '') AS h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)
-      SELECT page_id, h AS host, h = 'ththen.example.com' AS same_host, h = h AND NOT regexp_matches(lower(url), '#|/author/|/category/|/kategorie/|/page/|/privacy|/tag/|/wp-content/|mailto:') AND trim(p, '/') <> '' AND regexp_matches(p, '[0-9]') AS is_article FROM u""",
+      WITH u AS (SELECT page_id, url, replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '') AS h, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+      SELECT page_id, h AS host, h = 'ththen.example.com' AS same_host, h = h AND NOT regexp_matches(url, '#|/author/|/category/|/feed|/jobs|/page/|/ressort/|/tag/|/wp-content/') AND trim(p, '/') <> '' AND regexp_matches(p, '[0-9]') AS is_article FROM u""",
     "p15_valid_articles": "SELECT doc_id, length(trim(coalesce(text, ''), ' ')) >= 20 AS accepted, length(trim(coalesce(text, ''), ' ')) >= 120 AS scraped FROM documents",
     "s1_collected_links": "SELECT link, pos FROM (SELECT url AS link, page_id AS pos, row_number() OVER (PARTITION BY lower(trim(url)) ORDER BY page_id, url) AS r FROM pages) WHERE r = 1 ORDER BY pos, link LIMIT 150",
     "s6_article_titles": "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS title FROM pages",

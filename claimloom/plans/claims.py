@@ -48,22 +48,19 @@ def claim_order() -> list[Column]:
     return [F.when(F.col("review_status") == "needs_review", 0).otherwise(1).asc(), F.asc("relationship"), F.asc_nulls_last("counterparty"), F.asc("counterparty_id")]
 
 
-def bucket(review: Column, changed: Column, lifecycle: Column) -> Column:
+def bucket(review: Column, changed: Column) -> Column:
     """review, supported or neither: what needs a look, what stands."""
     look = (review == "needs_review") | F.coalesce(changed, F.lit(False))
     return F.when(look, "review").when(review != "rejected", "supported").otherwise("other")
 
 
-def client_rank(review: Column, changed: Column, lifecycle: Column) -> Column:
+def client_rank(review: Column, changed: Column) -> Column:
     """Order in a client's list: what needs review first, rejected last."""
-    return (
-        F.when(review == "needs_review", 0)
-        .when(F.coalesce(changed, F.lit(False)), 1)
-        .when((review == "unreviewed") & (lifecycle == SUPPORTED), 2)
-        .when(review == "accepted", 3)
-        .when(review == "unreviewed", 4)
-        .otherwise(5)
-    )
+    return F.when(review == "needs_review", 0).when(F.coalesce(changed, F.lit(False)), 1).when(review == "unreviewed", 2).when(review == "accepted", 3).when(review == "rejected", 4).otherwise(5)
+
+
+def status_label(review: Column, changed: Column) -> Column:
+    return F.when(review == "needs_review", "Review required").when(review == "rejected", "Rejected").when(review == "accepted", "Accepted").when(F.coalesce(changed, F.lit(False)), "Support changed").otherwise("Supported")
 
 
 def filtered(claims: DataFrame, which: str) -> DataFrame:
@@ -71,21 +68,20 @@ def filtered(claims: DataFrame, which: str) -> DataFrame:
     if which not in FILTERS:
         raise ValueError(f"filter must be one of {FILTERS}, not {which!r}")
     changed = F.col("support_changed") if "support_changed" in claims.columns else F.lit(False)
-    review, lifecycle = F.col("review_status"), F.col("lifecycle_status")
-    kind = bucket(review, changed, lifecycle)
+    review = F.col("review_status")
+    kind = bucket(review, changed)
     wanted = {"all": F.lit(True), "review": kind == "review", "supported": kind == "supported", "reviewed": review.isin("accepted", "rejected")}[which]
-    label = F.when(changed, "Support changed").when(review == "needs_review", "Needs review").when(review == "accepted", "Accepted").when(review == "rejected", "Rejected").otherwise("Unreviewed")
-    rank = client_rank(review, changed, lifecycle)
+    label, rank = status_label(review, changed), client_rank(review, changed)
     text = F.concat_ws(":", "relationship", "direction", F.coalesce("counterparty", "counterparty_id"))
     return claims.where(wanted).withColumn("status_label", label).withColumn("rank", rank).withColumn("label", text).orderBy("rank", "label", "counterparty_id")
 
 
 def counts(claims: DataFrame) -> DataFrame:
-    """A row: how many claims in all, in review, supported, reviewed, rejected."""
+    """A row: how many claims in review, supported, reviewed, accepted, rejected."""
     changed = F.col("support_changed") if "support_changed" in claims.columns else F.lit(False)
-    kind = bucket(F.col("review_status"), changed, F.col("lifecycle_status"))
+    kind = bucket(F.col("review_status"), changed)
     n = lambda c, name: F.count_if(c).alias(name)
-    return claims.agg(F.count("*").alias("total"), n(kind == "review", "review"), n(kind == "supported", "supported"), n(F.col("review_status").isin("accepted", "rejected"), "reviewed"), n(F.col("review_status") == "rejected", "rejected"))
+    return claims.agg(n(kind == "review", "review"), n(kind == "supported", "supported"), n(F.col("review_status").isin("accepted", "rejected"), "reviewed"), n(F.col("review_status") == "accepted", "accepted"), n(F.col("review_status") == "rejected", "rejected"))
 
 
 def relationship_mix(claims: DataFrame) -> DataFrame:

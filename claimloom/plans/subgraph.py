@@ -16,7 +16,7 @@ from claimloom.plans.lookup import matches
 from claimloom.sources.graph import Graph, undirected
 
 #: How node types rank and how large they are drawn.
-TYPE_PRIORITY = {"Startup": 62, "Investor": 58, "Company": 54, "Person": 45, "Topic": 38, "Article": 24, "Source": 20}
+TYPE_PRIORITY = {"Startup": 62, "Investor": 58, "Company": 54, "Topic": 45, "Person": 38, "Article": 24, "Source": 20}
 OTHER_PRIORITY = 18
 EDGE_KEYS = ["src_id", "rel_type", "dst_id"]
 
@@ -162,13 +162,17 @@ def visible(nodes: DataFrame, edges: DataFrame, selected: str | None = None, dep
     else:
         shown = most_important(nodes, edges, limit)
     inside = induced(edges, shown)
-    base = F.when(F.col("label") == "Startup", 9.0).when(F.col("label").isin("Investor", "Company"), 8.0).when(F.col("label") == "Person", 7.0).otherwise(6.0)
-    return shown.withColumn("radius", base + F.least(F.lit(8.0), 0.62 * F.col("degree"))), inside.withColumn("marker", marker())
+    return shown.withColumn("radius", radius(F.col("label"), F.col("degree"))), inside.withColumn("marker", marker(F.col("review_status"), F.col("support_changed") if "support_changed" in inside.columns else F.lit(False)))
 
 
-def marker() -> Column:
-    """review for claims that need it, changed for those that lost support, else null."""
-    return F.when(F.col("review_status") == "needs_review", "review").when(F.col("lifecycle_status") == "unsupported_by_latest_source_processing", "changed")
+def radius(label: Column, degree: Column) -> Column:
+    base = F.when(label == "Startup", 9.2).when(label == "Investor", 8.5).when(label == "Company", 8.2).when(label == "Article", 7.0).otherwise(6.8)
+    return base + F.least(F.lit(8.0), 0.62 * degree)
+
+
+def marker(review: Column, changed: Column) -> Column:
+    """review for claims that need it, changed for those whose support changed, else null."""
+    return F.when(review == "needs_review", "review").when(changed, "changed")
 
 
 def neighbourhood(edges: DataFrame, node: str) -> DataFrame:

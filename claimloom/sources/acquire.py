@@ -7,7 +7,6 @@ Arrow function.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -19,16 +18,15 @@ from pyspark.sql import functions as F
 from claimloom.operators.ranking import ordered_distinct
 
 # Address parts that articles don't have, and limits on text.
-BLOCKED = ("#", "/author/", "/category/", "/kategorie/", "/page/", "/privacy", "/tag/", "/wp-content/", "mailto:")
+BLOCKED = ("#", "/author/", "/category/", "/feed", "/jobs", "/page/", "/ressort/", "/tag/", "/wp-content/")
 SHORTEST_TEXT, SHORTEST_PAGE, SHORTEST_PARAGRAPH, LONGEST_TEXT = 20, 120, 35, 20_000
 NOISE = frozenset("script style noscript svg nav footer aside".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def host(url: Column) -> Column:
-    """Host and port of an address, in lower case, without "www."."""
-    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    return F.replace(F.lower(F.substring_index(place, "@", -1)), F.lit("www."), F.lit(""))
+    """Host and port of an address as written, without "www."."""
+    return F.replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
 
 
 def path(url: Column) -> Column:
@@ -41,10 +39,9 @@ def same_host(a: Column, b: Column) -> Column:
 
 def looks_like_article(source: Column, link: Column) -> Column:
     """On the source's host, no blocked part, and a path with a digit."""
-    low = F.lower(link)
     free = F.lit(True)
     for part in BLOCKED:
-        free = free & ~low.contains(part)
+        free = free & ~link.contains(part)
     return same_host(source, link) & free & (F.regexp_replace(path(link), "^/+|/+$", "") != "") & F.regexp_like(path(link), F.lit("[0-9]"))
 
 
@@ -88,6 +85,14 @@ class Element:
                 stack.extend(reversed(e.children))
         return " ".join(" ".join(out).split())
 
+    def under(self, test) -> bool:
+        e = self.parent
+        while e is not None:
+            if test(e):
+                return True
+            e = e.parent
+        return False
+
     def inside(self, tags: frozenset) -> bool:
         e = self
         while e is not None:
@@ -149,7 +154,7 @@ def _distinct(values) -> list[str]:
     for v in values:
         v = v.strip()
         if v:
-            seen.setdefault(v.lower(), v)
+            seen.setdefault(v.casefold(), v)
     return list(seen.values())
 
 
@@ -162,8 +167,10 @@ def article(url: str | None, page: str | None) -> tuple:
     title = one(lambda e: e.tag == "h1") or _meta(root, "og:title") or one(lambda e: e.tag == "title") or canonical
     when = _first(root, lambda e: e.tag == "time" and e.attrs.get("datetime"))
     published = (when.attrs["datetime"] if when is not None else "") or _meta(root, "article:published_time") or _meta(root, "date")
-    marked = [e for e in root.walk() if e.tag == "a" and ("tag" in (e.attrs.get("rel") or "").split() or (e.parent is not None and {"tags", "post-tags", "tag-links", "entry-tags"} & set(e.parent.classes())))]
-    tags = _distinct(x.strip().lstrip("#") for t in [e.text() for e in marked] + [_meta(root, "keywords"), _meta(root, "article:tag")] for x in t.split(","))
+    marked = [e for e in root.walk() if (e.tag == "a" and ("tag" in (e.attrs.get("rel") or "").split() or e.under(lambda x: x.attrs.get("id") == "tagOverview" or {"tags", "post-tags"} & set(x.classes())))) or ("data-tag" in e.attrs and e.under(lambda x: x.attrs.get("id") == "tagOverview"))]
+    named = [e.text() or (e.attrs.get("data-tag") or "").strip() for e in marked]
+    listed = [e.attrs["content"] for e in root.walk() if e.tag == "meta" and e.attrs.get("content") and (e.attrs.get("property") == "article:tag" or e.attrs.get("name") == "keywords")]
+    tags = _distinct(x for t in [*named, *listed] for x in t.strip("#").split(","))
     author = one(lambda e: "author" in (e.attrs.get("rel") or "").split()) or one(lambda e: "author" in e.classes())
     article_tag = lambda e: e.tag == "article"
     box = None
@@ -173,7 +180,7 @@ def article(url: str | None, page: str | None) -> tuple:
             break
     box = root if box is None else box
     parts = [e.text(NOISE) for e in box.walk() if e.tag in ("p", "li") and not e.inside(NOISE)]
-    text = "\n".join(_distinct(p for p in parts if len(p) > SHORTEST_PARAGRAPH)) or box.text(NOISE)
+    text = "\n".join(_distinct(p for p in parts if len(p) > SHORTEST_PARAGRAPH))
     return canonical, title, _meta(root, "description", "og:description") or None, author or None, published or None, tags, text
 
 
@@ -230,7 +237,3 @@ def parse_date(raw: Column) -> Column:
     rfc = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
     rfc = F.regexp_replace(rfc, r"\s(GMT|UT|UTC|Z)$", " +0000")
     return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text)), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm Z")))
-
-
-def stripped(page: str) -> str:
-    return re.sub(r"<[^>]+>", " ", page)

@@ -7,7 +7,7 @@ from claimloom.operators.ranking import ordered_distinct, ranked_within
 from claimloom.sources import acquire
 from claimloom.streaming import ingest
 
-PAGE = """<html><head><title>T</title><link rel="canonical" href="/a/1"><meta property="og:title" content="OG"><meta name="description" content="Sum"><meta name="keywords" content="x, #Y"></head>
+PAGE = """<html><head><title>T</title><link rel="canonical" href="/a/1"><meta property="og:title" content="OG"><meta name="description" content="Sum"><meta name="keywords" content="#x, Y"></head>
 <body><nav><p>navigation text that is long enough to count as one</p></nav><article><h1> Head <b>line</b></h1><time datetime="2024-03-01T10:00:00Z"></time><a rel="author" href="/u">Jane</a>
 <div class="entry-content"><p>This paragraph is surely longer than thirty-five characters.<p>short<p>This paragraph is surely longer than thirty-five characters.</p><ul><li>Another item that is longer than thirty-five characters.</ul></div>
 <a rel="tag" href="/t">#AI</a><a href="/2024/05/post-7">more</a></article></body></html>"""
