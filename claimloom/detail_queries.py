@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import normalize, present
 from claimloom.model import DOMAIN_RELATIONS, EVIDENCE, evidence_rank, insightful, live
 from claimloom.operators import conflicts, extract, lifecycle, metrics, resolve
+from claimloom.operators.ranking import side_by_side
 from claimloom.oracle import DOMAIN, GRAPH
 from claimloom.plans import claims, subgraph
 from claimloom.queries import EDGE, on_graph, on_table
@@ -76,7 +77,7 @@ def g12_conflict_count(g: Graph) -> DataFrame:
 @both("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges")
 @graph
 def s11_repeated_keys(g: Graph) -> DataFrame:
-    return repeated_ids(g.nodes()).agg(F.count("*").alias("nodes")).crossJoin(repeated_edges(g.edges()).agg(F.count("*").alias("edges")))  # one row each
+    return side_by_side(repeated_ids(g.nodes()).agg(F.count("*").alias("nodes")), repeated_edges(g.edges()).agg(F.count("*").alias("edges")))
 
 
 @both(GRAPH + "SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ways) GROUP BY id")

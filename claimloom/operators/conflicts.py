@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.model import DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SUPPORTED, live
+from claimloom.operators.ranking import side_by_side
 
 KEYS = ["src_id", "rel_type", "dst_id"]
 
@@ -33,7 +34,7 @@ def transaction_pairs(edges: DataFrame) -> DataFrame:
 
 
 def conflict_count(edges: DataFrame) -> DataFrame:
-    return inverse_pairs(edges).agg(F.count("*").alias("inverse")).crossJoin(transaction_pairs(edges).agg(F.count("*").alias("competing"))).withColumn("conflicts", F.col("inverse") + F.col("competing"))  # one row each
+    return side_by_side(inverse_pairs(edges).agg(F.count("*").alias("inverse")), transaction_pairs(edges).agg(F.count("*").alias("competing"))).withColumn("conflicts", F.col("inverse") + F.col("competing"))
 
 
 def flagged(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.ranking import ranked_within, side_by_side
+
 METHODS = ("exact", "fuzzy", "embedding", "new")
 LATENCY_LIMIT_MS = 30_000
 
@@ -15,25 +17,20 @@ def nearest_rank(values: DataFrame, column: str, percents: list[int]) -> DataFra
     The values are counted per distinct value first, and places are found by
     running counts of sorted runs, so no task holds them all. Nulls don't count.
     """
-    from claimloom.operators.ranking import ranked_within
-
     distinct = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     placed = ranked_within(distinct.withColumn("g", F.lit(0)), ["g"], [F.asc("v")])
     # the running total of n over ranges: sums of earlier ranges and of earlier rows in the range
-    total = distinct.agg(F.sum("n").alias("all"))
-    running = _running_total(placed)
-    ends = running.crossJoin(F.broadcast(total))  # one row
+    total = F.lit(distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    ends = _running_total(placed)
     out = []
     for p in percents:
-        want = F.bround(F.lit(p / 100.0) * (F.col("all") - 1)) + 1
+        want = F.bround(F.lit(p / 100.0) * (total - 1)) + 1
         out.append(F.min(F.when((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want), F.col("v"))).alias(f"p{p}"))
     return ends.agg(*out)
 
 
 def _running_total(placed: DataFrame) -> DataFrame:
     """placed (v, n, place) with upto, the sum of n up to v; by blocks of places."""
-    from pyspark.sql import Window
-
     block = F.floor((F.col("place") - 1) / 4096).alias("block")
     rows = placed.select("v", "n", "place", block)
     sums = rows.groupBy("block").agg(F.sum("n").alias("s"))
@@ -69,7 +66,7 @@ def evidence_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
         of = lambda s: F.count_if(F.col("evidence_status") == s).alias(f"{what}_{s}")
         return df.agg(of("stated"), of("attributed"), of("unsure"), F.count_if("evidence_status_defaulted").alias(f"{what}_defaulted"))
 
-    return four(entities, "entities").crossJoin(four(relations, "relations"))  # one row each
+    return side_by_side(four(entities, "entities"), four(relations, "relations"))
 
 
 def admission(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -77,7 +74,7 @@ def admission(entities: DataFrame, relations: DataFrame) -> DataFrame:
     passes = F.col("evidence_status").isin("stated", "attributed")
     one = entities.agg(F.count("*").alias("n"), F.count_if(passes).alias("k")).select(ratio(F.col("k"), F.col("n")).alias("entity_admission"))
     two = relations.agg(F.count("*").alias("n"), F.count_if(passes).alias("k")).select(ratio(F.col("k"), F.col("n")).alias("relation_admission"))
-    return one.crossJoin(two)  # one row each
+    return side_by_side(one, two)
 
 
 def scores(articles: DataFrame) -> DataFrame:

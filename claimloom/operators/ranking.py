@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.operators.components import durable
+
 
 def ranked_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """df with place (1, 2, ...) and total within each group of keys.
@@ -15,7 +17,8 @@ def ranked_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     """
     columns = df.columns
     by = [F.asc(k) for k in keys] + order
-    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+    # kept, so that both uses see the very same partitions
+    ranged = durable(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
     counts = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,3 +39,22 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def ordered_distinct(df: DataFrame, text: str, position: str) -> DataFrame:
     """Rows whose text, trimmed and in lower case, comes first at that position."""
     return first_per(df.withColumn("_key", F.lower(F.trim(F.col(text)))), ["_key"], [position]).drop("_key")
+
+
+def few_per(df: DataFrame, key: str, value: str, n: int, name: str) -> DataFrame:
+    """(key, name): the least n distinct values of each key, joined by |.
+
+    Pairs are made distinct over (key, value), and each task passes on no more
+    than n of a key, so a key that holds a third of all rows costs no more.
+    """
+    pairs = df.select(key, value).where(F.col(value).isNotNull()).distinct()
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    return pairs.withColumn("_place", place).where(F.col("_place") <= n).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), "|").alias(name))
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """DataFrames of one row each as one row."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])

@@ -9,19 +9,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.model import admitted, insightful, within
+from claimloom.operators.ranking import few_per
 from claimloom.sources.graph import Graph
 
 BACKERS = ("Investor", "Company", "Person")
 
 
-def examples(column: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, n), "|")
-
-
 def counted(edges: DataFrame) -> DataFrame:
     return edges.where(insightful(F.col("lifecycle_status"), F.col("review_status")))
 
@@ -31,20 +28,15 @@ def trending_startups(graph: Graph, as_of: datetime | None = None, days: int = 3
     within(days, 1, 365, "days"), within(limit, 1, 50, "limit")
     articles = graph.nodes("Article").select(F.col("id").alias("article"), "title", "published_at")
     if as_of is None:
-        recent = articles.crossJoin(F.broadcast(articles.agg(F.max("published_at").alias("now"))))  # a single row
-    else:
-        recent = articles.withColumn("now", F.lit(as_of).cast("timestamp"))
-    recent = recent.where(F.col("published_at") >= F.col("now") - F.make_dt_interval(F.lit(days)))
+        as_of = graph.table("orders").agg(F.max("o_orderdate")).first()[0]
+    recent = articles.where(F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
     mentions = graph.edges("MENTIONS").where(admitted(F.coalesce("evidence_status", F.lit("stated")))).select("src_id", "dst_id")
-    found = mentions.join(recent, F.col("src_id") == F.col("article")).groupBy("dst_id")
-    top = found.agg(F.countDistinct("src_id").alias("mentions"), examples(F.col("title"), 5).alias("articles"), F.max("published_at").alias("last_seen"))
-    names = graph.nodes("Startup").select("id", "name")
-    return (
-        names.join(top, F.col("id") == F.col("dst_id"))
-        .select("id", "name", "mentions", "articles", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
-        .orderBy(F.desc_nulls_first("mentions"), F.desc_nulls_first("last_seen"), F.asc_nulls_last("name"), "id")
-        .limit(limit)
-    )
+    seen = mentions.join(recent, F.col("src_id") == F.col("article")).select("dst_id", "title", "published_at")
+    counts = seen.groupBy("dst_id").agg(F.count("*").alias("mentions"), F.max("published_at").alias("last"))  # an article mentions a startup once
+    order = [F.desc_nulls_first("mentions"), F.desc_nulls_first("last"), F.asc_nulls_last("name"), F.asc("id")]
+    top = graph.nodes("Startup").select("id", "name").join(counts, F.col("id") == F.col("dst_id")).drop("dst_id").orderBy(*order).limit(limit)
+    shown = few_per(seen.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("dst_id") == F.col("top_id")), "top_id", "title", 5, "articles")
+    return top.join(shown, F.col("id") == F.col("top_id")).orderBy(*order).select("id", "name", "mentions", "articles", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
 def top_investors(graph: Graph, limit: int = 10) -> DataFrame:
@@ -56,7 +48,7 @@ def top_investors(graph: Graph, limit: int = 10) -> DataFrame:
     top = names.join(counts, F.col("id") == F.col("src_id")).orderBy(F.desc("investments"), F.asc_nulls_last("name"), "id").limit(limit).drop("src_id")
     startups = graph.nodes("Startup").select(F.col("id").alias("startup"), F.col("name").alias("startup_name"))
     shown = deals.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("src_id") == F.col("top_id")).join(startups, F.col("dst_id") == F.col("startup"))
-    shown = shown.groupBy("top_id").agg(examples(F.col("startup_name"), 5).alias("examples"))
+    shown = few_per(shown, "top_id", "startup_name", 5, "examples")
     return top.join(shown, F.col("id") == F.col("top_id")).select("id", "name", "type", "investments", "examples").orderBy(F.desc("investments"), F.asc_nulls_last("name"), "id")
 
 
@@ -81,7 +73,8 @@ def co_investments(graph: Graph, limit: int = 20) -> DataFrame:
     startups = graph.nodes("Startup").select(F.col("id").alias("startup"), F.col("name").alias("startup_name"))
     left = one.join(keys, F.col("source_id") == F.col("s")).select("s", "t", "dst_id")
     both = left.join(two, (F.col("dst_id") == F.col("other")) & (F.col("t") == F.col("target_id")), "left_semi")
-    shown = both.join(startups, F.col("dst_id") == F.col("startup")).groupBy("s", "t").agg(examples(F.col("startup_name"), 5).alias("examples"))
+    paired = both.join(startups, F.col("dst_id") == F.col("startup")).withColumn("pair", F.struct("s", "t"))
+    shown = few_per(paired, "pair", "startup_name", 5, "examples").select("pair.*", "examples")
     return (
         top.join(shown, (F.col("source_id") == F.col("s")) & (F.col("target_id") == F.col("t")))
         .select("source_id", "source", "source_type", "target_id", "target", "target_type", "shared_startups", F.col("shared_startups").alias("rounds"), "examples")
@@ -96,9 +89,6 @@ def topic_clusters(graph: Graph, limit: int = 20) -> DataFrame:
     topics = graph.nodes("Topic").select("id", "name")
     top = topics.join(counts, F.col("id") == F.col("dst_id")).orderBy(F.desc("entity_count"), F.asc_nulls_last("name"), "id").limit(limit).drop("dst_id")
     names = graph.nodes("Startup", "Investor", "Company", "Person", "Article").select(F.col("id").alias("entity"), F.coalesce("name", "title").alias("shown"))
-    # a topic may hold a third of all entities: the least six are kept per salt first
-    least = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, 6)
     shown = tagged.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("dst_id") == F.col("top_id")).join(names, F.col("src_id") == F.col("entity"))
-    shown = shown.groupBy("top_id", F.pmod(F.xxhash64("shown"), F.lit(64)).alias("salt")).agg(least("shown").alias("few"))
-    shown = shown.select("top_id", F.explode("few").alias("shown")).groupBy("top_id").agg(examples(F.col("shown"), 6).alias("examples"))
+    shown = few_per(shown, "top_id", "shown", 6, "examples")
     return top.join(shown, F.col("id") == F.col("top_id")).select("id", "name", "entity_count", "examples").orderBy(F.desc("entity_count"), F.asc_nulls_last("name"), "id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.normalize import key as name_key
 from claimloom.model import DOMAIN_RELATIONS, ENTITY_TYPES, FEED_RELATIONS, within
 from claimloom.operators.components import durable
+from claimloom.operators.ranking import ranked_within, side_by_side
 from claimloom.plans.lookup import matches
 from claimloom.sources.graph import Graph, undirected
 
@@ -188,8 +189,6 @@ def flow_layout(nodes: DataFrame, edges: DataFrame, height: float = 600.0, margi
     ranged by (label, score, shown, id), counted per range, and numbered by the
     counts of the ranges before.
     """
-    from claimloom.operators.ranking import ranked_within
-
     scored = importance(nodes, edges).select("id", "label", "shown", "score")
     placed = ranked_within(scored, ["label"], [F.desc("score"), F.asc("shown"), F.asc("id")])
     return placed.select("id", "label", "score", F.col("place").alias("position"), (F.lit(margin) + F.lit(height) * F.col("place") / (F.col("total") + 1)).alias("y"))
@@ -199,7 +198,7 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Links per node; 0 with one node or none."""
     n = nodes.agg(F.count("*").alias("n_nodes"))
     m = edges.agg(F.count("*").alias("n_edges"))
-    return n.crossJoin(m).select("n_nodes", "n_edges", F.when(F.col("n_nodes") > 1, F.col("n_edges") / F.col("n_nodes")).otherwise(0.0).alias("density"))  # one row each
+    return side_by_side(n, m).select("n_nodes", "n_edges", F.when(F.col("n_nodes") > 1, F.col("n_edges") / F.col("n_nodes")).otherwise(0.0).alias("density")) 
 
 
 def highest_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -210,7 +209,7 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Startups, and investors: Investor nodes and companies and people that invested."""
     backers = edges.where((F.col("rel_type") == "INVESTED_IN") & F.col("src_label").isin("Company", "Person")).select(F.col("src_id").alias("id"))
     investors = nodes.where("label = 'Investor'").select("id").unionByName(backers)
-    return nodes.where("label = 'Startup'").agg(F.countDistinct("id").alias("startups")).crossJoin(investors.agg(F.countDistinct("id").alias("investors")))  # one row each
+    return side_by_side(nodes.where("label = 'Startup'").agg(F.countDistinct("id").alias("startups")), investors.agg(F.countDistinct("id").alias("investors")))
 
 
 def histogram(df: DataFrame, column: str, name: str) -> DataFrame:
