@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import in_fold, labelled_sample, raw, sigmoid
+from claimloom.llm.common import in_fold, kept_rows, labelled_sample, raw, sigmoid
 
 #: Bound of the training sample: so many texts of either label at most.
 PER_CLASS = 1500
@@ -155,18 +155,36 @@ def score_quality(documents: DataFrame, labels: DataFrame, per_class: int = PER_
 
     learn_from: the documents whose labelled texts are learned, if not these.
     """
-    net = fit(*labelled_sample(documents if learn_from is None else learn_from, labels, "quality", held_out, per_class))
-    model = documents.sparkSession.sparkContext.broadcast(net.__dict__)  # under 0.2 MB whatever the input
+    model = trained(documents if learn_from is None else learn_from, labels, per_class, held_out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Net.__new__(Net)
-        own.__dict__.update(model.value)
+        own = model.value
         pairs = own.pairs()
         for batch in batches:
-            z = np.array([log_odds(own, pairs, raw(t)) for t in batch["text"]], np.float64)
-            score = sigmoid(own.slope * z + own.offset)
+            score = scores(own, pairs, batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     doc_id = F.col("doc_id").cast("long")
     chosen = documents.select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
     return chosen.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def trained(documents: DataFrame, labels: DataFrame, per_class: int, held_out: tuple[int, int]):
+    """The fitted network, broadcast: under 0.2 MB whatever the input."""
+    return documents.sparkSession.sparkContext.broadcast(fit(*labelled_sample(documents, labels, "quality", held_out, per_class)))
+
+
+def scores(net: Net, pairs: np.ndarray, texts) -> np.ndarray:
+    return sigmoid(net.slope * np.array([log_odds(net, pairs, raw(t)) for t in texts], np.float64) + net.offset)
+
+
+def passing(documents: DataFrame, labels: DataFrame, learn_from: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] = HELD_OUT, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that score the threshold or more, with all their columns; they aren't shuffled."""
+    model = trained(learn_from, labels, per_class, held_out)
+
+    def decide():
+        own = model.value
+        pairs = own.pairs()
+        return lambda batch: (scores(own, pairs, batch["text"]) >= threshold).tolist()
+
+    return kept_rows(documents, ["text"], decide)

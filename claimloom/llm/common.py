@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,23 @@ def portions(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFra
         at = to
 
 
+def kept_rows(df: DataFrame, columns: list[str], decide: Callable[[], Callable[[pd.DataFrame], list]]) -> DataFrame:
+    """The rows of df for which a test is true, with all their columns as they are.
+
+    decide: makes, once per task, the test of a batch of the named columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = decide()
+        for batch in batches:
+            mask: list = []
+            for part in portions(batch.select(columns).to_pandas()):
+                mask += test(part)
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id has fold null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n)).cast("int")

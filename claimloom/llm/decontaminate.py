@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import kept_rows
+
 RATE = 0.08
 SHORTEST = 40
 BLOCK_CHARS = 4_000_000
@@ -94,8 +96,8 @@ class Matcher:
         self.some = bool(found)
         self.peq: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
-    def match(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item id, distance, budget, start, end) for each item within its budget."""
+    def match(self, text: str, first: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(item id, distance, budget, start, end) for each item within its budget; just one item's, if the first is enough."""
         if not self.some or not text:
             return []
         places: dict[int, set[int]] = defaultdict(set)
@@ -126,6 +128,8 @@ class Matcher:
                 distance, end = best
                 _, back = myers(self.peq[n][1], length, text[max(0, end - length - budget) : end][::-1])
                 out += [(item_id, distance, budget, end - back, end) for item_id in ids]
+                if first:
+                    break
         return out
 
 
@@ -160,3 +164,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, b
         part = chosen.mapInPandas(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of documents that hold no test item, with all their columns; nothing is shuffled."""
+    for items in blocks(benchmark, block_chars):
+
+        def decide(items=items):
+            matcher = Matcher(items, rate)
+            return lambda batch: [not matcher.match(normalise(text), first=True) for text in batch["text"]]
+
+        documents = kept_rows(documents, ["text"], decide)
+    return documents

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACES, portions, raw
+from claimloom.llm.common import SPACES, kept_rows, portions, raw
 
 SYMBOLS = "#*$%&|<>"
 #: Rejection bands: (least, most chars per token), most byte share, least entropy in bits.
@@ -161,6 +161,27 @@ def verdict(measured: tuple[int, int, float], word_chars: int, band: str, bands:
     return rate, share, None
 
 
+def judged(pieces: Pieces, texts, langs, bands: dict) -> list[tuple]:
+    """SCHEMA's columns after doc_id, for some texts."""
+    if len(pieces.number) > MEMO:
+        pieces.reset()
+    texts = [t if isinstance(t, str) else "" for t in texts]
+    split = [raw(t).split() for t in texts]
+    numbered = [pieces.ids(w) for w in split]
+    pieces.learn()
+    rows = []
+    for lang, text, found, ids in zip(langs, texts, split, numbered, strict=True):
+        chars, symbols, dup, repeat = base(text, found, ids)
+        n = len(found)
+        failed = n < 50 or 100 * repeat > 50 * n
+        measured = pieces.measure(ids)
+        band = lang if lang in bands else script(text)
+        rate, share, reason = verdict(measured, chars, band, bands)
+        reason = "base" if failed else reason
+        rows.append((n, chars, symbols, dup, repeat, failed, reason is None, measured[0], rate, share, measured[2], band, reason))
+    return rows
+
+
 def quality_rules(documents: DataFrame, model_file: str | None = None, bands: dict | None = None) -> DataFrame:
     """A row per row of documents (doc_id, text, lang): the base counts, the measures, kept and reason."""
     import public_tokenizers
@@ -171,28 +192,25 @@ def quality_rules(documents: DataFrame, model_file: str | None = None, bands: di
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model_file)
         for batch in (x for b in batches for x in portions(b)):
-            if len(pieces.number) > MEMO:
-                pieces.reset()
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            split = [raw(t).split() for t in texts]
-            numbered = [pieces.ids(w) for w in split]
-            pieces.learn()
-            rows = []
-            for doc, lang, text, found, ids in zip(batch["doc_id"], batch["lang"], texts, split, numbered, strict=True):
-                chars, symbols, dup, repeat = base(text, found, ids)
-                n = len(found)
-                failed = n < 50 or 100 * repeat > 50 * n
-                measured = pieces.measure(ids)
-                band = lang if lang in bands else script(text)
-                rate, share, reason = verdict(measured, chars, band, bands)
-                if failed:
-                    reason = "base"
-                rows.append((doc, n, chars, symbols, dup, repeat, failed, reason is None, measured[0], rate, share, measured[2], band, reason))
-            out = pd.DataFrame(rows, columns=NAMES)
-            out["doc_id"] = batch["doc_id"].to_numpy() if len(batch) else out["doc_id"]
+            out = pd.DataFrame([(None, *row) for row in judged(pieces, batch["text"], batch["lang"], bands)], columns=NAMES)
+            out["doc_id"] = batch["doc_id"].to_numpy()
             yield out
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInPandas(run, SCHEMA)
 
 
+def passing(documents: DataFrame, model_file: str | None = None, bands: dict | None = None) -> DataFrame:
+    """The rows of documents that quality_rules() keeps, with all their columns; nothing is shuffled."""
+    import public_tokenizers
+
+    model_file, bands = model_file or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS
+
+    def decide():
+        pieces = Pieces(model_file)
+        return lambda batch: [row[KEPT] for row in judged(pieces, batch["text"], batch["lang"], bands)]
+
+    return kept_rows(documents, ["lang", "text"], decide)
+
+
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+KEPT = NAMES.index("kept") - 1

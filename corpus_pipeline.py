@@ -16,32 +16,26 @@ from claimloom.llm import bytecnn, decontaminate, fertility, ngramjoin, packing
 from claimloom.llm.common import durable, table
 
 
-def _where_id(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or is not (left_anti) among the decisions' doc_id."""
-    ids = decisions.select(F.col("doc_id").alias("decided_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("decided_id"), how)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where_id(docs, fertility.quality_rules(docs).where("kept"), "left_semi")
+    return fertility.passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what scores 0.5 or more; labels are learned from the whole documents table."""
-    scored = bytecnn.score_quality(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
-    return _where_id(docs, scored.where("predicted = 1"), "left_semi")
+    return bytecnn.passing(docs, table(spark, sf_dir, "labels"), learn_from=table(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the least id, once."""
-    found = durable(ngramjoin.jaccard_join(docs))
-    kept = found.where("doc_id = class_id")
-    # an id that repeats with unequal texts may head a class and be a member of another: only ids are held apart
-    return _where_id(docs, kept, "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of linked ones stays: that with the least id, once.
+
+    Should an id repeat with unequal texts, the id stays if any of its rows heads a group.
+    """
+    kept = durable(ngramjoin.jaccard_join(docs)).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where_id(docs, durable(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))), "left_anti")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
