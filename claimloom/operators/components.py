@@ -17,7 +17,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b); root is the least node of the component. Loops are left out."""
+    """(node, root) for the nodes of edges (a, b); root is the least node of the component. Loops are left out.
+
+    The least neighbours are kept before they are joined, so that the join has
+    shuffles of its own, which may be split where a node has very many edges.
+    """
     state = durable(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
     seen = None
     for _ in range(most_rounds):
@@ -26,9 +30,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         seen = now
         both = state.unionByName(state.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        best = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m"))
-        large = both.where("lo > hi").join(best, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        best = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
+        best = durable(both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m")))
+        large = durable(both.where("lo > hi").join(best, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
+        best = durable(large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m"))
         small = large.join(best, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         state = durable(small.unionByName(best.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo").distinct())
     pairs = state.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
