@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.operators.components import durable
+
+__all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "portions", "raw", "sigmoid", "table", "words"]
+
 #: Characters between words: a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -65,20 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared checkpoint folder: lineage ends there.
-
-    The folder is the one named by spark.checkpoint.dir; only a session without
-    one (a test) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, left_out: tuple[int, int], per_class: int) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """At most per_class (text, label) of either label outside fold left_out = (n, k), and how many of each label there are.
 

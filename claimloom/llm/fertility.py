@@ -34,10 +34,10 @@ SYMBOLS = "#*$%&|<>"
 #: Rejection bands: (least, most chars per token), most byte share, least entropy in bits.
 #: Set by hand around prose of each language, wide of its 0.1 and 99.9 percentiles.
 BANDS = {
-    "en": ((2.00, 6.5), 0.02, 5.60),
-    "de": ((2.04, 6.5), 0.02, 5.70),
-    "fr": ((1.68, 6.5), 0.02, 5.60),
-    "es": ((1.79, 6.5), 0.02, 5.70),
+    "en": ((1.98, 6.5), 0.02, 5.50),
+    "de": ((2.02, 6.5), 0.02, 5.60),
+    "fr": ((1.66, 6.5), 0.02, 5.50),
+    "es": ((1.78, 6.5), 0.02, 5.60),
     "latin": ((1.40, 7.0), 0.05, 4.5),
     "other": ((0.20, 9.0), 0.90, 4.0),
 }

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import durable, words
+from claimloom.operators.components import components
 
 N = 5
 THRESHOLD = 0.8
@@ -165,26 +166,6 @@ def compare(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, side:
     return count.astype(np.int64), forest(m, left, right)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) of the nodes of edges (a, b); root is the least node of the component."""
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before or not state[0]:
-            break
-        before = tuple(state)
-        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = ways.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = durable(small.where("a <> b").distinct())
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-
-
 def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """A row per row of documents (doc_id, text): doc_id, n_shingles, copy_of, class_id, n_links.
 
@@ -277,7 +258,7 @@ def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD,
     roots = components(found.where("b is not null").select("a", "b"))
     named = classes.select(node.alias("node"), F.col("digest").alias("own"), "copy_of", "copies")
     joined = named.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("copy_of").alias("class_id")).withColumnRenamed("root", "top")
+    least = durable(joined.groupBy("root").agg(F.min("copy_of").alias("class_id")).withColumnRenamed("root", "top"))
     joined = joined.join(least, F.col("root") == F.col("top")).join(counted, F.col("node") == F.col("a"), "left")
     final = joined.select("own", "copy_of", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return (
