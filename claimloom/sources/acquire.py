@@ -237,3 +237,25 @@ def parse_date(raw: Column) -> Column:
     rfc = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
     rfc = F.regexp_replace(rfc, r"\s(GMT|UT|UTC|Z)$", " +0000")
     return F.coalesce(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text)), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm Z")))
+
+
+def before_the_end(listing: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The listing pages (page, path_pos, url) that would be read, given statuses (url, status): from a 404 on a page after the first, a path has no more."""
+    known = statuses.select(F.col("url").alias("u"), "status")
+    ends = listing.join(known, F.col("url") == F.col("u")).where("status = 404 AND page > 1").groupBy(F.col("path_pos").alias("p")).agg(F.min("page").alias("end"))
+    return listing.join(ends, F.col("path_pos") == F.col("p"), "left").where("end is null OR page < end").select("page", "path_pos", "url")
+
+
+def collect(source: str, source_name: str, feed: DataFrame, listing: DataFrame, saved: DataFrame, most: int = 150) -> DataFrame:
+    """Articles of a source: links of its feed (pos, link), then of its listing pages (pos, link), on its host, once, the first `most`; parsed from saved pages (url, html) where there are such.
+
+    Feed links count as they are; listing links must look like articles.
+    Articles of fewer than 120 characters are left out.
+    """
+    ordered = lambda df, part: df.select("link", F.struct(F.lit(part).alias("part"), "pos").alias("pos"))
+    listed = listing.where(looks_like_article(F.lit(source), F.col("link")))
+    links_ = ordered(feed, 0).unionByName(ordered(listed, 1)).where(same_host(F.lit(source), F.col("link")))
+    chosen = collect_links(links_, most).select(F.trim("link").alias("link"))
+    pages = saved.select(F.xxhash64("url").alias("page_id"), "url", "html").join(F.broadcast(chosen), F.col("url") == F.col("link"), "left_semi")
+    found = articles(pages).where(valid_text(F.col("text"), SHORTEST_PAGE))
+    return found.select(F.concat(F.lit("article:"), F.sha1(F.col("canonical_url").cast("binary"))).alias("article_id"), F.col("canonical_url").alias("url"), "title", F.lit(source_name).alias("source_name"), F.lit(source).alias("source_url"), "summary", "author", parse_date(F.col("published_raw")).alias("published_at"), "tags", "text")

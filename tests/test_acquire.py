@@ -70,3 +70,16 @@ def test_streams(spark, tmp_path):
     stream = ingest.windowed_counts(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"))
     stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/wcheck").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.n for r in spark.table("windows").collect()) == sorted(r.n for r in ingest.windowed_counts(events).collect()) == [1, 24]
+
+
+def test_collect(spark):
+    listing = acquire.listing_urls(spark, "https://e.com", ["/news/", "blog"], 3)
+    statuses = spark.createDataFrame([("https://e.com/news/page/2/", 404), ("https://e.com/blog/page/3/", 500), ("https://e.com/blog/", 404)], "url string, status int")
+    assert [(r.page, r.path_pos) for r in acquire.before_the_end(listing, statuses).orderBy("page", "path_pos").collect()] == [(1, 0), (1, 1), (2, 1), (3, 1)]
+    body = "<article><h1>T</h1><time datetime='2024-03-01'></time>" + "".join(f"<p>Paragraph number {i} that is longer than thirty-five characters.</p>" for i in range(4)) + "</article>"
+    feed = spark.createDataFrame([(0, "https://e.com/news/about"), (1, "https://other.com/1")], "pos long, link string")
+    links = spark.createDataFrame([(0, "https://E.com/1"), (1, "https://e.com/2"), (2, "https://e.com/tag/3"), (3, "https://e.com/NEWS/about"), (4, "https://e.com/4")], "pos long, link string")
+    saved = spark.createDataFrame([(u, body) for u in ("https://e.com/news/about", "https://e.com/2", "https://other.com/1", "https://e.com/tag/3")] + [("https://e.com/4", "<p>short</p>")], "url string, html string")
+    got = acquire.collect("https://www.e.com/", "E", feed, links, saved).collect()
+    assert sorted(r.url for r in got) == ["https://e.com/2", "https://e.com/news/about"] and {r.published_at for r in got} == {datetime(2024, 3, 1)}
+    assert acquire.collect("https://www.e.com/", "E", feed, links, saved, most=1).count() == 1
