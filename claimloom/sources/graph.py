@@ -10,12 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.model import DOMAIN_RELATIONS, RELATIONS, SUPPORTED, UNSUPPORTED
+from claimloom.model import RELATIONS, SUPPORTED, UNSUPPORTED
 
 NODE_COLUMNS = "id label name canonical_name aliases description title published_at source_name".split()
 EDGE_COLUMNS = "src_id src_label rel_type dst_id dst_label evidence_status lifecycle_status review_status support articles".split()
 
 
+#: Relations between parts of one order, by how many lines they are apart; relations of a line itself.
+PAIRED = {"ACQUIRED": 1, "MERGED_WITH": 2, "PARTNERED_WITH": 3}
+LINED = ("INVESTED_IN", "FOUNDED_BY", "EMPLOYED_BY")
+
+
 class Graph:
     """Nodes and edges over a folder of Parquet tables."""
 
@@ -82,12 +87,15 @@ class Graph:
     def edges(self, *relations: str, articles: bool = False) -> DataFrame:
         """The edges of some relations (all, if none is named), one per source, relation and target.
 
-        articles: also gather the ids of the articles behind each claim.
+        articles: also gather the ids of the articles behind each claim. All
+        claims that lines make are brought to their keys by one aggregation.
         """
-        out = None
-        for r in relations or RELATIONS:
-            part = getattr(self, f"_{r.lower()}")(articles)
-            out = part if out is None else out.unionByName(part)
+        wanted = relations or RELATIONS
+        parts = [self._claims(wanted, articles)] if set(wanted) & {*PAIRED, *LINED} else []
+        parts += [getattr(self, f"_{r.lower()}")() for r in ("HAS_TOPIC", "MENTIONS", "FROM_SOURCE") if r in wanted]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
         return out
 
     @staticmethod
@@ -100,75 +108,64 @@ class Graph:
         return F.concat_ws(":", label, F.col(key).cast("string"))
 
     @staticmethod
-    def _edge(df: DataFrame, rel: str, evidence: Column, lifecycle: Column, review: Column) -> DataFrame:
+    def _edge(df: DataFrame, rel: Column, evidence: Column, lifecycle: Column, review: Column) -> DataFrame:
         label = lambda c: F.initcap(F.substring_index(c, ":", 1))
         for c in ("support", "articles"):
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(1).cast("long") if c == "support" else F.lit(None).cast("array<string>"))
-        return df.select("src_id", label("src_id").alias("src_label"), F.lit(rel).alias("rel_type"), "dst_id", label("dst_id").alias("dst_label"), evidence.alias("evidence_status"), lifecycle.alias("lifecycle_status"), review.alias("review_status"), "support", "articles")
-
-    def _claim(self, lines: DataFrame, rel: str, articles: bool) -> DataFrame:
-        """Lines (src_id, dst_id, l_returnflag, l_linestatus, l_orderkey) brought to claims."""
-        gathered = [F.array_sort(F.collect_set(F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")))).alias("articles")] if articles else []
-        grouped = lines.groupBy("src_id", "dst_id").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.countDistinct("l_orderkey").alias("support") if articles else F.count("*").alias("support"), *gathered)
-        review = F.when(F.col("flag") == "A", "accepted").when(F.col("flag") == "N", "unreviewed").when(F.col("flag") == "R", "rejected")
-        lifecycle = F.when(F.col("status") == "O", SUPPORTED).otherwise(UNSUPPORTED)
-        return self._edge(grouped, rel, F.lit("stated"), lifecycle, review)
+        return df.select("src_id", label("src_id").alias("src_label"), rel.alias("rel_type"), "dst_id", label("dst_id").alias("dst_label"), evidence.alias("evidence_status"), lifecycle.alias("lifecycle_status"), review.alias("review_status"), "support", "articles")
 
     def _lines(self) -> DataFrame:
         return self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
 
-    def _between_lines(self, step: int) -> DataFrame:
-        """Lines of an order `step` numbers apart; the flags are the earlier one's."""
-        first = self._lines().select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", self._startup("l_partkey").alias("src_id"))
-        second = self._lines().select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - step).alias("n"), self._startup("l_partkey").alias("dst_id"))
-        return first.join(second, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).where("src_id <> dst_id")
-
-    def _invested_in(self, articles: bool) -> DataFrame:
-        return self._claim(self._lines().withColumn("src_id", self._backer("l_suppkey")).withColumn("dst_id", self._startup("l_partkey")), "INVESTED_IN", articles)
-
-    def _founded_by(self, articles: bool) -> DataFrame:
-        orders = self.table("orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("person:c"), F.col("o_custkey").cast("string")).alias("dst_id"))
-        lines = self._lines().where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o")).withColumn("src_id", self._startup("l_partkey"))
-        return self._claim(lines, "FOUNDED_BY", articles)
-
-    def _employed_by(self, articles: bool) -> DataFrame:
-        orders = self.table("orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("person:c"), F.col("o_custkey").cast("string")).alias("src_id"))
-        lines = self._lines().where("l_linenumber = 6").join(orders, F.col("l_orderkey") == F.col("o")).withColumn("dst_id", self._backer("l_suppkey"))
-        return self._claim(lines, "EMPLOYED_BY", articles)
-
-    def _acquired(self, articles: bool) -> DataFrame:
-        return self._claim(self._between_lines(1), "ACQUIRED", articles)
-
-    def _merged_with(self, articles: bool) -> DataFrame:
-        lines = self._between_lines(2)
-        return self._claim(lines.withColumn("a", F.least("src_id", "dst_id")).withColumn("b", F.greatest("src_id", "dst_id")).drop("src_id", "dst_id").withColumnsRenamed({"a": "src_id", "b": "dst_id"}), "MERGED_WITH", articles)
-
-    def _partnered_with(self, articles: bool) -> DataFrame:
-        return self._claim(self._between_lines(3), "PARTNERED_WITH", articles)
+    def _claims(self, wanted: tuple[str, ...], articles: bool) -> DataFrame:
+        facts = ["l_orderkey", "l_returnflag", "l_linestatus"]
+        rows = []
+        if "INVESTED_IN" in wanted:
+            rows.append(self._lines().select(*facts, self._backer("l_suppkey").alias("src_id"), F.lit("INVESTED_IN").alias("rel_type"), self._startup("l_partkey").alias("dst_id")))
+        numbers = [n for r, n in (("FOUNDED_BY", 1), ("EMPLOYED_BY", 6)) if r in wanted]
+        if numbers:
+            orders = self.table("orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("person:c"), F.col("o_custkey").cast("string")).alias("who"))
+            lines = self._lines().where(F.col("l_linenumber").isin(numbers)).join(orders, F.col("l_orderkey") == F.col("o"))
+            founded = F.col("l_linenumber") == 1
+            rows.append(lines.select(*facts, F.when(founded, self._startup("l_partkey")).otherwise(F.col("who")).alias("src_id"), F.when(founded, "FOUNDED_BY").otherwise("EMPLOYED_BY").alias("rel_type"), F.when(founded, F.col("who")).otherwise(self._backer("l_suppkey")).alias("dst_id")))
+        steps = [k for r, k in PAIRED.items() if r in wanted]
+        if steps:
+            # lines of an order some numbers apart, all distances in one join; the flags are the earlier line's
+            first = self._lines().select(*facts, "l_linenumber", F.col("l_partkey").alias("x"))
+            second = self._lines().select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("y"), F.explode(F.array(*map(F.lit, steps))).alias("step"))
+            pairs = first.join(second, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n") - F.col("step"))).where("x <> y")
+            a, b, merger = self._startup("x"), self._startup("y"), F.col("step") == PAIRED["MERGED_WITH"]
+            rel = F.when(F.col("step") == PAIRED["ACQUIRED"], "ACQUIRED").when(merger, "MERGED_WITH").otherwise("PARTNERED_WITH")
+            rows.append(pairs.select(*facts, F.when(merger, F.least(a, b)).otherwise(a).alias("src_id"), rel.alias("rel_type"), F.when(merger, F.greatest(a, b)).otherwise(b).alias("dst_id")))
+        lines = rows[0]
+        for r in rows[1:]:
+            lines = lines.unionByName(r)
+        gathered = [F.array_sort(F.collect_set(F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")))).alias("articles")] if articles else []
+        grouped = lines.groupBy("src_id", "rel_type", "dst_id").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.count("*").alias("support"), *gathered)
+        review = F.when(F.col("flag") == "A", "accepted").when(F.col("flag") == "N", "unreviewed").when(F.col("flag") == "R", "rejected")
+        return self._edge(grouped, F.col("rel_type"), F.lit("stated"), F.when(F.col("status") == "O", SUPPORTED).otherwise(UNSUPPORTED), review)
 
-    def _has_topic(self, articles: bool) -> DataFrame:
+    def _has_topic(self) -> DataFrame:
         part = self.table("part").select("p_partkey", F.concat(F.lit("topic:"), F.col("p_brand")).alias("dst_id"))
         own = part.select(self._startup("p_partkey").alias("src_id"), "dst_id")
         lines = self.table("lineitem").select("l_orderkey", "l_partkey")
         of_articles = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")).alias("src_id"), "dst_id").distinct()
-        return self._edge(own.unionByName(of_articles), "HAS_TOPIC", F.lit("stated"), F.lit(SUPPORTED), F.lit("unreviewed"))
+        return self._edge(own.unionByName(of_articles), F.lit("HAS_TOPIC"), F.lit("stated"), F.lit(SUPPORTED), F.lit("unreviewed"))
 
-    def _mentions(self, articles: bool) -> DataFrame:
+    def _mentions(self) -> DataFrame:
         lines = self._lines().withColumn("src_id", F.concat(F.lit("article:"), F.col("l_orderkey").cast("string"))).withColumn("dst_id", self._startup("l_partkey"))
         grouped = lines.groupBy("src_id", "dst_id").agg(F.min("l_linenumber").alias("line"), F.max("l_linestatus").alias("status"))
         evidence = F.when(F.col("line") == 6, "unsure").when(F.col("status") == "O", "stated").otherwise("attributed")
         none = F.lit(None).cast("string")
-        return self._edge(grouped, "MENTIONS", evidence, none, none)
+        return self._edge(grouped, F.lit("MENTIONS"), evidence, none, none)
 
-    def _from_source(self, articles: bool) -> DataFrame:
+    def _from_source(self) -> DataFrame:
         orders = self.table("orders").select(F.concat(F.lit("article:"), F.col("o_orderkey").cast("string")).alias("src_id"), F.concat(F.lit("source:"), F.col("o_orderpriority")).alias("dst_id"))
-        return self._edge(orders, "FROM_SOURCE", F.lit("stated"), F.lit(SUPPORTED), F.lit("unreviewed"))
+        return self._edge(orders, F.lit("FROM_SOURCE"), F.lit("stated"), F.lit(SUPPORTED), F.lit("unreviewed"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, rel_type): every edge seen from both of its ends."""
     return edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "rel_type").unionByName(edges.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), "rel_type"))
 
-
-CLAIMS = tuple(r for r in DOMAIN_RELATIONS)
