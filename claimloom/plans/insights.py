@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.model import admitted, insightful, within
+from claimloom.operators.components import durable
 from claimloom.operators.ranking import few_per
 from claimloom.sources.graph import Graph
 
@@ -35,6 +36,7 @@ def trending_startups(graph: Graph, as_of: datetime | None = None, days: int = 3
     counts = seen.groupBy("dst_id").agg(F.count("*").alias("mentions"), F.max("published_at").alias("last"))  # an article mentions a startup once
     order = [F.desc_nulls_first("mentions"), F.desc_nulls_first("last"), F.asc_nulls_last("name"), F.asc("id")]
     top = graph.nodes("Startup").select("id", "name").join(counts, F.col("id") == F.col("dst_id")).drop("dst_id").orderBy(*order).limit(limit)
+    top = durable(top)  # a few rows, used twice
     shown = few_per(seen.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("dst_id") == F.col("top_id")), "top_id", "title", 5, "articles")
     return top.join(shown, F.col("id") == F.col("top_id")).orderBy(*order).select("id", "name", "mentions", "articles", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
@@ -46,6 +48,7 @@ def top_investors(graph: Graph, limit: int = 10) -> DataFrame:
     names = graph.nodes(*BACKERS).select("id", "name", F.col("label").alias("type"))
     counts = deals.groupBy("src_id").agg(F.countDistinct("dst_id").alias("investments"))
     top = names.join(counts, F.col("id") == F.col("src_id")).orderBy(F.desc("investments"), F.asc_nulls_last("name"), "id").limit(limit).drop("src_id")
+    top = durable(top)  # a few rows, used twice
     startups = graph.nodes("Startup").select(F.col("id").alias("startup"), F.col("name").alias("startup_name"))
     shown = deals.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("src_id") == F.col("top_id")).join(startups, F.col("dst_id") == F.col("startup"))
     shown = few_per(shown, "top_id", "startup_name", 5, "examples")
@@ -68,7 +71,7 @@ def co_investments(graph: Graph, limit: int = 20) -> DataFrame:
     named = counts.join(names.select(F.col("id").alias("i1"), F.col("name").alias("source"), F.col("label").alias("source_type")), F.col("source_id") == F.col("i1"))
     named = named.join(names.select(F.col("id").alias("i2"), F.col("name").alias("target"), F.col("label").alias("target_type")), F.col("target_id") == F.col("i2"))
     order = [F.desc("shared_startups"), F.asc_nulls_last("source"), F.asc_nulls_last("target"), "source_id", "target_id"]
-    top = named.orderBy(*order).limit(limit).drop("i1", "i2")
+    top = durable(named.orderBy(*order).limit(limit).drop("i1", "i2"))  # a few rows, used twice
     keys = F.broadcast(top.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")))
     startups = graph.nodes("Startup").select(F.col("id").alias("startup"), F.col("name").alias("startup_name"))
     left = one.join(keys, F.col("source_id") == F.col("s")).select("s", "t", "dst_id")
@@ -88,6 +91,7 @@ def topic_clusters(graph: Graph, limit: int = 20) -> DataFrame:
     counts = tagged.groupBy("dst_id").agg(F.countDistinct("src_id").alias("entity_count"))
     topics = graph.nodes("Topic").select("id", "name")
     top = topics.join(counts, F.col("id") == F.col("dst_id")).orderBy(F.desc("entity_count"), F.asc_nulls_last("name"), "id").limit(limit).drop("dst_id")
+    top = durable(top)  # a few rows, used twice
     names = graph.nodes("Startup", "Investor", "Company", "Person", "Article").select(F.col("id").alias("entity"), F.coalesce("name", "title").alias("shown"))
     shown = tagged.join(F.broadcast(top.select(F.col("id").alias("top_id"))), F.col("dst_id") == F.col("top_id")).join(names, F.col("src_id") == F.col("entity"))
     shown = few_per(shown, "top_id", "shown", 6, "examples")
