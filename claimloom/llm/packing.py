@@ -177,7 +177,7 @@ def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int
     max_documents, max_attention = max_documents or capacity, max_attention or capacity * capacity
     # kept, so that ranks are counted and given over the very same rows
     cutup = durable(tokenise(documents, tokenizer_file, capacity, with_ids).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "spread"), F.lit(BUCKETS)).cast("int")).drop("spread"))
-    counts = cutup.groupBy("length", "bucket").agg(F.count("*").alias("n")).toPandas()  # at most capacity x BUCKETS rows
+    counts = cutup.groupBy("length", "bucket").agg(F.count("*").alias("n")).toArrow().to_pandas()  # at most capacity x BUCKETS rows
     histogram = {int(k): int(v) for k, v in counts.groupby("length").n.sum().items()}
     ranges, _ = plan(histogram, capacity, max_documents, max_attention, fit)
     counts = counts.sort_values(["length", "bucket"])
