@@ -127,3 +127,17 @@ def review(spark: SparkSession, store: Store, src_id: str, rel_type: str, dst_id
     store.write("reviews", _old(spark, store, "reviews").unionByName(row))
     refresh(spark, store)
     return True
+
+
+# What feedback can be about, and what it can say.
+FEEDBACK_TARGETS = ("extraction", "resolution", "overall")
+FEEDBACK_LABELS = ("good", "bad", "wrong_merge", "missed_entity", "other")
+FEEDBACK = "trace_id string, target string, label string, comment string, reviewer string, given_at timestamp"
+
+
+def feedback(spark: SparkSession, store: Store, trace_id: str, target: str, label: str, comment: str | None = None, reviewer: str | None = None) -> None:
+    """Appends a person's verdict on a run."""
+    if target not in FEEDBACK_TARGETS or label not in FEEDBACK_LABELS:
+        raise ValueError(f"feedback must have a target of {FEEDBACK_TARGETS} and a label of {FEEDBACK_LABELS}")
+    row = spark.createDataFrame([(trace_id, target, label, comment, reviewer)], "trace_id string, target string, label string, comment string, reviewer string").withColumn("given_at", F.current_timestamp())
+    store.write("feedback", row if store.version("feedback") is None else store.read("feedback").unionByName(row))

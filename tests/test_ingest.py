@@ -62,3 +62,12 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT norm_key('Acme GmbH', 'Startup') a, norm_display('Berlin-based Acme') b, norm_slug('Ä B') c, token_set('the acme of x') d, jaro_winkler('martha', 'marhta') e, token_sort_ratio('a b', 'b a') f, token_set_ratio('acme labs', 'acme') g, cosine(array(1d, 0d), array(1d, 1d)) h, parse_article_html('https://e.com', '<h1>T</h1>').title i").first()
     assert (r.a, r.b, r.c, r.d, round(r.e, 4), r.f, r.g, round(r.h, 4), r.i) == ("acme", "Acme", "a-b", ["acme"], 0.9611, 1.0, 1.0, 0.7071, "T")
     assert [tuple(x) for x in spark.sql(f"SELECT * FROM parse_extraction('entity{SEPARATOR}A{SEPARATOR}Topic{SEPARATOR}d')").collect()] == [(0, "entity", ["A", "Topic", "d"])]
+
+
+def test_feedback(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    ingest.feedback(spark, store, "t1", "overall", "good")
+    ingest.feedback(spark, store, "t2", "resolution", "wrong_merge", "two Acmes", "me")
+    assert sorted((r.trace_id, r.label, r.comment) for r in store.read("feedback").collect()) == [("t1", "good", None), ("t2", "wrong_merge", "two Acmes")]
+    with pytest.raises(ValueError):
+        ingest.feedback(spark, store, "t", "overall", "fine")
