@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import in_fold, kept_rows, labelled_sample, raw, sigmoid
+from claimloom.llm.common import in_fold, kept_rows, labelled_sample, raw, sigmoid, small_batches
 
 #: Bound of the training sample: so many texts of either label at most.
 PER_CLASS = 1500
@@ -165,7 +165,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, per_class: int = PER_
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     doc_id = F.col("doc_id").cast("long")
-    chosen = documents.select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
+    chosen = small_batches(documents).select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
     return chosen.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

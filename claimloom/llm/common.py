@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from claimloom.operators.components import durable
 
-__all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "portions", "raw", "sigmoid", "table", "words"]
+__all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "portions", "raw", "sigmoid", "small_batches", "table", "words"]
 
+#: Rows of an Arrow batch that holds whole texts.
+BATCH_ROWS = 1000
 #: Characters between words: a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,6 +30,18 @@ def words(text) -> list[bytes]:
     return raw(text).split()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows.
+
+    With Spark's 10,000, a batch of whole texts is tens of megabytes in each
+    Python worker and again, several times over, beside the executor's heap.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000") or 10000) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def portions(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """The rows of a batch with a text column, some million characters at a time, so that their words fit in memory."""
     ends = batch["text"].str.len().fillna(0).cumsum().to_numpy()
@@ -52,7 +66,7 @@ def kept_rows(df: DataFrame, columns: list[str], decide: Callable[[], Callable[[
                 mask += test(part)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import kept_rows
+from claimloom.llm.common import kept_rows, small_batches
 
 RATE = 0.08
 SHORTEST = 40
@@ -151,7 +151,7 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, s
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row per document (doc_id, text) and test item (item_id, text) that it holds within the error budget."""
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    chosen = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = None
     for items in blocks(benchmark, block_chars):
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACES, kept_rows, portions, raw
+from claimloom.llm.common import SPACES, kept_rows, portions, raw, small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: Rejection bands: (least, most chars per token), most byte share, least entropy in bits.
@@ -44,7 +44,7 @@ BANDS = {
 #: Tokens from which the entropy band holds.
 ENTROPY_FROM = 150
 #: Distinct words that a task keeps tokens of; with more, it starts afresh after the batch.
-MEMO = 300_000
+MEMO = 200_000
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -196,7 +196,7 @@ def quality_rules(documents: DataFrame, model_file: str | None = None, bands: di
             out["doc_id"] = batch["doc_id"].to_numpy()
             yield out
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInPandas(run, SCHEMA)
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInPandas(run, SCHEMA)
 
 
 def passing(documents: DataFrame, model_file: str | None = None, bands: dict | None = None) -> DataFrame:

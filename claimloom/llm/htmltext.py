@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import small_batches
+
 DEEPEST = 150
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -318,4 +320,4 @@ def extract(pages: DataFrame) -> DataFrame:
             out["page_id"] = batch["page_id"].to_numpy()
             yield out
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").alias("html")).mapInPandas(run, SCHEMA)
+    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").alias("html")).mapInPandas(run, SCHEMA)

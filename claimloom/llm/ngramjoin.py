@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import durable, words
+from claimloom.llm.common import durable, small_batches, words
 from claimloom.operators.components import components
 
 N = 5
@@ -40,7 +40,7 @@ RECALL = 0.9999
 BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 2_000_000
 #: Distinct words of which a task keeps hashes.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -174,7 +174,7 @@ def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD,
     similarity of the threshold or more, equal sets included.
     """
     bands = bands_for(threshold, rows, recall)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
+    texts = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(n, rows, bands)

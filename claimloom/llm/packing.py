@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import durable
+from claimloom.llm.common import durable, small_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -108,7 +108,7 @@ def tokenise(documents: DataFrame, tokenizer_file: str, capacity: int, with_ids:
                     rows.append((doc, piece, start, length, crc, crc ^ k * 2654435761 % (1 << 32), *([part] if with_ids else [])))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int, documents: int, attention: int, fit: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[list[tuple[int, int, int, int, int]], int]:
