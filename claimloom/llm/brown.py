@@ -1,23 +1,33 @@
 """Operator 4, LM scoring by a Brown class-based bigram model.
 
 Words of the training documents are counted by a grouped aggregation over all of
-them. The CLUSTERED most frequent words, and rarer ones pooled by their ending
-(last letter, and whether punctuation follows it), are the units that exchange
-clustering assigns to CLASSES classes: a unit moves to the class that raises the
-likelihood of the class bigrams most, until few move. The end of a text is a
-class of its own and also stands before the first word.
+them. Each is assigned a class, in two steps:
+
+- The most frequent words (their number grows with the vocabulary, see grown()),
+  and all others pooled by their ending (last letter, and whether punctuation
+  follows it), are units that exchange clustering assigns to the classes: a unit
+  moves to the class that raises the likelihood of the class bigrams most, until
+  few move. The number of classes grows with the vocabulary, too.
+- Each other word, however rare, takes the class that raises that likelihood
+  most given its own left and right neighbours' classes, aggregated by word key,
+  and PRIOR occurrences' worth of those of its pool.
+
+Pools are left for words that training never saw, and as neighbours' classes
+while the other words are being assigned. The end of a text is a class of its
+own and also stands before the first word.
 
     P(word | before) = P(class | class before) * P(word | class)
 
-Class transitions are smoothed towards class frequencies. A clustered word's
-share of its class is by counts; a pooled word's is its pool's share times its
-own discounted share of the pool (absolute discounting), and what the discount
-frees belongs to words of that pool that training never saw.
+Class transitions are counted anew from all words' final classes and smoothed
+towards class frequencies. A word's share of its class is by counts, those of
+the words of the second step less DISCOUNT; what a pool's words are discounted
+belongs to words of that pool that training never saw, in the pool's class.
 
 The HEAD most frequent words travel to the tasks (a bounded table). All other
-words of a document are joined with their counts by the word's 64-bit xxhash,
-which stands for the word in counting too (of a billion words, two collide in
-one corpus out of forty); so no task holds the vocabulary; what is shuffled follows the input.
+words of a document are joined by place with their count and class by the word's
+64-bit xxhash, which stands for the word in counting too (of a billion words,
+two collide in one corpus out of forty); so no task holds the vocabulary; what
+is shuffled follows the input. Texts are split once and kept as word numbers.
 
 Edge cases: null and empty texts are one end token. No training row: every c is
 0, N and V are 0. Repeated rows are documents of their own.
@@ -25,12 +35,12 @@ Edge cases: null and empty texts are one end token. No training row: every c is
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +48,24 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import durable, in_fold, portions, raw, small_batches
 
 HELD_OUT = (10, 0)
+#: Least classes, and least and most words of the exchange; the most bounds its pair table on the driver, at (words + POOLS)^2.
 CLASSES = 48
 CLUSTERED = 1500
+MOST_CLUSTERED = 2500
 HEAD = 200_000
 #: Longest word, in bytes, in the head table: 64 bytes a word bound it.
 HEAD_BYTES = 48
 DISCOUNT = 0.6
+PRIOR = 1.0
+#: Neighbours of words that a task gathers before it hands them on.
+GATHER = 2_000_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PUNCTUATION = frozenset(b".,;:!?)]}\"'")
 POOLS = 768
+#: How often a class is a word's left (at below the number of classes) or right neighbour; more than 255 times in several entries.
+ENTRY = np.dtype([("at", "<u2"), ("n", "u1")])
 
 
 def tokens(text) -> list[bytes]:
@@ -66,6 +83,11 @@ def pool(word: bytes) -> int:
     return (256 if last == 46 else 512) + (word[at] if at >= 0 else 0)
 
 
+def grown(types: int) -> tuple[int, int]:
+    """Classes, and words of the exchange, for a vocabulary of so many words."""
+    return max(CLASSES, round(types ** (1 / 3))), min(MOST_CLUSTERED, max(CLUSTERED, round(2 * types**0.5)))
+
+
 def exchange(before: np.ndarray, after: np.ndarray, n: np.ndarray, units: int, classes: int, rounds: int = 6, fixed: int = 0) -> np.ndarray:
     """A class for each unit, from bigram counts (before, after, n) of units.
 
@@ -163,14 +185,37 @@ def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return head.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
-def unit_numbers(head: pd.DataFrame, clustered: int, pools: list[int]) -> tuple[dict[bytes, int], dict[int, int]]:
-    """Units: 0 is the end, then the clustered words, then the pools."""
-    words = {w: 1 + i for i, w in enumerate(head["word"][:clustered])}
-    return words, {p: 1 + len(words) + i for i, p in enumerate(pools)}
+def stretches(batch: pd.DataFrame, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """The rows of a batch of coded texts, about a million words at a time."""
+    ends = batch["n_tokens"].cumsum().to_numpy()
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.iloc[at:to]
+        at = to
+
+
+def flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the batch's texts in a row, from the end before the first; and the keys of those below 0."""
+    codes = b"".join(pa.decompress(x, 4 * n, "zstd", asbytes=True) for x, n in zip(batch["codes"], batch["n_tokens"].tolist(), strict=True))
+    return np.concatenate(([0], np.frombuffer(codes, np.int32))), np.frombuffer(b"".join(batch["keys"]), np.int64)
+
 
+def affinity(table: np.ndarray) -> np.ndarray:
+    """What a left neighbour of each class, then a right one, adds to the log-likelihood of a word's being in each class."""
+    mass, out = table.sum(0), table.sum(1)
+    share = (mass + 0.5) / (mass.sum() + 0.5 * len(table))
+    chance = np.log((table + 2.0 * share[None, :]) / (out[:, None] + 2.0))
+    got = np.concatenate((chance - np.log(share)[None, :], (chance - np.log(share)[None, :]).T))
+    got[:, mass == 0] = -1e6
+    got[:, 0] = -1e9  # the end's own
+    return got
 
-def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes: int = CLASSES, clustered: int = CLUSTERED, head_words: int = HEAD) -> DataFrame:
+
+def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes: int | None = None, clustered: int | None = None, head_words: int = HEAD) -> DataFrame:
     """A row per row of documents (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    import xxhash
+
     spark = documents.sparkSession
     doc_id = F.col("doc_id").cast("long")
     chosen = small_batches(documents).select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
@@ -180,145 +225,256 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
     ends = training.count()
     n_all, v_all = totals.n + ends, totals.v + (1 if ends else 0)
     head = frequent(counts, head_words)
-    clustered = min(clustered, len(head))
-    # pools hold every training word that is not clustered: tokens and types of each
-    pooled = {r.pool: (r.n, r.v) for r in counts.groupBy("pool").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    for w, c, p in zip(head["word"][:clustered], head["c"][:clustered], head["pool"][:clustered], strict=True):
-        pooled[p] = (pooled[p][0] - c, pooled[p][1] - 1)
-    in_pools = [0] * POOLS, [0] * POOLS
-    for p, (n, v) in pooled.items():
-        in_pools[0][p], in_pools[1][p] = int(n), int(v)
-    word_unit, pool_unit = unit_numbers(head, clustered, list(range(POOLS)))
-    units = 1 + clustered + POOLS
-    sent_units = spark.sparkContext.broadcast(word_unit)
-    shift = 1 + clustered
+    k, most = grown(totals.v)
+    k, clustered = max(2, k if classes is None else classes), min(most if clustered is None else clustered, len(head))
+    shift, units = 1 + clustered, 1 + clustered + POOLS
+    # training words that the exchange doesn't assign, by pool
+    types = np.zeros(POOLS)
+    for r in counts.groupBy("pool").count().collect():
+        types[r.pool] = r["count"]
+    np.subtract.at(types, head["pool"][:clustered].to_numpy(np.int64), 1)
+    # codes: 0 the end, from 1 the head words, below 0 other words' pools; by code from -POOLS on
+    head_c = np.concatenate(([ends], head["c"].to_numpy(np.int64)))
+    head_pool = np.concatenate(([0], head["pool"].to_numpy(np.int64)))
+    head_key = np.concatenate(([0], np.fromiter(map(xxhash.xxh64_intdigest, head["word"]), np.uint64, len(head)).view(np.int64)))
+    unit_of = np.concatenate((units - 1 - np.arange(POOLS), np.arange(shift), shift + head_pool[shift:]))
+    sent_words = spark.sparkContext.broadcast({w: 1 + i for i, w in enumerate(head["word"])})
+    del head
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
 
-    def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit = sent_units.value
+        known = sent_words.value
         memo: dict[bytes, int] = {}
-        seen = np.zeros(units * units, np.int64)  # 41 MB at most
+        code_of, key_of = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        number = TaskContext.get().partitionId() << 40
         for batch in (x for b in batches for x in portions(b)):
             if len(memo) > FLUSH:
-                memo.clear()
-            codes = []
-            for text in batch["text"]:
-                found = tokens(text)
+                memo, code_of, key_of = {}, code_of[:0], key_of[:0]
+            split = [tokens(t) for t in batch["text"]]
+            codes, keys = [], []
+            for found in split:
                 for w in set(found).difference(memo):
-                    memo[w] = unit[w] if w in unit else shift + pool(w)
-                ids = np.zeros(len(found) + 2, np.int64)
-                ids[1:-1] = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-                codes.append(ids[:-1] * units + ids[1:])
-            seen += np.bincount(np.concatenate(codes), minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pd.DataFrame({"pair": some, "n": seen[some]})
+                    memo[w] = len(memo)
+                    c = known.get(w)
+                    codes.append(c or -1 - pool(w))
+                    keys.append(0 if c else xxhash.xxh64_intdigest(w))
+            code_of = np.concatenate((code_of, np.array(codes, np.int32)))
+            key_of = np.concatenate((key_of, np.array(keys, np.uint64).view(np.int64)))
+            out = []
+            for i, found in enumerate(split):
+                ids = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
+                c = code_of[ids]
+                out.append((number + i, len(ids) + 1, pa.compress(c.tobytes() + bytes(4), "zstd", asbytes=True), key_of[ids[c < 0]].tobytes()))
+            number += len(out)
+            out = pd.DataFrame(out, columns=["row", "n_tokens", "codes", "keys"])
+            yield out.assign(doc_id=batch["doc_id"].to_numpy(), held_out=batch["held_out"].to_numpy())
+
+    coded = durable(chosen.mapInPandas(encode, "row long, n_tokens long, codes binary, keys binary, doc_id long, held_out boolean"))
+    learned = coded.where("not held_out")
+
+    def merged(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair, of = np.unique(pair, return_inverse=True)
+        return pair, np.bincount(of, weights=n, minlength=len(pair)).astype(np.int64)
+
+    def pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen, size = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+        for batch in (x for b in batches for x in stretches(b)):
+            u = unit_of[flat(batch)[0] + POOLS]
+            seen.append(u[:-1] * units + u[1:])
+            size += len(u)
+            if size > GATHER:
+                some = np.unique(np.concatenate(seen), return_counts=True)
+                total, seen, size = merged(*map(np.concatenate, zip(total, some, strict=True))), [], 0
+        if seen:
+            some = np.unique(np.concatenate(seen), return_counts=True)
+            total = merged(*map(np.concatenate, zip(total, some, strict=True)))
+        yield pd.DataFrame({"pair": total[0], "n": total[1]})
 
     # at most units x units rows, whatever the input
-    pairs = training.mapInPandas(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = learned.mapInPandas(pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     code, n = pairs.column("pair").to_numpy(), pairs.column("n").to_numpy().astype(np.float64)
     order = np.argsort(code)
-    before, after, n = code[order] // units, code[order] % units, n[order]
+    before, after, n = (code[order] // units).astype(np.int32), (code[order] % units).astype(np.int32), n[order]
     del pairs, code, order
-    own = exchange(before, after, n, units, classes)
-    k = max(2, classes)
+    own = exchange(before, after, n, units, k)
     table = np.zeros((k, k))
     np.add.at(table, (own[before], own[after]), n)
-    mass = table.sum(0)
-    share = (mass + 0.5) / (mass.sum() + 0.5 * k)
-    step = np.log10((table + 2.0 * share[None, :]) / (table.sum(1, keepdims=True) + 2.0))
-    unit_count = np.bincount(after, weights=n, minlength=units).astype(np.float64)
+    gain = affinity(table)
+    around = np.zeros((POOLS, 2 * k))  # the classes left and right of each pool's words
+    at = after >= shift
+    np.add.at(around, (after[at] - shift, own[before[at]]), n[at])
+    at = before >= shift
+    np.add.at(around, (before[at] - shift, k + own[after[at]]), n[at])
+    prior = PRIOR * (around / np.maximum(around[:, :k].sum(1, keepdims=True), 1.0)) @ gain
+    del before, after, n, at
+    class_of_unit = own.astype(np.int64)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, code, around): how often each class stands beside a word that the exchange didn't assign."""
+
+        def out(parts: list) -> Iterator[pa.RecordBatch]:
+            code, key, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, first, word = np.unique(key, return_index=True, return_inverse=True)
+            pair, n = np.unique(np.concatenate((word * (2 * k) + left, word * (2 * k) + k + right)), return_counts=True)
+            times = (n + 254) // 255
+            pair, n = np.repeat(pair, times), np.repeat(n, times) - 255 * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            what = np.zeros(len(pair), ENTRY)
+            what["at"], what["n"] = pair % (2 * k), np.minimum(n, 255)
+            start = np.searchsorted(pair, np.arange(len(u) + 1) * (2 * k))
+            code = code[first].astype(np.int32)
+            for a in range(0, len(u), 50_000):
+                b = min(len(u), a + 50_000)
+                offsets = ((start[a : b + 1] - start[a]) * ENTRY.itemsize).astype(np.int32)
+                data = what[start[a] : start[b]].tobytes()
+                around = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(code[a:b]), around], names=["key", "code", "around"])
+
+        parts, size = [], 0
+        for batch in (x for b in batches for x in stretches(b.to_pandas())):
+            code, cold = flat(batch)
+            c = class_of_unit[unit_of[code + POOLS]]
+            key = head_key[np.maximum(code, 0)]
+            key[code < 0] = cold
+            at = np.flatnonzero((code < 0) | (code >= shift))
+            parts.append((code[at], key[at], c[at - 1], c[at + 1]))
+            size += len(at)
+            if size > GATHER:
+                yield from out(parts)
+                parts, size = [], 0
+        if parts:
+            yield from out(parts)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            joined = [b"".join(x) for x in batch["arounds"]]
+            what = np.frombuffer(b"".join(joined), ENTRY)
+            word = np.repeat(np.arange(len(joined)), [len(x) // ENTRY.itemsize for x in joined])
+            seen = np.bincount(word * (2 * k) + what["at"], weights=what["n"], minlength=len(joined) * 2 * k).reshape(-1, 2 * k)
+            code = batch["code"].to_numpy()
+            best = (seen @ gain + prior[np.where(code < 0, -1 - code, head_pool[np.maximum(code, 0)])]).argmax(1)
+            yield pd.DataFrame({"key": batch["key"], "code": batch["code"], "c": seen[:, :k].sum(1).astype(np.int64), "class": best.astype(np.int32)})
+
+    gathered = learned.mapInArrow(neighbours, "key long, code int, around binary").groupBy("key").agg(F.max("code").alias("code"), F.collect_list("around").alias("arounds"))
+    assigned = durable(gathered.mapInPandas(assign, "key long, code int, c long, class int"))
+    # the final classes of codes, and what they weigh
+    pool_class = class_of_unit[shift:]
+    class_of = np.concatenate((np.full(POOLS, -1), class_of_unit[:shift], np.zeros(len(head_c) - shift, np.int64)))
+    others = assigned.where("code > 0").select("code", "class").toArrow()
+    class_of[POOLS + others.column("code").to_numpy()] = others.column("class").to_numpy()
+    weight = np.bincount(class_of_unit[:shift], weights=head_c[:shift], minlength=k)
+    for r in assigned.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        weight[r["class"]] += r.n - DISCOUNT * r.v
     # a pool that training never saw is still possible: half a token to each
-    unit_count[shift:] += 0.5
-    class_count = np.bincount(own, weights=unit_count, minlength=k)
-    emit = np.log10(np.maximum(unit_count, 1e-9) / np.maximum(class_count[own], 1e-9))
-    size, types = np.array(in_pools[0], float), np.array(in_pools[1], float)
-    log_size = np.log10(np.maximum(size, 1.0))
-    freed = np.where(size > 0, np.log10(np.maximum(DISCOUNT * types, DISCOUNT) / np.maximum(size, 1.0)), 0.0)
+    unseen = DISCOUNT * types + 0.5
+    weight += np.bincount(pool_class, weights=unseen, minlength=k)
+    log_weight = np.log10(np.maximum(weight, 1e-9))
+    unseen = np.log10(unseen) - log_weight[pool_class]
     base_bottom = n_all + 0.1 * (v_all + 1)
+    base_of = np.concatenate((np.zeros(POOLS), np.log10((head_c + 0.1) / base_bottom)))
+    taken = np.concatenate((np.zeros(shift), np.full(len(head_c) - shift, DISCOUNT)))
+    emit_of = np.concatenate((np.zeros(POOLS), np.log10(np.maximum(head_c - taken, 1e-9)) - log_weight[class_of[POOLS:]]))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per place of a word that is not in the head table: its text (twice the row, and 1 if held out), key, and packed place, pool and classes beside it, 0 for such a word, else from 1."""
+        for batch in (x for b in batches for x in stretches(b)):
+            code, key = flat(batch)
+            at = np.flatnonzero(code < 0)
+            c = class_of[code + POOLS]
+            text = np.searchsorted(batch["n_tokens"].cumsum().to_numpy(), at, "left")
+            place = at.astype(np.int64) << 34 | (-1 - code[at]).astype(np.int64) << 24 | (c[at - 1] + 1) << 12 | (c[at + 1] + 1)
+            whole = 2 * batch["row"].to_numpy() + batch["held_out"].to_numpy(np.int64)
+            out = pd.DataFrame({"of": whole[text], "key": key, "place": place})
+            for a in range(0, len(out), 100_000):
+                yield out[a : a + 100_000]
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Class pairs with such words, and what the words themselves give, per text."""
+        for batch in batches:
+            n = batch.num_rows
+            text = np.repeat(np.arange(n), batch.column("place").value_lengths().to_numpy())
+            place, own, c = (batch.column(x).flatten().to_numpy() for x in ("place", "class", "c"))
+            order = np.lexsort((place, text))
+            place, own, c = place[order], own[order], c[order]
+            kind, left, right = place >> 24 & 1023, (place >> 12 & 4095) - 1, (place & 4095) - 1
+            own = np.where(c > 0, own, pool_class[kind])
+            left = np.where(left >= 0, left, np.roll(own, 1))
+            to_right = right >= 0
+            pair = np.concatenate((left * k + own, (own * k + right)[to_right])).astype(np.int32)
+            of = np.concatenate((text, text[to_right]))
+            order = np.argsort(of, kind="stable")
+            pair, start = pair[order], np.searchsorted(of[order], np.arange(n + 1))
+            emit = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 0.1)) - log_weight[own], unseen[kind])
+            by_text = [np.bincount(text, weights=x, minlength=n) for x in (np.log10((c + 0.1) / base_bottom), emit, c > 0)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("of"), pa.array([pair[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary()), pa.array(by_text[0]), pa.array(by_text[1]), pa.array(by_text[2].astype(np.int64))],
+                names=["of", "pairs", "cold_base", "cold_emit", "cold_known"],
+            )
+
+    known = assigned.select(F.col("key").alias("k"), "c", "class")
+    lists = [F.collect_list(x).alias(x) for x in ("place", "class", "c")]
+    found = (
+        coded.mapInPandas(places, "of long, key long, place long")
+        .join(known, F.col("key") == F.col("k"), "left")
+        .withColumn("c", F.coalesce("c", F.lit(0)))
+        .withColumn("class", F.coalesce("class", F.lit(-1)))
+        .groupBy("of")
+        .agg(*lists)
+    )
+    resolved = durable(found.mapInArrow(resolve, "of long, pairs binary, cold_base double, cold_emit double, cold_known long"))
+
+    def head_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(k * k, np.int64)
+        for batch in (x for b in batches for x in stretches(b)):
+            c = class_of[flat(batch)[0] + POOLS]
+            both = (c[:-1] >= 0) & (c[1:] >= 0)
+            seen += np.bincount((c[:-1] * k + c[1:])[both], minlength=k * k)
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"pair": some, "n": seen[some]})
 
-    def base_log(c):
-        return math.log10((c + 0.1) / base_bottom)
-
-    known = {w: int(c) for w, c in zip(head["word"], head["c"], strict=True)}
-    sent = spark.sparkContext.broadcast((known, own, step, emit, log_size))
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "key", "pool", "times"]
+    def cold_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pair, n = np.unique(np.frombuffer(b"".join(batch["pairs"]), np.int32), return_counts=True)
+            yield pd.DataFrame({"pair": pair.astype(np.int64), "n": n.astype(np.int64)})
+
+    found = learned.mapInPandas(head_pairs, "pair long, n long").unionByName(resolved.where("of % 2 = 0").select("pairs").mapInPandas(cold_pairs, "pair long, n long"))
+    table = np.zeros(k * k)
+    for r in found.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r.pair] = r.n
+    table = table.reshape(k, k)
+    mass = table.sum(0)
+    share = (mass + 0.5) / (mass.sum() + 0.5 * k)
+    step = np.log10((table + 2.0 * share[None, :]) / (table.sum(1, keepdims=True) + 2.0))
+    steps = step.ravel()
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per document with what the head words give, and rows (row, key, pool, times) of the other words."""
-        import xxhash
-
-        unit = sent_units.value
-        known, own, step, emit, log_size = sent.value
-        memo: dict[bytes, int] = {}
-        kinds = (np.int64, float, float, np.uint64, np.int32)  # unit, base, model; key and pool of a word that is to be joined
-        about = [np.zeros(0, t) for t in kinds]
-        end_base = base_log(ends)
-        number = TaskContext.get().partitionId() << 40
-        for batch in (x for b in batches for x in portions(b)):
-            if len(memo) > FLUSH:
-                memo, about = {}, [np.zeros(0, t) for t in kinds]
-            fresh: list[tuple[int, float, float, int, int]] = []
-            split = [tokens(t) for t in batch["text"]]
-            for found in split:
-                for w in set(found).difference(memo):
-                    memo[w] = len(memo)
-                    c, u, p = known.get(w), unit.get(w), pool(w)
-                    if u is not None:
-                        fresh.append((u, base_log(c), 0.0, 0, -1))
-                    elif c is not None:
-                        fresh.append((shift + p, base_log(c), math.log10(c - DISCOUNT) - log_size[p], 0, -1))
-                    else:
-                        fresh.append((shift + p, 0.0, 0.0, xxhash.xxh64_intdigest(w), p))
-            if fresh:
-                about = [np.concatenate((old, np.array(new, old.dtype))) for old, new in zip(about, zip(*fresh, strict=True), strict=True)]
-            unit_of, base_of, model_of, key_of, pool_of = about
-            whole, cold = [], []
-            for i, found in enumerate(split):
-                ids = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-                u = np.zeros(len(ids) + 2, np.int64)
-                u[1:-1] = unit_of[ids]
-                c = own[u]
-                w, times = np.unique(ids[pool_of[ids] >= 0], return_counts=True)
-                base, model = base_of[ids].sum() + end_base, step[c[:-1], c[1:]].sum() + emit[u[1:]].sum() + model_of[ids].sum()
-                whole.append((len(ids) + 1, len(ids) - int(times.sum()) + (ends > 0), base, model))
-                cold.append((np.full(len(w), number + i), key_of[w].view(np.int64), pool_of[w], times))
-            out = pd.DataFrame(whole, columns=columns[3:7])
-            out["row"] = number + np.arange(len(out))
-            yield out.assign(doc_id=batch["doc_id"].to_numpy(), held_out=batch["held_out"].to_numpy(), key=None, pool=None, times=None)[columns]
-            row, key, kind, times = (np.concatenate(x) for x in zip(*cold, strict=True))
-            for at in range(0, len(row), 100_000):
-                some = slice(at, at + 100_000)
-                yield pd.DataFrame({"row": row[some], "key": key[some], "pool": kind[some], "times": times[some]}).reindex(columns=columns)
-            number += len(out)
+        """What the head words give, per text."""
+        for batch in (x for b in batches for x in stretches(b)):
+            code = flat(batch)[0]
+            c = class_of[code + POOLS]
+            text = np.repeat(np.arange(len(batch)), batch["n_tokens"])
+            both = (c[:-1] >= 0) & (c[1:] >= 0)
+            code = code[1:]
+            model = emit_of[code + POOLS] + np.where(both, steps[np.where(both, c[:-1] * k + c[1:], 0)], 0.0)
+            known = code > 0 if not ends else code >= 0
+            sums = [np.bincount(text, weights=x, minlength=len(batch)) for x in (known, base_of[code + POOLS], model)]
+            yield batch[["row", "doc_id", "held_out", "n_tokens"]].assign(n_known=sums[0].astype(np.int64), base=sums[1], model=sums[2])
+
+    def cold_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            model = [e + steps[np.frombuffer(p, np.int32)].sum() for p, e in zip(batch["pairs"], batch["cold_emit"], strict=True)]
+            yield pd.DataFrame({"at": batch["of"] // 2, "cold_base": batch["cold_base"], "cold_known": batch["cold_known"], "cold_model": model})
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, key long, pool int, times long"
-    parts = durable(chosen.mapInPandas(part, schema))
-    kinds = spark.createDataFrame([(p, float(log_size[p]), float(freed[p])) for p in range(POOLS)], "kind int, size double, free double")
-    c = F.coalesce("c", F.lit(0))
-    cold = (
-        parts.where("key is not null")
-        .select("row", "key", "pool", "times")
-        .join(counts.select(F.col("key").alias("k"), "c"), F.col("key") == F.col("k"), "left")
-        .join(F.broadcast(kinds), F.col("pool") == F.col("kind"))
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(base_bottom))).alias("cold_base"),
-            F.sum(F.col("times") * F.when(c > 0, F.log10(c - DISCOUNT) - F.col("size")).otherwise(F.col("free"))).alias("cold_model"),
-            F.sum(F.col("times") * (c > 0).cast("long")).alias("cold_known"),
-        )
-        .withColumnRenamed("row", "at")
-    )
+    parts = coded.mapInPandas(part, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
+    cold = resolved.mapInPandas(cold_part, "at long, cold_base double, cold_known long, cold_model double")
     score = F.col("model") + F.coalesce("cold_model", F.lit(0.0))
-    return (
-        parts.where("key is null")
-        .join(cold, F.col("row") == F.col("at"), "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
-            F.lit(n_all).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"),
-            score.alias("score"),
-            F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
-        )
+    return parts.join(cold, F.col("row") == F.col("at"), "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

@@ -116,6 +116,29 @@ def test_exchange_finds_planted_classes():
     assert own[0] == 0 and all(len(set(own[1 + 10 * k : 11 + 10 * k])) == 1 for k in range(3)) and len(set(own)) == 4
 
 
+def test_rare_words_take_the_class_of_their_contexts(spark):
+    """Words beyond the exchange, of one ending, belong to the class whose neighbours they have, in the head table or not."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b = ([f"{side}{rng.integers(0, 4)}{end}" for _ in range(12)] for side, end in (("a", "x"), ("b", "y")))
+        if i % 4 == 0:
+            a[3], b[7] = f"p{i // 4 % 10}z", f"q{i // 4 % 10}z"
+        rows.append((i + 1, " ".join(w for pair in zip(a, b) for w in pair)))
+    held = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    probes = [f"a0x b1y {w} {v} a2x b3y" for n in range(10) for w, v in ((f"p{n}z", f"q{n}z"), (f"q{n}z", f"p{n}z"))]
+    df = spark.createDataFrame(rows + list(zip(held, probes)), "doc_id long, text string")
+    for head_words in (1000, 9):
+        got = {r.doc_id: r.score for r in brown.score_lm(df, classes=4, clustered=8, head_words=head_words).collect()}
+        scores = [got[i] for i in held[: len(probes)]]
+        assert all(right > wrong + 0.5 for right, wrong in zip(scores[::2], scores[1::2]))
+
+
+def test_classes_grow_with_the_vocabulary():
+    sizes = [brown.grown(v) for v in (100, 400_000, 1_500_000, 10**8)]
+    assert sizes == sorted(sizes) and sizes[0] == (48, 1500) and sizes[1][0] > 48 and sizes[2][1] > 1500
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
