@@ -2,17 +2,18 @@
 
 A vocabulary that was made on ordinary prose spends few tokens on prose and many
 on shouting, symbol noise and garbled bytes. Per document this measures, for a
-sentencepiece vocabulary with byte fallback,
+sentencepiece vocabulary with byte fallback and a byte-level one of many languages,
 
 - chars_per_token: code points in words over tokens of words (fertility),
 - byte_share: tokens that are fallback bytes over all tokens,
 - entropy: bits per token of the document's own token distribution,
+- multi_chars_per_token: fertility by the second vocabulary, each word after a space,
 
 and rejects a document outside the band of its language, or, where the language
 is unknown, of its main script. Entropy is held to its band only where a text
 has enough tokens to show one.
 
-Words are independent in such a vocabulary (pieces never cross white space), so
+Words are independent in such vocabularies (pieces never cross white space), so
 each distinct word is tokenised once per task and the rest is counting.
 
 Edge cases: null or empty text: no words, base_failed, rates 0. Repeated rows
@@ -21,6 +22,7 @@ each get their row. Unknown or null languages use the band of the script.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +33,15 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import SPACES, kept_rows, portions, raw, small_batches
 
 SYMBOLS = "#*$%&|<>"
-#: Rejection bands: (least, most chars per token), most byte share, least entropy in bits.
-#: Set by hand around prose of each language, wide of its 0.1 and 99.9 percentiles.
+#: Rejection bands: (least, most chars per token), most byte share, least entropy in bits, least chars per token of the second vocabulary.
+#: Least rates are set on labelled texts of sf0.1 outside the classifier's held-out fold, to lose about 1 % of clean ones at most.
 BANDS = {
-    "en": ((1.98, 6.5), 0.02, 5.50),
-    "de": ((2.02, 6.5), 0.02, 5.60),
-    "fr": ((1.66, 6.5), 0.02, 5.50),
-    "es": ((1.78, 6.5), 0.02, 5.60),
-    "latin": ((1.40, 7.0), 0.05, 4.5),
-    "other": ((0.20, 9.0), 0.90, 4.0),
+    "en": ((2.00, 6.5), 0.02, 5.50, 2.10),
+    "de": ((2.06, 6.5), 0.02, 5.60, 2.17),
+    "fr": ((1.66, 6.5), 0.02, 5.50, 1.925),
+    "es": ((1.78, 6.5), 0.02, 5.60, 1.955),
+    "latin": ((1.40, 7.0), 0.05, 4.5, 1.40),
+    "other": ((0.20, 9.0), 0.90, 4.0, 0.20),
 }
 #: Tokens from which the entropy band holds.
 ENTROPY_FROM = 150
@@ -48,7 +50,7 @@ MEMO = 200_000
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_tokens long, chars_per_token double, byte_share double, entropy double, band string, reason string"
+    "kept boolean, n_tokens long, chars_per_token double, byte_share double, entropy double, multi_chars_per_token double, band string, reason string"
 )
 
 
@@ -81,13 +83,18 @@ def repeated_words(ids: np.ndarray) -> int:
 class Pieces:
     """Token ids of words, in flat arrays by word number; a word is tokenised when first met."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, rank_file: str):
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
         self.size = size
+        with open(rank_file, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.second = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.reset()
 
     def reset(self) -> None:
@@ -95,6 +102,7 @@ class Pieces:
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.bytes = np.zeros(0, np.int32)
+        self.multi = np.zeros(0, np.int32)
 
     def ids(self, found: list[bytes]) -> np.ndarray:
         get = self.number.setdefault
@@ -114,20 +122,21 @@ class Pieces:
         self.bytes = np.concatenate((self.bytes, fallback[ends] - fallback[ends - sizes]))
         self.start = np.concatenate((self.start, self.start[-1] + ends))
         self.flat = np.concatenate((self.flat, flat))
+        self.multi = np.concatenate((self.multi, np.fromiter((len(self.second.encode_ordinary(" " + w)) for w in fresh), np.int32, len(fresh))))
 
-    def measure(self, ids: np.ndarray) -> tuple[int, int, float]:
-        """Tokens, fallback bytes and entropy in bits."""
+    def measure(self, ids: np.ndarray) -> tuple[int, int, float, int]:
+        """Tokens, fallback bytes, entropy in bits, and tokens of the second vocabulary."""
         if not len(ids):
-            return 0, 0, 0.0
+            return 0, 0, 0.0, 0
         u, times = np.unique(ids, return_counts=True)
         sizes = self.start[u + 1] - self.start[u]
         total = int((sizes * times).sum())
         if not total:
-            return 0, 0, 0.0
+            return 0, 0, 0.0, 0
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.start[u], sizes)
         p = np.bincount(self.flat[at], weights=np.repeat(times, sizes))
         p = p[p > 0] / total
-        return total, int((self.bytes[u] * times).sum()), float(-(p * np.log2(p)).sum())
+        return total, int((self.bytes[u] * times).sum()), float(-(p * np.log2(p)).sum()), int((self.multi[u] * times).sum())
 
 
 def script(text: str) -> str:
@@ -144,10 +153,10 @@ def base(text: str, found: list[bytes], ids: np.ndarray) -> tuple[int, int, int,
     return len(text) - n_space, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids)
 
 
-def verdict(measured: tuple[int, int, float], word_chars: int, band: str, bands: dict) -> tuple[float, float, str | None]:
-    total, fallback, entropy = measured
+def verdict(measured: tuple[int, int, float, int], word_chars: int, band: str, bands: dict) -> tuple[float, float, str | None]:
+    total, fallback, entropy, multi = measured
     rate, share = (word_chars / total, fallback / total) if total else (0.0, 0.0)
-    (least, most), most_bytes, least_bits = bands[band]
+    (least, most), most_bytes, least_bits, least_multi = bands[band]
     if not total:
         return rate, share, "no tokens"
     if rate < least:
@@ -158,6 +167,8 @@ def verdict(measured: tuple[int, int, float], word_chars: int, band: str, bands:
         return rate, share, "bytes"
     if total >= ENTROPY_FROM and entropy < least_bits:
         return rate, share, "low entropy"
+    if word_chars < least_multi * multi:
+        return rate, share, "many tokens of the second"
     return rate, share, None
 
 
@@ -178,19 +189,19 @@ def judged(pieces: Pieces, texts, langs, bands: dict) -> list[tuple]:
         band = lang if lang in bands else script(text)
         rate, share, reason = verdict(measured, chars, band, bands)
         reason = "base" if failed else reason
-        rows.append((n, chars, symbols, dup, repeat, failed, reason is None, measured[0], rate, share, measured[2], band, reason))
+        rows.append((n, chars, symbols, dup, repeat, failed, reason is None, measured[0], rate, share, measured[2], chars / measured[3] if measured[3] else 0.0, band, reason))
     return rows
 
 
-def quality_rules(documents: DataFrame, model_file: str | None = None, bands: dict | None = None) -> DataFrame:
+def quality_rules(documents: DataFrame, model_file: str | None = None, bands: dict | None = None, rank_file: str | None = None) -> DataFrame:
     """A row per row of documents (doc_id, text, lang): the base counts, the measures, kept and reason."""
     import public_tokenizers
 
-    model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
+    model_file, rank_file = model_file or public_tokenizers.path("piece_bpe_32k.model"), rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bands = bands or BANDS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(model_file)
+        pieces = Pieces(model_file, rank_file)
         for batch in (x for b in batches for x in portions(b)):
             out = pd.DataFrame([(None, *row) for row in judged(pieces, batch["text"], batch["lang"], bands)], columns=NAMES)
             out["doc_id"] = batch["doc_id"].to_numpy()
@@ -199,14 +210,15 @@ def quality_rules(documents: DataFrame, model_file: str | None = None, bands: di
     return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInPandas(run, SCHEMA)
 
 
-def passing(documents: DataFrame, model_file: str | None = None, bands: dict | None = None) -> DataFrame:
+def passing(documents: DataFrame, model_file: str | None = None, bands: dict | None = None, rank_file: str | None = None) -> DataFrame:
     """The rows of documents that quality_rules() keeps, with all their columns; nothing is shuffled."""
     import public_tokenizers
 
-    model_file, bands = model_file or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS
+    model_file, rank_file = model_file or public_tokenizers.path("piece_bpe_32k.model"), rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bands = bands or BANDS
 
     def decide():
-        pieces = Pieces(model_file)
+        pieces = Pieces(model_file, rank_file)
         return lambda batch: [row[KEPT] for row in judged(pieces, batch["text"], batch["lang"], bands)]
 
     return kept_rows(documents, ["lang", "text"], decide)

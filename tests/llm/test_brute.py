@@ -64,6 +64,33 @@ def test_op2(spark, texts):
         assert r.n_tokens == len(ids) and abs(r.entropy + (p * np.log2(p)).sum()) < 1e-9
 
 
+@tables
+def test_op2_catches_most_junk():
+    """Of labelled texts that the base rules pass, in each language: at least 80 % of junk go, at most 2 % of clean texts."""
+    import base64
+
+    import pandas as pd
+    import public_tokenizers
+    import tiktoken
+
+    folder = "/root/testdata/sf0.1"
+    d = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    second = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    pieces = fertility.Pieces(public_tokenizers.path("piece_bpe_32k.model"), second)
+    got = pd.DataFrame([r for at in range(0, len(d), 500) for r in fertility.judged(pieces, d["text"][at : at + 500], d["lang"][at : at + 500], fertility.BANDS)], columns=fertility.NAMES[1:])
+    got[["lang", "quality"]] = d[["lang", "quality"]]
+    with open(second, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i in range(20):
+        w = WORD.findall(d["text"][i])
+        want = sum(map(len, w)) / max(1, sum(len(own.encode_ordinary(" " + x)) for x in w))
+        assert abs(got["multi_chars_per_token"][i] - want) < 1e-9
+    kept = got[~got["base_failed"]].groupby(["lang", "quality"])["kept"].mean()
+    for lang in ("en", "de", "fr", "es"):
+        assert kept[lang, 0] <= 0.2 and kept[lang, 1] >= 0.98, lang
+
+
 def test_byte_fallback_is_rejected(spark):
     odd = " ".join("ጀመረ" + chr(0x1200 + i % 80) for i in range(80))
     stock = "time river house garden people water music winter school market letter summer window bridge story paper forest kitchen doctor ocean".split()
