@@ -6,7 +6,7 @@ Evidence, as log-likelihoods per language, added up:
   of documents whose language is known (PER_LANGUAGE of each, by hash of the
   id), on the page's whole visible text, tempered: trigrams depend on each
   other, so each counts as TEMPER of one.
-- Declared: the page's lang attribute (or content-language), with the
+- Declared: the page's lang attribute (or content-language), anywhere in it, with the
   reliability that the pages themselves show: how often a declared value goes
   with each language by the text, from a grouped count.
 - Address: a prior for the host, smoothed hierarchically: a host's counts
@@ -91,9 +91,9 @@ def levels(host: str) -> tuple[str, str]:
 
 
 def declared(page: str) -> str:
-    m = HTML_TAG.search(page, 0, 20_000)
+    m = HTML_TAG.search(page)
     value = attributes(m[1]).get("lang", "") if m else ""
-    if not value and (m := META_LANGUAGE.search(page, 0, 20_000)):
+    if not value and (m := META_LANGUAGE.search(page)):
         value = attributes(m[0][5:-1]).get("content", "")
     return re.split(r"[-_,\s]", value.strip().lower())[0][:16]
 

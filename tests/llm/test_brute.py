@@ -438,3 +438,9 @@ def test_host_prior_decides_where_text_is_silent(spark):
     rows = [(i, f"https://a.de/{i}", "<p>der hund und die katze sind im haus und hof</p>") for i in range(20)] + [(50, "https://a.de/x", "<p>123</p>"), (51, "https://b.de/x", "<p>123</p>"), (52, "https://c.com/x", '<html lang="en-GB"><p>123</p>')]
     got = {r.page_id: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), learn).collect()}
     assert got[50].lang == got[51].lang == "de" and got[50].probability > got[51].probability and got[50].text_lang is None and got[52].declared == "en"
+
+
+def test_declared_language_after_a_long_head():
+    style = "<style>" + ".a {color: red} " * 2000 + "</style>"
+    assert langid.declared(f'<html><head>{style}<meta http-equiv="Content-Language" content="fr-CA"></head>') == "fr"
+    assert langid.declared("<!--" + "x" * 30_000 + '--><html lang="de">') == "de"
