@@ -6,7 +6,8 @@ passes over end tags that close nothing. Rendering walks the tree:
 
 - Invisible: script, style, template, head and the like; hidden, aria-hidden
   and display:none or visibility:hidden, in a style attribute or in a style
-  sheet's rule for a tag, class or id; comments; hidden inputs.
+  sheet's rule for a tag, class or id; comments; hidden inputs; the options
+  of a drop-down list but the chosen one; of an svg all but its texts.
 - Blocks stand on lines of their own, paragraphs and headings after a blank
   line; br ends a line; pre keeps its white space; hr is a rule.
 - List items begin with "- " or their number and are indented by depth.
@@ -31,15 +32,21 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import small_batches
 
 DEEPEST = 150
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)>|<[!?][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noembed noframes xmp iframe".split())
-INVISIBLE = frozenset("head script style template noscript title svg math iframe object audio video canvas datalist noembed noframes select".split())
+INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes annotation annotation-xml".split())
+#: Of an svg, only the text in DRAWN shows, unless it's within UNDRAWN.
+DRAWN = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern".split())
+#: HTML in these parts of an svg or a formula belongs there; elsewhere a tag of BREAKOUT ends the svg or formula.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table ul tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "li", "dd", "dt"}
@@ -100,6 +107,7 @@ def build(page: str) -> tuple[Node, list[str]]:
     """The tree, and the texts of its style sheets."""
     root = Node("html")
     stack, sheets = [root], []
+    foreign = False
 
     def close(names: set[str], until: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -121,6 +129,17 @@ def build(page: str) -> tuple[Node, list[str]]:
         elif kind == "start":
             if name in ("html", "head") and len(stack) > 1:
                 continue
+            within = 0
+            if foreign:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in INTEGRATION:
+                        break
+                    if stack[i].tag in ("svg", "math"):
+                        within = i
+                if within and name in BREAKOUT:
+                    del stack[within:]
+                    within = 0
+            foreign = foreign or name in ("svg", "math")
             if name in IMPLIED:
                 close(*IMPLIED[name])
             if name in CLOSES_P:
@@ -131,7 +150,7 @@ def build(page: str) -> tuple[Node, list[str]]:
                 stack.append(row)
             node = Node(name, rest)
             stack[-1].children.append(node)
-            if name not in VOID and not (rest.endswith("/") and name in ("svg", "path")) and len(stack) < DEEPEST:
+            if name not in VOID and not (rest.endswith("/") and (within or name in ("svg", "math", "path"))) and len(stack) < DEEPEST:
                 stack.append(node)
         else:
             if name == "br":
@@ -151,6 +170,26 @@ def hidden_by(sheets: list[str]) -> set[str]:
     return {s.strip().lower() for sheet in sheets for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)) if HIDING.search(m[2]) for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
 
 
+def options(node: Node, off: bool = False) -> Iterator[tuple[Node, dict[str, str], bool]]:
+    """(option, attributes, is it disabled) of a list, in order."""
+    for child in node.children:
+        if not isinstance(child, str):
+            attrs = attributes(child.attributes)
+            if child.tag == "option":
+                yield child, attrs, off or "disabled" in attrs
+            else:
+                yield from options(child, off or child.tag == "optgroup" and "disabled" in attrs)
+
+
+def shown(node: Node, attrs: dict[str, str]) -> list[tuple[Node, dict[str, str]]]:
+    """Options that a list shows: all those of a list box, of a drop-down list the last selected or else the first not disabled."""
+    found = list(options(node))
+    size = attrs.get("size", "").strip()
+    if "multiple" in attrs or (size.isdigit() and int(size[:9]) > 1):
+        return [x[:2] for x in found]
+    return [x[:2] for x in found if "selected" in x[1]][-1:] or [x[:2] for x in found if not x[2]][:1]
+
+
 class Renderer:
     def __init__(self, hiding: set[str]):
         self.hiding = hiding
@@ -184,6 +223,19 @@ class Renderer:
                 if line:
                     out.append(line)
 
+        def draw(children: list) -> None:
+            for child in children:
+                if isinstance(child, str):
+                    continue
+                if child.tag in INVISIBLE or child.tag in UNDRAWN or self.hidden(child, attributes(child.attributes)):
+                    self.counts["hidden"] += child.tag != "title"
+                elif child.tag in DRAWN:
+                    inline.append(" ")
+                    walk(child.children)
+                    inline.append(" ")
+                else:
+                    draw(child.children)
+
         def walk(children: list) -> None:
             nonlocal number
             for child in children:
@@ -204,6 +256,13 @@ class Renderer:
                 if tag == "img":
                     if attrs.get("alt"):
                         inline.append(f" {attrs['alt']} ")
+                elif tag == "svg":
+                    draw(child.children)
+                elif tag == "select":
+                    for option, own_attrs in shown(child, attrs):
+                        inline.append(" ")
+                        walk([own_attrs["label"]] if own_attrs.get("label") else option.children)
+                        inline.append(" ")
                 elif tag == "hr":
                     flush()
                     out.append("---")
@@ -232,7 +291,7 @@ class Renderer:
                 else:
                     walk(child.children)
 
-        walk(node.children)
+        walk([node] if node.tag in ("svg", "select") else node.children)
         flush()
         return out
 

@@ -444,3 +444,25 @@ def test_declared_language_after_a_long_head():
     style = "<style>" + ".a {color: red} " * 2000 + "</style>"
     assert langid.declared(f'<html><head>{style}<meta http-equiv="Content-Language" content="fr-CA"></head>') == "fr"
     assert langid.declared("<!--" + "x" * 30_000 + '--><html lang="de">') == "de"
+
+
+def test_formulas_drawings_and_lists_show_their_text():
+    def text(page):
+        return htmltext.render(page)[0]
+
+    assert text("<p>so <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math> holds") == "so a+b holds"
+    assert text("<p>see <svg><title>no</title><defs><text>no</text></defs>no<circle r=2 /><rect hidden/><text>one</text><g><text>two <tspan>three</tspan></text></g></svg> end") == "see one two three end"
+    assert text("<svg><text>a</text><p>after") == "a\n\nafter"
+    assert text("<select><option>a<option selected>b<option>c</select>") == "b" and text("<select><option disabled>a<optgroup><option>b</optgroup></select>") == "b"
+    assert text("<select multiple><option>a<option>b</select>") == "a b" and text("<select><option label=x>a</select>") == "x"
+    assert text("<table><tr><td>k<td><select><option>v<option>w</select></table>") == "k | v"
+
+
+def test_quotes_delimit_only_after_an_equals_sign():
+    def text(page):
+        return htmltext.render(page)[0]
+
+    assert text("<a title=don't>Hello world</a> isn't it <b>so</b>") == "Hello world isn't it so"
+    assert text("""<a title="x>y" alt='p>q'>in</a> <a href=a="b>c</a> <i title = 'z>'>d</i>""") == "in c d"
+    assert text("<p class=don'hidden>shown") == "shown"
+    assert len(text("<a " + 'x="1" ' * 5000)) > 0
