@@ -4,27 +4,42 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which a cluster shares.
+
+    A local session without one gets a folder of its own; on a cluster there is
+    no folder to choose, so that is an error. Set spark.cleaner.referenceTracking.cleanCheckpoints
+    to have Spark delete what is no longer in use.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimloom-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df kept in the session's checkpoint folder, which a cluster shares; a session without one gets a folder of its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimloom-"))
+    """df kept in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the least node of the component. Loops are left out.
 
-    The least neighbours are kept before they are joined, so that the join has
-    shuffles of its own, which may be split where a node has very many edges.
+    Rounds go on until none changes an edge. The least neighbours are kept before
+    they are joined, so that the join has shuffles of its own, which may be split
+    where a node has very many edges.
     """
     state = durable(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break
