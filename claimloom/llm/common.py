@@ -1,4 +1,4 @@
-"""What several operators share: words, held-out folds, the shared folder, samples."""
+"""What several operators share: words, held-out folds, batches, samples."""
 
 from __future__ import annotations
 
@@ -7,15 +7,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from claimloom.operators.components import durable
 
-__all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "portions", "raw", "sigmoid", "small_batches", "table", "words"]
+__all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "mapped", "raw", "sigmoid", "slices", "small_batches", "table", "within_bytes", "words"]
 
-#: Rows of an Arrow batch that holds whole texts.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that holds whole texts; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bytes of texts of a training sample of either label, at most.
+SAMPLE_BYTES = 64 << 20
 #: Characters between words: a word is a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,27 +36,64 @@ def words(text) -> list[bytes]:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows.
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows and about BATCH_BYTES bytes.
 
-    With Spark's 10,000, a batch of whole texts is tens of megabytes in each
-    Python worker and again, several times over, beside the executor's heap.
+    With Spark's 10,000 rows, a batch of whole texts is tens of megabytes in each
+    Python worker and again, several times over, beside the executor's heap. The
+    plan reads these settings when it runs, so they stay lowered; a session that
+    has lower ones keeps them.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000") or 10000) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return df
 
 
-def portions(batch: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """The rows of a batch with a text column, some million characters at a time, so that their words fit in memory."""
-    ends = batch["text"].str.len().fillna(0).cumsum().to_numpy()
-    at = 0
-    while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, "right")))
-        yield batch.iloc[at:to]
+def slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about so many bytes of strings together, so that their words fit in memory."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
         at = to
 
 
+def mapped(df: DataFrame, carried: list[str], make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """What a function makes of the rows of df, beside columns that it doesn't see.
+
+    make: gives, once per task, a function from a frame of the columns that
+    aren't carried to a frame with a row for each of its rows, or with a column
+    `at`, the number of the row that each came from.
+    carried: columns that go along as they are. Ids do: pandas would make
+    floating-point numbers of whole ones beside a null.
+    schema: the columns of the result, carried and made.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    seen = [c for c in df.columns if c not in carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in (x for b in batches for x in slices(b)):
+            made = function(batch.select(seen).to_pandas())
+            at = pa.array(made["at"].to_numpy(np.int64)) if "at" in made else None
+            columns = []
+            for field in arrow:
+                if field.name in carried:
+                    column = batch.column(field.name)
+                    columns.append(column if at is None else column.take(at))
+                else:
+                    columns.append(pa.Array.from_pandas(made[field.name], type=field.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def kept_rows(df: DataFrame, columns: list[str], decide: Callable[[], Callable[[pd.DataFrame], list]]) -> DataFrame:
     """The rows of df for which a test is true, with all their columns as they are.
 
@@ -62,8 +104,8 @@ def kept_rows(df: DataFrame, columns: list[str], decide: Callable[[], Callable[[
         test = decide()
         for batch in batches:
             mask: list = []
-            for part in portions(batch.select(columns).to_pandas()):
-                mask += test(part)
+            for part in slices(batch.select(columns)):
+                mask += test(part.to_pandas())
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return small_batches(df).mapInArrow(run, df.schema)
@@ -82,13 +124,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, left_out: tuple[int, int], per_class: int) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+def within_bytes(found: DataFrame, group: str, most_bytes: int) -> list[Row]:
+    """Rows of found (group, place, body), in order of place, as long as the bodies of a group have most_bytes bytes together; larger ones are passed over."""
+    left: dict = {}
+    taken, longest = set(), 0
+    for r in sorted(found.select("place", F.octet_length("body").alias("n"), F.col(group).alias("key")).collect(), key=lambda r: r.place):
+        if r.n <= left.setdefault(r.key, most_bytes):
+            left[r.key] -= r.n
+            longest = max(longest, r.n)
+            taken.add(r.place)
+    return [r for r in found.where(F.octet_length("body") <= longest).toLocalIterator() if r.place in taken]
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, left_out: tuple[int, int], per_class: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """At most per_class (text, label) of either label outside fold left_out = (n, k), and how many of each label there are.
 
     The rows with the smallest hash of their id are taken, so the sample is the
-    same on every run. Rows with a null id or a label other than 0 and 1 are
-    passed over; an id with several labels or texts counts once, with the
-    larger of each.
+    same on every run, as long as all texts taken of a label have most_bytes
+    bytes together; a text that would exceed them is passed over. Rows with a
+    null id or a label other than 0 and 1 are passed over; an id with several
+    labels or texts counts once, with the larger of each.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
@@ -99,17 +154,17 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, left_ou
     )
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy("h", "id").limit(per_class) for y in (0, 1)]
-    ids = [(r.id, r.y) for r in parts[0].unionByName(parts[1]).select("id", "y").collect()]
+    ids = [(r.id, r.y, k) for k, r in enumerate(parts[0].unionByName(parts[1]).select("id", "y").collect())]
     if not ids:
         return [], (0, 0)
-    chosen = documents.sparkSession.createDataFrame(ids, "id long, y int")
-    found = (
+    chosen = documents.sparkSession.createDataFrame(ids, "id long, y int, place int")
+    found = durable(
         documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("body"))
         .join(F.broadcast(chosen), F.col("doc") == F.col("id"))
-        .groupBy("id", "y")
-        .agg(F.max("body").alias("body"))
+        .groupBy("id", "y", "place")
+        .agg(F.coalesce(F.max("body"), F.lit("")).alias("body"))
     )
-    rows = sorted((r.id, r.body or "", r.y) for r in found.collect())
+    rows = sorted((r.id, r.body, r.y) for r in within_bytes(found, "y", most_bytes))
     return [(body, y) for _, body, y in rows], (counts.get(0, 0), counts.get(1, 0))
 
 
