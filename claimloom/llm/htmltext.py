@@ -1,22 +1,26 @@
 """Operator 1, HTML extraction: the visible text of a page, laid out.
 
-A scanner gives tags and text; a tree builder adds what HTML lets authors leave
-out (end tags of p, li, dt, dd, option, table parts; a row's table body) and
-passes over end tags that close nothing. Rendering walks the tree:
-
-- Invisible: script, style, template, head and the like; hidden, aria-hidden
-  and display:none or visibility:hidden, in a style attribute or in a style
-  sheet's rule for a tag, class or id; comments; hidden inputs; the options
-  of a drop-down list but the chosen one; of an svg all but its texts.
+A scanner gives tags and text, in one pass; a tree builder adds what HTML lets
+authors leave out (end tags of p, li, dt, dd, option, table parts; a row's table
+body) and passes over end tags that close nothing. Rendering walks the tree:
+
+- Invisible: script, style, template, head and the like; the attribute hidden;
+  display:none, in a style attribute or in a style sheet's rule for a tag, class
+  or id (the more specific one counts); comments; the options of a drop-down
+  list but the chosen one; of an svg all but its texts. Below visibility:hidden
+  nothing shows but what is visibility:visible again. What only screen readers
+  pass over (aria-hidden) shows.
 - Blocks stand on lines of their own, paragraphs and headings after a blank
   line; br ends a line; pre keeps its white space; hr is a rule.
 - List items begin with "- " or their number and are indented by depth.
-- Tables: cells of a column are padded to one width, joined by " | "; a cell
-  with colspan takes that many columns.
-
-Edge cases: null and empty pages give an empty text. Broken markup is text or
-passed over, as said above. Elements nested deeper than DEEPEST are put beside
-each other; their text is kept.
+- Tables: cells of a column are padded to one width (that of its widest cell of
+  no more than WIDEST characters), joined by " | "; a cell with colspan takes
+  that many columns, one with rowspan its place in the rows below, too.
+
+Edge cases: null and empty pages give an empty text. A tag that the page's end
+cuts off is passed over, as browsers do; "<" before anything but a letter, "/",
+"!" or "?" is text. Elements nested deeper than DEEPEST are put beside each
+other; their text is kept. Ids go along as they are, null ones too.
 """
 
 from __future__ import annotations
@@ -29,13 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import small_batches
+from claimloom.llm.common import mapped, small_batches
 
 DEEPEST = 150
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?)*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Widest cell that a column is padded for.
+WIDEST = 200
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What stands in a tag after its name; a quote begins a value only after "=".
+BODY = re.compile(r"(?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?+)*+")
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+SELECTOR = re.compile(r"([\w-]*)([.#][\w-]+)?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -47,6 +54,8 @@ UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern".spl
 #: HTML in these parts of an svg or a formula belongs there; elsewhere a tag of BREAKOUT ends the svg or formula.
 INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Kinds of input fields whose value shows.
+SHOWN_INPUT = frozenset(["", *"text search email url tel number submit button reset".split()])
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table ul tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "li", "dd", "dt"}
@@ -82,25 +91,34 @@ def attributes(source: str) -> dict[str, str]:
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes): kind is text, start, end."""
-    at = 0
-    while True:
-        m = TAG.search(page, at)
-        if not m:
-            break
-        if m.start() > at:
-            yield "text", page[at : m.start()], ""
-        at = m.end()
-        name = m[2] and m[2].lower()
-        if not name:
+    at = text_from = 0
+    while (at := page.find("<", at)) >= 0:
+        following = page[at + 1 : at + 2]
+        ending = following == "/"
+        name = NAME.match(page, at + 1 + ending)
+        if not name and not (following and following in "!?/"):
+            at += 1
+            continue
+        if at > text_from:
+            yield "text", page[text_from:at], ""
+        if not name:  # a comment, a declaration or nothing
+            close = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(close, at + 2)
+            at = text_from = end + len(close) if end >= 0 else len(page)
             continue
-        yield ("end" if m[1] else "start"), name, m[3] or ""
-        if name in RAW and not m[1] and not (m[3] or "").endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+        body = BODY.match(page, name.end())
+        at = text_from = body.end() + 1
+        if at > len(page):  # the page ends within the tag
+            return
+        tag = name[0].lower()
+        yield ("end" if ending else "start"), tag, body[0]
+        if tag in RAW and not ending and not body[0].endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             stop = end.start() if end else len(page)
             yield "text", page[at:stop], ""
-            at = stop
-    if at < len(page):
-        yield "text", page[at:], ""
+            at = text_from = stop
+    if text_from < len(page):
+        yield "text", page[text_from:], ""
 
 
 def build(page: str) -> tuple[Node, list[str]]:
@@ -125,7 +143,7 @@ def build(page: str) -> tuple[Node, list[str]]:
         if kind == "text":
             if stack[-1].tag == "style":
                 sheets.append(name)
-            stack[-1].children.append(name if stack[-1].tag in RAW else html.unescape(name) if "&" in name else name)
+            stack[-1].children.append(name if stack[-1].tag in RAW - {"textarea"} else html.unescape(name) if "&" in name else name)
         elif kind == "start":
             if name in ("html", "head") and len(stack) > 1:
                 continue
@@ -165,9 +183,37 @@ def build(page: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def hidden_by(sheets: list[str]) -> set[str]:
-    """Selectors of one tag, .class or #id that a sheet hides."""
-    return {s.strip().lower() for sheet in sheets for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)) if HIDING.search(m[2]) for s in m[1].split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s)}
+def declared(block: str) -> dict[str, str]:
+    """display and visibility as a block of declarations sets them."""
+    out = {}
+    for declaration in block.split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            out[name] = value.replace("!important", "").strip().lower()
+    return out
+
+
+def styles(sheets: list[str]) -> dict[str, dict[str, str]]:
+    """What sheets for the screen declare for each selector of a tag, class or id, such as p, .x, #y, p.x."""
+    out: dict[str, dict[str, str]] = {}
+    for sheet in sheets:
+        opened, text = [], ""
+        for part in re.split(r"([{}])", re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+            if part == "{":
+                opened.append(text.rsplit(";", 1)[-1].strip().lower())
+                text = ""
+            elif part == "}":
+                selectors = opened.pop() if opened else "@"
+                found = declared(text) if not selectors.startswith("@") else {}
+                if found and not any(x.startswith("@media") and "print" in x for x in opened):
+                    for selector in map(str.strip, selectors.split(",")):
+                        if selector and SELECTOR.fullmatch(selector):
+                            out.setdefault(selector, {}).update(found)
+                text = ""
+            else:
+                text = part
+    return out
 
 
 def options(node: Node, off: bool = False) -> Iterator[tuple[Node, dict[str, str], bool]]:
@@ -191,20 +237,36 @@ def shown(node: Node, attrs: dict[str, str]) -> list[tuple[Node, dict[str, str]]
 
 
 class Renderer:
-    def __init__(self, hiding: set[str]):
-        self.hiding = hiding
+    def __init__(self, sheet: dict[str, dict[str, str]]):
+        self.sheet = sheet
+        self.visible = True
         self.counts = {"blocks": 0, "items": 0, "tables": 0, "cells": 0, "hidden": 0}
 
     def hidden(self, node: Node, attrs: dict[str, str]) -> bool:
-        if not attrs:
-            return node.tag in self.hiding
-        return (
-            "hidden" in attrs
-            or attrs.get("aria-hidden", "").lower() == "true"
-            or bool(HIDING.search(attrs.get("style", "")))
-            or node.tag == "input"
-            or bool(self.hiding and (node.tag in self.hiding or "#" + attrs.get("id", "").lower() in self.hiding or any("." + c.lower() in self.hiding for c in attrs.get("class", "").split())))
-        )
+        return "hidden" in attrs or self.style(node, attrs).get("display") == "none"
+
+    def style(self, node: Node, attrs: dict[str, str]) -> dict[str, str]:
+        """display and visibility of an element, as far as anything sets them."""
+        if not attrs and not self.sheet:
+            return {}
+        out: dict[str, str] = {}
+        if self.sheet:
+            marks = ["." + c for c in attrs.get("class", "").lower().split()] + (["#" + attrs["id"].lower()] if attrs.get("id") else [])
+            for selector in [node.tag, *(y for x in marks for y in (x, node.tag + x))]:
+                out.update(self.sheet.get(selector, {}))
+        if "style" in attrs:
+            out.update(declared(attrs["style"]))
+        return out
+
+    def enter(self, node: Node, attrs: dict[str, str]) -> bool:
+        """Sets whether the element's own text is visible; gives what held before."""
+        before, own = self.visible, self.style(node, attrs).get("visibility")
+        if own in ("hidden", "collapse"):
+            self.counts["hidden"] += before
+            self.visible = False
+        elif own == "visible":
+            self.visible = True
+        return before
 
     def lines(self, node: Node, depth: int = 0, keep: bool = False) -> list[str]:
         """The element's lines; an empty line asks for a blank one there."""
@@ -227,20 +289,25 @@ class Renderer:
             for child in children:
                 if isinstance(child, str):
                     continue
-                if child.tag in INVISIBLE or child.tag in UNDRAWN or self.hidden(child, attributes(child.attributes)):
+                attrs = attributes(child.attributes)
+                if child.tag in INVISIBLE or child.tag in UNDRAWN or self.hidden(child, attrs):
                     self.counts["hidden"] += child.tag != "title"
-                elif child.tag in DRAWN:
+                    continue
+                before = self.enter(child, attrs)
+                if child.tag in DRAWN:
                     inline.append(" ")
                     walk(child.children)
                     inline.append(" ")
                 else:
                     draw(child.children)
+                self.visible = before
 
         def walk(children: list) -> None:
             nonlocal number
             for child in children:
                 if isinstance(child, str):
-                    inline.append(child.replace("\0", "") if "\0" in child else child)
+                    if self.visible:
+                        inline.append(child.replace("\0", "") if "\0" in child else child)
                     continue
                 tag = child.tag
                 if tag == "br":
@@ -253,9 +320,11 @@ class Renderer:
                 if self.hidden(child, attrs):
                     self.counts["hidden"] += 1
                     continue
-                if tag == "img":
-                    if attrs.get("alt"):
-                        inline.append(f" {attrs['alt']} ")
+                before = self.enter(child, attrs)
+                if tag in ("img", "input"):
+                    shown_text = attrs.get("alt") if tag == "img" else attrs.get("value") if attrs.get("type", "").strip().lower() in SHOWN_INPUT else None
+                    if shown_text and self.visible:
+                        inline.append(f" {shown_text} ")
                 elif tag == "svg":
                     draw(child.children)
                 elif tag == "select":
@@ -265,7 +334,7 @@ class Renderer:
                         inline.append(" ")
                 elif tag == "hr":
                     flush()
-                    out.append("---")
+                    out.extend(["---"] if self.visible else [])
                 elif tag == "table":
                     flush()
                     self.counts["tables"] += 1
@@ -290,71 +359,98 @@ class Renderer:
                     out.extend(["", *own, ""] if tag in SPACED else own)
                 else:
                     walk(child.children)
+                self.visible = before
 
         walk([node] if node.tag in ("svg", "select") else node.children)
         flush()
         return out
 
     def table(self, node: Node, depth: int) -> list[str]:
-        captions, rows = [], []
+        captions: list[str] = []
+        rows: list[list[tuple[str, int, int]]] = []
 
         def gather(children: list) -> None:
             loose = []
             for child in children:
                 if isinstance(child, str):
-                    if child.strip():
+                    if child.strip() and self.visible:
                         loose.append(child)
                     continue
-                if child.tag in INVISIBLE or self.hidden(child, attributes(child.attributes)):
+                attrs = attributes(child.attributes)
+                if child.tag in INVISIBLE or self.hidden(child, attrs):
                     self.counts["hidden"] += 1
-                elif child.tag in ("tbody", "thead", "tfoot"):
+                    continue
+                before = self.enter(child, attrs)
+                if child.tag in ("tbody", "thead", "tfoot"):
                     gather(child.children)
                 elif child.tag == "tr":
-                    row = []
-                    for cell in child.children:
-                        if isinstance(cell, str):
-                            if cell.strip():
-                                captions.append(SPACE.sub(" ", cell).strip())
-                            continue
-                        attrs = attributes(cell.attributes)
-                        if cell.tag in INVISIBLE or self.hidden(cell, attrs):
-                            self.counts["hidden"] += 1
-                            continue
-                        self.counts["cells"] += 1
-                        span = attrs.get("colspan", "1")
-                        row.append((" ".join(x for x in self.lines(cell, depth + 1) if x), min(100, max(1, int(span))) if span.isdigit() and len(span) < 6 else 1))
-                    rows.append(row)
+                    row(child)
                 else:
                     captions.extend(x for x in self.lines(child, depth + 1) if x)
+                self.visible = before
             captions.extend(SPACE.sub(" ", x).strip() for x in loose)
 
+        def row(node: Node) -> None:
+            cells = []
+            for cell in node.children:
+                if isinstance(cell, str):
+                    if cell.strip() and self.visible:
+                        captions.append(SPACE.sub(" ", cell).strip())
+                    continue
+                attrs = attributes(cell.attributes)
+                if cell.tag in INVISIBLE or self.hidden(cell, attrs):
+                    self.counts["hidden"] += 1
+                    continue
+                before = self.enter(cell, attrs)
+                self.counts["cells"] += 1
+                cells.append((" ".join(x for x in self.lines(cell, depth + 1) if x), span(attrs, "colspan", 100), span(attrs, "rowspan", 65534)))
+                self.visible = before
+            rows.append(cells)
+
         gather(node.children)
+        # the grid: where each cell begins, past columns that cells above still take
         width: list[int] = []
-        for row in rows:
-            at = 0
-            for text, span in row:
-                width += [0] * (at + span - len(width))
-                if span == 1:
+        taken: dict[int, int] = {}
+        grid = []
+        for cells in rows:
+            at, line, below = 0, [], {}
+            for text, across, down in cells:
+                while taken.get(at):
+                    at += 1
+                line.append((at, across, text))
+                width += [0] * (at + across - len(width))
+                if across == 1 and len(text) <= WIDEST:
                     width[at] = max(width[at], len(text))
-                at += span
+                if down > 1:
+                    below.update(dict.fromkeys(range(at, at + across), down - 1))
+                at += across
+            grid.append(line)
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
         out = []
-        for row in rows:
+        for line in grid:
             at, cells = 0, []
-            for text, span in row:
-                cells.append(text.ljust(sum(width[at : at + span]) + 3 * (span - 1)))
-                at += span
-            line = " | ".join(cells).rstrip()
-            if line:
-                out.append(line)
+            for begin, across, text in line:
+                cells += [" " * w for w in width[at:begin]]
+                cells.append(text.ljust(sum(width[begin : begin + across]) + 3 * (across - 1)))
+                at = begin + across
+            joined = " | ".join(cells).rstrip()
+            if joined.strip(" |"):
+                out.append(joined)
         return captions + out
 
 
+def span(attrs: dict[str, str], name: str, most: int) -> int:
+    """How many columns or rows a cell takes."""
+    value = attrs.get(name, "").strip()
+    return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
 def render(page) -> tuple[str, dict[str, int]]:
     """Text and counts of a page."""
     if not isinstance(page, str) or not page:
         return "", {"blocks": 0, "items": 0, "tables": 0, "cells": 0, "hidden": 0}
     root, sheets = build(page)
-    renderer = Renderer(hidden_by(sheets))
+    renderer = Renderer(styles(sheets))
     out: list[str] = []
     for line in renderer.lines(root):
         line = line.rstrip()
@@ -369,14 +465,12 @@ SCHEMA = "page_id long, text string, n_chars long, n_blocks long, n_items long,
 def extract(pages: DataFrame) -> DataFrame:
     """A row per row of pages (page_id, html): page_id, text, counts of what was laid out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, page in zip(batch["page_id"], batch["html"], strict=True):
-                text, n = render(page)
-                rows.append((page_id, text, len(text), n["blocks"], n["items"], n["tables"], n["cells"], n["hidden"]))
-            out = pd.DataFrame(rows, columns=["page_id", "text", "n_chars", "n_blocks", "n_items", "n_tables", "n_cells", "n_hidden"])
-            out["page_id"] = batch["page_id"].to_numpy()
-            yield out
-
-    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").alias("html")).mapInPandas(run, SCHEMA)
+    def make():
+        def rendered(batch: pd.DataFrame) -> pd.DataFrame:
+            got = [render(page) for page in batch["html"]]
+            out = {"text": [text for text, _ in got], "n_chars": [len(text) for text, _ in got]}
+            return pd.DataFrame(out | {f"n_{x}": [n[x] for _, n in got] for x in ("blocks", "items", "tables", "cells", "hidden")})
+
+        return rendered
+
+    return mapped(small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").alias("html")), ["page_id"], make, SCHEMA)
