@@ -17,31 +17,55 @@ Words are independent in such vocabularies (pieces never cross white space), so
 each distinct word is tokenised once per task and the rest is counting.
 
 Edge cases: null or empty text: no words, base_failed, rates 0. Repeated rows
-each get their row. Unknown or null languages use the band of the script.
+each get their row, null ids too. Unknown or null languages use the band of the
+script.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACES, kept_rows, portions, raw, small_batches
+from claimloom.llm.common import SPACES, kept_rows, mapped, raw, small_batches
 
 SYMBOLS = "#*$%&|<>"
-#: Rejection bands: (least, most chars per token), most byte share, least entropy in bits, least chars per token of the second vocabulary.
-#: Least rates are set on labelled texts of sf0.1 outside the classifier's held-out fold, to lose about 1 % of clean ones at most.
+#: Rejection bands by language, else script: (least, most chars per token), most byte share, least entropy in bits, least chars per token of the second vocabulary.
+#: Languages: least rates are set on labelled texts of sf0.1 outside the classifier's held-out fold, to lose about 1 % of clean ones at most.
+#: Scripts: a fifth to a quarter below (bytes: half above) what sentences of their languages give; see test_script_bands.
 BANDS = {
     "en": ((2.00, 6.5), 0.02, 5.50, 2.10),
     "de": ((2.06, 6.5), 0.02, 5.60, 2.17),
     "fr": ((1.66, 6.5), 0.02, 5.50, 1.925),
     "es": ((1.78, 6.5), 0.02, 5.60, 1.955),
-    "latin": ((1.40, 7.0), 0.05, 4.5, 1.40),
-    "other": ((0.20, 9.0), 0.90, 4.0, 0.20),
+    "latin": ((1.05, 7.0), 0.08, 4.5, 1.55),
+    "cyrillic": ((1.65, 3.5), 0.02, 5.0, 1.70),
+    "greek": ((0.70, 1.5), 0.05, 4.0, 1.40),
+    "han": ((0.70, 1.4), 0.45, 5.0, 0.62),
+    "kana": ((0.70, 1.4), 0.40, 4.5, 0.80),
+    "hangul": ((0.50, 1.2), 0.40, 4.5, 0.80),
+    "arabic": ((0.70, 1.6), 0.05, 4.0, 1.20),
+    "hebrew": ((0.65, 1.4), 0.05, 4.0, 1.20),
+    "devanagari": ((0.55, 1.3), 0.25, 4.0, 0.60),
+    "thai": ((0.75, 1.6), 0.10, 4.0, 0.85),
+    "other": ((0.20, 9.0), 0.95, 4.0, 0.20),
+}
+#: Where the code points of scripts begin; those between belong to no script here.
+SCRIPTS = {
+    "latin": ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x1E00, 0x1F00)),
+    "greek": ((0x370, 0x400), (0x1F00, 0x2000)),
+    "cyrillic": ((0x400, 0x530),),
+    "hebrew": ((0x590, 0x600),),
+    "arabic": ((0x600, 0x780), (0xFB50, 0xFE00)),
+    "devanagari": ((0x900, 0x980),),
+    "thai": ((0xE00, 0xE80),),
+    "kana": ((0x3040, 0x3100), (0x31F0, 0x3200)),
+    "han": ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0x20000, 0x32000)),
+    "hangul": ((0x1100, 0x1200), (0xAC00, 0xD7B0)),
+    "other": ((0x530, 0x590), (0x780, 0x900), (0x980, 0xE00), (0xE80, 0x1100), (0x1200, 0x1E00), (0xA000, 0xAC00), (0x10000, 0x1D000)),
 }
 #: Tokens from which the entropy band holds.
 ENTROPY_FROM = 150
@@ -140,11 +164,33 @@ class Pieces:
 
 
 def script(text: str) -> str:
-    """latin, if most letters of the text are; else other."""
+    """The script of most letters; kana already where a tenth of Han letters as many kana stand beside them. Latin if there are none."""
     if text.isascii():
         return "latin"
-    far = sum(c > "ɏ" and c.isalpha() for c in text)
-    return "other" if 2 * far > sum(map(str.isalpha, text)) else "latin"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.bincount(OF_RANGE[np.searchsorted(EDGES, code, "right")], minlength=len(SCRIPTS) + 1)[:-1]
+    found = dict(zip(SCRIPTS, n.tolist(), strict=True))
+    if found["kana"] * 10 > found["han"]:
+        found["kana"] += found["han"]
+    return max(found, key=found.get)
+
+
+def ranges() -> tuple[np.ndarray, np.ndarray]:
+    """Borders between ranges of code points, and the number of the script that each range belongs to; the last number is none."""
+    spans = sorted((a, b, k) for k, parts in enumerate(SCRIPTS.values()) for a, b in parts)
+    edges, of = [], [len(SCRIPTS)]
+    for a, b, k in spans:
+        if edges and edges[-1] == a:
+            of[-1] = k
+        else:
+            edges.append(a)
+            of.append(k)
+        edges.append(b)
+        of.append(len(SCRIPTS))
+    return np.array(edges, np.uint32), np.array(of)
+
+
+EDGES, OF_RANGE = ranges()
 
 
 def base(text: str, found: list[bytes], ids: np.ndarray) -> tuple[int, int, int, int]:
@@ -200,14 +246,12 @@ def quality_rules(documents: DataFrame, model_file: str | None = None, bands: di
     model_file, rank_file = model_file or public_tokenizers.path("piece_bpe_32k.model"), rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bands = bands or BANDS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         pieces = Pieces(model_file, rank_file)
-        for batch in (x for b in batches for x in portions(b)):
-            out = pd.DataFrame([(None, *row) for row in judged(pieces, batch["text"], batch["lang"], bands)], columns=NAMES)
-            out["doc_id"] = batch["doc_id"].to_numpy()
-            yield out
+        return lambda batch: pd.DataFrame(judged(pieces, batch["text"], batch["lang"], bands), columns=NAMES[1:])
 
-    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).mapInPandas(run, SCHEMA)
+    chosen = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"))
+    return mapped(chosen, ["doc_id"], make, SCHEMA)
 
 
 def passing(documents: DataFrame, model_file: str | None = None, bands: dict | None = None, rank_file: str | None = None) -> DataFrame:
