@@ -10,20 +10,20 @@ hash of the id); the intercept is then set back to the odds that all labelled
 rows outside the held-out fold show.
 
 Edge cases: null or empty text: no feature, the intercept's score. No labelled
-row, or rows of one label only: the share of label 1 (0.0 if none) for all.
+row, or rows of one label only: the share of label 1 (0.0 if none) for all. Null
+ids are scored and never held out; repeated rows each get their row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import in_fold, labelled_sample, sigmoid, small_batches
+from claimloom.llm.common import in_fold, labelled_sample, mapped, sigmoid, small_batches
 
 #: Bound of the training sample: so many texts of either label at most.
 PER_CLASS = 2000
@@ -106,13 +106,16 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = PER
     weights, intercept = fit(*labelled_sample(documents, labels, "toxic", held_out, per_class))
     model = documents.sparkSession.sparkContext.broadcast(weights)  # 4 MB whatever the input
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         w = model.value
-        for batch in batches:
+
+        def scored(batch: pd.DataFrame) -> pd.DataFrame:
             z = [intercept + float(w[features(t)].sum()) if isinstance(t, str) else intercept for t in batch["text"]]
             score = sigmoid(np.array(z, np.float64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32)})
+
+        return scored
 
     doc_id = F.col("doc_id").cast("long")
     chosen = small_batches(documents).select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(chosen, ["doc_id", "held_out"], make, "doc_id long, held_out boolean, score double, predicted int")
