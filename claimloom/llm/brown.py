@@ -30,7 +30,8 @@ two collide in one corpus out of forty); so no task holds the vocabulary; what
 is shuffled follows the input. Texts are split once and kept as word numbers.
 
 Edge cases: null and empty texts are one end token. No training row: every c is
-0, N and V are 0. Repeated rows are documents of their own.
+0, N and V are 0. Repeated rows are documents of their own, and those with a null
+id, which are never held out.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import durable, in_fold, portions, raw, small_batches
+from claimloom.llm.common import durable, in_fold, mapped, raw, small_batches
 
 HELD_OUT = (10, 0)
 #: Least classes, and least and most words of the exchange; the most bounds its pair table on the driver, at (words + POOLS)^2.
@@ -55,6 +56,7 @@ MOST_CLUSTERED = 2500
 HEAD = 200_000
 #: Longest word, in bytes, in the head table: 64 bytes a word bound it.
 HEAD_BYTES = 48
+SLICES = 1024
 DISCOUNT = 0.6
 PRIOR = 1.0
 #: Neighbours of words that a task gathers before it hands them on.
@@ -168,19 +170,25 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The frequent words, most frequent first: at most `most`, all those of a sixteenth of an octave of counts or none.
+    """The frequent words, most frequent first: `most` or a little fewer.
 
-    The cut is found from counts by such steps, a few hundred numbers, so that
-    no task sends more than its share of the words to the driver.
+    The cut is found by steps of a sixteenth of an octave of counts, a few
+    hundred numbers, and within the last step by slices of the words' hashes, so
+    that no task sends more than its share of the words to the driver.
     """
-    short = counts.where(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int"))
+    short = counts.where(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 16).cast("int")).withColumn("slice", F.pmod(F.col("key"), F.lit(SLICES)).cast("int"))
     sizes = sorted(((r.step, r["count"]) for r in short.groupBy("step").count().collect()), reverse=True)
-    total, least = 0, None
+    total, whole, last, slices = 0, 1 << 30, -1, 0
     for step, n in sizes:
         if total + n > most:
+            last = step
+            for at, n in sorted((r.slice, r["count"]) for r in short.where(F.col("step") == step).groupBy("slice").count().collect()):
+                if total + n > most:
+                    break
+                total, slices = total + n, at + 1
             break
-        total, least = total + n, step
-    got = short.where(F.col("step") >= F.lit(least)).select("word", "c", "pool").toArrow()
+        total, whole = total + n, step
+    got = short.where((F.col("step") >= whole) | ((F.col("step") == last) & (F.col("slice") < slices))).select("word", "c", "pool").toArrow()
     head = pd.DataFrame({"word": pd.Series(got.column("word").to_pylist(), dtype=object), "c": got.column("c").to_numpy(), "pool": got.column("pool").to_numpy()})
     return head.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
@@ -241,14 +249,16 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
     sent_words = spark.sparkContext.broadcast({w: 1 + i for i, w in enumerate(head["word"])})
     del head
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make_encoder():
         import xxhash
 
         known = sent_words.value
         memo: dict[bytes, int] = {}
         code_of, key_of = np.zeros(0, np.int32), np.zeros(0, np.int64)
         number = TaskContext.get().partitionId() << 40
-        for batch in (x for b in batches for x in portions(b)):
+
+        def encode(batch: pd.DataFrame) -> pd.DataFrame:
+            nonlocal memo, code_of, key_of, number
             if len(memo) > FLUSH:
                 memo, code_of, key_of = {}, code_of[:0], key_of[:0]
             split = [tokens(t) for t in batch["text"]]
@@ -267,10 +277,11 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
                 c = code_of[ids]
                 out.append((number + i, len(ids) + 1, pa.compress(c.tobytes() + bytes(4), "zstd", asbytes=True), key_of[ids[c < 0]].tobytes()))
             number += len(out)
-            out = pd.DataFrame(out, columns=["row", "n_tokens", "codes", "keys"])
-            yield out.assign(doc_id=batch["doc_id"].to_numpy(), held_out=batch["held_out"].to_numpy())
+            return pd.DataFrame(out, columns=["row", "n_tokens", "codes", "keys"])
+
+        return encode
 
-    coded = durable(chosen.mapInPandas(encode, "row long, n_tokens long, codes binary, keys binary, doc_id long, held_out boolean"))
+    coded = durable(mapped(chosen, ["doc_id", "held_out"], make_encoder, "row long, n_tokens long, codes binary, keys binary, doc_id long, held_out boolean"))
     learned = coded.where("not held_out")
 
     def merged(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,34 +458,37 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
     step = np.log10((table + 2.0 * share[None, :]) / (table.sum(1, keepdims=True) + 2.0))
     steps = step.ravel()
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batch: pd.DataFrame) -> pd.DataFrame:
         """What the head words give, per text."""
-        for batch in (x for b in batches for x in stretches(b)):
-            code = flat(batch)[0]
+        sums = []
+        for some in stretches(batch):
+            code = flat(some)[0]
             c = class_of[code + POOLS]
-            text = np.repeat(np.arange(len(batch)), batch["n_tokens"])
+            text = np.repeat(np.arange(len(some)), some["n_tokens"])
             both = (c[:-1] >= 0) & (c[1:] >= 0)
             code = code[1:]
             model = emit_of[code + POOLS] + np.where(both, steps[np.where(both, c[:-1] * k + c[1:], 0)], 0.0)
             known = code > 0 if not ends else code >= 0
-            sums = [np.bincount(text, weights=x, minlength=len(batch)) for x in (known, base_of[code + POOLS], model)]
-            yield batch[["row", "doc_id", "held_out", "n_tokens"]].assign(n_known=sums[0].astype(np.int64), base=sums[1], model=sums[2])
+            sums.append([np.bincount(text, weights=x, minlength=len(some)) for x in (known, base_of[code + POOLS], model)])
+        known, base, model = map(np.concatenate, zip(*sums, strict=True))
+        return pd.DataFrame({"n_known": known.astype(np.int64), "base": base, "model": model})
 
     def cold_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             model = [e + steps[np.frombuffer(p, np.int32)].sum() for p, e in zip(batch["pairs"], batch["cold_emit"], strict=True)]
             yield pd.DataFrame({"at": batch["of"] // 2, "cold_base": batch["cold_base"], "cold_known": batch["cold_known"], "cold_model": model})
 
-    parts = coded.mapInPandas(part, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double")
+    plain = coded.select("doc_id", "row", "held_out", F.col("n_tokens").alias("tokens"), "n_tokens", "codes", "keys")
+    parts = mapped(plain, ["row", "doc_id", "held_out", "tokens"], lambda: part, "row long, doc_id long, held_out boolean, tokens long, n_known long, base double, model double")
     cold = resolved.mapInPandas(cold_part, "at long, cold_base double, cold_known long, cold_model double")
     score = F.col("model") + F.coalesce("cold_model", F.lit(0.0))
     return parts.join(cold, F.col("row") == F.col("at"), "left").select(
         "doc_id",
         "held_out",
-        "n_tokens",
+        F.col("tokens").alias("n_tokens"),
         (F.col("n_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"),
         score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        F.pow(F.lit(10.0), -score / F.col("tokens")).alias("perplexity"),
     )
