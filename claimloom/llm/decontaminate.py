@@ -6,14 +6,18 @@ Aho-Corasick automaton finds the exact pieces, and around each hit Myers' bit-
 parallel algorithm finds the least edit distance between the whole item and any
 stretch of the text. Texts are compared lower-cased, with white space collapsed.
 
-Items go in blocks of BLOCK_CHARS characters, each a pass over the documents, so
-the automaton's size doesn't follow the benchmark's.
+Items shorter than SHORT characters have a budget of 0 and match whole words only,
+since with edits, or within words, they would be found in ordinary text.
 
-Edge cases: null and empty texts match nothing. Items that are null or shorter
-than SHORTEST characters after normalisation are passed over: they would match
-ordinary text. Items with equal text each get their rows. Repeated documents
-each get theirs. Of several matches of an item in a document, the one with the
-least distance, then the leftmost end, is given.
+Items go in blocks of BLOCK_CHARS characters, each a pass over the documents, so
+the automaton's size doesn't follow the benchmark's; a filter over several blocks
+keeps what each pass leaves, so that one automaton is in memory at a time.
+
+Edge cases: null and empty texts match nothing, nor do items that are null or
+blank, or whose item_id is null. Items with equal text each get their rows.
+Repeated documents each get theirs, those with a null id too. Of several matches
+of an item in a document, the one with the least distance, then the leftmost
+end, is given.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import kept_rows, small_batches
+from claimloom.llm.common import durable, kept_rows, mapped, small_batches
 
 RATE = 0.08
-SHORTEST = 40
+SHORT = 40
 BLOCK_CHARS = 4_000_000
 
 SCHEMA = "doc_id long, item_id long, distance long, budget long, start long, end long"
@@ -38,6 +43,16 @@ def normalise(text) -> str:
     return " ".join(text.lower().split()) if isinstance(text, str) else ""
 
 
+def budget_of(item: str, rate: float, short: int) -> int:
+    return int(rate * len(item)) if len(item) >= short else 0
+
+
+def apart(text: str, start: int, end: int) -> bool:
+    """Does a stretch begin and end where words do?"""
+    inside = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not inside and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """budget + 1 pieces and their places."""
     cuts = [i * len(item) // (budget + 1) for i in range(budget + 2)]
@@ -77,13 +92,13 @@ def myers(peq: dict[str, int], length: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int = SHORT):
         import ahocorasick
 
         same: dict[str, list[int]] = defaultdict(list)
         for item_id, text in items:
             same[text].append(item_id)
-        self.items = [(text, ids, int(rate * len(text))) for text, ids in same.items()]
+        self.items = [(text, ids, budget_of(text, rate, short)) for text, ids in same.items()]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (text, _, budget) in enumerate(self.items):
             for at, piece in pieces(text, budget):
@@ -93,7 +108,7 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), where))
         if found:
             self.automaton.make_automaton()
-        self.some = bool(found)
+        self.some, self.short = bool(found), short
         self.peq: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
 
     def match(self, text: str, first: bool = False) -> list[tuple[int, int, int, int, int]]:
@@ -108,6 +123,13 @@ class Matcher:
         for n, starts in places.items():
             item, ids, budget = self.items[n]
             length = len(item)
+            if not budget:  # the one piece is the item itself
+                whole = [start for start in sorted(starts) if length >= self.short or apart(text, start, start + length)]
+                if whole:
+                    out += [(item_id, 0, 0, whole[0], whole[0] + length) for item_id in ids]
+                    if first:
+                        break
+                continue
             best = None
             reach = -1
             for start in sorted(starts):
@@ -139,7 +161,7 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, s
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null").dropDuplicates().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         text = normalise(row.text)
-        if len(text) < SHORTEST:
+        if not text:
             continue
         if size + len(text) > block_chars and items:
             yield items
@@ -149,30 +171,35 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, s
     yield items
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, short: int = SHORT) -> DataFrame:
     """A row per document (doc_id, text) and test item (item_id, text) that it holds within the error budget."""
     chosen = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = None
     for items in blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(items, rate)
-            for batch in batches:
-                rows = [(doc, *m) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for m in matcher.match(normalise(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "start", "end"]).astype({"doc_id": "Int64"})
+        def make(items=items):
+            matcher = Matcher(items, rate, short)
+
+            def matched(batch: pd.DataFrame) -> pd.DataFrame:
+                rows = [(k, *m) for k, text in enumerate(batch["text"]) for m in matcher.match(normalise(text))]
+                return pd.DataFrame(rows, columns=["at", "item_id", "distance", "budget", "start", "end"], dtype=np.int64)
+
+            return matched
 
-        part = chosen.mapInPandas(run, SCHEMA)
+        part = mapped(chosen, ["doc_id"], make, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def without_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, short: int = SHORT) -> DataFrame:
     """The rows of documents that hold no test item, with all their columns; nothing is shuffled."""
+    passes = 0
     for items in blocks(benchmark, block_chars):
 
         def decide(items=items):
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, short)
             return lambda batch: [not matcher.match(normalise(text), first=True) for text in batch["text"]]
 
-        documents = kept_rows(documents, ["text"], decide)
+        documents = kept_rows(durable(documents) if passes else documents, ["text"], decide)
+        passes += 1
     return documents
