@@ -11,12 +11,13 @@ Lengths are whole numbers up to the capacity, so a piece is known by its length
 alone: the driver packs the histogram of lengths (at most `capacity` numbers,
 whatever the input), in runs of equal sequences, and the result is a list of
 ranges "pieces of this length with ranks a to b go to sequences from s on, at
-offset o". Ranks come from counts per (length, hash bucket); so no task ever
-holds all pieces of a length, however common it is. Texts aren't shuffled.
+offset o". Ranks come from counts per (length, hash bucket), with a bucket for
+every BUCKET_ROWS pieces of a length; so no task ever holds all pieces of a
+length, however common it is. Texts aren't shuffled.
 
-Edge cases: null and empty texts are the end id alone. Repeated rows are packed
-each. A document longer than the capacity is cut into full pieces, the first
-piece taking the remainder.
+Edge cases: null and empty texts are the end id alone. Repeated rows and rows
+with a null id are packed each. A document longer than the capacity is cut into
+full pieces, the first piece taking the remainder.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import durable, small_batches
+from claimloom.llm.common import durable, mapped, small_batches
 
 CAPACITY = 1024
 END_ID = 2
-#: Hash buckets of a length's pieces, for ranks.
-BUCKETS = 256
+#: Pieces of a length that are ranked together, about.
+BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
-NAMES = [x.split()[0] for x in PIECES.split(", ")]
+NAMES = [x.split()[0] for x in PIECES.split(", ")][1:]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -53,14 +54,14 @@ class Encoder:
 
     A byte-level BPE vocabulary whose ids follow the order of its merges is run
     by the faster tiktoken engine, with the ranks read from the same file; any
-    other file by tokenizers itself.
+    other file, and a text that the engine can't take (its pattern's stack ends
+    in a run of a million blanks), by tokenizers itself.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -70,17 +71,22 @@ class Encoder:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
         ordered = all(vocab.get("".join(m)) == first + n for n, m in enumerate(pairs))
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
-        self.engine = self.tokenizer = None
+        self.engine, self.tokenizer, self.file = None, None, tokenizer_file
         if plain and ordered and spec["model"]["type"] == "BPE" and first == 256:
             to_byte = byte_alphabet()
             ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in vocab.items() if token not in added}
             self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        else:
-            self.tokenizer = Tokenizer.from_file(tokenizer_file)
 
     def encode(self, text: str) -> bytes:
         if self.engine:
-            return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            try:
+                return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:
+                pass
+        if not self.tokenizer:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.file)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -97,27 +103,34 @@ def tokenise(documents: DataFrame, tokenizer_file: str, capacity: int, with_ids:
     schema, names = (PIECES + ", ids binary", [*NAMES, "ids"]) if with_ids else (PIECES, NAMES)
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encoder = Encoder(tokenizer_file)
-        for batch in batches:
+
+        def cut_up(batch: pd.DataFrame) -> pd.DataFrame:
             rows = []
-            for k, (doc, text) in enumerate(zip(batch["doc_id"], batch["text"], strict=True)):
+            for k, text in enumerate(batch["text"]):
                 ids = encoder.encode(text if isinstance(text, str) else "") + end
                 for piece, (start, length, part) in enumerate(cut(ids, capacity)):
                     crc = zlib.crc32(part)
-                    rows.append((doc, piece, start, length, crc, crc ^ k * 2654435761 % (1 << 32), *([part] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    rows.append((k, piece, start, length, crc, crc ^ k * 2654435761 % (1 << 32), *([part] if with_ids else [])))
+            return pd.DataFrame(rows, columns=["at", *names])
+
+        return cut_up
 
-    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, schema)
+    return mapped(small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), ["doc_id"], make, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int, documents: int, attention: int, fit: str = "norm", weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Ranges (length, first rank, end rank, first sequence, offset), and the number of sequences.
 
-    Open sequences of equal content form one group; placing the pieces of one
-    length splits off at most two more groups, so there are at most four groups
-    per length.
+    Open sequences of equal content form one group. By the norm, a sequence that
+    took a piece is better still for the next of that length, so it's filled
+    before another is looked at, and a length splits off at most two more groups.
+    By the dot product it's worse than before, so each sequence of the best group
+    takes one piece and the next best group is looked for.
     """
+    if fit not in ("norm", "dot"):
+        raise ValueError(f"fit is norm or dot, not {fit}")
     full = np.array([capacity, documents, attention], float)
     scale = np.array(weights)
     groups: list[list] = []  # [how many, contents as (length, times) runs, tokens, documents, attention left]
@@ -137,7 +150,7 @@ def plan(histogram: dict[int, int], capacity: int, documents: int, attention: in
                 best = fitting[int(np.argmax(left @ (scale * need)))]
             else:
                 best = fitting[int(np.argmin((((left - need) ** 2) * scale).sum(1)))]
-            each = most(best[2:], size)
+            each = most(best[2:], size) if fit == "norm" else 1
             for times, take in ((each, min(best[0], n // each)), (n % each if n // each < best[0] else 0, 1)):
                 if not times or not take or not n:
                     continue
@@ -146,6 +159,7 @@ def plan(histogram: dict[int, int], capacity: int, documents: int, attention: in
                 n -= times * take
             groups = [g for g in groups if g[0]]
         if n:
+            # no open sequence takes a piece: what a new one takes, it takes before another is opened
             each = most((capacity, documents, attention), size)
             if not each:
                 raise ValueError(f"a piece of {size} tokens fits no sequence")
@@ -165,7 +179,7 @@ def plan(histogram: dict[int, int], capacity: int, documents: int, attention: in
     return ranges, sequence
 
 
-def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, max_documents: int | None = None, max_attention: int | None = None, fit: str = "norm", with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, max_documents: int | None = None, max_attention: int | None = None, fit: str = "norm", with_ids: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Without limits of their own, documents (as many as tokens) and attention
@@ -176,29 +190,34 @@ def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int
     tokenizer_file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
     max_documents, max_attention = max_documents or capacity, max_attention or capacity * capacity
     # kept, so that ranks are counted and given over the very same rows
-    cutup = durable(tokenise(documents, tokenizer_file, capacity, with_ids).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "spread"), F.lit(BUCKETS)).cast("int")).drop("spread"))
-    counts = cutup.groupBy("length", "bucket").agg(F.count("*").alias("n")).toArrow().to_pandas()  # at most capacity x BUCKETS rows
-    histogram = {int(k): int(v) for k, v in counts.groupby("length").n.sum().items()}
+    cutup = durable(tokenise(documents, tokenizer_file, capacity, with_ids))
+    histogram = {r.length: r["count"] for r in cutup.groupBy("length").count().collect()}  # at most capacity rows
     ranges, _ = plan(histogram, capacity, max_documents, max_attention, fit)
-    counts = counts.sort_values(["length", "bucket"])
-    first = {(int(a), int(b)): int(c) for a, b, c in zip(counts.length, counts.bucket, counts.groupby("length").n.cumsum() - counts.n, strict=True)}
+    spark = cutup.sparkSession
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
-    sent = cutup.sparkSession.sparkContext.broadcast((first, table))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, table = sent.value
+    sent = spark.sparkContext.broadcast(table)
+    buckets = spark.createDataFrame([(k, -(-n // bucket_rows)) for k, n in sorted(histogram.items())], "size int, buckets int")
+    dealt = cutup.join(F.broadcast(buckets), F.col("length") == F.col("size")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "spread"), F.col("buckets")).cast("int")).drop("size", "buckets")
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(F.col("length").alias("of"), F.col("bucket").alias("part")).agg(F.count("*").alias("n")).select("of", "part", F.coalesce(before, F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = dealt.withColumn("within", within).join(counts, (F.col("length") == F.col("of")) & (F.col("bucket") == F.col("part")))
+    kept = [c for c in cutup.columns if c != "spread"]
+
+    def make():
+        table = sent.value
         starts = np.searchsorted(table[:, 0], np.arange(capacity + 2))
-        for batch in batches:
-            length = batch["length"].to_numpy()
-            ranks = batch["within"].to_numpy() + np.array([first[k] for k in zip(length.tolist(), batch["bucket"].tolist(), strict=True)], np.int64)
+
+        def placed(batch: pd.DataFrame) -> pd.DataFrame:
+            length, rank = batch["of"].to_numpy(), batch["rank"].to_numpy()
             row = np.empty(len(batch), np.int64)
             for size in np.unique(length):
                 mine = length == size
                 lo, hi = starts[size], starts[size + 1]
-                row[mine] = lo + np.searchsorted(table[lo:hi, 1], ranks[mine], "right") - 1
-            yield batch.drop(columns=["within", "bucket"]).assign(sequence_id=table[row, 3] + ranks - table[row, 1], offset=table[row, 4])
+                row[mine] = lo + np.searchsorted(table[lo:hi, 1], rank[mine], "right") - 1
+            return pd.DataFrame({"sequence_id": table[row, 3] + rank - table[row, 1], "offset": table[row, 4]})
+
+        return placed
 
-    kept = [c for c in cutup.columns if c != "bucket"]
-    schema = ", ".join(f"{n} {t}" for n, t in cutup.dtypes if n != "bucket") + ", sequence_id long, offset long"
-    return cutup.withColumn("within", rank).select(*kept, "bucket", "within").mapInPandas(place, schema)
+    schema = ", ".join(f"{n} {t}" for n, t in cutup.dtypes if n != "spread") + ", sequence_id long, offset long"
+    return mapped(ranked.select(*kept, "of", (F.col("within") + F.col("earlier")).alias("rank")), kept, make, schema)
