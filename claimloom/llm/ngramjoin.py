@@ -15,7 +15,9 @@ are then closed by alternating large-star and small-star steps.
 
 Edge cases: fewer than five words: one shingle of all words. Null, empty and
 blank texts have no shingles: each is a class by itself, with no link. Repeated
-rows are copies of each other. Rows with a null id are left out.
+rows are copies of each other, as are rows with one text and several ids or
+none; null ids are greater than all others, so copy_of and class_id are null
+only where no row of the set or the group has an id.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import durable, small_batches, words
+from claimloom.llm.common import SPACES, durable, mapped, small_batches, words
 from claimloom.operators.components import components
 
 N = 5
@@ -37,7 +39,7 @@ THRESHOLD = 0.8
 ROWS = 5
 RECALL = 0.9999
 #: Classes and shingles of a bucket that one block holds.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 2_000_000
 #: Distinct words of which a task keeps hashes.
 MEMO = 200_000
@@ -141,11 +143,11 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, side: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def compare(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Linked documents of each class within this task's pairs, and a forest of the links.
 
-    side: 0 and 1 for the two blocks (pairs across them count), all 0 for one
-    block with itself.
+    side: which of two blocks each class is in, where pairs across them count;
+    none for one block with itself.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.float32)
@@ -156,7 +158,7 @@ def compare(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, side:
     else:
         both = shared(sets)
     linked = np.triu(both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-3, 1)
-    if side.any():
+    if side is not None:
         linked &= side[:, None] != side[None, :]
     left, right = np.nonzero(linked)
     exact = both[left, right].astype(np.float64) / (sizes[left].astype(np.float64) + sizes[right] - both[left, right])
@@ -166,81 +168,69 @@ def compare(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, side:
     return count.astype(np.int64), forest(m, left, right)
 
 
-def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """A row per row of documents (doc_id, text): doc_id, n_shingles, copy_of, class_id, n_links.
-
-    copy_of: the least id with an equal set; class_id: the least id of those it
-    is linked to directly or through others; n_links: other documents with
-    similarity of the threshold or more, equal sets included.
-    """
+def linked(documents: DataFrame, n: int, threshold: float, rows: int, recall: float) -> DataFrame:
+    """A row per row of documents: doc_id, text_hash, n_shingles, copy_of, class_id, n_links, group (a digest; null without shingles)."""
     bands = bands_for(threshold, rows, recall)
-    texts = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null")
+    texts = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text")).alias("text_hash"), F.col("text").alias("text"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = Shingler(n, rows, bands)
-        for batch in batches:
+
+        def sign(batch: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"]:
                 s = own.shingles(text)
-                out.append((doc, len(s), set_digest(s) if len(s) else None, own.band_keys(s).tobytes() if len(s) else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "keys"])
-
-    signed = durable(texts.mapInPandas(sign, "doc_id long, n_shingles long, digest binary, keys binary"))
-    classes = durable(
-        signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    )
-    # an id with several texts stands for several classes: the node is id and digest as one number
-    node = F.xxhash64("copy_of", "digest")
+                out.append((len(s), set_digest(s) if len(s) else None, own.band_keys(s) if len(s) else None))
+            return pd.DataFrame(out, columns=["n_shingles", "digest", "keys"])
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch["keys"]), np.int64)
-            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), bands), "size": np.repeat(batch["n_shingles"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(batch)), "key": keys})
+        return sign
 
-    keyed = classes.select(node.alias("node"), "n_shingles", "keys").mapInPandas(spread, "node long, size long, band int, key long")
-    member = F.xxhash64("node")
+    signed = durable(mapped(texts, ["doc_id", "text_hash"], make, "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>"))
+    # of the rows of a class, the one with the least id has its text read again
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
+    classes = durable(signed.where("digest is not null").groupBy("digest").agg(one, F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
+    keyed = classes.select("digest", F.xxhash64("digest").alias("member"), F.col("n_shingles").alias("size"), F.posexplode("keys").alias("band", "key"))
     buckets = (
         keyed.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("x"), F.min("node").alias("least"), F.first("band").alias("band"), F.sum("size").alias("load"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("member").cast("decimal(38,0)")).alias("s"), F.bit_xor("member").alias("x"), F.min("member").alias("least"), F.first("band").alias("band"), F.sum("size").alias("load"))
         .where("n > 1")
         .groupBy("n", "s", "x", "least")
         .agg(F.min(F.struct("band", "key")).alias("at"), F.first("load").alias("load"))
         .select(F.col("at.key").alias("bucket"), F.col("at.band").alias("bucket_band"), F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     )
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("digest", F.lit(5)), F.col("blocks")).cast("int")
     members = durable(
         keyed.join(buckets, F.col("key") == F.col("bucket"))
-        .select("node", "bucket", "bucket_band", mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("node", "bucket", "bucket_band", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("digest", "bucket", "bucket_band", mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("digest", "bucket", "bucket_band", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    wanted = members.select("node").distinct()
-    heads = classes.select(node.alias("node"), "copy_of", "copies", "digest").join(wanted, "node").select("node", "copy_of", "copies", "digest")
+    wanted = members.select(F.col("digest").alias("met")).distinct()
+    heads = classes.join(wanted, F.col("digest") == F.col("met")).select("digest", "copies", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"))
 
-    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make_reader():
         own = Shingler(n, rows, bands)
-        for batch in batches:
-            out = []
-            for head, digest, copies, text in zip(batch["node"], batch["digest"], batch["copies"], batch["text"], strict=True):
-                s = own.shingles(text)
-                if set_digest(s) == bytes(digest):
-                    out.append((head, copies, s.tobytes(), own.band_keys(s).tobytes()))
-            yield pd.DataFrame(out, columns=["head", "copies", "shingles", "keys"]).astype({"head": "int64", "copies": "int64"})
 
-    sets = texts.join(heads, F.col("doc_id") == F.col("copy_of")).select("node", "digest", "copies", "text").mapInPandas(full, "head long, copies long, shingles binary, keys binary").dropDuplicates(["head"])
-    tasks = members.join(sets, F.col("node") == F.col("head")).select("bucket", "bucket_band", "lo", "hi", "own", "node", "copies", "shingles", "keys")
+        def full(batch: pd.DataFrame) -> pd.DataFrame:
+            sets = [own.shingles(text) for text in batch["text"]]
+            return pd.DataFrame({"shingles": [s.tobytes() for s in sets], "keys": [own.band_keys(s).tobytes() for s in sets]})
+
+        return full
+
+    # rows that repeat in id and text are one
+    read = texts.join(heads, (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("digest", "copies", "text").dropDuplicates(["digest"])
+    sets = mapped(read, ["digest", "copies"], make_reader, "digest binary, copies long, shingles binary, keys binary").withColumnRenamed("digest", "head")
+    tasks = members.join(sets, F.col("digest") == F.col("head")).select("bucket", "bucket_band", "lo", "hi", "own", "digest", "copies", "shingles", "keys")
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, group = None, []
 
         def done() -> pd.DataFrame:
-            got = [(np.frombuffer(g[5], np.uint64), np.frombuffer(g[6], np.int64)) for g in group]
-            nodes = np.array([g[3] for g in group], np.int64)
-            side = np.array([int(g[2] != at[1]) for g in group]) if at[1] != at[2] else np.zeros(len(group), int)
-            count, links = compare([a for a, _ in got], np.stack([b for _, b in got]), np.array([g[4] for g in group]), side, group[0][0], threshold)
-            some = np.flatnonzero(count)
-            a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
-            none = [None] * len(some), [None] * len(a)
-            return pd.DataFrame({"a": np.concatenate((nodes[some], nodes[a])), "b": pd.array([*none[0], *nodes[b].tolist()], "Int64"), "links": pd.array([*count[some].tolist(), *none[1]], "Int64")})
+            _, lo, hi = at
+            side = np.array([g.own != lo for g in group]) if lo != hi else None
+            sets, keys = [np.frombuffer(g.shingles, np.uint64) for g in group], np.stack([np.frombuffer(g.keys, np.int64) for g in group])
+            count, links = compare(sets, keys, np.array([g.copies for g in group]), side, group[0].bucket_band, threshold)
+            some = np.flatnonzero(count).tolist()
+            return pd.DataFrame([(group[i].digest, None, int(count[i])) for i in some] + [(group[i].digest, group[j].digest, None) for i, j in links], columns=["a", "b", "links"]).astype({"links": "Int64"})
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -248,21 +238,59 @@ def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD,
                     if len(group) > 1:
                         yield done()
                     at, group = (row.bucket, row.lo, row.hi), []
-                group.append((row.bucket_band, row.bucket, row.own, row.node, row.copies, row.shingles, row.keys))
+                group.append(row)
         if len(group) > 1:
             yield done()
 
-    dealt = tasks.repartition(F.col("bucket"), F.col("lo"), F.col("hi")).sortWithinPartitions("bucket", "lo", "hi", "node")
-    found = durable(dealt.mapInPandas(pairs, "a long, b long, links long"))
+    dealt = tasks.repartition(F.col("bucket"), F.col("lo"), F.col("hi")).sortWithinPartitions("bucket", "lo", "hi", "digest")
+    found = durable(dealt.mapInPandas(pairs, "a binary, b binary, links long"))
     counted = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
-    named = classes.select(node.alias("node"), F.col("digest").alias("own"), "copy_of", "copies")
-    joined = named.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select(F.col("digest").alias("own"), F.col("one.doc_id").alias("copy_of"), "copies")
+    joined = named.join(roots.withColumnRenamed("node", "at"), F.col("own") == F.col("at"), "left").withColumn("root", F.coalesce("root", "own"))
     least = durable(joined.groupBy("root").agg(F.min("copy_of").alias("class_id")).withColumnRenamed("root", "top"))
-    joined = joined.join(least, F.col("root") == F.col("top")).join(counted, F.col("node") == F.col("a"), "left")
-    final = joined.select("own", "copy_of", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = joined.join(least, F.col("root") == F.col("top")).join(counted, F.col("own") == F.col("a"), "left")
+    final = joined.select("own", "copy_of", "class_id", F.col("root").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    without = F.col("digest").isNull()
     return (
         signed.drop("keys")
         .join(final, F.col("digest") == F.col("own"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "n_shingles",
+            F.when(without, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+            F.when(without, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "group",
+        )
     )
+
+
+def jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """A row per row of documents (doc_id, text): doc_id, n_shingles, copy_of, class_id, n_links.
+
+    copy_of: the least id with an equal set; class_id: the least id of those it
+    is linked to directly or through others; n_links: other documents with
+    similarity of the threshold or more, equal sets included.
+    """
+    return linked(documents, n, threshold, rows, recall).drop("text_hash", "group")
+
+
+def one_of_each(documents: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """Of each group of linked rows of documents one, with all its columns: that of the least id, then the least hash of its text.
+
+    Of rows that repeat in id and text, the one whose columns are least as JSON
+    stays. Rows without words are in no group, and stay.
+    """
+    rowwise = durable(linked(documents, n, threshold, rows, recall).where("group is not null").groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    best = rowwise.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "times")).alias("best"))
+    best = durable(best.select(F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"), F.col("best.times").alias("times")))
+    whole = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.col("text")).alias("row_hash"), (F.coalesce(F.length(F.translate(F.col("text"), SPACES, "")), F.lit(0)) == 0).alias("blank"))
+    same = (F.col("row_hash") == F.col("best_hash")) & F.col("row_id").eqNullSafe(F.col("best_id"))
+    once = whole.join(best.where("times = 1"), same, "left").where("blank or times is not null").select("row.*")
+    repeated = best.where("times > 1")
+    if repeated.isEmpty():
+        return once
+    chosen = whole.join(repeated, same).groupBy("row_id", "row_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(chosen.select("row.*"))
