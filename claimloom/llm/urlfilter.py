@@ -3,26 +3,30 @@
 A rule is a host and a path prefix ("example.net/es/"): it fits the host and all
 its subdomains where the url's path starts with the prefix; the longest rule
 wins. All rules stand in one file: the digests of their strings, sorted, then
-the strings themselves, one after the other. Tasks map that file into memory
-(Spark hands it to each executor once), probe a whole batch by vectorised
-binary search and compare the stored string of each digest found, so a digest
-that two strings share decides nothing.
+the strings themselves, one after the other. It's written to the cluster's shared
+folder; each executor fetches it once, and tasks map it into memory, probe a
+whole batch by vectorised binary search and compare the stored string of each
+digest found, so a digest that two strings share decides nothing.
 
-For a url the strings to probe are its host's suffixes at label borders, each
-followed by the path's prefixes of those lengths that some rule has: the work
-grows with the labels of the host and the number of distinct lengths, not with
-the number of rules.
+For a url the strings to probe are its host's suffixes at label borders, as far
+as the longest host of a rule reaches, each followed by the path's prefixes of
+those lengths that some rule has: the work grows with these two, not with the
+number of rules or the length of the url.
+
+The block list is a parameter: strings, or a table of them (column rule, "host/"
+or "host/path"), which goes through the driver once, at about 17 bytes and its
+string a rule; null rules and those without "/" after a host are left out.
 
 Edge cases: null urls and urls without "://" have empty host and path, fit no
-rule, and are allowed. Equal rules: the first one counts.
+rule, and are allowed. Equal rules: the first one counts. Null ids and repeated
+pages each get their row.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,11 +34,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import mapped, small_batches
+from claimloom.operators.components import shared_folder
+
 #: Rules that are reported by name: (host with path, verdict).
 BASE_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: The block list behind them: hosts known for spam, with all their subdomains.
 BLOCK_LIST = tuple(f"{name}.example.{end}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
-MAGIC = b"digests1"
+MAGIC = b"digests2"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, listed string"
@@ -46,8 +53,8 @@ def digests(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, strings), np.uint64, len(strings))
 
 
-def write_array(file: str, rules: list[tuple[str, str, bool]], digest=digests) -> None:
-    """rules: (string, verdict, named). Layout: counts, digests, flags, ends of strings, strings."""
+def array_parts(rules: list[tuple[str, str, bool]], digest=digests) -> Iterator[bytes]:
+    """The file's parts, for rules (string, verdict, named): counts, lengths of paths, digests, ends of strings, flags, strings."""
     unique: dict[bytes, int] = {}
     for text, verdict, named in rules:
         unique.setdefault(text.encode(), (verdict == "block") + 2 * named)
@@ -55,24 +62,38 @@ def write_array(file: str, rules: list[tuple[str, str, bool]], digest=digests) -
     keys = digest(strings) if strings else np.zeros(0, np.uint64)
     order = np.argsort(keys, kind="stable")
     strings = [strings[i] for i in order]
-    flags = np.array([unique[s] for s in strings], np.uint8)
-    ends = np.cumsum([len(s) for s in strings], dtype=np.int64) if strings else np.zeros(0, np.int64)
-    lengths = sorted({len(s) - s.index(b"/") for s in strings})
-    with open(file, "wb") as f:
-        f.write(MAGIC + struct.pack("<qq", len(strings), len(lengths)))
-        f.write(np.array(lengths, "<i8").tobytes() + keys[order].astype("<u8").tobytes() + ends.astype("<i8").tobytes() + flags.tobytes() + b"".join(strings))
+    hosts = [s.index(b"/") for s in strings]
+    lengths = sorted({len(s) - n for s, n in zip(strings, hosts, strict=True)})
+    yield MAGIC + struct.pack("<qqq", len(strings), len(lengths), max(hosts, default=0)) + np.array(lengths, "<i8").tobytes()
+    yield keys[order].astype("<u8").tobytes()
+    yield np.cumsum([len(s) for s in strings], dtype="<i8").tobytes()
+    yield bytes(unique[s] for s in strings)
+    yield b"".join(strings)
+
+
+def write_shared(spark: SparkSession, parts: Iterator[bytes], step: int = 1 << 20) -> str:
+    """Writes a file to the shared folder, through Spark's file systems, and has executors fetch it; gives its name there."""
+    name = f"digests-{uuid.uuid4().hex}.bin"
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark), name)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    for part in parts:
+        for at in range(0, len(part), step):
+            out.write(bytearray(part[at : at + step]))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
 
 
 class DigestArray:
-    """A mapped file of write_array()."""
+    """A mapped file of array_parts()."""
 
     def __init__(self, file: str, digest=digests):
         self.digest = digest
         whole = np.memmap(file, np.uint8, "r")
         if bytes(whole[:8]) != MAGIC:
             raise ValueError(f"{file} is no digest array")
-        n, k = struct.unpack("<qq", bytes(whole[8:24]))
-        at = 24
+        n, k, self.longest = struct.unpack("<qqq", bytes(whole[8:32]))
+        at = 32
         self.lengths = whole[at : at + 8 * k].view("<i8").tolist()
         at += 8 * k
         self.keys = whole[at : at + 8 * n].view("<u8")
@@ -117,12 +138,11 @@ def host_and_path(url) -> tuple[str, str]:
     return host, path[:end]
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Strings that a fitting rule could be, the longest first."""
+def probes(host: str, path: str, lengths: list[int], longest: int) -> list[bytes]:
+    """Strings that a fitting rule could be, the longest first; no rule's host is longer than `longest` bytes."""
     raw_host, raw_path = host.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass")
-    if not host:
-        return []
-    suffixes, at = [raw_host], 0
+    suffixes = [raw_host] if 0 < len(raw_host) <= longest else []
+    at = max(0, len(raw_host) - longest - 1)
     while (at := raw_host.find(b".", at) + 1) > 0:
         suffixes.append(raw_host[at:])
     heads = [raw_path[:n] for n in lengths if n <= len(raw_path)]
@@ -130,10 +150,10 @@ def probes(host: str, path: str, lengths: list[int]) -> list[bytes]:
 
 
 def judge(array: DigestArray, urls: list) -> list[tuple[str, str, str | None, str, str | None]]:
-    """host, path, named rule, verdict and listed string of each url; each distinct host and path is probed once."""
+    """host, path, named rule, verdict and listed string of each url; each distinct string is probed once."""
     parts = [host_and_path(u) for u in urls]
     asked: dict[bytes, int] = {}
-    lists = [probes(h, p, array.lengths) for h, p in parts]
+    lists = [probes(h, p, array.lengths, array.longest) for h, p in parts]
     for strings in lists:
         for s in strings:
             asked.setdefault(s, len(asked))
@@ -153,24 +173,14 @@ def judge(array: DigestArray, urls: list) -> list[tuple[str, str, str | None, st
     return out
 
 
-def filter_urls(pages: DataFrame, base_rules=BASE_RULES, block_list=BLOCK_LIST, spark: SparkSession | None = None) -> DataFrame:
-    """A row per row of pages (page_id, url): host, path, rule, verdict, listed.
-
-    A named rule decides before the block list. The list reaches executors as a
-    file of about 17 bytes and its string per rule, not as a broadcast.
-    """
-    spark = spark or pages.sparkSession
-    rules = [(r, v, True) for r, v in base_rules] + [(r, "block", False) for r in block_list]
-    folder = tempfile.mkdtemp(prefix="digests-")
-    name = f"{os.path.basename(folder)}.bin"
-    write_array(f"{folder}/{name}", rules)
-    spark.sparkContext.addFile(f"{folder}/{name}")
+def filter_urls(pages: DataFrame, base_rules=BASE_RULES, block_list: DataFrame | Iterable[str] = BLOCK_LIST) -> DataFrame:
+    """A row per row of pages (page_id, url): host, path, rule, verdict, listed. A named rule decides before the block list."""
+    if isinstance(block_list, DataFrame):
+        block_list = block_list.select(F.col("rule").cast("string").alias("rule")).where(F.instr("rule", "/") > 1).distinct().toArrow().column("rule").to_pylist()
+    name = write_shared(pages.sparkSession, array_parts([(r, v, True) for r, v in base_rules] + [(r, "block", False) for r in block_list]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         array = DigestArray(SparkFiles.get(name))
-        for batch in batches:
-            out = pd.DataFrame(judge(array, list(batch["url"])), columns=["host", "path", "rule", "verdict", "listed"])
-            out.insert(0, "page_id", batch["page_id"].to_numpy())
-            yield out
+        return lambda batch: pd.DataFrame(judge(array, list(batch["url"])), columns=["host", "path", "rule", "verdict", "listed"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url")).mapInPandas(run, SCHEMA)
+    return mapped(small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url")), ["page_id"], make, SCHEMA)
