@@ -13,20 +13,20 @@ back to the odds that all labelled rows outside the held-out fold show.
 
 Edge cases: null, empty and very short texts are padded with zero bytes to one
 window. No labelled row, or rows of one label only: the share of label 1 (0.5
-if none) for all. Very long texts are read in pieces of SPAN bytes that overlap.
+if none) for all. Very long texts are read in pieces of SPAN windows, which changes
+no chunk. Null ids are scored and never held out; repeated rows each get their row.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import in_fold, kept_rows, labelled_sample, raw, sigmoid, small_batches
+from claimloom.llm.common import in_fold, kept_rows, labelled_sample, mapped, raw, sigmoid, small_batches
 
 #: Bound of the training sample: so many texts of either label at most.
 PER_CLASS = 1500
@@ -35,7 +35,8 @@ THRESHOLD = 0.5
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 HALF = 192
 CHUNK = 2 * HALF
-SPAN = 1 << 18
+#: Windows that are read at a time: whole halves, so that chunks lie alike in texts of any length.
+SPAN = HALF * 1366
 
 
 class Net:
@@ -48,6 +49,16 @@ class Net:
         self.last = np.zeros(1, np.float32)
         self.slope, self.offset = 1.0, 0.0
 
+    def arrays(self) -> tuple:
+        """The network as plain arrays and numbers, which any process can read without this class."""
+        return (*self.params(), self.slope, self.offset)
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Net:
+        net = cls.__new__(cls)
+        net.conv, net.hidden, net.shift, net.out, net.last, net.slope, net.offset = arrays
+        return net
+
     def params(self) -> list[np.ndarray]:
         return [self.conv, self.hidden, self.shift, self.out, self.last]
 
@@ -157,21 +168,24 @@ def score_quality(documents: DataFrame, labels: DataFrame, per_class: int = PER_
     """
     model = trained(documents if learn_from is None else learn_from, labels, per_class, held_out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = model.value
+    def make():
+        own = Net.of(model.value)
         pairs = own.pairs()
-        for batch in batches:
+
+        def scored(batch: pd.DataFrame) -> pd.DataFrame:
             score = scores(own, pairs, batch["text"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32)})
+
+        return scored
 
     doc_id = F.col("doc_id").cast("long")
     chosen = small_batches(documents).select(doc_id.alias("doc_id"), in_fold(doc_id, *held_out).alias("held_out"), F.col("text").alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(chosen, ["doc_id", "held_out"], make, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def trained(documents: DataFrame, labels: DataFrame, per_class: int, held_out: tuple[int, int]):
-    """The fitted network, broadcast: under 0.2 MB whatever the input."""
-    return documents.sparkSession.sparkContext.broadcast(fit(*labelled_sample(documents, labels, "quality", held_out, per_class)))
+    """The fitted network's arrays, broadcast: under 0.2 MB whatever the input. A broadcast Net would need this package on executors."""
+    return documents.sparkSession.sparkContext.broadcast(fit(*labelled_sample(documents, labels, "quality", held_out, per_class)).arrays())
 
 
 def scores(net: Net, pairs: np.ndarray, texts) -> np.ndarray:
@@ -183,7 +197,7 @@ def passing(documents: DataFrame, labels: DataFrame, learn_from: DataFrame, per_
     model = trained(learn_from, labels, per_class, held_out)
 
     def decide():
-        own = model.value
+        own = Net.of(model.value)
         pairs = own.pairs()
         return lambda batch: (scores(own, pairs, batch["text"]) >= threshold).tolist()
 
