@@ -1,8 +1,8 @@
 """A corpus made ready for training: rules, classifier, near-duplicates, leaks, packing.
 
 Each stage takes what its predecessor kept and returns the columns of
-documents; the last returns packed pieces. Rows with a null id can't be told
-apart later and go in the near-duplicate stage.
+documents; the last returns packed pieces. A row without an id is a document like
+any other; rows of one id are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimloom.llm import bytecnn, decontaminate, fertility, ngramjoin, packing
-from claimloom.llm.common import durable, table
+from claimloom.llm.common import table
+from claimloom.operators.components import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that with the least id, once.
-
-    Should an id repeat with unequal texts, the id stays if any of its rows heads a group.
-    """
-    kept = durable(ngramjoin.jaccard_join(docs)).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of linked ones stays: that with the least id, then the least hash of its text."""
+    return ngramjoin.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table that the next one reads."""
+    """All stages over documents; each stage's result is a table in the shared folder that the next one reads.
+
+    A table is deleted as soon as the next one is written; the last one stays, for the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            used = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            used.getFileSystem(spark._jsc.hadoopConfiguration()).delete(used, True)
     return docs
