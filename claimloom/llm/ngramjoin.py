@@ -250,7 +250,8 @@ def linked(documents: DataFrame, n: int, threshold: float, rows: int, recall: fl
     joined = named.join(roots.withColumnRenamed("node", "at"), F.col("own") == F.col("at"), "left").withColumn("root", F.coalesce("root", "own"))
     least = durable(joined.groupBy("root").agg(F.min("copy_of").alias("class_id")).withColumnRenamed("root", "top"))
     joined = joined.join(least, F.col("root") == F.col("top")).join(counted, F.col("own") == F.col("a"), "left")
-    final = joined.select("own", "copy_of", "class_id", F.col("root").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # kept, so that the last join is one of two tables, which may be split where a text has very many copies
+    final = durable(joined.select("own", "copy_of", "class_id", F.col("root").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     without = F.col("digest").isNull()
     return (
         signed.drop("keys")
