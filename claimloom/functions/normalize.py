@@ -1,15 +1,18 @@
 """Names: display form, matching key, tokens, slug, variants.
 
-Each has two forms: a Python function, and a column expression. Display, tokens
-and variants are JVM expressions; key and slug need Unicode normalisation and
-case folding, which Spark lacks, so they are Arrow functions that see each
-distinct name of a batch once.
+A form is a list of steps, data that two readers share: one makes a Python
+function of it, the other a column expression. Unicode normalisation and full
+case folding exist in Python only, so key and slug of names in general are Arrow
+functions; their column expressions hold for names in ASCII.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import partial
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,32 +27,79 @@ STOP_WORDS = ("a", "and", "at", "by", "for", "in", "of", "the", "to")
 NOISE_PREFIXES = ("geldgeber", "investor", "jungunternehmen", "scaleup", "startup", "vc")
 ARTIFACTS = r"<[^>]+>|[\[\]]|\s*[|•·]\s*"
 EDGE_MARKS = " -–—:.,;()[]"
-PLACE_WORD = r"[\w&.+#‘’-]+"
-JAVA_PLACE_WORD = r"[\p{L}\p{M}\p{N}_&.+#‘’-]+"
 
-_artifacts = re.compile(ARTIFACTS)
-_place = re.compile(rf"^{PLACE_WORD}(?:\s+{PLACE_WORD}){{0,4}}[-\s]+based\s+", re.I)
-_noise = re.compile(rf"^(?:{'|'.join(NOISE_PREFIXES)})\s+", re.I)
+
+class Step(NamedTuple):
+    """A pattern and what replaces each match; or marks that go at both ends; or a change that has no pattern.
+
+    In patterns, WORD stands for the characters of words, which Python and Java name differently.
+    """
+
+    pattern: str = ""
+    by: str = " "
+    ends: str = ""
+    change: str = ""
+
+
+SPACES = Step(r"\s+")
+TRIM = Step(ends=" ")
+MARKUP = Step(ARTIFACTS)
+PLACE = Step(r"^[WORD&.+#‘’-]+(?:\s+[WORD&.+#‘’-]+){0,4}[-\s]+based\s+", "")
+NOISE = Step(rf"^(?:{'|'.join(NOISE_PREFIXES)})\s+", "")
+FORMS = {
+    "display": (MARKUP, SPACES, Step(ends=EDGE_MARKS), PLACE, TRIM, NOISE, TRIM),
+    "key": (Step(change="compose"), MARKUP, Step("&", " and "), Step(change="fold"), SPACES, TRIM, PLACE, NOISE, Step(r"[^WORD\s+#.-]"), Step(r"\bstartups?\b"), SPACES, Step(ends=" .-")),
+    "slug": (Step(change="compose"), Step(change="fold"), Step(r"[^WORD\s]"), Step(change="ascii"), Step(r"[^a-z0-9]+", "-"), Step(ends="-")),
+}
+#: Words that a key leaves out, by entity type; and marks that its words don't end in.
+LEFT_OUT = {"Person": (*TITLES, *ROLES), "Startup": LEGAL_SUFFIXES, "Investor": LEGAL_SUFFIXES}
+WORD_ENDS = {"Person": "."}
+CHANGES = {"compose": partial(unicodedata.normalize, "NFKC"), "fold": str.casefold, "ascii": lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()}
+JAVA_WORD, PYTHON_WORD = r"\p{L}\p{M}\p{N}_", r"\w"
+
+
+def _function(step: Step) -> Callable[[str], str]:
+    if step.change:
+        return CHANGES[step.change]
+    if step.ends:
+        return lambda text: text.strip(step.ends)
+    return partial(re.compile(step.pattern.replace("WORD", PYTHON_WORD), re.I).sub, step.by)
+
+
+def _column(step: Step, text: Column) -> Column:
+    if step.change:
+        return F.lower(text) if step.change == "fold" else text
+    if step.ends:
+        return F.btrim(text, F.lit(step.ends))
+    return F.regexp_replace(text, "(?iu)" + step.pattern.replace("WORD", JAVA_WORD), step.by)
+
+
+FUNCTIONS = {form: tuple(map(_function, steps)) for form, steps in FORMS.items()}
+
+
+def _through(form: str, raw: str | None) -> str:
+    text = raw or ""
+    for function in FUNCTIONS[form]:
+        text = function(text)
+    return text
+
+
+def _column_through(form: str, text: Column) -> Column:
+    for step in FORMS[form]:
+        text = _column(step, text)
+    return text
 
 
 def display(raw: str | None) -> str:
     """A readable name: no markup, bullets, marks at the ends, "Berlin-based", "startup"."""
-    text = " ".join(_artifacts.sub(" ", raw or "").split()).strip(EDGE_MARKS)
-    return _noise.sub("", _place.sub("", text).strip()).strip()
+    return _through("display", raw)
 
 
 def key(raw: str | None, entity_type: str) -> str:
     """The form that names of an entity type are compared by."""
-    text = _artifacts.sub(" ", unicodedata.normalize("NFKC", raw or "")).replace("&", " and ").casefold().strip()
-    text = _noise.sub("", _place.sub("", text))
-    text = re.sub(r"\bstartups?\b", " ", re.sub(r"[^\w\s+#.-]", " ", text))
-    found = " ".join(text.split()).strip(" .-").split()
-    if entity_type == "Person":
-        bare = (t.rstrip(".") for t in found)
-        found = [t for t in bare if t not in TITLES and t not in ROLES]
-    elif entity_type in ("Startup", "Investor"):
-        found = [t for t in found if t not in LEGAL_SUFFIXES]
-    return " ".join(found)
+    ends, without = WORD_ENDS.get(entity_type, ""), LEFT_OUT.get(entity_type, ())
+    cut = (word.rstrip(ends) if ends else word for word in _through("key", raw).split())
+    return " ".join(word for word in cut if word not in without)
 
 
 def tokens(normal: str) -> frozenset[str]:
@@ -58,9 +108,8 @@ def tokens(normal: str) -> frozenset[str]:
 
 
 def slug(raw: str | None) -> str:
-    text = re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", raw or "").casefold())
-    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    return re.sub(r"[^a-z0-9]+", "-", plain).strip("-") or "unknown"
+    """A name as part of an id."""
+    return _through("slug", raw) or "unknown"
 
 
 def _mapped(names: pd.Series, f) -> pd.Series:
@@ -94,9 +143,7 @@ def slug_column(name: Column) -> Column:
 
 
 def display_column(name: Column) -> Column:
-    text = F.btrim(F.regexp_replace(F.regexp_replace(name, ARTIFACTS, " "), r"\s+", " "), F.lit(EDGE_MARKS))
-    text = F.trim(F.regexp_replace(text, rf"(?iu)^{JAVA_PLACE_WORD}(?:\s+{JAVA_PLACE_WORD}){{0,4}}[-\s]+based\s+", ""))
-    return F.trim(F.regexp_replace(text, rf"(?i)^(?:{'|'.join(NOISE_PREFIXES)})\s+", ""))
+    return _column_through("display", name)
 
 
 def tokens_column(normal: Column) -> Column:
@@ -113,13 +160,15 @@ def variants_column(name: Column) -> Column:
 
 def slim_key_column(name: Column, entity_type: str) -> Column:
     """key() for names in ASCII, without Python."""
-    text = F.trim(F.lower(F.replace(F.regexp_replace(name, ARTIFACTS, " "), F.lit("&"), F.lit(" and "))))
-    text = F.regexp_replace(text, rf"^{JAVA_PLACE_WORD}(?:\s+{JAVA_PLACE_WORD}){{0,4}}[-\s]+based\s+", "")
-    text = F.regexp_replace(text, rf"^(?:{'|'.join(NOISE_PREFIXES)})\s+", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}_\s+#.-]", " "), r"\bstartups?\b", " ")
-    found = F.split(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" .-")), " ")
-    if entity_type == "Person":
-        found = F.filter(F.transform(found, lambda t: F.rtrim(t, F.lit("."))), lambda t: ~t.isin(*TITLES, *ROLES))
-    elif entity_type in ("Startup", "Investor"):
-        found = F.filter(found, lambda t: ~t.isin(*LEGAL_SUFFIXES))
+    found = F.split(_column_through("key", name), " ")
+    if entity_type in WORD_ENDS:
+        found = F.transform(found, lambda t: F.rtrim(t, F.lit(WORD_ENDS[entity_type])))
+    if entity_type in LEFT_OUT:
+        found = F.filter(found, lambda t: ~t.isin(*LEFT_OUT[entity_type]))
     return F.array_join(found, " ")
+
+
+def slim_slug_column(name: Column) -> Column:
+    """slug() for names in ASCII, without Python."""
+    made = _column_through("slug", name)
+    return F.when(F.coalesce(made, F.lit("")) == "", "unknown").otherwise(made)

@@ -137,3 +137,29 @@ def neighbour_keys(relations: DataFrame, key) -> DataFrame:
     named = named.where("NOT (st = tt AND sk = tk)")
     both = named.unionByName(named.select("article_id", F.col("tt").alias("st"), F.col("tk").alias("sk"), F.col("st").alias("tt"), F.col("sk").alias("tk")))
     return both.groupBy("article_id", F.col("st").alias("entity_type"), F.col("sk").alias("k")).agg(F.array_sort(F.collect_set(F.concat_ws(":", "tt", "tk"))).alias("neighbours"))
+
+
+# The groups of a snapshot of what was extracted, and the entity types in them.
+SNAPSHOT_GROUPS = {"startups": "Startup", "investors": "Investor", "people": "Person", "topics": "Topic", "companies": "Company"}
+SNAPSHOT_RELATIONS = "relationships"
+
+
+def snapshot(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """(article_id, raw_extraction): an article's extracted entities by type and its relations, before any gate, as JSON of six lists."""
+    own = ["name", "evidence_status", "description"]
+    ends = ["rel_type", "source_name", "source_type", "target_name", "target_type", "evidence_status", "evidence"]
+    rows = mentions.select("article_id", "pos", F.col("entity_type").alias("kind"), F.struct(*own).alias("entity"), F.lit(None).alias("relation"))
+    empty = relations.select("article_id", "pos", F.lit(None).cast("string").alias("kind"), F.lit(None).alias("entity"), F.struct(*ends).alias("relation"))
+    shape = dict(rows.dtypes)["entity"], dict(empty.dtypes)["relation"]
+    rows = rows.withColumn("relation", F.lit(None).cast(shape[1])).unionByName(empty.withColumn("entity", F.lit(None).cast(shape[0])))
+    listed = lambda test, what: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("pos", what)))), lambda x: x[what])
+    groups = [listed(F.col("kind") == kind, "entity").alias(group) for group, kind in SNAPSHOT_GROUPS.items()]
+    gathered = rows.groupBy("article_id").agg(*groups, listed(F.col("relation").isNotNull(), "relation").alias(SNAPSHOT_RELATIONS))
+    return gathered.select("article_id", F.to_json(F.struct(*SNAPSHOT_GROUPS, SNAPSHOT_RELATIONS)).alias("raw_extraction"))
+
+
+def snapshot_items(raw: Column) -> Column:
+    """How many records a snapshot's six lists hold; what is no list, or no record in one, doesn't count."""
+    names = [*SNAPSHOT_GROUPS, SNAPSHOT_RELATIONS]
+    items = F.from_json(raw, ", ".join(f"{x} array<string>" for x in names))
+    return sum((F.size(F.coalesce(F.filter(items[x], lambda v: F.coalesce(v.startswith("{"), F.lit(False))), F.array().cast("array<string>"))) for x in names), F.lit(0)).cast("long")

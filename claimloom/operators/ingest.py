@@ -1,9 +1,10 @@
 """A batch of articles from extraction output to the stored graph.
 
-Tables of the store: sources, articles, entities, article_edges, emitted (an
-append-only log of the claims that each run of an article made), runs (which
-articles a run processed), reviews (append-only), claims (folded from the logs,
-then checked for contradictions). Each ingest writes new versions.
+Tables of the store: sources, articles, entities, article_edges, vectors (of
+entities), claims (folded from the logs, then checked for contradictions); and
+logs that are only added to: emitted (the claims that each run of an article
+made), runs (which articles a run processed), reviews. A run or a review folds
+the claims that it touches again, and those between the same two ends.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.functions.normalize import key_column
-from claimloom.model import REVIEW, admitted
+from claimloom.functions.normalize import display_column, key_column, slug_column
+from claimloom.model import REVIEW, admitted, live
 from claimloom.operators import conflicts, extract, lifecycle, resolve
 from claimloom.operators.components import durable
 from claimloom.operators.metrics import tally
@@ -25,8 +26,13 @@ from claimloom.sources.store import Store
 ENTITY = "id string, label string, name string, canonical_name string, aliases array<string>, evidence_status string, description string"
 EMITTED = "run long, url string, src_id string, rel_type string, dst_id string"
 REVIEWS = "src_id string, rel_type string, dst_id string, run long, decision string, comment string, reviewer string"
+CLAIMS = "src_id string, rel_type string, dst_id string, article_urls array<string>, active_article_urls array<string>, lifecycle_status string, review_status string, review_reasons array<string>, support_changed boolean"
+#: The two ends of a claim, whichever way it goes.
+PAIR = ("least(src_id, dst_id) AS lo", "greatest(src_id, dst_id) AS hi")
 LONGEST_TEXT = 20_000
-EMPTY = {"entities": ENTITY, "emitted": EMITTED, "runs": "url string, run long", "reviews": REVIEWS, "articles": "article_id string, url string, title string, source_name string, published_at timestamp, text string, run long", "sources": "id string, name string, run long", "article_edges": "src_id string, rel_type string, dst_id string, evidence_status string, evidence string"}
+ARTICLES = "article_id string, url string, title string, summary string, text string, author string, source_name string, source_url string, published_at timestamp, tags array<string>, raw_extraction string, run long, trace_id string, trace_url string, experiment_id string, provenance array<string>"
+VECTORS = "entity_id string, entity_type string, vector array<float>"
+EMPTY = {"entities": ENTITY, "emitted": EMITTED, "runs": "url string, run long", "reviews": REVIEWS, "articles": ARTICLES, "sources": "id string, name string, url string, run long", "article_edges": "src_id string, rel_type string, dst_id string, evidence_status string, evidence string", "vectors": VECTORS}
 
 
 def extracted(articles: DataFrame, extractor: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -55,23 +61,38 @@ def _old(spark: SparkSession, store: Store, name: str) -> DataFrame:
     return store.read(name) if store.version(name) else spark.createDataFrame([], EMPTY[name])
 
 
-def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, outputs: DataFrame) -> dict[str, int]:
-    """Writes a run's articles (article_id, url, title, source_name, published_at, text) and what outputs (article_id, text) say of them.
+def _full(articles: DataFrame) -> DataFrame:
+    """articles with all fields of ARTICLES that come with them; those they lack are null."""
+    given = {f.split()[0]: f.split()[1] for f in ARTICLES.split(", ") if f.split()[0] not in ("raw_extraction", "run", "provenance")}
+    return articles.select(*[F.col(c).cast(t).alias(c) if c in articles.columns else F.lit(None).cast(t).alias(c) for c, t in given.items()])
 
-    Articles whose text has fewer than 20 characters are refused and count as failed.
+
+def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, outputs: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None) -> dict[str, int]:
+    """Writes a run's articles and what outputs (article_id, text) say of them.
+
+    articles: article_id, url, title, source_name, published_at, text; summary,
+    author, source_url, tags, trace_id, trace_url, experiment_id if they have
+    them. Those whose text has fewer than 20 characters are refused and count as
+    failed. embedder: from texts to vectors, for entities that names don't tell.
     """
     fits = F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20
-    good = durable(articles.where(fits))
+    good = durable(_full(articles).where(fits))
     mentions, relations = extract.typed(extract.parse(outputs.join(good.select(F.col("article_id").alias("own")), F.col("article_id") == F.col("own"), "left_semi")))
+    raw = extract.snapshot(mentions, relations)
     mentions = extract.deduplicated_topics(mentions.where(admitted(F.col("evidence_status"))).withColumn("k", key_column(F.col("name"), F.col("entity_type"))), "k").drop("k")
     relations = durable(relations.where(admitted(F.col("evidence_status"))))
     mentions = durable(extract.with_endpoints(mentions, relations, key_column).withColumn("cand_id", F.xxhash64("article_id", "entity_type", "name", "pos")))
     old = _old(spark, store, "entities")
     index = durable(resolve.registry(old, key_column))
-    order = mentions.select("cand_id", "article_id", "pos", "entity_type", "name", F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("all")).dropDuplicates(["cand_id"])
+    order = mentions.select("cand_id", "article_id", "pos", "entity_type", "name", "description", F.array().cast("array<string>").alias("aliases"), F.lit(0).alias("all")).dropDuplicates(["cand_id"])
     ranked = ranked_within(order, ["all"], [F.asc("article_id"), F.asc("pos"), F.asc("cand_id")])
-    cands = durable(ranked.select("cand_id", "entity_type", "name", "aliases", F.col("place").cast("long").alias("seq")))
-    resolved = durable(resolve.resolve(cands, index, key_column))
+    cands = durable(ranked.select("cand_id", "article_id", "entity_type", "name", "description", "aliases", key_column(F.col("name"), F.col("entity_type")).alias("key"), F.col("place").cast("long").alias("seq")))
+    vectors = known = None
+    if embedder:
+        text = F.concat(display_column(F.col("name")), F.lit(". "), F.coalesce("description", F.lit("")))
+        vectors = durable(embedded(cands.select("cand_id", F.trim(text).alias("said")), "said", embedder).select("cand_id", "vector"))
+        known = _old(spark, store, "vectors")
+    resolved = _resolved(cands, relations, index, old, _claims(spark, store), vectors, known)
     # entities, by the article order of their mentions
     seen = mentions.join(resolved.select(F.col("cand_id").alias("r"), "entity_id"), F.col("cand_id") == F.col("r")).join(cands.select(F.col("cand_id").alias("s"), "seq"), F.col("cand_id") == F.col("s"))
     seen = durable(seen.select("article_id", "entity_id", "entity_type", "name", "evidence_status", "description", "seq", F.lit("").alias("evidence")))
@@ -88,31 +109,68 @@ def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, out
         ends = ends.withColumn("sk", key_column(F.col(f"{side}_name"), F.col(f"{side}_type"))).join(own, (F.col("article_id") == F.col("a")) & (F.col(f"{side}_type") == F.col("t")) & (F.col("sk") == F.col("k"))).drop("a", "t", "k", "sk")
     urls = good.select(F.col("article_id").alias("u"), "url")
     made = ends.join(urls, F.col("article_id") == F.col("u")).select(F.lit(run).cast("long").alias("run"), "url", "rel_type", "src_id", F.col("source_type").alias("src_label"), "dst_id", F.col("target_type").alias("dst_label"), "evidence_status", "article_id")
-    emitted = durable(lifecycle.emitted_claims(made))
+    emitted = durable(lifecycle.emitted_claims(made).select("run", "url", "src_id", "rel_type", "dst_id"))
     counts = tally_of(good, articles, fits, seen, made)
+    if embedder:
+        first = resolved.where("method = 'new'").select(F.col("cand_id").alias("r"), "entity_id", "entity_type").join(vectors, F.col("r") == F.col("cand_id")).where("vector is not null")
+        store.append("vectors", first.groupBy("entity_id", "entity_type").agg(F.min_by("vector", "cand_id").alias("vector")))
     store.write("entities", entities)
     store.write("article_edges", _old(spark, store, "article_edges").unionByName(lifecycle.article_edges(seen)).dropDuplicates(["src_id", "rel_type", "dst_id"]))
-    store.write("articles", lifecycle.latest(_old(spark, store, "articles").unionByName(good.select("article_id", "url", "title", "source_name", "published_at", F.substring("text", 1, LONGEST_TEXT).alias("text"), F.lit(run).cast("long").alias("run"))), ["article_id"], "run").select("article_id", "url", "title", "source_name", "published_at", "text", "run"))
-    sources = good.select(F.concat(F.lit("source:"), F.lower("source_name")).alias("id"), F.col("source_name").alias("name"), F.lit(run).cast("long").alias("run"))
-    store.write("sources", lifecycle.latest(_old(spark, store, "sources").unionByName(sources), ["id"], "run").select("id", "name", "run"))
-    store.write("emitted", _old(spark, store, "emitted").unionByName(emitted.select("run", "url", "src_id", "rel_type", "dst_id")))
-    store.write("runs", _old(spark, store, "runs").unionByName(good.select("url", F.lit(run).cast("long").alias("run"))).distinct())
-    refresh(spark, store)
+    event = lifecycle.provenance(F.lit("processed"), run=F.lit(run), url=F.col("url"), trace_id=F.nullif("trace_id", F.lit("")))
+    of_run = good.join(raw.withColumnRenamed("article_id", "x_id"), F.col("article_id") == F.col("x_id"), "left").withColumns({"run": F.lit(run).cast("long"), "text": F.substring("text", 1, LONGEST_TEXT), "provenance": F.array(event)})
+    of_run = lifecycle.latest(of_run.drop("x_id"), ["article_id"], "url")
+    store.write("articles", lifecycle.upserted_articles(_old(spark, store, "articles"), of_run))
+    sources = good.select(F.concat(F.lit("source:"), slug_column(F.coalesce("source_name", F.lit("")))).alias("id"), F.col("source_name").alias("name"), F.coalesce("source_url", "url").alias("url"), F.lit(run).cast("long").alias("run"))
+    store.write("sources", lifecycle.latest(_old(spark, store, "sources").unionByName(sources), ["id"], "run").select("id", "name", "url", "run"))
+    own_urls = good.select(F.col("url").alias("own")).distinct()
+    touched = durable(_old(spark, store, "emitted").join(own_urls, F.col("url") == F.col("own"), "left_semi").unionByName(emitted).selectExpr(*PAIR).distinct())
+    store.append("emitted", emitted)
+    store.append("runs", own_urls.select(F.col("own").alias("url"), F.lit(run).cast("long").alias("run")))
+    refresh(spark, store, touched)
     return counts
 
 
+def _resolved(cands: DataFrame, relations: DataFrame, index: DataFrame, entities: DataFrame, claims: DataFrame, vectors: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    """resolve() of a batch; nothing merges into what it has a relation with, in its article or in the graph."""
+    near = durable(extract.neighbour_keys(relations, key_column))
+    names = entities.select(F.col("id").alias("node_id"), key_column(F.col("name"), F.col("label")).alias("key"))
+    live_claims = claims.where(live(F.col("lifecycle_status"), F.col("review_status"))).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+    ways = live_claims.unionByName(live_claims.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    blocked = durable(resolve.blocked_by_neighbours(cands, near, index).unionByName(resolve.blocked_by_graph(cands.select("cand_id", "key"), names, ways)).distinct())
+    first = durable(resolve.resolve(cands, index, key_column, blocked, vectors, known))
+    # what an earlier neighbour of the article was resolved to can't be a later one, either
+    met = cands.select("cand_id", "article_id", "entity_type", "key", "seq").join(first.select(F.col("cand_id").alias("f"), "entity_id"), F.col("cand_id") == F.col("f"))
+    of = near.select(F.col("article_id").alias("na"), F.col("entity_type").alias("nt"), "k", F.explode("neighbours").alias("n"))
+    asked = met.join(of, (F.col("article_id") == F.col("na")) & (F.col("entity_type") == F.col("nt")) & (F.col("key") == F.col("k")))
+    other = met.select(F.col("article_id").alias("oa"), F.concat_ws(":", "entity_type", "key").alias("on"), F.col("seq").alias("os"), F.col("entity_id").alias("oe"))
+    same = (F.col("article_id") == F.col("oa")) & (F.col("n") == F.col("on")) & (F.col("entity_id") == F.col("oe")) & (F.col("os") < F.col("seq"))
+    more = durable(asked.join(other, same).select("cand_id", "entity_id").distinct())
+    return first if more.isEmpty() else durable(resolve.resolve(cands, index, key_column, blocked.unionByName(more), vectors, known))
+
+
 def tally_of(good: DataFrame, articles: DataFrame, fits, seen: DataFrame, made: DataFrame) -> dict[str, int]:
     work = lifecycle.operations(seen, made.select("article_id"))
     per = articles.select("article_id", (~fits).alias("failed")).join(work.select(F.col("article_id").alias("w"), F.col("entities").alias("entity_count"), F.col("operations").alias("graph_operations")), F.col("article_id") == F.col("w"), "left")
     return tally(per.select("failed", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.coalesce("graph_operations", F.lit(3)).alias("graph_operations"))).first().asDict()
 
 
-def refresh(spark: SparkSession, store: Store) -> None:
-    """Folds all claims from the logs and flags contradictions."""
+def _claims(spark: SparkSession, store: Store) -> DataFrame:
+    return store.read("claims") if store.version("claims") else spark.createDataFrame([], CLAIMS)
+
+
+def refresh(spark: SparkSession, store: Store, touched: DataFrame | None = None) -> None:
+    """Folds claims from the logs and flags contradictions: all, or those between the ends of touched (lo, hi); the others stay as they are."""
     emitted, reviews = _old(spark, store, "emitted"), _old(spark, store, "reviews")
+    ends = lambda df: df.withColumns({"p_lo": F.least("src_id", "dst_id"), "p_hi": F.greatest("src_id", "dst_id")})
+    same = (F.col("p_lo") == F.col("lo")) & (F.col("p_hi") == F.col("hi"))
+    if touched is not None:
+        emitted, reviews = (ends(x).join(touched, same, "left_semi").drop("p_lo", "p_hi") for x in (emitted, reviews))
     runs = _old(spark, store, "runs").groupBy("url").agg(F.array_sort(F.collect_set("run")).alias("runs"))
     events = lifecycle.article_events_for(emitted, runs).unionByName(lifecycle.review_events(reviews))
-    store.write("claims", conflicts.flagged(lifecycle.fold(events)))
+    folded = conflicts.flagged(lifecycle.fold(events))
+    if touched is not None and store.version("claims"):
+        folded = folded.unionByName(ends(store.read("claims")).join(touched, same, "left_anti").drop("p_lo", "p_hi"))
+    store.write("claims", folded)
 
 
 def review(spark: SparkSession, store: Store, src_id: str, rel_type: str, dst_id: str, decision: str, comment: str | None = None, reviewer: str | None = None) -> bool:
@@ -124,8 +182,8 @@ def review(spark: SparkSession, store: Store, src_id: str, rel_type: str, dst_id
         return False
     run = store.read("runs").agg(F.max("run")).first()[0]
     row = spark.createDataFrame([(src_id, rel_type, dst_id, run, decision, comment, reviewer)], REVIEWS)
-    store.write("reviews", _old(spark, store, "reviews").unionByName(row))
-    refresh(spark, store)
+    store.append("reviews", row)
+    refresh(spark, store, row.selectExpr(*PAIR))
     return True
 
 
@@ -140,4 +198,4 @@ def feedback(spark: SparkSession, store: Store, trace_id: str, target: str, labe
     if target not in FEEDBACK_TARGETS or label not in FEEDBACK_LABELS:
         raise ValueError(f"feedback must have a target of {FEEDBACK_TARGETS} and a label of {FEEDBACK_LABELS}")
     row = spark.createDataFrame([(trace_id, target, label, comment, reviewer)], "trace_id string, target string, label string, comment string, reviewer string").withColumn("given_at", F.current_timestamp())
-    store.write("feedback", row if store.version("feedback") is None else store.read("feedback").unionByName(row))
+    store.append("feedback", row)

@@ -160,3 +160,21 @@ def operations(mentions: DataFrame, claims: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """rows with seq, their place within a key."""
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+# An article's fields that the last processing sets, and those that it sets only if it has them.
+ARTICLE_FIELDS = ("url", "title", "summary", "text", "author", "source_name", "source_url", "published_at", "tags", "raw_extraction", "run")
+TRACE_FIELDS = ("trace_id", "trace_url", "experiment_id")
+
+
+def upserted_articles(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Articles after a run, a row each: the fields of the run; traces stay where the run has none; provenance is an ordered union.
+
+    old: article_id, ARTICLE_FIELDS, TRACE_FIELDS, provenance array; new the same, once per article.
+    """
+    fresh = new.select(F.struct(*ARTICLE_FIELDS, *TRACE_FIELDS, "provenance").alias("n"), F.col("article_id").alias("n_id"))
+    both = old.select("article_id", F.struct(*ARTICLE_FIELDS, *TRACE_FIELDS, "provenance").alias("o")).join(fresh, F.col("article_id") == F.col("n_id"), "full")
+    none = F.array().cast("array<string>")
+    last = [F.when(F.col("n_id").isNull(), F.col("o")[c]).otherwise(F.col("n")[c]).alias(c) for c in ARTICLE_FIELDS]
+    traces = [F.coalesce(F.nullif(F.col("n")[c], F.lit("")), F.col("o")[c]).alias(c) for c in TRACE_FIELDS]
+    return both.select(F.coalesce("article_id", "n_id").alias("article_id"), *last, *traces, F.array_union(F.coalesce(F.col("o.provenance"), none), F.coalesce(F.col("n.provenance"), none)).alias("provenance"))

@@ -40,7 +40,7 @@ def _running_total(placed: DataFrame) -> DataFrame:
 
 
 def ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.bround(part / whole, 4)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, F.round(part / whole, 4)).otherwise(F.lit(0.0))
 
 
 def tally(articles: DataFrame) -> DataFrame:
@@ -91,4 +91,4 @@ def scores(articles: DataFrame) -> DataFrame:
 def usage(calls: DataFrame) -> DataFrame:
     """Token sums and mean attempts of calls (prompt_tokens, completion_tokens, attempts)."""
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c)
-    return calls.agg(total("prompt_tokens"), total("completion_tokens"), F.coalesce(F.bround(F.avg("attempts"), 4), F.lit(0.0)).alias("avg_attempts"))
+    return calls.agg(total("prompt_tokens"), total("completion_tokens"), F.coalesce(F.round(F.avg("attempts"), 4), F.lit(0.0)).alias("avg_attempts"))

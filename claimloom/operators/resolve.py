@@ -3,7 +3,10 @@
 The stages are joins. Fuzzy acceptance needs every one of five similarities at
 0.95 or more, token overlap among them, which below twenty tokens means equal
 token sets: so candidates meet on the sorted token set, and a Levenshtein bound
-follows; no pair of names is compared that doesn't share it.
+follows; no pair of names is compared that doesn't share it. The entity that is
+asked is the one whose greatest similarity is greatest, though: candidates that
+could be accepted also meet entities whose words are among theirs, or have all of
+theirs, on the rarest word of the smaller side.
 
 A sequential resolver would show each result to the next candidate. Here the
 batch is resolved against the registry first, and what is left against itself
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import slug_column, tokens_column
 from claimloom.functions.similarity import index_score, jaro_winkler_column, levenshtein, token_jaccard, token_set_column, token_sort_column
-from claimloom.operators.components import components
+from claimloom.model import ENTITY_TYPES
+from claimloom.operators.components import components, durable
 
 FUZZY = 0.95
 VECTOR = 0.88
@@ -29,11 +33,15 @@ SHORT, SHORT_CAP = 4, 0.95
 
 
 def registry(entities: DataFrame, key) -> DataFrame:
-    """(entity_type, key, entity_id): every name and alias of entities (id, label, name, canonical_name, aliases); the last entity of a key has it."""
+    """(entity_type, key, entity_id): every name and alias of entities (id, label, name, canonical_name, aliases).
+
+    The last entity of a key has it: by seq, where entities have that column, then by id.
+    """
+    order = F.struct(F.col("seq") if "seq" in entities.columns else F.lit(0).alias("seq"), F.col("id").alias("entity_id"))
     names = F.explode(F.array_distinct(F.concat(F.array("name", "canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("written")
-    keyed = entities.select(F.col("label").alias("entity_type"), F.col("id").alias("entity_id"), names).where("written is not null")
+    keyed = entities.select(F.col("label").alias("entity_type"), order.alias("last"), names).where("written is not null")
     keyed = keyed.withColumn("key", key(F.col("written"), F.col("entity_type"))).where("key <> ''")
-    return keyed.groupBy("entity_type", "key").agg(F.max("entity_id").alias("entity_id"))
+    return keyed.groupBy("entity_type", "key").agg(F.max("last").alias("last")).select("entity_type", "key", F.col("last.entity_id").alias("entity_id"))
 
 
 def exact(candidates: DataFrame, index: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
@@ -64,9 +72,9 @@ def five_scores(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def fuzzy(candidates: DataFrame, index: DataFrame, threshold: float = FUZZY, blocked: DataFrame | None = None) -> DataFrame:
-    """Candidates (cand_id, entity_type, key) with the entity whose least similarity is best and at the threshold or above.
+    """Candidates (cand_id, entity_type, key) with the entity whose greatest similarity is best, if its least one is at the threshold or above.
 
-    Ties go to the least entity id. Token sets of twenty and more may differ by
+    Ties go to the least entity id. Blocked entities don't take part. Token sets of twenty and more may differ by
     one token and still pass; those meet on the set without each one of its tokens.
     """
     def blocks(df: DataFrame) -> DataFrame:
@@ -82,9 +90,37 @@ def fuzzy(candidates: DataFrame, index: DataFrame, threshold: float = FUZZY, blo
     pairs = pairs.where(levenshtein(F.col("a"), F.col("b")) >= threshold)
     if blocked is not None:
         pairs = pairs.join(blocked.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
-    good = five_scores(pairs).where(F.col("minimum") >= threshold)
-    best = good.groupBy("cand_id").agg(F.min(F.struct((-F.col("minimum")).alias("m"), "entity_id")).alias("best"))
-    return best.select("cand_id", F.col("best.entity_id").alias("entity_id"), (-F.col("best.m")).alias("similarity"))
+    good = durable(five_scores(pairs).where(F.col("minimum") >= threshold).select("cand_id", "a", "b", "entity_id", "composite", "minimum"))
+    # who else could have a greatest similarity as great: equal token sets, or all words of one among the other's
+    able = good.select("cand_id", "a").distinct()
+    rivals = mine.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi").join(theirs, (F.col("t") == F.col("entity_type")) & (F.col("block") == F.col("other"))).select("cand_id", "a", "b", "entity_id")
+    rivals = rivals.unionByName(nested(candidates.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi"), index)).distinct()
+    if blocked is not None:
+        rivals = rivals.join(blocked.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
+    scored = five_scores(rivals).select("cand_id", "entity_id", "composite", "minimum")
+    best = scored.groupBy("cand_id").agg(F.min(F.struct((-F.col("composite")).alias("m"), "entity_id", (-F.col("minimum")).alias("n"))).alias("best"))
+    return best.select("cand_id", F.col("best.entity_id").alias("entity_id"), (-F.col("best.n")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def nested(candidates: DataFrame, index: DataFrame) -> DataFrame:
+    """(cand_id, a, b, entity_id) of a candidate's key and an entity's, all words of one being among the other's."""
+    def word_rows(df: DataFrame) -> DataFrame:
+        return df.withColumn("words", F.array_distinct(F.filter(F.split("key", " "), lambda w: w != ""))).where(F.size("words") > 0)
+
+    theirs = word_rows(index.select("entity_type", "entity_id", "key")).select("entity_type", "entity_id", F.col("key").alias("b"), F.col("words").alias("b_words"))
+    spread = theirs.withColumn("word", F.explode("b_words"))
+    often = spread.groupBy("entity_type", "word").agg(F.count("*").alias("n")).withColumnsRenamed({"entity_type": "n_type", "word": "n_word"})
+    counted = (F.col("entity_type") == F.col("n_type")) & (F.col("word") == F.col("n_word"))
+    # an entity stands at its rarest word, where a candidate with all its words finds it
+    rare = spread.join(often, counted).groupBy("entity_type", "entity_id", "b", "b_words").agg(F.min(F.struct("n", "word")).alias("rarest")).select("entity_type", "entity_id", "b", "b_words", F.col("rarest.word").alias("word"))
+    mine = word_rows(candidates.select("cand_id", F.col("entity_type").alias("t"), "key")).select("cand_id", "t", F.col("key").alias("a"), F.col("words").alias("a_words"))
+    own = mine.withColumn("w", F.explode("a_words"))
+    within = own.join(rare, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where(F.size(F.array_except("b_words", "a_words")) == 0)
+    # and a candidate asks at its own rarest word for entities that have all its words; a word that no entity has ends the search
+    asked = own.join(often, (F.col("t") == F.col("n_type")) & (F.col("w") == F.col("n_word")), "left").groupBy("cand_id", "t", "a", "a_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("rarest")).select("cand_id", "t", "a", "a_words", F.col("rarest.w").alias("w"))
+    beyond = asked.join(spread, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where(F.size(F.array_except("a_words", "b_words")) == 0)
+    columns = ["cand_id", "a", "b", "entity_id"]
+    return within.select(*columns).unionByName(beyond.select(*columns))
 
 
 def nearest(candidates: DataFrame, entities: DataFrame, k: int = NEIGHBOURS, threshold: float = VECTOR, excluded: DataFrame | None = None, block: int = 2048) -> DataFrame:
@@ -138,10 +174,12 @@ def nearest(candidates: DataFrame, entities: DataFrame, k: int = NEIGHBOURS, thr
     return best.select("cand_id", F.col("m.entity_id").alias("entity_id"), index_score(F.col("m.cosine")).alias("score")).where(F.col("score") >= threshold)
 
 
-def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | None = None) -> DataFrame:
-    """Every candidate (cand_id, seq, entity_type, name, aliases) with its entity_id and the method: exact, fuzzy or new.
+def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | None = None, vectors: DataFrame | None = None, entity_vectors: DataFrame | None = None, threshold: float = VECTOR) -> DataFrame:
+    """Every candidate (cand_id, seq, entity_type, name, aliases) with its entity_id and the method: exact, fuzzy, embedding or new.
 
-    New ones are joined to each other over shared keys and token sets of their
+    vectors (cand_id, vector) and entity_vectors (entity_id, entity_type,
+    vector): with both, what names leave open goes to the nearest entity of its
+    type, at the threshold or above. New ones are joined to each other over shared keys and token sets of their
     type; an entity's id is its type and the slug of its first candidate's name.
     """
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -152,7 +190,18 @@ def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | N
     hit = exact(cands, index, blocked).select(F.col("cand_id").alias("e_id"), F.col("entity_id").alias("exact_id"))
     near = fuzzy(cands.select("cand_id", "entity_type", "key").where("key <> ''"), index, blocked=blocked).select(F.col("cand_id").alias("f_id"), F.col("entity_id").alias("fuzzy_id"), "similarity")
     placed = cands.join(hit, F.col("cand_id") == F.col("e_id"), "left").join(near, F.col("cand_id") == F.col("f_id"), "left").drop("e_id", "f_id")
-    fresh = placed.where("exact_id is null and fuzzy_id is null")
+    if vectors is not None and entity_vectors is not None:
+        placed = durable(placed)
+        open_ = placed.where("exact_id is null and fuzzy_id is null").select(F.col("cand_id").alias("o_id"), "entity_type")
+        asked = vectors.join(open_, F.col("cand_id") == F.col("o_id"))
+        met = None
+        for kind in ENTITY_TYPES:
+            part = nearest(asked.where(F.col("entity_type") == kind).select("cand_id", "vector"), entity_vectors.where(F.col("entity_type") == kind).select("entity_id", "vector"), threshold=threshold, excluded=blocked)
+            met = part if met is None else met.unionByName(part)
+        placed = placed.join(met.select(F.col("cand_id").alias("v_id"), F.col("entity_id").alias("vector_id"), F.col("score")), F.col("cand_id") == F.col("v_id"), "left").drop("v_id")
+    else:
+        placed = placed.withColumn("vector_id", F.lit(None).cast(dict(index.dtypes)["entity_id"])).withColumn("score", F.lit(None).cast("double"))
+    fresh = placed.where("exact_id is null and fuzzy_id is null and vector_id is null")
     blocks = fresh.select("cand_id", "seq", "entity_type", F.explode(F.array_union(F.transform("keys", lambda k: F.concat(F.lit("k:"), k)), F.array(F.concat(F.lit("t:"), F.array_join(tokens_column(F.col("key")), " "))))).alias("block")).where("length(block) > 2")
     # each member of a block is tied to the block's first: no pairs within a block
     heads = blocks.groupBy("entity_type", "block").agg(F.min("seq").alias("head"))
@@ -162,8 +211,8 @@ def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | N
     first = grouped.groupBy("root").agg(F.min_by("name", "seq").alias("first_name"), F.min_by("entity_type", "seq").alias("first_type"), F.min("seq").alias("first_seq")).withColumn("new_id", F.concat_ws(":", F.lower("first_type"), slug_column(F.col("first_name")))).withColumnRenamed("root", "top")
     made = grouped.join(first, F.col("root") == F.col("top")).select(F.col("cand_id").alias("n_id"), "new_id", (F.col("seq") == F.col("first_seq")).alias("is_first"))
     joined = placed.join(made, F.col("cand_id") == F.col("n_id"), "left")
-    method = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").when(F.col("is_first"), "new").otherwise("exact")
-    return joined.select("cand_id", "entity_type", "name", "key", F.coalesce("exact_id", "fuzzy_id", "new_id").alias("entity_id"), method.alias("method"), F.bround("similarity", 3).alias("similarity"))
+    method = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("fuzzy_id").isNotNull(), "fuzzy").when(F.col("vector_id").isNotNull(), "embedding").when(F.col("is_first"), "new").otherwise("exact")
+    return joined.select("cand_id", "entity_type", "name", "key", F.coalesce("exact_id", "fuzzy_id", "vector_id", "new_id").alias("entity_id"), method.alias("method"), F.round(F.coalesce("similarity", "score"), 3).alias("similarity"))
 
 
 def blocked_by_neighbours(cands: DataFrame, neighbours: DataFrame, index: DataFrame) -> DataFrame:

@@ -8,34 +8,34 @@ _LINES = """
 """
 
 GRAPH = f"""
-WITH lines AS ({_LINES}),
-nodes AS (
+WITH lines AS MATERIALIZED ({_LINES}),
+nodes AS MATERIALIZED (
   SELECT 'startup:' || p_partkey AS id, 'Startup' AS label, p_name AS name, [p_brand || ' ' || p_name] AS aliases, p_type AS description, NULL AS title, NULL::TIMESTAMP AS published_at, NULL AS source_name FROM part
   UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN 'investor:' WHEN 1 THEN 'company:' ELSE 'person:' END || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Investor' WHEN 1 THEN 'Company' ELSE 'Person' END, s_name, [], NULL, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT 'person:c' || c_custkey, 'Person', c_name, [], c_mktsegment, NULL, NULL, NULL FROM customer
   UNION ALL SELECT DISTINCT 'topic:' || p_brand, 'Topic', p_brand, [], NULL, NULL, NULL::TIMESTAMP, NULL FROM part
   UNION ALL SELECT 'article:' || o_orderkey, 'Article', NULL, [], NULL, 'Order ' || o_orderkey, o_orderdate, o_orderpriority FROM orders
   UNION ALL SELECT DISTINCT 'source:' || o_orderpriority, 'Source', o_orderpriority, [], NULL, NULL, NULL::TIMESTAMP, NULL FROM orders),
-pairs AS (SELECT a.o, a.f, a.s, a.p AS x, c.p AS y, c.n - a.n AS k FROM lines a JOIN lines c ON a.o = c.o AND c.n - a.n IN (1, 2, 3) WHERE a.p <> c.p),
-claims AS (
+pairs AS MATERIALIZED (SELECT a.o, a.f, a.s, a.p AS x, c.p AS y, c.n - a.n AS k FROM lines a JOIN lines c ON a.o = c.o AND c.n - a.n IN (1, 2, 3) WHERE a.p <> c.p),
+claims AS MATERIALIZED (
   SELECT b AS src_id, 'INVESTED_IN' AS rel_type, p AS dst_id, o, f, s FROM lines
   UNION ALL SELECT p, 'FOUNDED_BY', 'person:c' || o_custkey, o, f, s FROM lines JOIN orders ON o = o_orderkey WHERE n = 1
   UNION ALL SELECT 'person:c' || o_custkey, 'EMPLOYED_BY', b, o, f, s FROM lines JOIN orders ON o = o_orderkey WHERE n = 6
   UNION ALL SELECT x, 'ACQUIRED', y, o, f, s FROM pairs WHERE k = 1
   UNION ALL SELECT least(x, y), 'MERGED_WITH', greatest(x, y), o, f, s FROM pairs WHERE k = 2
   UNION ALL SELECT x, 'PARTNERED_WITH', y, o, f, s FROM pairs WHERE k = 3),
-bare AS (
+bare AS MATERIALIZED (
   SELECT src_id, rel_type, dst_id, 'stated' AS evidence_status, CASE max(s) WHEN 'O' THEN 'supported' ELSE 'unsupported_by_latest_source_processing' END AS lifecycle_status,
          CASE max(f) WHEN 'A' THEN 'accepted' WHEN 'N' THEN 'unreviewed' WHEN 'R' THEN 'rejected' END AS review_status, count(DISTINCT o) AS support FROM claims GROUP BY 1, 2, 3
   UNION ALL SELECT 'startup:' || p_partkey, 'HAS_TOPIC', 'topic:' || p_brand, 'stated', 'supported', 'unreviewed', 1 FROM part
   UNION ALL SELECT DISTINCT 'article:' || l_orderkey, 'HAS_TOPIC', 'topic:' || p_brand, 'stated', 'supported', 'unreviewed', 1 FROM lineitem JOIN part ON l_partkey = p_partkey
   UNION ALL SELECT 'article:' || o, 'MENTIONS', p, CASE WHEN min(n) = 6 THEN 'unsure' WHEN max(s) = 'O' THEN 'stated' ELSE 'attributed' END, NULL, NULL, 1 FROM lines GROUP BY o, p
   UNION ALL SELECT 'article:' || o_orderkey, 'FROM_SOURCE', 'source:' || o_orderpriority, 'stated', 'supported', 'unreviewed', 1 FROM orders),
-edges AS (
+edges AS MATERIALIZED (
   SELECT *, upper(src_id[1]) || split_part(src_id, ':', 1)[2:] AS src_label, upper(dst_id[1]) || split_part(dst_id, ':', 1)[2:] AS dst_label FROM bare),
-counted AS (SELECT * FROM edges WHERE coalesce(lifecycle_status, 'supported') = 'supported' AND coalesce(review_status, 'unreviewed') IN ('unreviewed', 'accepted')),
-living AS (SELECT * FROM edges WHERE coalesce(lifecycle_status, 'supported') = 'supported' AND coalesce(review_status, 'unreviewed') <> 'rejected'),
-ways AS (SELECT src_id AS a, dst_id AS b, rel_type FROM edges UNION ALL SELECT dst_id, src_id, rel_type FROM edges)
+counted AS MATERIALIZED (SELECT * FROM edges WHERE coalesce(lifecycle_status, 'supported') = 'supported' AND coalesce(review_status, 'unreviewed') IN ('unreviewed', 'accepted')),
+living AS MATERIALIZED (SELECT * FROM edges WHERE coalesce(lifecycle_status, 'supported') = 'supported' AND coalesce(review_status, 'unreviewed') <> 'rejected'),
+ways AS MATERIALIZED (SELECT src_id AS a, dst_id AS b, rel_type FROM edges UNION ALL SELECT dst_id, src_id, rel_type FROM edges)
 """
 
 DOMAIN = ", ".join(f"'{r}'" for r in DOMAIN_RELATIONS)
@@ -143,7 +143,8 @@ SQL = {
       SELECT count(*) FILTER (r = 'needs_review') AS review, count(*) FILTER (r NOT IN ('needs_review', 'rejected')) AS supported, count(*) FILTER (r IN ('accepted', 'rejected')) AS reviewed, count(*) FILTER (r = 'accepted') AS accepted, count(*) FILTER (r = 'rejected') AS rejected
       FROM (SELECT coalesce(review_status, 'unreviewed') AS r FROM edges WHERE (src_id = 'startup:1' OR dst_id = 'startup:1') AND rel_type IN ({DOMAIN}) AND src_label <> 'Article' AND dst_label <> 'Article')""",
     "g10_inverse_conflicts": GRAPH + f"""
-      SELECT x.rel_type, x.src_id AS low_id, x.dst_id AS high_id FROM living x JOIN living y ON x.src_id = y.dst_id AND x.dst_id = y.src_id AND x.rel_type = y.rel_type WHERE x.rel_type IN ({DIRECTED}) AND x.src_id < x.dst_id""",
+      SELECT rel_type, least(src_id, dst_id) AS low_id, greatest(src_id, dst_id) AS high_id FROM living WHERE rel_type IN ({DIRECTED}) AND src_id <> dst_id
+      GROUP BY ALL HAVING count(DISTINCT src_id) = 2""",
     "g11_transaction_conflicts": GRAPH + """
       SELECT x.src_id, x.dst_id, y.src_id AS merged_src, y.dst_id AS merged_dst FROM living x JOIN living y ON (x.src_id = y.src_id AND x.dst_id = y.dst_id) OR (x.src_id = y.dst_id AND x.dst_id = y.src_id) WHERE x.rel_type = 'ACQUIRED' AND y.rel_type = 'MERGED_WITH'""",
     "g12_flagged_claims": GRAPH + f"""

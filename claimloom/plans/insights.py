@@ -31,7 +31,7 @@ def trending_startups(graph: Graph, as_of: datetime | None = None, days: int = 3
     if as_of is None:
         as_of = graph.table("orders").agg(F.max("o_orderdate")).first()[0]
     recent = articles.where(F.col("published_at") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
-    mentions = graph.edges("MENTIONS").where(admitted(F.coalesce("evidence_status", F.lit("stated")))).select("src_id", "dst_id")
+    mentions = graph.mentions_by(recent.select(F.col("article").alias("id"))).where(admitted(F.coalesce("evidence_status", F.lit("stated")))).select("src_id", "dst_id")
     seen = mentions.join(recent, F.col("src_id") == F.col("article")).select("dst_id", "title", "published_at")
     counts = seen.groupBy("dst_id").agg(F.count("*").alias("mentions"), F.max("published_at").alias("last"))  # an article mentions a startup once
     order = [F.desc_nulls_first("mentions"), F.desc_nulls_first("last"), F.asc_nulls_last("name"), F.asc("id")]

@@ -1,7 +1,9 @@
 """Bounded subgraphs: around an entity, the landscape, the feed, what a client shows.
 
 A subgraph is a pair of DataFrames, nodes and edges. Frontiers are deduplicated
-per hop before they are joined again, so a hub is expanded once.
+per hop before they are joined again, so a hub is expanded once. Ids that edges
+are asked for are broadcast if they are few, by count; such a semi-join goes
+below the aggregations that make the edges, so only the asked ones are made.
 """
 
 from __future__ import annotations
@@ -20,6 +22,21 @@ from claimloom.sources.graph import Graph, undirected
 TYPE_PRIORITY = {"Startup": 62, "Investor": 58, "Company": 54, "Topic": 45, "Person": 38, "Article": 24, "Source": 20}
 OTHER_PRIORITY = 18
 EDGE_KEYS = ["src_id", "rel_type", "dst_id"]
+#: Ids that are few enough to send to every task.
+FEW = 100_000
+
+
+def sent_if_few(ids: DataFrame) -> DataFrame:
+    """ids, kept, and marked for broadcast if there are FEW at most."""
+    ids = durable(ids)
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def at_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(near, far) for each end of an edge that is among ids (id)."""
+    ids = ids.select(F.col("id").alias("end"))
+    out = edges.join(ids, F.col("src_id") == F.col("end"), "left_semi").select(F.col("src_id").alias("near"), F.col("dst_id").alias("far"))
+    return out.unionByName(edges.join(ids, F.col("dst_id") == F.col("end"), "left_semi").select(F.col("dst_id").alias("near"), F.col("src_id").alias("far")))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -30,8 +47,7 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def public(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a response holds: each node once; no rejected edge, none with an end outside."""
-    nodes = nodes.dropDuplicates(["id"])
-    return nodes, induced(edges.where(F.coalesce("review_status", F.lit("unreviewed")) != "rejected"), nodes).dropDuplicates(EDGE_KEYS)
+    return nodes.dropDuplicates(["id"]), induced(edges.where(F.coalesce("review_status", F.lit("unreviewed")) != "rejected"), nodes).dropDuplicates(EDGE_KEYS)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -42,9 +58,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 def startup_degrees(graph: Graph) -> DataFrame:
     """(id, degree) of startups: distinct domain edges at either end plus mentions by articles. An edge is one by its key."""
     domain = graph.edges(*DOMAIN_RELATIONS)
-    ends = domain.where("src_label = 'Startup'").select(F.col("src_id").alias("id"), *EDGE_KEYS).unionByName(domain.where("dst_label = 'Startup' AND dst_id <> src_id").select(F.col("dst_id").alias("id"), *EDGE_KEYS))
+    own = F.array_distinct(F.array(*[F.when(F.col(f"{x}_label") == "Startup", F.col(f"{x}_id")) for x in ("src", "dst")]))
+    ends = domain.select(F.explode(own).alias("id")).where("id is not null")
     mentions = graph.edges("MENTIONS").where("dst_label = 'Startup'").select(F.col("dst_id").alias("id"))
-    counts = ends.select("id").unionByName(mentions).groupBy("id").agg(F.count("*").alias("degree"))
+    counts = ends.unionByName(mentions).groupBy("id").agg(F.count("*").alias("degree"))
     ids = graph.nodes("Startup").select(F.col("id").alias("own"), "name")
     return ids.join(counts, F.col("own") == F.col("id"), "left").select(F.col("own").alias("id"), "name", F.coalesce("degree", F.lit(0)).alias("degree"))
 
@@ -52,21 +69,21 @@ def startup_degrees(graph: Graph) -> DataFrame:
 def center(graph: Graph, entity: str) -> str | None:
     """The best match's id: by kind of match, degree, name, id. One row comes to the driver."""
     needle = name_key(entity, "Startup")
-    found = matches(graph.nodes(*ENTITY_TYPES), needle)
-    ends = degrees(graph.edges()).withColumnRenamed("id", "end")
-    ranked = found.join(ends, F.col("id") == F.col("end"), "left")
+    found = sent_if_few(matches(graph.nodes(*ENTITY_TYPES), needle))
+    ends = at_ends(graph.edges(), found).groupBy("near").agg(F.count("*").alias("degree"))
+    ranked = found.join(ends, F.col("id") == F.col("near"), "left")
     row = ranked.orderBy(F.desc("relevance"), F.desc(F.coalesce("degree", F.lit(0))), F.lower(F.coalesce("name", "canonical_name", "id")), "id").select("id").first()
     return row and row.id
 
 
-def hops(graph_edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, hops) of all nodes within depth of start (id), start at 0."""
-    ways = undirected(graph_edges).select("a", "b").distinct()
-    seen = start.select("id", F.lit(0).alias("hops"))
-    frontier = start.select("id")
+def hops(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(id, hops) of all nodes within depth of start (id), start at 0. links: (src_id, dst_id), repeated or not."""
+    ways = links.select(F.explode(F.array(F.struct(F.col("src_id").alias("near"), F.col("dst_id").alias("far")), F.struct(F.col("dst_id").alias("near"), F.col("src_id").alias("far")))).alias("way")).select("way.*")
+    frontier = sent_if_few(start.select("id").distinct())
+    seen = frontier.withColumn("hops", F.lit(0))
     for k in range(1, depth + 1):
-        reached = ways.join(frontier, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = durable(reached.join(seen.select(F.col("id").alias("old")), F.col("id") == F.col("old"), "left_anti"))
+        reached = ways.join(frontier, F.col("near") == F.col("id"), "left_semi").select(F.col("far").alias("id")).distinct()
+        frontier = sent_if_few(reached.join(seen.select(F.col("id").alias("old")), F.col("id") == F.col("old"), "left_anti"))
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(k)))
     return seen
 
@@ -81,10 +98,10 @@ def around(graph: Graph, middle: str | None, limit: int) -> tuple[DataFrame, Dat
     """entity_graph() of a node that is known by its id."""
     nodes, edges = graph.nodes(), graph.edges()
     start = graph.spark.createDataFrame([(middle,)] if middle else [], "id string")
-    near = hops(edges, start, 2).withColumnRenamed("id", "near")
+    near = hops(graph.links(), start, 2).withColumnRenamed("id", "near")
     placed = durable(nodes.join(near, F.col("id") == F.col("near")).drop("near"))
     others = placed.where("hops > 0").orderBy("hops", F.lower(F.coalesce("name", "title", "id")), "id").limit(limit)
-    return public(durable(placed.where("hops = 0").unionByName(others)), edges)
+    return public(F.broadcast(durable(placed.where("hops = 0").unionByName(others))), edges)  # at most limit + 1 nodes
 
 
 def landscape(graph: Graph, limit: int = 120) -> tuple[DataFrame, DataFrame]:
@@ -94,12 +111,12 @@ def landscape(graph: Graph, limit: int = 120) -> tuple[DataFrame, DataFrame]:
     top = F.broadcast(durable(top))  # at most 500 ids
     domain = graph.edges(*DOMAIN_RELATIONS)
     core = domain.join(top, F.col("src_id") == F.col("top"), "left_semi").unionByName(domain.join(top, F.col("dst_id") == F.col("top"), "left_semi")).dropDuplicates(EDGE_KEYS)
-    mentions = graph.edges("MENTIONS").join(top, F.col("dst_id") == F.col("top"), "left_semi")
-    articles = mentions.select(F.col("src_id").alias("article")).distinct()
+    mentions = durable(graph.edges("MENTIONS").join(top, F.col("dst_id") == F.col("top"), "left_semi"))
+    articles = sent_if_few(mentions.select(F.col("src_id").alias("article")).distinct())
     about = graph.edges("FROM_SOURCE", "HAS_TOPIC").where("src_label = 'Article'").join(articles, F.col("src_id") == F.col("article"), "left_semi")
     edges = durable(core.unionByName(mentions).unionByName(about))
-    ids = edges.select(F.explode(F.array("src_id", "dst_id")).alias("end")).unionByName(top.select(F.col("top").alias("end"))).distinct()
-    return public(durable(graph.nodes().join(ids, F.col("id") == F.col("end"), "left_semi")), edges)
+    ids = sent_if_few(edges.select(F.explode(F.array("src_id", "dst_id")).alias("end")).unionByName(top.select(F.col("top").alias("end"))).distinct())
+    return public(sent_if_few(graph.nodes().join(ids, F.col("id") == F.col("end"), "left_semi")), edges)
 
 
 def feed(graph: Graph, limit: int = 120) -> tuple[DataFrame, DataFrame]:

@@ -56,7 +56,7 @@ def _visible(g: Graph) -> DataFrame:
 
 
 def _focus(g: Graph) -> DataFrame:
-    return subgraph.hops(g.edges(), g.spark.createDataFrame([("investor:3",)], "id string"), 2)
+    return subgraph.hops(g.links(), g.spark.createDataFrame([("investor:3",)], "id string"), 2)
 
 
 def _layout(g: Graph) -> DataFrame:

@@ -118,7 +118,20 @@ class Graph:
     def _lines(self) -> DataFrame:
         return self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
 
-    def _claims(self, wanted: tuple[str, ...], articles: bool) -> DataFrame:
+    def links(self) -> DataFrame:
+        """(src_id, dst_id) of all edges as their rows stand, not made one per edge: for questions of who is linked to whom."""
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey")
+        part = self.table("part").select("p_partkey", F.concat(F.lit("topic:"), F.col("p_brand")).alias("topic"))
+        article = F.concat(F.lit("article:"), F.col("l_orderkey").cast("string"))
+        mentions = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(article.alias("src_id"), F.explode(F.array(self._startup("l_partkey"), F.col("topic"))).alias("dst_id")).where("dst_id is not null")
+        parts = [self._claim_rows(RELATIONS).select("src_id", "dst_id"), mentions, part.select(self._startup("p_partkey").alias("src_id"), F.col("topic").alias("dst_id")), self._from_source().select("src_id", "dst_id")]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _claim_rows(self, wanted: tuple[str, ...]) -> DataFrame:
+        """A row for each line or pair of lines that makes a claim."""
         facts = ["l_orderkey", "l_returnflag", "l_linestatus"]
         rows = []
         if "INVESTED_IN" in wanted:
@@ -141,6 +154,10 @@ class Graph:
         lines = rows[0]
         for r in rows[1:]:
             lines = lines.unionByName(r)
+        return lines
+
+    def _claims(self, wanted: tuple[str, ...], articles: bool) -> DataFrame:
+        lines = self._claim_rows(wanted)
         gathered = [F.array_sort(F.collect_set(F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")))).alias("articles")] if articles else []
         grouped = lines.groupBy("src_id", "rel_type", "dst_id").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.count("*").alias("support"), *gathered)
         review = F.when(F.col("flag") == "A", "accepted").when(F.col("flag") == "N", "unreviewed").when(F.col("flag") == "R", "rejected")
@@ -153,12 +170,19 @@ class Graph:
         of_articles = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")).alias("src_id"), "dst_id").distinct()
         return self._edge(own.unionByName(of_articles), F.lit("HAS_TOPIC"), F.lit("stated"), F.lit(SUPPORTED), F.lit("unreviewed"))
 
-    def _mentions(self) -> DataFrame:
-        lines = self._lines().withColumn("src_id", F.concat(F.lit("article:"), F.col("l_orderkey").cast("string"))).withColumn("dst_id", self._startup("l_partkey"))
-        grouped = lines.groupBy("src_id", "dst_id").agg(F.min("l_linenumber").alias("line"), F.max("l_linestatus").alias("status"))
+    def mentions_by(self, articles: DataFrame) -> DataFrame:
+        """MENTIONS edges of some articles (id) only; the lines of others are left out before anything is grouped."""
+        orders = articles.select(F.substring_index("id", ":", -1).cast("long").alias("o"))
+        return self._mentions(self._lines().join(orders, F.col("l_orderkey") == F.col("o"), "left_semi"))
+
+    def _mentions(self, lines: DataFrame | None = None) -> DataFrame:
+        # by the tables' own keys: lines that are dealt by their order needn't be dealt again
+        lines = self._lines() if lines is None else lines
+        grouped = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.max("l_linestatus").alias("status"))
+        named = grouped.select("line", "status", F.concat(F.lit("article:"), F.col("l_orderkey").cast("string")).alias("src_id"), self._startup("l_partkey").alias("dst_id"))
         evidence = F.when(F.col("line") == 6, "unsure").when(F.col("status") == "O", "stated").otherwise("attributed")
         none = F.lit(None).cast("string")
-        return self._edge(grouped, F.lit("MENTIONS"), evidence, none, none)
+        return self._edge(named, F.lit("MENTIONS"), evidence, none, none)
 
     def _from_source(self) -> DataFrame:
         orders = self.table("orders").select(F.concat(F.lit("article:"), F.col("o_orderkey").cast("string")).alias("src_id"), F.concat(F.lit("source:"), F.col("o_orderpriority")).alias("dst_id"))

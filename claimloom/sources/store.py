@@ -1,8 +1,9 @@
 """Tables of a graph in versions, and files about a run.
 
-A write makes a new folder and then a new pointer file, one row that names the
-folder; the newest pointer counts. So a table that is being read is never
-overwritten, and a write that fails leaves the old version in place.
+A write makes a new folder of rows and then a new pointer, a small table of the
+folders that are the version; the newest whole pointer counts. So a table that is
+being read is never overwritten, a write that fails leaves the old version in
+place, and an append writes the new rows alone.
 """
 
 from __future__ import annotations
@@ -12,30 +13,50 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of a table from which an append writes it as one again.
+MOST_PARTS = 100
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointers(self, name: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/versions")
-        system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [int(x.getPath().getName()) for x in system.listStatus(hadoop)] if system.exists(hadoop) else []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        folder = path(f"{self.root}/{name}/versions")
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [x.getPath() for x in system.listStatus(folder)] if system.exists(folder) else []
+        return [int(x.getName()) for x in found if system.exists(path(x, "_SUCCESS"))]
 
     def version(self, name: str) -> int | None:
         return max(self._pointers(name), default=None)
 
-    def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+    def parts(self, name: str) -> list[int]:
+        """The folders that are the newest version."""
+        number = self.version(name)
+        return [] if number is None else sorted(r.part for r in self.spark.read.parquet(f"{self.root}/{name}/versions/{number}").collect())
+
+    def _add(self, name: str, df: DataFrame, before: list[int], partition_by: tuple[str, ...] = ()) -> int:
         number = (self.version(name) or 0) + 1
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/data/{number}")
-        self.spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/versions/{number}")
+        self.spark.createDataFrame([(x,) for x in [*before, number]], "part long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/versions/{number}")
         return number
 
+    def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+        return self._add(name, df, [], partition_by)
+
+    def append(self, name: str, df: DataFrame) -> int:
+        """Adds rows of the same columns. From MOST_PARTS folders on, the table is written as one again."""
+        before = self.parts(name)
+        if len(before) >= MOST_PARTS:
+            return self.write(name, self.read(name).unionByName(df))
+        return self._add(name, df, before)
+
     def read(self, name: str) -> DataFrame:
-        number = self.version(name)
-        if number is None:
+        found = self.parts(name)
+        if not found:
             raise LookupError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/data/{number}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/data/{x}" for x in found])
 
     def clear(self) -> int:
         """Empties nodes and edges; returns how many nodes there were."""

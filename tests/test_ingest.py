@@ -48,7 +48,13 @@ def test_runs_reviews_and_contradictions(spark, tmp_path):
     ingest.ingest(spark, store, 3, *batch(spark, ("a1", text(("entity", "Acme", "Startup", "stated", "m"), ("entity", "Robots", "Topic", "stated", "t"), ("relation", "Acme", "Robots", "HAS_TOPIC", "stated", "", "about")))))
     c = claims(store)["startup:acme-gmbh", "ACQUIRED", "startup:beta"]
     assert (c.lifecycle_status, c.review_status, c.review_reasons, c.support_changed, c.active_article_urls) == ("unsupported_by_latest_source_processing", "needs_review", ["not_reproduced_same_article"], True, [])
-    assert store.read("articles").count() == 2 and store.read("sources").count() == 1
+    assert store.read("articles").count() == 2 and store.read("sources").first().id == "source:daily"
+    a1 = store.read("articles").where("article_id = 'a1'").first()
+    assert len(a1.provenance) == 2 and a1.run == 3 and '"topics":[{"name":"Robots"' in a1.raw_extraction
+    # folding everything anew changes nothing
+    before = sorted(map(str, store.read("claims").collect()))
+    ingest.refresh(spark, store)
+    assert sorted(map(str, store.read("claims").collect())) == before
 
 
 def test_extractor_and_embedder(spark):
@@ -71,3 +77,48 @@ def test_feedback(spark, tmp_path):
     assert sorted((r.trace_id, r.label, r.comment) for r in store.read("feedback").collect()) == [("t1", "good", None), ("t2", "wrong_merge", "two Acmes")]
     with pytest.raises(ValueError):
         ingest.feedback(spark, store, "t", "overall", "fine")
+
+
+def test_fields_of_an_article_that_comes_again(spark):
+    from claimloom.operators.lifecycle import upserted_articles
+
+    blank = dict.fromkeys(f.split()[0] for f in ingest.ARTICLES.split(", "))
+    old = spark.createDataFrame([blank | {"article_id": "a", "author": "x", "summary": "s", "trace_id": "t1", "trace_url": "u", "provenance": ["p1"]}, blank | {"article_id": "b", "title": "B"}], ingest.ARTICLES)
+    new = spark.createDataFrame([blank | {"article_id": "a", "author": None, "summary": "n", "trace_id": "", "trace_url": "v", "provenance": ["p1"]}, blank | {"article_id": "c", "provenance": ["p3"]}], ingest.ARTICLES)
+    got = {r.article_id: r for r in upserted_articles(old, new).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"].title == "B" and got["c"].provenance == ["p3"]
+    assert (got["a"].author, got["a"].summary, got["a"].trace_id, got["a"].trace_url, got["a"].provenance) == (None, "n", "t1", "v", ["p1"])
+
+
+def test_snapshot_counts_its_records(spark):
+    from pyspark.sql import functions as F
+
+    from claimloom.operators import extract
+
+    df = spark.createDataFrame([("a", text(("entity", "Acme", "Startup", "stated", "x"), ("entity", "R", "Topic", "unsure", "x"), ("relation", "Acme", "R", "HAS_TOPIC", "stated", "", "about"))), ("b", text(("entity", "Ann", "Person", "stated", "x")))], "article_id string, text string")
+    shots = extract.snapshot(*extract.typed(extract.parse(df)))
+    assert {r.article_id: r.n for r in shots.select("article_id", extract.snapshot_items(F.col("raw_extraction")).alias("n")).collect()} == {"a": 3, "b": 1}
+    odd = spark.createDataFrame([('{"startups": [{"a": 1}, 2, null, "x"], "topics": 7}',), ("no json",), (None,)], "raw string")
+    assert [r.n for r in odd.select(extract.snapshot_items(F.col("raw")).alias("n")).collect()] == [1, 0, 0]
+
+
+def test_nothing_merges_into_its_neighbour(spark, tmp_path):
+    """A startup that an article relates to Acme is another one, although its vector says otherwise; without the relation it is Acme."""
+    embedder = lambda xs: [[1.0, 0.1] if x.startswith(("Acme", "Akme")) else [0.0, 1.0] for x in xs]
+    store = Store(spark, str(tmp_path))
+    ingest.ingest(spark, store, 1, *batch(spark, ("a1", text(("entity", "Acme", "Startup", "stated", "m")))), embedder=embedder)
+    ingest.ingest(spark, store, 2, *batch(spark, ("a2", text(("entity", "Acme", "Startup", "stated", "m"), ("entity", "Akme Labs", "Startup", "stated", "m"), ("relation", "Acme", "Akme Labs", "PARTNERED_WITH", "stated", "", "x")))), embedder=embedder)
+    assert {r.id for r in store.read("entities").collect()} == {"startup:acme", "startup:akme-labs"}
+    ingest.ingest(spark, store, 3, *batch(spark, ("a3", text(("entity", "Akme Robots", "Startup", "stated", "m")))), embedder=embedder)
+    assert {r.id for r in store.read("entities").collect()} == {"startup:acme", "startup:akme-labs"}
+    assert store.read("vectors").count() == 2
+
+
+def test_appends(spark, tmp_path, monkeypatch):
+    from claimloom.sources import store as module
+
+    store = Store(spark, str(tmp_path))
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    for i in range(6):
+        store.append("t", spark.createDataFrame([(i,)], "i long"))
+    assert sorted(r.i for r in store.read("t").collect()) == list(range(6)) and len(store.parts("t")) <= 3

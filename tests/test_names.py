@@ -39,6 +39,20 @@ def test_columns_agree_with_python(spark):
         assert set(r.t) == n.tokens(r.k)
 
 
+def test_columns_agree_with_python_on_many_names(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["Acme", "startup", "Startups", "Berlin-based", "New York based", "vc", "GmbH", "Dr.", "CEO", "<b>", "</i>", "[x]", " | ", "&", "-", "a.b", "c++", "#1", "  ", "holding", "the", "."]
+    names = sorted({rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(600)})
+    df = spark.createDataFrame([(x,) for x in names], "name string")
+    kinds = ("Startup", "Person", "Company")
+    rows = df.select("name", n.display_column(F.col("name")).alias("d"), n.slim_slug_column(F.col("name")).alias("s"), *[n.slim_key_column(F.col("name"), k).alias(k) for k in kinds]).collect()
+    for r in rows:
+        assert (r.d, r.s) == (n.display(r.name), n.slug(r.name)), r.name
+        assert [r[k] for k in kinds] == [n.key(r.name, k) for k in kinds], r.name
+
+
 words = st.lists(st.text("abcde", min_size=1, max_size=5), min_size=1, max_size=4).map(" ".join)
 
 
