@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from claimloom.functions import normalize, present
 from claimloom.model import DOMAIN_RELATIONS, EVIDENCE, evidence_rank, insightful, live
 from claimloom.operators import conflicts, extract, lifecycle, metrics, resolve
-from claimloom.operators.ranking import side_by_side
+from claimloom.operators.ranking import page, side_by_side
 from claimloom.oracle import DOMAIN, GRAPH
 from claimloom.plans import claims, subgraph
-from claimloom.queries import EDGE, on_graph, on_table
+from claimloom.queries import EDGE, on_graph, on_table, outputs
 from claimloom.sources.graph import Graph
 from claimloom.sources.store import repeated_edges, repeated_ids
 
@@ -74,10 +74,43 @@ def g12_conflict_count(g: Graph) -> DataFrame:
     return conflicts.conflict_count(g.edges(*DOMAIN_RELATIONS))
 
 
-@both("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges")
+@both("""SELECT (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) > 1)) AS nodes, (SELECT sum(n) FROM (SELECT count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1))::BIGINT AS node_rows,
+         (SELECT count(*) FROM (SELECT l_suppkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)) AS edges""")
 @graph
 def s11_repeated_keys(g: Graph) -> DataFrame:
-    return side_by_side(repeated_ids(g.nodes()).agg(F.count("*").alias("nodes")), repeated_edges(g.edges()).agg(F.count("*").alias("edges")))
+    """Keys that stand for several rows, in nodes and edges as a careless writer would leave them: a topic per part, a claim per line."""
+    topics = g.table("part").select(F.concat(F.lit("topic:"), F.col("p_brand")).alias("id"))
+    claims = g.table("lineitem").select(g._backer("l_suppkey").alias("src_id"), F.lit("INVESTED_IN").alias("rel_type"), g._startup("l_partkey").alias("dst_id"))
+    sound = repeated_ids(g.nodes()).unionByName(repeated_edges(g.edges()).select(F.lit("edge").alias("id"), "n"))  # none: the graph's own keys are unique
+    return side_by_side(repeated_ids(topics).unionByName(sound).agg(F.count("*").alias("nodes"), F.sum("n").alias("node_rows")), repeated_edges(claims).agg(F.count("*").alias("edges")))
+
+
+@both("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6 OFFSET 12")
+@table("orders")
+def o6_page(orders: DataFrame) -> DataFrame:
+    return page(orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@both("""SELECT p_partkey AS article_id, '{"startups":[{"name":"' || p_name || '","evidence_status":"' || CASE p_size % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'attributed' ELSE 'unsure' END || '","description":"' || p_type || '"}],"investors":[],"people":[],"topics":[{"name":"' || p_brand
+         || '","evidence_status":"stated","description":"brand"}],"companies":[],"relationships":[{"rel_type":"HAS_TOPIC","source_name":"' || p_name || '","source_type":"Startup","target_name":"' || p_brand || '","target_type":"Topic","evidence_status":"unsure","evidence":"made by"}]}' AS raw_extraction, 3::BIGINT AS items FROM part""")
+@table("part")
+def g18_a20_snapshot(part: DataFrame) -> DataFrame:
+    shots = extract.snapshot(*extract.typed(extract.parse(outputs(part))))
+    return shots.select("article_id", "raw_extraction", extract.snapshot_items(F.col("raw_extraction")).alias("items"))
+
+
+@both(GRAPH + """
+      , d AS (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id),
+      c AS (SELECT n.id FROM nodes n LEFT JOIN d ON n.id = d.id WHERE label NOT IN ('Article', 'Source') AND (lower(name) LIKE '%small ring%' OR len(list_filter(aliases, lambda a: lower(a) LIKE '%small ring%')) > 0)
+            ORDER BY CASE WHEN lower(name) = 'small ring' THEN 4 WHEN list_contains(list_transform(aliases, lambda a: lower(a)), 'small ring') THEN 2 ELSE 1 END DESC, coalesce(d.n, 0) DESC, lower(name), n.id LIMIT 1),
+      one AS (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM c)), two AS (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM one)),
+      near AS (SELECT id, min(h) AS hops FROM (SELECT id, 0 AS h FROM c UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id),
+      ranked AS (SELECT n.id, hops, row_number() OVER (PARTITION BY hops = 0 ORDER BY hops, lower(coalesce(n.name, n.title, n.id)), n.id) AS r FROM near JOIN nodes n ON n.id = near.id),
+      kept AS (SELECT id FROM ranked WHERE hops = 0 OR r <= 40)
+      SELECT src_id, rel_type, dst_id FROM edges WHERE src_id IN (SELECT id FROM kept) AND dst_id IN (SELECT id FROM kept) AND coalesce(review_status, 'unreviewed') <> 'rejected'""")
+@graph
+def q9_entity_graph_by_name(g: Graph) -> DataFrame:
+    return subgraph.entity_graph(g, "small ring", 40)[1].select("src_id", "rel_type", "dst_id")
 
 
 @both(GRAPH + "SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ways) GROUP BY id")
@@ -259,14 +292,13 @@ def r1_topic_dedupe(lines: DataFrame) -> DataFrame:
     return extract.deduplicated_topics(rows, "key").select("article_id", "name")
 
 
-@both("SELECT DISTINCT l_orderkey AS article_id, 'supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS name, 'Investor' AS entity_type FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R'")
+@both("SELECT DISTINCT l_orderkey AS article_id, 'supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AS name, 'Investor' AS entity_type FROM lineitem WHERE l_returnflag <> 'R'")
 @table("lineitem")
 def r2_endpoints(lines: DataFrame) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "R", "unsure").otherwise("stated")
-    first = lines.where("l_linenumber = 1")
     part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
-    mentions = first.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("pos"), F.lit("Startup").alias("entity_type"), part.alias("name"), F.lit("stated").alias("evidence_status"), F.lit(False).alias("evidence_status_defaulted"), F.lit("").alias("description"))
-    relations = first.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("pos"), F.format_string("supplier#%09d", "l_suppkey").alias("source_name"), F.lit("Investor").alias("source_type"), part.alias("target_name"), F.lit("Startup").alias("target_type"), status.alias("evidence_status"), F.lit("").alias("evidence"))
+    mentions = lines.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("pos"), F.lit("Startup").alias("entity_type"), part.alias("name"), F.lit("stated").alias("evidence_status"), F.lit(False).alias("evidence_status_defaulted"), F.lit("").alias("description"))
+    relations = lines.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("pos"), F.format_string("supplier#%09d", "l_suppkey").alias("source_name"), F.lit("Investor").alias("source_type"), part.alias("target_name"), F.lit("Startup").alias("target_type"), status.alias("evidence_status"), F.lit("").alias("evidence"))
     made = extract.with_endpoints(mentions, relations, lambda n, t: F.lower(n)).where("materialised")
     return made.select("article_id", "name", "entity_type")
 

@@ -52,6 +52,13 @@ def few_per(df: DataFrame, key: str, value: str, n: int, name: str) -> DataFrame
     return pairs.withColumn("_place", place).where(F.col("_place") <= n).groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), "|").alias(name))
 
 
+def page(df: DataFrame, order: list[Column], number: int, size: int = 6) -> DataFrame:
+    """The rows of a page, counted from 1, in an order that must tell all rows apart."""
+    if number < 1 or size < 1:
+        raise ValueError(f"there is no page {number} of {size} rows")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """DataFrames of one row each as one row."""
     out = rows[0]

@@ -181,6 +181,9 @@ SQL = {
       SELECT page_id, h AS host, h = 'ththen.example.com' AS same_host, h = h AND NOT regexp_matches(url, '#|/author/|/category/|/feed|/jobs|/page/|/ressort/|/tag/|/wp-content/') AND trim(p, '/') <> '' AND regexp_matches(p, '[0-9]') AS is_article FROM u""",
     "p15_valid_articles": "SELECT doc_id, length(trim(coalesce(text, ''), ' ')) >= 20 AS accepted, length(trim(coalesce(text, ''), ' ')) >= 120 AS scraped FROM documents",
     "s1_collected_links": "SELECT link, pos FROM (SELECT url AS link, page_id AS pos, row_number() OVER (PARTITION BY lower(trim(url)) ORDER BY page_id, url) AS r FROM pages) WHERE r = 1 ORDER BY pos, link LIMIT 150",
+    "s5_page_links": """
+      WITH a AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]+') AS site, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)"', 1) AS targets FROM pages)
+      SELECT page_id, unnest(range(len(targets)))::INT AS pos, site || unnest(targets) AS link FROM a""",
     "s6_article_titles": "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\t\\n\\r]+', ' ', 'g')) AS title FROM pages",
     "f1_f4_names": """
       SELECT p_partkey, trim(p_name) AS display, lower(p_name) AS key, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('a', 'and', 'at', 'by', 'for', 'in', 'of', 'the', 'to')))), ' ') AS tokens,
@@ -204,7 +207,7 @@ SQL = {
       f AS (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY k) AS place FROM r WHERE k <= 5 AND cand_id <> entity_id)
       SELECT cand_id, entity_id, round((1 + c) / 2, 6) AS score FROM f WHERE place = 1 AND (1 + c) / 2 >= 0.55""",
     "g4_claim_lifecycle": """
-      WITH e AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS run, 'u' || l_orderkey % 7 AS url, l_suppkey % 10 AS s, l_partkey % 40 AS p FROM lineitem WHERE l_linenumber <= 2),
+      WITH e AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS run, 'u' || l_orderkey % 7 AS url, l_suppkey % 10 AS s, l_partkey % 4000 AS p FROM lineitem),
       runs AS (SELECT DISTINCT url, run FROM e),
       state AS (SELECT s, p, url, max(run) AS last, max(CASE WHEN run = 2 THEN 1 ELSE 0 END) AS two FROM e GROUP BY s, p, url),
       lost AS (SELECT st.*, (two = 0 AND EXISTS (SELECT 1 FROM runs r WHERE r.url = st.url AND r.run = 2))::INT AS gone FROM state st)

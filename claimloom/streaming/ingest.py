@@ -38,6 +38,19 @@ def claim_states(spark: SparkSession, log: str) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events (ts, event_type, value) per window and type; in a stream, windows close `late` after the newest event."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     grouped = events.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+def counted_stream(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """windowed_counts() of all events that are in a table now, read as a stream; folder keeps its state and each batch's result."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    query = windowed_counts(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = spark.read.parquet(f"{folder}/counts")
+    return counts.where(F.col("batch") == counts.agg(F.max("batch")).first()[0]).drop("batch")
