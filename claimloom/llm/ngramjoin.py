@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 ROWS = 5
 RECALL = 0.9999
 #: Classes and shingles of a bucket that one block holds.
-BLOCK_CLASSES = 512
+BLOCK_CLASSES = 256
 BLOCK_SHINGLES = 2_000_000
 #: Distinct words of which a task keeps hashes.
 MEMO = 200_000
