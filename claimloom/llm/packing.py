@@ -11,9 +11,9 @@ Lengths are whole numbers up to the capacity, so a piece is known by its length
 alone: the driver packs the histogram of lengths (at most `capacity` numbers,
 whatever the input), in runs of equal sequences, and the result is a list of
 ranges "pieces of this length with ranks a to b go to sequences from s on, at
-offset o". Ranks come from counts per (length, hash bucket), with a bucket for
-every BUCKET_ROWS pieces of a length; so no task ever holds all pieces of a
-length, however common it is. Texts aren't shuffled.
+offset o". Ranks come from counts per (length, hash bucket); a length of n pieces
+has √n buckets, so no task ever holds all pieces of a length, however common it
+is, nor more bucket counts than pieces. Texts aren't shuffled.
 
 Edge cases: null and empty texts are the end id alone. Repeated rows and rows
 with a null id are packed each. A document longer than the capacity is cut into
@@ -23,6 +23,7 @@ full pieces, the first piece taking the remainder.
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,6 @@ from claimloom.llm.common import durable, mapped, small_batches
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of a length that are ranked together, about.
-BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")][1:]
 
@@ -179,7 +178,7 @@ def plan(histogram: dict[int, int], capacity: int, documents: int, attention: in
     return ranges, sequence
 
 
-def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, max_documents: int | None = None, max_attention: int | None = None, fit: str = "norm", with_ids: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY, max_documents: int | None = None, max_attention: int | None = None, fit: str = "norm", with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Without limits of their own, documents (as many as tokens) and attention
@@ -196,7 +195,7 @@ def pack(documents: DataFrame, tokenizer_file: str | None = None, capacity: int
     spark = cutup.sparkSession
     table = np.array(sorted(ranges), np.int64).reshape(-1, 5)
     sent = spark.sparkContext.broadcast(table)
-    buckets = spark.createDataFrame([(k, -(-n // bucket_rows)) for k, n in sorted(histogram.items())], "size int, buckets int")
+    buckets = spark.createDataFrame([(k, 1 + math.isqrt(n)) for k, n in sorted(histogram.items())], "size int, buckets int")
     dealt = cutup.join(F.broadcast(buckets), F.col("length") == F.col("size")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "spread"), F.col("buckets")).cast("int")).drop("size", "buckets")
     before = F.sum("n").over(Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = dealt.groupBy(F.col("length").alias("of"), F.col("bucket").alias("part")).agg(F.count("*").alias("n")).select("of", "part", F.coalesce(before, F.lit(0)).alias("earlier"))
