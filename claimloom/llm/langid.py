@@ -42,6 +42,8 @@ from claimloom.llm.urlfilter import host_and_path
 PER_LANGUAGE = 300
 SAMPLE_BYTES = 8 << 20
 BITS, MODEL_CELLS = 16, 1 << 24
+#: Rows (a language and an id) of the sample that may be broadcast.
+MOST_SENT = 500_000
 TEMPER = 0.05
 STRENGTH = 5.0
 HTML_TAG = re.compile(r"<html\b([^>]*)>", re.I)
@@ -76,13 +78,15 @@ def language_sample(documents: DataFrame, per_language: int, most_bytes: int) ->
     if not sizes:
         return [], []
     spark = documents.sparkSession
+    # a row a language, then per_language rows of each: sent to all tasks as long as these are few, by count
+    sent = F.broadcast if len(sizes) * per_language <= MOST_SENT else lambda df: df
     # hashes below a bound of the language's own leave about twice the rows wanted, however many it has
     bounds = spark.createDataFrame([(r.lang, min(1.0, (2 * per_language + 50) / r["count"])) for r in sizes], "tongue string, bound double")
     place = F.xxhash64("id") / F.lit(2.0**64) + 0.5
-    near = known.join(bounds, F.col("lang") == F.col("tongue")).where(place < F.col("bound")).select("lang", "id", place.alias("h")).distinct()
+    near = known.join(sent(bounds), F.col("lang") == F.col("tongue")).where(place < F.col("bound")).select("lang", "id", place.alias("h")).distinct()
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= per_language)
     chosen = first.select(F.col("lang").alias("tongue"), F.col("id").alias("pick"))
-    found = durable(known.join(chosen, (F.col("lang") == F.col("tongue")) & (F.col("id") == F.col("pick"))).groupBy("lang", "id").agg(F.max("body").alias("body")))
+    found = durable(known.join(sent(chosen), (F.col("lang") == F.col("tongue")) & (F.col("id") == F.col("pick"))).groupBy("lang", "id").agg(F.max("body").alias("body")))
     found = found.withColumn("place", F.struct(F.xxhash64("id"), "id", "lang"))
     return sorted(r.lang for r in sizes), sorted((r.lang, r.body) for r in within_bytes(found, "lang", most_bytes))
 
