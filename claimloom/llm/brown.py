@@ -51,6 +51,8 @@ from claimloom.llm.common import durable, in_fold, mapped, raw, small_batches
 HELD_OUT = (10, 0)
 #: Least classes, and least and most words of the exchange; the most bounds its pair table on the driver, at (words + POOLS)^2.
 CLASSES = 48
+#: Most classes: a place packs a class in twelve bits, and the driver holds (classes)^2 counts. Reached at 60 billion distinct words.
+MOST_CLASSES = 4000
 CLUSTERED = 1500
 MOST_CLUSTERED = 2500
 HEAD = 200_000
@@ -87,7 +89,7 @@ def pool(word: bytes) -> int:
 
 def grown(types: int) -> tuple[int, int]:
     """Classes, and words of the exchange, for a vocabulary of so many words."""
-    return max(CLASSES, round(types ** (1 / 3))), min(MOST_CLUSTERED, max(CLUSTERED, round(2 * types**0.5)))
+    return min(MOST_CLASSES, max(CLASSES, round(types ** (1 / 3)))), min(MOST_CLUSTERED, max(CLUSTERED, round(2 * types**0.5)))
 
 
 def exchange(before: np.ndarray, after: np.ndarray, n: np.ndarray, units: int, classes: int, rounds: int = 6, fixed: int = 0) -> np.ndarray:
@@ -234,6 +236,8 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
     n_all, v_all = totals.n + ends, totals.v + (1 if ends else 0)
     head = frequent(counts, head_words)
     k, most = grown(totals.v)
+    if classes is not None and classes > MOST_CLASSES:
+        raise ValueError(f"at most {MOST_CLASSES} classes, not {classes}")
     k, clustered = max(2, k if classes is None else classes), min(most if clustered is None else clustered, len(head))
     shift, units = 1 + clustered, 1 + clustered + POOLS
     # training words that the exchange doesn't assign, by pool
@@ -450,8 +454,8 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
 
     found = learned.mapInPandas(head_pairs, "pair long, n long").unionByName(resolved.where("of % 2 = 0").select("pairs").mapInPandas(cold_pairs, "pair long, n long"))
     table = np.zeros(k * k)
-    for r in found.groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[r.pair] = r.n
+    sums = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k x k rows
+    table[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
     table = table.reshape(k, k)
     mass = table.sum(0)
     share = (mass + 0.5) / (mass.sum() + 0.5 * k)

@@ -181,6 +181,12 @@ def test_classes_grow_with_the_vocabulary():
     assert sizes == sorted(sizes) and sizes[0] == (48, 1500) and sizes[1][0] > 48 and sizes[2][1] > 1500
 
 
+def test_classes_are_bounded(spark):
+    assert brown.grown(10**12)[0] == brown.MOST_CLASSES < 4095  # a place has twelve bits for a class, 0 being none
+    with pytest.raises(ValueError):
+        brown.score_lm(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), classes=brown.MOST_CLASSES + 1)
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
