@@ -325,5 +325,58 @@ def r4_blocked_by_neighbours(lines: DataFrame) -> DataFrame:
     return resolve.blocked_by_neighbours(cands, near, index)
 
 
+@both("""WITH o AS (SELECT * FROM orders)
+      SELECT o_orderkey, 0 AS place, 'amount' AS property, format('{:,}', floor(o_totalprice + 0.5)::BIGINT) || ' EUR' AS value FROM o
+      UNION ALL SELECT o_orderkey, 1, 'published_at', strftime(o_orderdate, '%d %b %Y') FROM o
+      UNION ALL SELECT o_orderkey, 2, 'evidence_status', CASE o_orderstatus WHEN 'F' THEN 'Stated' ELSE 'Attributed' END FROM o WHERE o_orderstatus IN ('F', 'O')
+      UNION ALL SELECT o_orderkey, 3, 'source_name', o_orderpriority FROM o""")
+@table("orders")
+def f36_property_rows(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "stated").when(F.col("o_orderstatus") == "O", "attributed").otherwise("")
+    nodes = orders.select("o_orderkey", F.col("o_orderpriority").alias("source_name"), F.nullif(status, F.lit("")).alias("evidence_status"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").cast("string").alias("published_at"), F.lit("").alias("url"), F.lit("x").alias("another"))
+    return present.property_rows(nodes, "o_orderkey")
+
+
+@both("""SELECT doc_id, place, property, value FROM (
+      SELECT doc_id, 0 AS place, 'source_name' AS property, source AS value FROM documents
+      UNION ALL SELECT doc_id, 1, 'text', CASE WHEN length(trim(text, ' ')) > 0 THEN format('{:,}', length(text)) || ' characters' END FROM documents
+      UNION ALL SELECT doc_id, 2, 'doc_id', format('{:,}', doc_id) FROM documents UNION ALL SELECT doc_id, 3, 'lang', lang FROM documents) WHERE value <> ''""")
+@table("documents")
+def f36_article_rows(documents: DataFrame) -> DataFrame:
+    articles = documents.select("doc_id", "text", "lang", F.col("source").alias("source_name"), F.lit("{}").alias("trace_provenance"))
+    return present.property_rows(articles, "doc_id", article=True)
+
+
+@both("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN printf('%.3f', o_totalprice) ELSE printf('%.6f', (o_custkey % 9 + 1) / 1e6) END AS shown FROM orders")
+@table("orders")
+def f31_metric_text(orders: DataFrame) -> DataFrame:
+    value = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise((F.col("o_custkey") % 9 + 1) / 1e6)
+    return orders.select("o_orderkey", present.metric_text(value.cast("double")).alias("shown"))
+
+
+@both("SELECT o_orderkey, coalesce(o_custkey, 0)::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, (o_custkey * 2)::BIGINT AS total_tokens FROM orders WHERE o_orderstatus <> 'P'")
+@table("orders")
+def f40_call_usage(orders: DataFrame) -> DataFrame:
+    told = lambda c: F.when(F.col("o_orderstatus") != "P", c)
+    used = metrics.call_usage(told(F.col("o_custkey")), F.lit(None).cast("long"), told(F.col("o_custkey") * 2))
+    return orders.select("o_orderkey", used.alias("u")).where("u IS NOT NULL").select("o_orderkey", "u.*")
+
+
+@both("SELECT 2 AS gleaning_configured_passes, 1 AS gleaning_passes_run, count(*) FILTER (p_size % 3 = 0) AS total_changes, 0::BIGINT AS entities_added, count(*) FILTER (p_size % 3 = 0) AS entities_corrected, 0::BIGINT AS relationships_added, 0::BIGINT AS relationships_corrected, count(*) AS final_raw_entities, 0::BIGINT AS final_raw_relationships FROM part")
+@table("part")
+def f40_extraction_audit(part: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    facts = part.select(F.col("p_partkey").alias("article_id"), F.lit(0).alias("pos"), F.lit("entity").alias("kind"), F.lower("p_name").alias("name"), none.alias("source"), none.alias("target"), none.alias("rel_type"), F.lit("first").alias("description"), "p_size")
+    second = facts.where("p_size % 3 = 0").withColumn("description", F.lit("second"))
+    return extract.audit(facts, extract.gleaned(facts.drop("p_size"), second.drop("p_size")), configured_passes=2, passes_run=1)
+
+
+@both("SELECT count(DISTINCT k) AS registry_size FROM (SELECT lower(p_name) AS k FROM part UNION ALL SELECT lower(p_type) FROM part) WHERE k <> ''")
+@table("part")
+def m15_registry_size(part: DataFrame) -> DataFrame:
+    entities = part.select(F.col("p_partkey").cast("string").alias("id"), F.lit("Startup").alias("label"), F.col("p_name").alias("name"), F.lit("").alias("canonical_name"), F.array("p_type").alias("aliases"))
+    return metrics.registry_size(resolve.registry(entities, lambda name, kind: F.lower(name)))
+
+
 QUERIES = {name: f for name, (f, _) in BOTH.items()}
 SQL = {name: sql for name, (_, sql) in BOTH.items()}

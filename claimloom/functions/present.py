@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels and limits.
 REASON_LABELS = {
@@ -13,6 +14,10 @@ REASON_LABELS = {
     "competing_transaction_type": "Another article describes this pair using a competing transaction type",
 }
 PROMPT_TAGS, PROMPT_CHARS = 20, 14_000
+# Properties of a node in the order in which they are shown; of an article, those that come first, and those that don't show.
+SHOWN = ("canonical_name", "category", "stage", "amount", "currency", "published_at", "announced_at", "evidence_status", "evidence", "source_name", "url")
+ARTICLE_FIRST = ("id", "title", "url", "author", "published_at", "source_name", "source_url", "summary", "tags", "text")
+ARTICLE_HIDDEN = ("raw_extracted_entities", "trace_provenance")
 
 
 def present(text: Column) -> Column:
@@ -69,6 +74,49 @@ def money_text(amount: Column, currency: Column) -> Column:
     return F.when(amount.isNull() | F.isnan(amount), "n/a").otherwise(F.concat_ws(" ", F.format_number(F.floor(amount + 0.5).cast("long"), 0), F.coalesce(currency, F.lit("EUR"))))
 
 
+def number_text(value: Column) -> Column:
+    """Digits in groups of three, and up to three decimals; null if there is no finite number."""
+    finite = ~F.coalesce(F.isnan(value.cast("double")) | (F.abs(value.cast("double")) == float("inf")), F.lit(True))
+    return F.when(finite, F.call_function("format_number", F.round(value, 3), F.lit("#,##0.###")))
+
+
+def _property(name: str, kind: T.DataType, article: bool) -> Column | None:
+    value = F.col(f"`{name}`")
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        items = F.filter(F.transform(value, lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(F.size(items) > 0, F.array_join(items, ", "))
+    if isinstance(kind, T.NumericType):
+        text = number_text(value)
+        return F.when(text.isNotNull(), money_text(value.cast("double"), F.lit("EUR"))) if name == "amount" else text
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return date_text(value)
+    if not isinstance(kind, T.StringType):
+        return None
+    text = F.nullif(value, F.lit(""))
+    if article and name == "text":
+        return F.when(present(value).isNotNull(), F.concat(number_text(F.length(value)), F.lit(" characters")))
+    if name == "evidence_status":
+        return evidence_label(text)
+    return F.coalesce(date_text(text.try_cast("timestamp")), text) if name.endswith("_at") else text
+
+
+def property_rows(nodes: DataFrame, key: str = "id", article: bool = False) -> DataFrame:
+    """(key, place, property, value): what is shown of each node's columns; place is the column's number in their order.
+
+    Nodes show the columns of SHOWN that they have; articles all but the hidden
+    ones, the rest of them by name. What is null, empty or of another kind than
+    texts, numbers, dates and lists of texts doesn't show.
+    """
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    names = [n for n in (ARTICLE_FIRST if article else SHOWN) if n in kinds]
+    if article:
+        names += sorted(set(kinds) - set(names) - set(ARTICLE_HIDDEN))
+    values = [(n, _property(n, kinds[n], article)) for n in names]
+    rows = [F.struct(F.lit(k).alias("place"), F.lit(n).alias("property"), v.alias("value")) for k, (n, v) in enumerate(values) if v is not None]
+    listed = F.array(*rows).cast("array<struct<place: int, property: string, value: string>>")
+    return nodes.select(F.col(f"`{key}`").alias(key), F.explode(F.filter(listed, lambda x: x["value"].isNotNull())).alias("shown")).select(F.col(f"`{key}`"), "shown.*")
+
+
 def iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
 

@@ -102,6 +102,27 @@ def clip(text: Column, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
 
 
+def fact_summaries(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Extracted facts as an audit lists them: names, statuses, descriptions of at most 240 characters; relations with a label."""
+    shared = ["evidence_status", "evidence_status_defaulted"]
+    clipped = clip(F.col("description"), 240).alias("description")
+    label = F.format_string("%s -> %s (%s)", "source", "target", "rel_type").alias("label")
+    return entities.select("article_id", "pos", "name", "entity_type", *shared, clipped), relations.select("article_id", "pos", "source", "target", "rel_type", *shared, "keywords", clipped, label)
+
+
+def audit(first: DataFrame, merged: DataFrame | None = None, configured_passes: int = 1, passes_run: int = 0) -> DataFrame:
+    """One row about the passes over first (kind, ...): how many were to run and ran, what they changed, what there is at the end.
+
+    merged: gleaned() of first and what the passes found; without it nothing was changed.
+    """
+    end = first.withColumn("change", F.lit("kept")) if merged is None else merged
+    n = lambda kind, change: F.count_if((F.col("kind") == kind) & (F.col("change") == change))
+    changes = {f"{plural}_{c}": n(kind, c) for kind, plural in (("entity", "entities"), ("relation", "relationships")) for c in ("added", "corrected")}
+    finals = [F.count_if(F.col("kind") == kind).alias(f"final_raw_{plural}") for kind, plural in (("entity", "entities"), ("relation", "relationships"))]
+    ran = end.agg(*[c.alias(name) for name, c in changes.items()], *finals)
+    return ran.select(F.lit(configured_passes).alias("gleaning_configured_passes"), F.lit(passes_run).alias("gleaning_passes_run"), sum((F.col(c) for c in changes), F.lit(0)).cast("long").alias("total_changes"), *ran.columns)
+
+
 def deduplicated_topics(mentions: DataFrame, key: str) -> DataFrame:
     """Topics once per article and key, the first one; empty keys go. Other mentions stay."""
     topics = first_per(mentions.where((F.col("entity_type") == "Topic") & (F.coalesce(F.col(key), F.lit("")) != "")), ["article_id", key], ["pos"])

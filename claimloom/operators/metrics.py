@@ -92,3 +92,15 @@ def usage(calls: DataFrame) -> DataFrame:
     """Token sums and mean attempts of calls (prompt_tokens, completion_tokens, attempts)."""
     total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c)
     return calls.agg(total("prompt_tokens"), total("completion_tokens"), F.coalesce(F.round(F.avg("attempts"), 4), F.lit(0.0)).alias("avg_attempts"))
+
+
+def call_usage(prompt: Column, completion: Column, total: Column) -> Column:
+    """A call's tokens as a struct; null if the call tells none of the three, 0 for what it leaves out."""
+    known = {"input_tokens": prompt, "output_tokens": completion, "total_tokens": total}
+    some = F.coalesce(prompt, completion, total).isNotNull()
+    return F.when(some, F.struct(*[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in known.items()]))
+
+
+def registry_size(registry: DataFrame) -> DataFrame:
+    """How many keys a registry has: its names and aliases, not its entities."""
+    return registry.agg(F.count("*").alias("registry_size"))
