@@ -40,8 +40,10 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import small_batches
 
 LENGTH = 50
-#: Bytes of a gram that can be an anchor, of a batch and its slices, and of input for each part that windows meet in.
-GRAM, BATCH, PART = 20, 4 << 20, 32 << 20
+#: Bytes of a gram that can be an anchor, of a batch and its slices, and of input for each part that windows meet in: what a task holds at once.
+GRAM, BATCH, PART = 20, 4 << 20, 4 << 20
+#: Of less input than would make work for all tasks, batches and parts are smaller, but not below this.
+LEAST_BATCH, LEAST_PART = 256 << 10, 1 << 20
 #: Distinct segments of an anchor, for each slice of the input on average, beyond which they go window by window.
 COMMON = 4
 MESSAGE = "b int, u int, part int, body binary"
@@ -525,8 +527,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(at_once, -(-total // BATCH))
-    parts = max(4 * at_once, -(-total // PART))
+    batches, parts = (max(1, -(-total // most), min(at_once, -(-total // least))) for most, least in ((BATCH, LEAST_BATCH), (PART, LEAST_PART)))
     common = COMMON * batches
     docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("id"), body.alias("body"))
     docs = docs.withColumn("mark", F.xxhash64("body", "id")).withColumn("b", F.pmod("mark", F.lit(batches)).cast("int")).repartition(at_once, "b")
