@@ -15,6 +15,7 @@ EVIDENCE = ("unsure", "attributed", "stated")
 SUPPORTED, UNSUPPORTED = "supported", "unsupported_by_latest_source_processing"
 REVIEW = ("unreviewed", "needs_review", "accepted", "rejected")
 SAME_ARTICLE_REASONS = ("not_reproduced_same_article", "direction_changed_same_article")
+CONFLICT_REASONS = ("inverse_direction", "competing_transaction_type")
 #: Which ends a claim may have: relation to (source labels, target labels); others have any.
 DIRECTION_RULES = {
     "INVESTED_IN": (("Investor", "Company", "Person"), ("Startup",)),

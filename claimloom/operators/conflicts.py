@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.model import DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SUPPORTED, live
+from claimloom.model import CONFLICT_REASONS, DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SUPPORTED, live
 from claimloom.operators.ranking import side_by_side
 
 KEYS = ["src_id", "rel_type", "dst_id"]
@@ -38,21 +38,32 @@ def conflict_count(edges: DataFrame) -> DataFrame:
 
 
 def flagged(edges: DataFrame) -> DataFrame:
-    """edges with claims in conflict set to needs_review and the reason added to review_reasons once."""
-    inverse = inverse_pairs(edges)
-    turned = inverse.select(F.col("low_id").alias("s"), F.col("rel_type").alias("r"), F.col("high_id").alias("d"), F.lit("inverse_direction").alias("reason")).unionByName(inverse.select(F.col("high_id").alias("s"), F.col("rel_type").alias("r"), F.col("low_id").alias("d"), F.lit("inverse_direction").alias("reason")))
-    pairs = transaction_pairs(edges)
-    rival = F.lit("competing_transaction_type").alias("reason")
-    competing = pairs.select(F.col("src_id").alias("s"), F.lit("ACQUIRED").alias("r"), F.col("dst_id").alias("d"), rival).unionByName(pairs.select(F.col("merged_src").alias("s"), F.lit("MERGED_WITH").alias("r"), F.col("merged_dst").alias("d"), rival))
-    reasons = turned.unionByName(competing).groupBy("s", "r", "d").agg(F.reverse(F.array_sort(F.collect_set("reason"))).alias("found"))
+    """edges with claims in conflict set to needs_review and the reason added to review_reasons once.
+
+    All that can contradict a claim stands between the same two nodes: at most
+    two directions of each relation, so a window over the pair holds a few rows.
+    """
+    claim = F.coalesce(live(F.col("lifecycle_status"), F.col("review_status")), F.lit(False)) & F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()
+    pair = Window.partitionBy(F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id"))
+    up = F.col("src_id") < F.col("dst_id")
+    kind, turned = F.struct("rel_type", up.alias("up")), F.struct("rel_type", (~up).alias("up"))
+    seen = F.collect_set(F.when(F.col("_claim"), kind)).over(pair)
+    rival = F.when(F.col("rel_type") == "ACQUIRED", "MERGED_WITH").when(F.col("rel_type") == "MERGED_WITH", "ACQUIRED")
+    tests = (
+        F.col("rel_type").isin(*DIRECTIONAL_RELATIONS) & (F.col("src_id") != F.col("dst_id")) & F.array_contains("_seen", turned),
+        F.exists("_seen", lambda x: x["rel_type"] == rival),
+    )
+    none = F.array().cast("array<string>")
+    found = F.array_compact(F.array(*[F.when(F.col("_claim") & test, reason) for test, reason in zip(tests, CONFLICT_REASONS)]))
     if "review_reasons" not in edges.columns:
-        edges = edges.withColumn("review_reasons", F.array().cast("array<string>"))
-    joined = edges.join(reasons, (F.col("src_id") == F.col("s")) & (F.col("rel_type") == F.col("r")) & (F.col("dst_id") == F.col("d")), "left")
-    hit = F.col("found").isNotNull()
+        edges = edges.withColumn("review_reasons", none)
     return (
-        joined.withColumn("review_status", F.when(hit, "needs_review").otherwise(F.col("review_status")))
-        .withColumn("review_reasons", F.array_union(F.coalesce("review_reasons", F.array().cast("array<string>")), F.coalesce("found", F.array().cast("array<string>"))))
-        .drop("s", "r", "d", "found")
+        edges.withColumn("_claim", claim)
+        .withColumn("_seen", seen)
+        .withColumn("_found", found)
+        .withColumn("review_status", F.when(F.size("_found") > 0, "needs_review").otherwise(F.col("review_status")))
+        .withColumn("review_reasons", F.array_union(F.coalesce("review_reasons", none), F.col("_found")))
+        .drop("_claim", "_seen", "_found")
     )
 
 

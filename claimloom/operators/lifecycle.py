@@ -2,9 +2,8 @@
 
 A claim's state is the fold of its events in order: asserted by an article,
 not reproduced or turned round when the same article is processed again, in
-conflict, reviewed. Events are rows; the fold is one aggregation by claim and
-an expression over its ordered events, so it replays and runs in a stream's
-batches alike.
+conflict, reviewed. Events are rows, and the fold is aggregations that combine
+before they shuffle: by article and claim, by claim and time, by claim.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.model import DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SAME_ARTICLE_REASONS, SUPPORTED, UNSUPPORTED, admitted, valid_direction
+from claimloom.model import CONFLICT_REASONS, DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SUPPORTED, UNSUPPORTED, admitted, valid_direction
 
 EVENTS = "src_id string, rel_type string, dst_id string, seq long, kind string, url string, detail string"
-STATE = "struct<urls: array<string>, active: array<string>, lifecycle: string, review: string, reasons: array<string>, changed: boolean>"
 KEYS = ["src_id", "rel_type", "dst_id"]
 
 
@@ -65,37 +63,92 @@ def review_events(reviews: DataFrame) -> DataFrame:
     return reviews.select(*KEYS, (F.col("run") * 10 + 9).alias("seq"), F.lit("REVIEW").alias("kind"), F.lit(None).cast("string").alias("url"), F.col("decision").alias("detail"))
 
 
-def step(s: Column, e: Column) -> Column:
-    """The state after an event."""
-    none = F.array().cast("array<string>")
-    kind, url = e["kind"], e["url"]
-    held = F.coalesce(F.array_contains(s["active"], url), F.lit(False))
-    assert_, review, conflict = kind == "ASSERT", kind == "REVIEW", kind == "CONFLICT"
-    lost = kind.isin("NOT_REPRODUCED", "DIRECTION_CHANGED") & held
-    left = F.filter(s["active"], lambda x: x != url)
-    orphan = lost & (F.size(left) == 0)
-    reason = F.when(kind == "DIRECTION_CHANGED", "direction_changed_same_article").otherwise("not_reproduced_same_article")
-    other = F.filter(s["reasons"], lambda r: ~r.isin(*SAME_ARTICLE_REASONS))
-    decided = s["review"].isin("accepted", "rejected")
-    active_conflict = conflict & (s["lifecycle"] == SUPPORTED) & (s["review"] != "rejected")
-    return F.struct(
-        F.when(assert_, F.array_union(s["urls"], F.array(url))).otherwise(s["urls"]).alias("urls"),
-        F.when(assert_, F.array_union(s["active"], F.array(url))).when(lost, left).otherwise(s["active"]).alias("active"),
-        F.when(assert_, F.lit(SUPPORTED)).when(orphan, F.lit(UNSUPPORTED)).when(lost, F.lit(SUPPORTED)).otherwise(s["lifecycle"]).alias("lifecycle"),
-        F.when(assert_ & ~decided & (F.size(other) == 0), "unreviewed").when(orphan & (s["review"] != "rejected"), "needs_review").when(active_conflict, "needs_review").when(review, e["detail"]).otherwise(s["review"]).alias("review"),
-        F.when(assert_, other).when(orphan, F.array_union(s["reasons"], F.array(reason))).when(active_conflict, F.array_union(s["reasons"], F.array(e["detail"]))).when(review & e["detail"].isin("accepted", "rejected"), none).otherwise(s["reasons"]).alias("reasons"),
-        (s["changed"] | lost).alias("changed"),
+#: Order of kinds of one seq: what an article makes comes before what it no longer makes, conflicts before reviews.
+PHASES = "CASE WHEN kind = 'ASSERT' THEN 1 WHEN kind IN ('NOT_REPRODUCED', 'DIRECTION_CHANGED') THEN 2 WHEN kind = 'CONFLICT' THEN 3 ELSE 4 END"
+
+
+def support(events: DataFrame) -> DataFrame:
+    """(src_id, rel_type, dst_id, url): the articles of each claim, with first (its first assertion), since (from when it supports the claim now; null if it doesn't), changed (was that support ever lost) and moves (when it came and went).
+
+    What an article does to a claim is decided by that article's own events, which are few.
+    """
+    own = events.where(F.col("kind").isin("ASSERT", "NOT_REPRODUCED", "DIRECTION_CHANGED")).withColumn("phase", F.expr(PHASES))
+    asserts = F.col("kind") == "ASSERT"
+    held = F.coalesce(F.lag(asserts).over(Window.partitionBy(*KEYS, "url").orderBy("seq", "phase", "kind")), F.lit(False))
+    moved = own.withColumn("step", F.when(asserts, F.when(held, 0).otherwise(1)).when(held, -1)).where("step is not null")
+    rows = moved.groupBy(*KEYS, "url").agg(
+        F.min(F.when(asserts, F.col("seq"))).alias("first"),
+        F.max(F.when(F.col("step") != 0, F.struct("seq", "phase", "step"))).alias("_last"),
+        (F.min("step") < 0).alias("changed"),
+        F.collect_list(F.struct("seq", "phase", "step", "kind")).alias("moves"),
     )
+    return rows.select(*KEYS, "url", "first", F.when(F.col("_last.step") > 0, F.col("_last.seq")).alias("since"), "changed", "moves")
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(src_id, rel_type, dst_id) with the state that its events lead to; claims that were never asserted have none."""
+    """(src_id, rel_type, dst_id) with the state that its events lead to; claims that were never asserted have none.
+
+    No row holds a claim's history. Each article's part is decided by itself
+    (support()); then a claim has one row for each time at which something
+    happened, a running sum over which tells when its last support went; and all
+    that is left of the order of events is maxima and minima of those times:
+
+    - A claim is supported if some article supports it now.
+    - Nothing before the last acceptance or rejection matters to its review.
+    - A conflict counts if the claim had support and wasn't rejected then; such
+      conflicts stay as reasons. That support went stays one until the next assertion.
+    - The review is that of the last event that sets it. An assertion sets it
+      only if it isn't decided and there is no conflict.
+
+    At one seq, assertions come before losses, these before conflicts, these
+    before reviews; the details of conflicts are of CONFLICT_REASONS. article_urls,
+    in order of their first assertion, are the only lists that grow with a claim:
+    support() has the same as rows.
+    """
+    known = support(events)
+    listed = lambda at: F.transform(F.array_sort(F.collect_list(F.when(F.col(at).isNotNull(), F.struct(at, "url")))), lambda x: x["url"])
+    of_urls = known.groupBy(*KEYS).agg(listed("first").alias("article_urls"), listed("since").alias("active_article_urls"), F.max("changed").alias("support_changed"))
+    text = F.lit(None).cast("string")
+    moves = known.select(*KEYS, "url", F.explode("moves").alias("m")).select(*KEYS, "m.seq", "m.phase", text.alias("detail"), "m.step", F.when(F.col("m.step") < 0, F.struct("url", "m.kind")).alias("loss"))
+    rest = events.where(F.col("kind").isin("CONFLICT", "REVIEW")).select(*KEYS, "seq", F.expr(PHASES).alias("phase"), "detail", F.lit(0).alias("step"), F.lit(None).cast("struct<url:string,kind:string>").alias("loss"))
+    at = moves.unionByName(rest).groupBy(*KEYS, "seq", "phase", "detail").agg(F.sum("step").alias("step"), F.max("loss").alias("loss"))  # of several losses the last by address
+    claim = Window.partitionBy(*KEYS)
+    until = claim.orderBy("seq", "phase", "detail").rowsBetween(Window.unboundedPreceding, 0)
+    t, phase, detail = F.col("t"), F.col("phase"), F.col("detail")
+    decisive = (phase == 4) & detail.isin("accepted", "rejected")
+    ran = at.withColumn("t", F.struct("seq", "phase", F.coalesce("detail", F.lit("")).alias("detail"))).withColumn("n", F.sum("step").over(until)).withColumn("d", F.max(F.when(decisive, t)).over(claim))
+    after = F.col("d").isNull() | (t > F.col("d"))
+    opened = (phase == 4) & after & ~decisive
+    # after a rejection, conflicts and losses count from the next review on
+    ran = ran.withColumn("open", F.coalesce(F.col("d.detail") != "rejected", F.lit(True)) | (F.max(opened.cast("int")).over(until) == 1))
+    conflict = (phase == 3) & after & (F.col("n") > 0) & F.col("open")
+    orphan = (phase == 2) & after & (F.col("n") == 0)
+    marks = ran.groupBy(*KEYS).agg(
+        F.max("d").alias("d"),
+        F.max(F.when(phase == 1, t)).alias("asserted"),
+        F.max(F.when(orphan, F.struct("t", "loss.kind"))).alias("lost"),
+        F.max(F.when(orphan & F.col("open"), t)).alias("lost_open"),
+        F.max(F.when(opened, t)).alias("reviewed"),
+        F.max(F.when(conflict, t)).alias("conflicted"),
+        *[F.min(F.when(conflict & (detail == r), t)).alias(r) for r in CONFLICT_REASONS],
+    )
+    both = of_urls.join(marks, KEYS)
     none = F.array().cast("array<string>")
-    start = F.struct(none.alias("urls"), none.alias("active"), F.lit(SUPPORTED).alias("lifecycle"), F.lit("unreviewed").alias("review"), none.alias("reasons"), F.lit(False).alias("changed")).cast(STATE)
-    ordered = events.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", "url", "kind", "detail"))).alias("events"))
-    asserted = ordered.where(F.exists("events", lambda e: e["kind"] == "ASSERT"))
-    state = asserted.select(*KEYS, F.aggregate("events", start, lambda s, e: step(s, e).cast(STATE)).alias("s"))
-    return state.select(*KEYS, F.col("s.urls").alias("article_urls"), F.col("s.active").alias("active_article_urls"), F.col("s.lifecycle").alias("lifecycle_status"), F.col("s.review").alias("review_status"), F.col("s.reasons").alias("review_reasons"), F.col("s.changed").alias("support_changed"))
+    later = lambda x, y: F.coalesce(x > y, x.isNotNull() & y.isNull())
+    active, lost, asserted, reviewed, needs = F.size("active_article_urls") > 0, F.col("lost"), F.col("asserted"), F.col("reviewed"), F.greatest("lost_open", "conflicted")
+    started = F.coalesce(F.col("d.detail"), F.lit("unreviewed"))
+    undone = (started != "accepted") | F.col("lost_open").isNotNull() | reviewed.isNotNull()
+    reset = F.when(F.col("conflicted").isNull() & undone & later(asserted, F.col("d")), asserted)
+    review = (
+        F.when((started == "rejected") & reviewed.isNull(), "rejected")
+        .when(needs.isNotNull() & ~later(F.greatest(reviewed, reset), needs), "needs_review")
+        .when(later(reset, reviewed), "unreviewed")
+        .otherwise(F.coalesce(reviewed["detail"], started))
+    )
+    conflicts = F.transform(F.array_sort(F.filter(F.array(*[F.struct(F.col(r).alias("t"), F.lit(r).alias("r")) for r in CONFLICT_REASONS]), lambda x: x["t"].isNotNull())), lambda x: x["r"])
+    reason = F.when(lost["kind"] == "DIRECTION_CHANGED", "direction_changed_same_article").otherwise("not_reproduced_same_article")
+    gone = F.when(~active & later(lost["t"], asserted), F.array(reason)).otherwise(none)
+    return both.select(*KEYS, "article_urls", "active_article_urls", F.when(active, SUPPORTED).otherwise(UNSUPPORTED).alias("lifecycle_status"), review.alias("review_status"), F.array_union(conflicts, gone).alias("review_reasons"), "support_changed")
 
 
 def merged_evidence(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -16,15 +16,13 @@ is its first candidate in order.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import slug_column, tokens_column
 from claimloom.functions.similarity import index_score, jaro_winkler_column, levenshtein, token_jaccard, token_set_column, token_sort_column
-from claimloom.model import ENTITY_TYPES
 from claimloom.operators.components import components, durable
+from claimloom.operators.vectors import Cells, k_nearest, placed_in_cells
 
 FUZZY = 0.95
 VECTOR = 0.88
@@ -123,51 +121,16 @@ def nested(candidates: DataFrame, index: DataFrame) -> DataFrame:
     return within.select(*columns).unionByName(beyond.select(*columns))
 
 
-def nearest(candidates: DataFrame, entities: DataFrame, k: int = NEIGHBOURS, threshold: float = VECTOR, excluded: DataFrame | None = None, block: int = 2048) -> DataFrame:
+def nearest(candidates: DataFrame, entities: DataFrame | Cells, k: int = NEIGHBOURS, threshold: float = VECTOR, excluded: DataFrame | None = None) -> DataFrame:
     """Candidates (cand_id, vector) with the best of their k nearest entities (entity_id, vector) that isn't excluded, at the threshold or above.
 
-    Exact search: the candidates, a stated query set, go to the entities in
-    blocks of `block` rows; each task keeps k per candidate for its rows, so what
-    is shuffled is k rows per candidate and task. score = (1 + cosine) / 2; ties
-    go to the least entity id. Vectors that are null, zero or of another length
-    than a candidate's match nothing.
+    Where both have entity_type, searches are within types. Exact, by cells;
+    entities may be given in cells already. score = (1 + cosine) / 2; ties go to
+    the least entity id. Vectors that are null, zero or of another length than
+    most match nothing.
     """
-    out = None
-    queries: list = []
-
-    def against(rows: list) -> DataFrame:
-        ids = [r.cand_id for r in rows]
-        vectors = [np.asarray(r.vector, np.float64) for r in rows]
-        width = max((len(v) for v in vectors), default=0)
-        asked = np.array([v / np.linalg.norm(v) if len(v) == width and np.linalg.norm(v) > 0 else np.full(width, np.nan) for v in vectors])
-
-        def run(batches):
-            for batch in batches:
-                kept = [(e, np.asarray(v, np.float64)) for e, v in zip(batch["entity_id"], batch["vector"], strict=True) if v is not None and len(v) == width]
-                kept = [(e, v / np.linalg.norm(v)) for e, v in kept if np.linalg.norm(v) > 0]
-                if not kept:
-                    continue
-                names = np.array([e for e, _ in kept])
-                order = np.argsort(names, kind="stable")
-                names, matrix = names[order], np.stack([kept[i][1] for i in order])
-                cos = asked @ matrix.T
-                for i, row in enumerate(cos):
-                    if np.isnan(row).any():
-                        continue
-                    top = np.argsort(-row, kind="stable")[:k]
-                    yield pd.DataFrame({"cand_id": [ids[i]] * len(top), "entity_id": names[top], "cosine": row[top]})
-
-        kinds = dict(entities.dtypes) | dict(candidates.dtypes)
-        return entities.select("entity_id", "vector").mapInPandas(run, f"cand_id {kinds['cand_id']}, entity_id {kinds['entity_id']}, cosine double")
-
-    for row in candidates.select("cand_id", "vector").where("vector is not null").toLocalIterator():
-        queries.append(row)
-        if len(queries) == block:
-            out, queries = (against(queries) if out is None else out.unionByName(against(queries))), []
-    if queries or out is None:
-        out = against(queries) if out is None else out.unionByName(against(queries))
-    place = F.row_number().over(Window.partitionBy("cand_id").orderBy(F.desc("cosine"), "entity_id"))
-    top = out.withColumn("place", place).where(F.col("place") <= k)
+    cells = entities if isinstance(entities, Cells) else placed_in_cells(entities)
+    top = k_nearest(candidates, cells, k, 2 * threshold - 1)
     if excluded is not None:
         top = top.join(excluded.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
     best = top.groupBy("cand_id").agg(F.min(F.struct("place", "entity_id", "cosine")).alias("m"))
@@ -194,10 +157,7 @@ def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | N
         placed = durable(placed)
         open_ = placed.where("exact_id is null and fuzzy_id is null").select(F.col("cand_id").alias("o_id"), "entity_type")
         asked = vectors.join(open_, F.col("cand_id") == F.col("o_id"))
-        met = None
-        for kind in ENTITY_TYPES:
-            part = nearest(asked.where(F.col("entity_type") == kind).select("cand_id", "vector"), entity_vectors.where(F.col("entity_type") == kind).select("entity_id", "vector"), threshold=threshold, excluded=blocked)
-            met = part if met is None else met.unionByName(part)
+        met = nearest(asked.select("cand_id", "entity_type", "vector"), entity_vectors.select("entity_id", "entity_type", "vector"), threshold=threshold, excluded=blocked)
         placed = placed.join(met.select(F.col("cand_id").alias("v_id"), F.col("entity_id").alias("vector_id"), F.col("score")), F.col("cand_id") == F.col("v_id"), "left").drop("v_id")
     else:
         placed = placed.withColumn("vector_id", F.lit(None).cast(dict(index.dtypes)["entity_id"])).withColumn("score", F.lit(None).cast("double"))

@@ -67,6 +67,104 @@ def test_fold_equals_state_machine(spark):
         assert (sorted(g.article_urls), sorted(g.active_article_urls), g.lifecycle_status, g.review_status, sorted(g.review_reasons), g.support_changed) == (sorted(s["urls"]), sorted(s["active"]), s["life"], s["review"], sorted(s["reasons"]), s["changed"]), k
 
 
+def stepped(events):
+    """Events of one claim one at a time: (seq, phase, url, kind, detail)."""
+    order = {"ASSERT": 1, "NOT_REPRODUCED": 2, "DIRECTION_CHANGED": 2, "CONFLICT": 3, "REVIEW": 4}
+    s = None
+    for seq, url, kind, detail in sorted(events, key=lambda e: (e[0], order[e[2]], e[3] or "", e[1] or "", e[2])):
+        s = s or {"urls": [], "active": [], "life": "supported", "review": "unreviewed", "reasons": [], "changed": False, "made": False}
+        if kind == "ASSERT":
+            s["made"] = True
+            for f in ("urls", "active"):
+                if url not in s[f]:
+                    s[f].append(url)
+            s["life"] = "supported"
+            s["reasons"] = [r for r in s["reasons"] if r not in SAME]
+            if s["review"] not in ("accepted", "rejected") and not s["reasons"]:
+                s["review"] = "unreviewed"
+        elif kind == "CONFLICT":
+            if s["active"] and s["review"] != "rejected":
+                s["review"] = "needs_review"
+                s["reasons"] += [detail] * (detail not in s["reasons"])
+        elif kind == "REVIEW":
+            s["review"] = detail
+            if detail != "unreviewed":
+                s["reasons"] = []
+        elif url in s["active"]:
+            s["active"].remove(url)
+            s["changed"] = True
+            if not s["active"]:
+                s["life"] = "unsupported_by_latest_source_processing"
+                if s["review"] != "rejected":
+                    s["review"] = "needs_review"
+                reason = "direction_changed_same_article" if kind == "DIRECTION_CHANGED" else "not_reproduced_same_article"
+                s["reasons"] += [reason] * (reason not in s["reasons"])
+    return s if s and s["made"] else None
+
+
+EVENTS = "src_id string, rel_type string, dst_id string, seq long, url string, kind string, detail string"
+
+
+def random_events(rng, claims, length):
+    rows = {}
+    for c in range(claims):
+        events = set()
+        for _ in range(rng.randint(1, length)):
+            kind = rng.choice(["ASSERT", "ASSERT", "ASSERT", "NOT_REPRODUCED", "NOT_REPRODUCED", "DIRECTION_CHANGED", "CONFLICT", "REVIEW"])
+            url = rng.choice("uvw") if kind in ("ASSERT", "NOT_REPRODUCED", "DIRECTION_CHANGED") else None
+            detail = rng.choice(["inverse_direction", "competing_transaction_type"]) if kind == "CONFLICT" else rng.choice(["accepted", "rejected", "unreviewed"]) if kind == "REVIEW" else None
+            # an article's events of one time are one; losses of one claim at one time are told apart by address
+            seq = rng.randint(0, 25) * 10 + {"ASSERT": 1, "CONFLICT": 5, "REVIEW": 9}.get(kind, 2)
+            events.add((seq, url, kind, detail))
+        events -= {e for e in events if e[2] == "NOT_REPRODUCED" and (e[0], e[1], "DIRECTION_CHANGED", None) in events}
+        rows["a", "ACQUIRED", f"c{c}"] = sorted(events, key=str)
+    return rows
+
+
+def test_fold_of_random_events(spark):
+    """Conflicts and reviews among assertions and losses, in any order of rows."""
+    rng = random.Random(8)
+    histories = random_events(rng, 600, 14)
+    rows = [(*k, *e) for k, es in histories.items() for e in es]
+    rng.shuffle(rows)
+    got = {(r.src_id, r.rel_type, r.dst_id): r for r in lifecycle.fold(spark.createDataFrame(rows, EVENTS)).collect()}
+    want = {k: s for k, es in histories.items() if (s := stepped(es))}
+    assert set(got) == set(want)
+    for k, s in want.items():
+        g = got[k]
+        assert (g.article_urls, g.active_article_urls, g.lifecycle_status, g.review_status, g.review_reasons, g.support_changed) == (s["urls"], s["active"], s["life"], s["review"], s["reasons"], s["changed"]), (k, histories[k])
+
+
+def test_no_row_of_a_fold_holds_a_history(spark):
+    """A claim of 200,000 events of five articles: what is gathered is by article or by time, and is the same as step by step."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    url = F.concat(F.lit("u"), (F.col("id") % 5).cast("string"))
+    kind = F.when(F.col("id") % 3 == 0, "NOT_REPRODUCED").when(F.col("id") % 1001 == 7, "REVIEW").otherwise("ASSERT")
+    events = spark.range(n).select(F.lit("a").alias("src_id"), F.lit("ACQUIRED").alias("rel_type"), F.lit("b").alias("dst_id"), F.col("id").alias("seq"), url.alias("url"), kind.alias("kind"), F.when(kind == "REVIEW", F.when(F.col("id") % 2 == 0, "accepted").otherwise("unreviewed")).alias("detail"))
+    rows = [(i, f"u{i % 5}", "NOT_REPRODUCED" if i % 3 == 0 else "REVIEW" if i % 1001 == 7 else "ASSERT", ("accepted" if i % 2 == 0 else "unreviewed") if i % 3 and i % 1001 == 7 else None) for i in range(n)]
+    s, g = stepped(rows), lifecycle.fold(events).first()
+    assert (g.article_urls, g.lifecycle_status, g.review_status, g.review_reasons, g.support_changed) == (s["urls"], s["life"], s["review"], s["reasons"], s["changed"])
+    assert sorted(g.active_article_urls) == sorted(s["active"])
+
+
+def test_flags_of_random_claims(spark):
+    rng = random.Random(6)
+    rows = {(rng.choice("abc"), rng.choice(["ACQUIRED", "MERGED_WITH", "INVESTED_IN", "PARTNERED_WITH"]), rng.choice("abc")): (rng.choice([None, "supported", "unsupported_by_latest_source_processing"]), rng.choice([None, "accepted", "rejected"])) for _ in range(60)}
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "src_id string, rel_type string, dst_id string, lifecycle_status string, review_status string")
+    live = {k for k, (life, review) in rows.items() if life in (None, "supported") and review != "rejected"}
+    for r in conflicts.flagged(df).collect():
+        k = (r.src_id, r.rel_type, r.dst_id)
+        want = []
+        if k in live and k[1] in DIRECTIONAL_RELATIONS and k[0] != k[2] and (k[2], k[1], k[0]) in live:
+            want.append("inverse_direction")
+        other = {"ACQUIRED": "MERGED_WITH", "MERGED_WITH": "ACQUIRED"}.get(k[1])
+        if k in live and other and {(k[0], other, k[2]), (k[2], other, k[0])} & live:
+            want.append("competing_transaction_type")
+        assert (r.review_reasons, r.review_status) == (want, "needs_review" if want else rows[k][1]), k
+
+
 def test_emitted_claims(spark):
     rows = [(1, "u", "FOUNDED_BY", "p", "Person", "s", "Startup", "stated"), (1, "u", "MERGED_WITH", "z", "Startup", "a", "Startup", "stated"), (1, "u", "ACQUIRED", "a", "Startup", "b", "Company", "unsure"), (1, "u", "ACQUIRED", "a", "Startup", "a", "Startup", "stated"), (1, "u", "INVESTED_IN", "i", "Investor", "a", "Startup", "attributed")]
     df = spark.createDataFrame(rows, "run long, url string, rel_type string, src_id string, src_label string, dst_id string, dst_label string, evidence_status string")

@@ -96,23 +96,74 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in root)
 
 
-def test_nearest_against_all(spark):
+def brute_nearest(rows, queries, k, threshold, excluded=()):
+    """rows: id, type, vector or None; queries the same."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    m = rng.normal(size=(60, 8))
-    m[7] = 0
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "entity_id long, vector array<double>").union(spark.createDataFrame([(99, None)], "entity_id long, vector array<double>"))
-    q = df.where("entity_id < 10").selectExpr("entity_id as cand_id", "vector")
-    got = {r.cand_id: (r.entity_id, r.score) for r in resolve.nearest(q, df, k=3, threshold=0.5, excluded=q.selectExpr("cand_id", "cand_id as entity_id"), block=4).collect()}
-    n = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    for i in range(10):
-        if i == 7:
-            assert i not in got
+    def unit(v):
+        ok = v is not None and len(v) == 8 and all(x is not None for x in v) and np.isfinite(v).all() and np.linalg.norm(v) > 0
+        return np.asarray(v) / np.linalg.norm(v) if ok else None
+
+    out = {}
+    for q, t, v in queries:
+        a = unit(v)
+        if a is None:
             continue
-        order = [j for j in np.argsort(-(n @ n[i])) if j not in (7,)][:3]
-        j = next(j for j in order if j != i)
-        assert got[i][0] == j and abs(got[i][1] - (1 + n[i] @ n[j]) / 2) < 1e-9
+        near = sorted((-round(float(a @ unit(w)), 12), e) for e, kind, w in rows if kind == t and unit(w) is not None)[:k]
+        near = [(e, (1 - c) / 2) for c, e in near if (q, e) not in excluded and (1 - c) / 2 >= threshold]
+        if near:
+            out[q] = near[0]
+    return out
+
+
+def test_nearest_by_cells_equals_all_pairs(spark):
+    """Clusters, ties, copies, an overfull cell in several blocks, types, vectors that can't be compared."""
+    import numpy as np
+
+    from claimloom.operators import vectors
+
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(6, 8))
+    rows = [(i, "ab"[i % 2], (centers[i % 6] + 0.3 * rng.normal(size=8)).tolist()) for i in range(300)]
+    rows += [(1000 + i, "a", rows[0][2]) for i in range(40)] + [(2000 + i, "b", rng.normal(size=8).tolist()) for i in range(30)]
+    rows += [(3000, "a", None), (3001, "a", [0.0] * 8), (3002, "a", [1.0]), (3003, "a", [float("nan")] * 8), (3004, "a", [None] + [1.0] * 7), ((1 << 60) + 1, "c", [1.0] * 8)]
+    queries = [(i, t, v) for i, t, v in rows if i % 7 == 0 or i >= 3000] + [(5000, "c", [1.0] * 8), (5001, "none", [1.0] * 8)]
+    df = spark.createDataFrame(rows, "entity_id long, entity_type string, vector array<double>")
+    q = spark.createDataFrame(queries, "cand_id long, entity_type string, vector array<double>")
+    own = {(i, i) for i, _, _ in queries}
+    for k, threshold, cells, block in ((3, 0.5, 12, 16), (5, 0.9, 3, 7), (1, 0.0, 40, 1000), (50, 0.6, 1, 32)):
+        vectors.BLOCK, vectors.ASKED = block, 5
+        try:
+            placed = vectors.placed_in_cells(df, cells)
+            got = {r.cand_id: (r.entity_id, r.score) for r in resolve.nearest(q, placed, k, threshold, excluded=q.selectExpr("cand_id", "cand_id as entity_id")).collect()}
+        finally:
+            vectors.BLOCK, vectors.ASKED = 1024, 256
+        want = brute_nearest(rows, queries, k, threshold, own)
+        assert {i: e for i, (e, _) in got.items()} == {i: e for i, (e, _) in want.items()}, (k, cells)
+        assert all(abs(got[i][1] - s) < 1e-9 for i, (_, s) in want.items())
+
+
+def test_nearest_prunes_cells_and_reads_entities_once(spark):
+    import numpy as np
+
+    from claimloom.operators import vectors
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16)) * 5
+    df = spark.createDataFrame([(i, (centers[i % 20] + rng.normal(0, 0.1, 16)).tolist()) for i in range(1000)], "entity_id long, vector array<double>")
+    placed = vectors.placed_in_cells(df, 20)
+    q = df.limit(50).selectExpr("'' as kind", "entity_id as cand_id", "vector", "cast(null as double) as bound")
+    asked = vectors._asking(q, placed, 5, 2.0, False)
+    assert asked.count() < 200  # of 1,000 pairs of a query and a cell
+    plan = vectors.k_nearest(q.select("cand_id", "vector"), placed, 5, 0.5)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_of_nothing(spark):
+    none = spark.createDataFrame([], "entity_id long, vector array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "cand_id long, vector array<double>")
+    assert resolve.nearest(one, none).collect() == []
+    assert resolve.nearest(one.where("false"), one.selectExpr("cand_id as entity_id", "vector")).collect() == []
 
 
 def test_merged_entities(spark):
