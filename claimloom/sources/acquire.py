@@ -1,20 +1,22 @@
 """Articles from saved pages: links, article fields, dates, collection.
 
 Fetching is outside; pages are a table. Tests on addresses are column
-expressions. Markup is read by the standard parser, one page at a time, in an
-Arrow function.
+expressions. Markup is read in one pass, a page at a time, in an Arrow function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+import html
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from claimloom.functions.markup import ALONE, attributes, scan
 from claimloom.operators.ranking import ordered_distinct
 
 # Address parts that articles don't have, and limits on text.
@@ -59,94 +61,116 @@ def listing_urls(spark, source: str, paths: list[str], pages: int) -> DataFrame:
     return each.select("page", "path_pos", F.when(F.col("page") > 1, F.concat("base", F.lit("page/"), F.col("page").cast("string"), F.lit("/"))).otherwise(F.col("base")).alias("url"))
 
 
+#: A paragraph's text holds that of those inside it; from so many times the page's length on, no more are read.
+NESTED = 50
+#: Tags that an open paragraph or list item doesn't reach out of.
+BOUNDARY = frozenset("ul ol article div body".split())
+LINKED = frozenset("article main h2 h3".split())
+
+
 class Element:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    """An element as it stands in the page: what it is inside of, and where its words and descendants are.
+
+    Words and elements are in two lists in order of the page, so an element's text
+    and what it holds are stretches of these; and what can be said of its ancestors
+    is handed down as the page is read. Nothing walks up or down a tree.
+    """
 
-    def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("at", "attrs", "boxed", "clean", "article", "linked", "noise", "open", "overview", "tag", "to", "up", "words")
+
+    def __init__(self, tag: str, attrs: dict, parent: Element | None, at: int, words: int, clean: int):
+        self.tag, self.attrs, self.at, self.to, self.up = tag, attrs, at, at + 1, parent
+        self.words, self.clean = [words, words], [clean, clean]
+        own = self.classes()
+        up = lambda name: parent is not None and getattr(parent, name)
+        self.noise = tag in NOISE or up("noise")
+        self.article = tag == "article" or up("article")
+        self.linked = tag in LINKED or "post" in own or up("linked")
+        self.overview = attrs.get("id") == "tagOverview" or up("overview")
+        self.boxed = self.overview or "tags" in own or "post-tags" in own or up("boxed")
+        # the open paragraph and list item that a new one would close
+        self.open = (None, None) if tag in BOUNDARY or parent is None else (self if tag == "p" else parent.open[0], self if tag == "li" else parent.open[1])
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
-    def walk(self) -> Iterator:
-        stack = [self]
-        while stack:
-            e = stack.pop()
-            yield e
-            stack.extend(c for c in reversed(e.children) if isinstance(c, Element))
-
-    def text(self, skip: frozenset = frozenset()) -> str:
-        out, stack = [], [self]
-        while stack:
-            e = stack.pop()
-            if isinstance(e, str):
-                out.append(e)
-            elif e.tag not in skip:
-                stack.extend(reversed(e.children))
-        return " ".join(" ".join(out).split())
-
-    def under(self, test) -> bool:
-        e = self.parent
-        while e is not None:
-            if test(e):
-                return True
-            e = e.parent
-        return False
-
-    def inside(self, tags: frozenset) -> bool:
-        e = self
-        while e is not None:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
-
-
-class Tree(HTMLParser):
+
+class Page:
+    """The elements of a page in order, and its words."""
+
     def __init__(self, page: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
-        self.feed(page)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li"):
-            e = self.at
-            while e.parent is not None and e.tag not in ("ul", "ol", "article", "div", "body"):
-                if e.tag == tag:
-                    self.at = e.parent
-                    break
-                e = e.parent
-        e = Element(tag, dict(attrs), self.at)
-        self.at.children.append(e)
-        if tag not in VOID:
-            self.at = e
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Element(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        e = self.at
-        while e.parent is not None:
-            if e.tag == tag:
-                self.at = e.parent
-                return
-            e = e.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def _first(root: Element, test) -> Element | None:
-    return next((e for e in root.walk() if test(e)), None)
-
-
-def _meta(root: Element, *names: str) -> str:
-    for n in names:
-        e = _first(root, lambda e, n=n: e.tag == "meta" and (e.attrs.get("name") or e.attrs.get("property") or "").lower() == n)
-        if e is not None and (e.attrs.get("content") or "").strip():
-            return e.attrs["content"].strip()
-    return ""
+        self.words: list[str] = []
+        self.clean: list[str] = []  # without those inside NOISE
+        self.elements: list[Element] = []
+        self.stack: list[Element] = [self._element("", {}, None)]
+        self.depth: dict[int, int] = {id(self.stack[0]): 0}
+        self.open_tags: dict[str, int] = {}
+        for kind, name, rest in scan(page):
+            if kind == "text":
+                self._text(name)
+            elif kind == "start":
+                self._start(name, attributes(rest, last=True), name in VOID or ALONE.search(rest) is not None)
+            else:
+                self._close(name)
+        self._close_to(0)
+        self._end(self.stack[0])
+
+    def _element(self, tag: str, attrs: dict, parent: Element | None) -> Element:
+        e = Element(tag, attrs, parent, len(self.elements), len(self.words), len(self.clean))
+        self.elements.append(e)
+        return e
+
+    def _end(self, e: Element) -> None:
+        e.words[1], e.clean[1], e.to = len(self.words), len(self.clean), len(self.elements)
+
+    def _close_to(self, depth: int) -> None:
+        """Ends the open elements above a depth; each is ended once."""
+        while len(self.stack) > depth + 1:
+            e = self.stack.pop()
+            del self.depth[id(e)]
+            self.open_tags[e.tag] -= 1
+            self._end(e)
+
+    def _start(self, tag: str, attrs: dict, empty: bool) -> None:
+        if tag in ("p", "li") and not empty:
+            before = self.stack[-1].open[tag == "li"]
+            if before is not None:
+                self._close_to(self.depth[id(before)] - 1)
+        e = self._element(tag, attrs, self.stack[-1])
+        if not empty:
+            self.depth[id(e)] = len(self.stack)
+            self.stack.append(e)
+            self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+
+    def _close(self, tag: str) -> None:
+        """Ends the last open element of a tag, and those in it; a tag that isn't open ends nothing."""
+        if self.open_tags.get(tag):
+            depth = len(self.stack) - 1
+            while self.stack[depth].tag != tag:
+                depth -= 1
+            self._close_to(depth - 1)
+
+    def _text(self, text: str) -> None:
+        found = (html.unescape(text) if "&" in text and self.stack[-1].tag not in ("script", "style") else text).split()
+        self.words += found
+        if not self.stack[-1].noise:
+            self.clean += found
+
+    def text(self, e: Element) -> str:
+        return " ".join(self.words[slice(*e.words)])
+
+    def clean_text(self, e: Element) -> str:
+        return " ".join(self.clean[slice(*e.clean)])
+
+    def first(self, test) -> Element | None:
+        return next((e for e in self.elements if test(e)), None)
+
+    def meta(self, *names: str) -> str:
+        for n in names:
+            e = self.first(lambda e, n=n: e.tag == "meta" and (e.attrs.get("name") or e.attrs.get("property") or "").lower() == n)
+            if e is not None and (e.attrs.get("content") or "").strip():
+                return e.attrs["content"].strip()
+        return ""
 
 
 def _distinct(values) -> list[str]:
@@ -160,64 +184,67 @@ def _distinct(values) -> list[str]:
 
 def article(url: str | None, page: str | None) -> tuple:
     """(canonical url, title, summary, author, published, tags, text) of a page."""
-    root = Tree(page or "").root
-    one = lambda test: (lambda e: e.text() if e is not None else "")(_first(root, test))
-    link = _first(root, lambda e: e.tag == "link" and "canonical" in (e.attrs.get("rel") or "").lower().split())
+    read = Page(page or "")
+    one = lambda test: (lambda e: read.text(e) if e is not None else "")(read.first(test))
+    link = read.first(lambda e: e.tag == "link" and "canonical" in (e.attrs.get("rel") or "").lower().split())
     canonical = urljoin(url or "", link.attrs.get("href") or "") if link is not None and link.attrs.get("href") else url or ""
-    title = one(lambda e: e.tag == "h1") or _meta(root, "og:title") or one(lambda e: e.tag == "title") or canonical
-    when = _first(root, lambda e: e.tag == "time" and e.attrs.get("datetime"))
-    published = (when.attrs["datetime"] if when is not None else "") or _meta(root, "article:published_time") or _meta(root, "date")
-    marked = [e for e in root.walk() if (e.tag == "a" and ("tag" in (e.attrs.get("rel") or "").split() or e.under(lambda x: x.attrs.get("id") == "tagOverview" or {"tags", "post-tags"} & set(x.classes())))) or ("data-tag" in e.attrs and e.under(lambda x: x.attrs.get("id") == "tagOverview"))]
-    named = [e.text() or (e.attrs.get("data-tag") or "").strip() for e in marked]
-    listed = [e.attrs["content"] for e in root.walk() if e.tag == "meta" and e.attrs.get("content") and (e.attrs.get("property") == "article:tag" or e.attrs.get("name") == "keywords")]
+    title = one(lambda e: e.tag == "h1") or read.meta("og:title") or one(lambda e: e.tag == "title") or canonical
+    when = read.first(lambda e: e.tag == "time" and e.attrs.get("datetime"))
+    published = (when.attrs["datetime"] if when is not None else "") or read.meta("article:published_time") or read.meta("date")
+    marked = [e for e in read.elements if (e.tag == "a" and ("tag" in (e.attrs.get("rel") or "").split() or e.up.boxed)) or ("data-tag" in e.attrs and e.up.overview)]
+    named = [read.text(e) or (e.attrs.get("data-tag") or "").strip() for e in marked]
+    listed = [e.attrs["content"] for e in read.elements if e.tag == "meta" and e.attrs.get("content") and (e.attrs.get("property") == "article:tag" or e.attrs.get("name") == "keywords")]
     tags = _distinct(x for t in [*named, *listed] for x in t.strip("#").split(","))
     author = one(lambda e: "author" in (e.attrs.get("rel") or "").split()) or one(lambda e: "author" in e.classes())
-    article_tag = lambda e: e.tag == "article"
     box = None
-    for test in (lambda e: "entry-content" in e.classes() and e.inside(frozenset({"article"})), lambda e: "post-content" in e.classes() and e.inside(frozenset({"article"})), article_tag, lambda e: e.tag == "main", lambda e: e.tag == "body"):
-        box = _first(root, test)
+    for test in (lambda e: e.article and "entry-content" in e.classes(), lambda e: e.article and "post-content" in e.classes(), lambda e: e.tag == "article", lambda e: e.tag == "main", lambda e: e.tag == "body"):
+        box = read.first(test)
         if box is not None:
             break
-    box = root if box is None else box
-    parts = [e.text(NOISE) for e in box.walk() if e.tag in ("p", "li") and not e.inside(NOISE)]
+    box = read.elements[0] if box is None else box
+    parts, left = [], NESTED * max(1000, len(page or ""))
+    for e in read.elements[box.at : box.to]:
+        if e.tag in ("p", "li") and not e.noise and left > 0:
+            parts.append(read.clean_text(e))
+            left -= len(parts[-1])
     text = "\n".join(_distinct(p for p in parts if len(p) > SHORTEST_PARAGRAPH))
-    return canonical, title, _meta(root, "description", "og:description") or None, author or None, published or None, tags, text
+    return canonical, title, read.meta("description", "og:description") or None, author or None, published or None, tags, text
 
 
 ARTICLE = "page_id long, url string, canonical_url string, title string, summary string, author string, published_raw string, tags array<string>, text string"
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """The article in each of pages (page_id, url, html)."""
+def _read(pages: DataFrame, rows_of: Callable[[str | None, str | None], list[tuple]], schema: str) -> DataFrame:
+    """The rows that a function finds in each page (page_id, url, html), after the page's id, which goes along as an Arrow column: exact, and null as it is."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, u, *article(u, h)) for i, u, h in zip(batch["page_id"], batch["url"], batch["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ARTICLE.split(", ")])
+            rows, at = [], []
+            for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
+                found = rows_of(url, page)
+                rows += found
+                at += [i] * len(found)
+            made = zip(*rows) if rows else [[] for _ in arrow.names[1:]]
+            columns = [pa.array(list(c), f.type) for c, f in zip(made, list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int64())), *columns], schema=arrow)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, ARTICLE)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, link): absolute targets of anchors under .post, article, main, h2 and h3, in order."""
-    places = frozenset({"article", "main", "h2", "h3"})
+def articles(pages: DataFrame) -> DataFrame:
+    """The article in each of pages (page_id, url, html)."""
+    return _read(pages, lambda url, page: [(url, *article(url, page))], ARTICLE)
 
-    def within(e) -> bool:
-        while e is not None:
-            if e.tag in places or "post" in e.classes():
-                return True
-            e = e.parent
-        return False
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                found = [e for e in Tree(html or "").root.walk() if e.tag == "a" and e.attrs.get("href") and within(e)]
-                rows += [(page_id, i, urljoin(url or "", e.attrs["href"])) for i, e in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "link"])
+def page_links(url: str | None, page: str | None) -> list[tuple[int, str]]:
+    found = [e for e in Page(page or "").elements if e.tag == "a" and e.attrs.get("href") and e.linked]
+    return [(i, urljoin(url or "", e.attrs["href"])) for i, e in enumerate(found)]
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, pos int, link string")
+def links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, link): absolute targets of anchors under .post, article, main, h2 and h3, in order."""
+    return _read(pages, page_links, "page_id long, pos int, link string")
 
 
 def feed_links(spark, path_: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import random
+import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators.metrics import nearest_rank
@@ -39,6 +42,53 @@ def test_listing_and_links(spark):
     assert [r.link for r in acquire.collect_links(found, 5).collect()] == ["a ", "b"]
 
 
+def test_ids_stay_as_they_are(spark):
+    big = (1 << 60) + 1
+    pages = spark.createDataFrame([(big, "https://e.com/x", PAGE), (None, "https://e.com/y", PAGE), (7, None, None), (7, "u", "")], "page_id long, url string, html string").coalesce(1)
+    assert sorted(map(str, (r.page_id for r in acquire.articles(pages).collect()))) == sorted(map(str, [big, None, 7, 7]))
+    assert sorted(map(str, {r.page_id for r in acquire.links(pages).collect()})) == sorted(map(str, [big, None]))
+    assert acquire.articles(pages.limit(0)).count() == acquire.links(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div><a href='/1'>x</a>" * 43_000, "<span>" * 80_000 + "<li>x</li>" * 50_000, "<div>" * 100_000 + "</x>" * 120_000, "<a rel='tag' href='/2'>" * 43_000, "<p " * 330_000, "<!-- " * 200_000, "<article><div class='tags'>" * 38_000, "<div><p>word " * 76_000],
+    ids=["links", "items", "ends", "anchors", "unclosed tags", "comments", "boxes", "paragraphs"],
+)
+def test_a_megabyte_is_read_in_time(page):
+    """Time in proportion to the page: twice of it takes about twice as long, and a megabyte a few seconds on a busy machine."""
+    assert len(page) > 950_000
+    for read in (acquire.article, acquire.page_links):
+        began = time.process_time()
+        read("https://e.com/", page)
+        assert time.process_time() - began < 6
+
+
+def test_marks_are_those_of_all_ancestors():
+    """Against walks up the tree, on random markup."""
+    rng = random.Random(5)
+    pieces = ["<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<div class='tags'>", "<div id='tagOverview'>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<a href='/x'>", "</a>", "<br>", "<b/>", "<span class='post x'>", "</span>", "</zz>", "some words ", "&lt;b&gt; "]
+    for _ in range(500):
+        read = acquire.Page("".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))))
+        for e in read.elements:
+            line, up = [], e
+            while up is not None:
+                line.append(up)
+                up = up.up
+            tags, classes = {x.tag for x in line}, {c for x in line for c in x.classes()}
+            assert e.noise == bool(tags & acquire.NOISE) and e.article == ("article" in tags)
+            assert e.linked == bool(tags & acquire.LINKED or "post" in classes)
+            assert e.overview == any(x.attrs.get("id") == "tagOverview" for x in line) and e.boxed == (e.overview or "tags" in classes)
+            inside = [x for x in read.elements if x is e or any(y is e for y in ancestors(x))]
+            assert [x.at for x in inside] == list(range(e.at, e.to))
+            assert all(e.words[0] <= x.words[0] and x.words[1] <= e.words[1] for x in inside)
+
+
+def ancestors(e):
+    while (e := e.up) is not None:
+        yield e
+
+
 def test_feed(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>t</title><link> https://e.com/1 </link></item><item><title>u</title><link>https://e.com/2</link></item></channel></rss>")
     assert sorted(r.link for r in acquire.feed_links(spark, str(tmp_path)).collect()) == ["https://e.com/1", "https://e.com/2"]
