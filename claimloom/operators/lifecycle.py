@@ -18,17 +18,21 @@ KEYS = ["src_id", "rel_type", "dst_id"]
 
 
 def emitted_claims(relations: DataFrame) -> DataFrame:
-    """Claims that articles make, from resolved relations.
+    """Claims that articles make, from resolved relations, once for each run.
 
     relations: run, url, rel_type, src_id, src_label, dst_id, dst_label,
     evidence_status. Only admitted relations of a valid direction count; a
     merger's ends are put in order of id; loops are left out.
     """
+    return claim_ends(relations).where("src_id is not null").distinct()
+
+
+def claim_ends(relations: DataFrame) -> DataFrame:
+    """(run, url, rel_type, src_id, dst_id) of each row of relations; without relation and ends, if it makes no claim."""
     merger = F.col("rel_type") == "MERGED_WITH"
-    good = relations.where(F.col("rel_type").isin(*DOMAIN_RELATIONS) & admitted(F.col("evidence_status")) & valid_direction(F.col("rel_type"), F.col("src_label"), F.col("dst_label")))
+    good = F.col("rel_type").isin(*DOMAIN_RELATIONS) & admitted(F.col("evidence_status")) & valid_direction(F.col("rel_type"), F.col("src_label"), F.col("dst_label")) & (F.col("src_id") != F.col("dst_id"))
     low, high = F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")
-    ends = good.select("run", "url", "rel_type", F.when(merger, low).otherwise(F.col("src_id")).alias("src_id"), F.when(merger, high).otherwise(F.col("dst_id")).alias("dst_id"))
-    return ends.where("src_id <> dst_id").distinct()
+    return relations.select("run", "url", F.when(good, F.col("rel_type")).alias("rel_type"), F.when(good, F.when(merger, low).otherwise(F.col("src_id"))).alias("src_id"), F.when(good, F.when(merger, high).otherwise(F.col("dst_id"))).alias("dst_id"))
 
 
 def article_events(emitted: DataFrame) -> DataFrame:

@@ -1,40 +1,10 @@
-"""Streams: claims from a folder of article claims, and mention counts by time.
-
-The claim stream keeps an append-only event log; the state of the claims that a
-batch touches is folded again from their events. Batches are numbered, and a
-batch that is run again overwrites its own folder, so a failure in between
-changes nothing.
-"""
+"""Streams: claims from a folder of relations (claims.py), and mention counts by time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators.lifecycle import EVENTS, article_events, emitted_claims, fold
-
-RELATIONS = "run long, url string, rel_type string, src_id string, src_label string, dst_id string, dst_label string, evidence_status string"
-
-
-def relation_stream(spark: SparkSession, folder: str, files_per_batch: int = 10) -> DataFrame:
-    return spark.readStream.schema(RELATIONS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-
-
-def run_claims(stream: DataFrame, log: str, checkpoint: str):
-    """Starts the query; log gets the emitted claims, a folder per batch."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        emitted_claims(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def claim_states(spark: SparkSession, log: str) -> DataFrame:
-    """The state of all claims in a log. Runs and articles come from the log itself, so late files are in their place."""
-    emitted = spark.read.parquet(log).drop("batch").distinct()
-    return fold(article_events(emitted).select(*[c.split()[0] for c in EVENTS.split(", ")]))
-
-
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events (ts, event_type, value) per window and type; in a stream, windows close `late` after the newest event."""
     if events.isStreaming:

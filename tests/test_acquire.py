@@ -108,13 +108,6 @@ def test_ranks_and_percentiles(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, "u", "ACQUIRED", "a", "Startup", "b", "Startup", "stated"), (2, "u", "ACQUIRED", "b", "Startup", "a", "Startup", "stated")]
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], ingest.RELATIONS).write.mode("append").parquet(f"{tmp_path}/in")
-        ingest.run_claims(ingest.relation_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/log", f"{tmp_path}/check").awaitTermination()
-    got = {(r.src_id, r.dst_id): r for r in ingest.claim_states(spark, f"{tmp_path}/log").collect()}
-    assert got["a", "b"].lifecycle_status == "unsupported_by_latest_source_processing" and got["a", "b"].review_reasons == ["direction_changed_same_article"]
-    assert got["b", "a"].review_status == "unreviewed"
     events = spark.createDataFrame([(datetime(2024, 1, 1, h), "x", 1.0) for h in range(24)] + [(datetime(2024, 1, 9), "x", 1.0)], "ts timestamp, event_type string, value double")
     events.write.parquet(f"{tmp_path}/events")
     stream = ingest.windowed_counts(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"))
