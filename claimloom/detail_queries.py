@@ -11,7 +11,7 @@ from claimloom.operators import conflicts, extract, lifecycle, metrics, resolve
 from claimloom.operators.ranking import page, side_by_side
 from claimloom.oracle import DOMAIN, GRAPH
 from claimloom.plans import claims, subgraph
-from claimloom.queries import EDGE, on_graph, on_table, outputs
+from claimloom.queries import EDGE, joined_lists, line_relations, on_graph, on_table, outputs
 from claimloom.sources.graph import Graph
 from claimloom.sources.store import repeated_edges, repeated_ids
 
@@ -85,6 +85,73 @@ def s11_repeated_keys(g: Graph) -> DataFrame:
     return side_by_side(repeated_ids(topics).unionByName(sound).agg(F.count("*").alias("nodes"), F.sum("n").alias("node_rows")), repeated_edges(claims).agg(F.count("*").alias("edges")))
 
 
+def line_sightings(lines: DataFrame) -> DataFrame:
+    """What lines say of the claims they make: evidence that is missing from every third, keywords on the first of an order."""
+    n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    told = line_relations(
+        lines,
+        (F.col("l_orderkey") * 8 + n).alias("pos"),
+        F.when(n % 3 != 0, F.concat(F.lit("e"), key)).otherwise("").alias("evidence"),
+        F.when(n == 1, F.concat(F.lit("k"), key)).alias("keywords"),
+        F.concat(F.lit("T"), (F.col("l_orderkey") % 5).cast("string")).alias("article_title"),
+        F.when((F.col("l_linestatus") == "O") & (n % 2 == 0), "stated").otherwise("attributed").alias("status"),
+    )
+    return lifecycle.sightings(told.drop("evidence_status").withColumnRenamed("status", "evidence_status"))
+
+
+SEEN = """
+  WITH seen AS (
+    SELECT 'investor:' || l_suppkey % 10 AS src_id, 'startup:' || l_partkey % 4000 AS dst_id, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS run, 'u' || l_orderkey % 7 AS url, l_orderkey * 8 + l_linenumber AS pos,
+           CASE WHEN l_linenumber % 3 <> 0 THEN 'e' || l_orderkey ELSE '' END AS evidence, CASE WHEN l_linenumber = 1 THEN 'k' || l_orderkey END AS keywords, 'T' || l_orderkey % 5 AS title, l_linestatus = 'O' AND l_linenumber % 2 = 0 AS stated
+    FROM lineitem),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id ORDER BY run, url, pos) AS t FROM seen)"""
+
+
+@both(SEEN + """,
+  marked AS (SELECT *, min(t) FILTER (stated) OVER (PARTITION BY src_id, dst_id) AS s FROM placed),
+  titles AS (SELECT src_id, dst_id, string_agg(title, '|' ORDER BY t) AS article_titles FROM (SELECT src_id, dst_id, title, min(t) AS t FROM placed GROUP BY ALL) GROUP BY ALL)
+  SELECT m.src_id, m.dst_id, CASE WHEN bool_or(stated) THEN 'stated' ELSE 'attributed' END AS evidence_status,
+         coalesce(arg_max(evidence, t) FILTER (stated AND evidence <> ''), arg_max(evidence, t) FILTER (NOT stated AND evidence <> '' AND (s IS NULL OR t < s)), arg_min(evidence, t) FILTER (NOT stated AND evidence <> '' AND t > s)) AS evidence,
+         arg_max(keywords, t) FILTER (keywords IS NOT NULL) AS keywords, any_value(article_titles) AS article_titles
+  FROM marked m JOIN titles ON m.src_id = titles.src_id AND m.dst_id = titles.dst_id GROUP BY m.src_id, m.dst_id""")
+@table("lineitem")
+def g4_claim_evidence(lines: DataFrame) -> DataFrame:
+    return joined_lists(lifecycle.evidence(line_sightings(lines)).drop("rel_type"))
+
+
+@both(SEEN + """,
+  runs AS (SELECT DISTINCT url, run FROM seen)
+  SELECT src_id, dst_id, run::BIGINT AS run, 'asserted' AS event, url AS article_url, count(*) AS n FROM (SELECT DISTINCT src_id, dst_id, run, url, pos FROM seen) GROUP BY ALL
+  UNION ALL SELECT src_id, dst_id, 2, 'not_reproduced', url, 1 FROM (SELECT src_id, dst_id, url, max(run) AS last FROM seen GROUP BY ALL) s WHERE last = 1 AND EXISTS (SELECT 1 FROM runs r WHERE r.url = s.url AND r.run = 2)""")
+@table("lineitem")
+def g9_claim_history(lines: DataFrame) -> DataFrame:
+    seen = line_sightings(lines)
+    made = seen.select("run", "url", *lifecycle.KEYS).distinct()
+    past = lifecycle.history(seen, lifecycle.support(lifecycle.article_events(made)))
+    return past.groupBy("src_id", "dst_id", "run", "event", "article_url").agg(F.count("*").alias("n"))
+
+
+@both(SEEN + """,
+  one AS (SELECT * FROM placed WHERE src_id = 'investor:3'),
+  runs AS (SELECT DISTINCT url, run FROM seen),
+  lost AS (SELECT dst_id, count(*) AS n FROM (SELECT dst_id, url, max(run) AS last FROM one GROUP BY ALL) s WHERE last = 1 AND EXISTS (SELECT 1 FROM runs r WHERE r.url = s.url AND r.run = 2) GROUP BY dst_id),
+  urls AS (SELECT dst_id, count(DISTINCT url) AS n FROM one GROUP BY dst_id),
+  newest AS (SELECT dst_id, arg_max(coalesce(evidence, ''), (run, -pos)) FILTER (evidence <> '') AS shown FROM one GROUP BY dst_id)
+  SELECT 'INVESTED_IN' AS relationship, 'outgoing' AS direction, o.dst_id AS counterparty_id, CASE WHEN coalesce(l.n, 0) = u.n THEN 'unsupported_by_latest_source_processing' ELSE 'supported' END AS lifecycle_status,
+         CASE WHEN coalesce(l.n, 0) = u.n THEN u.n ELSE u.n - coalesce(l.n, 0) END AS active_support_count, count(*) + any_value(coalesce(l.n, 0)) AS n_assertions, any_value(shown) AS primary_evidence
+  FROM one o JOIN urls u ON o.dst_id = u.dst_id LEFT JOIN lost l ON o.dst_id = l.dst_id JOIN newest w ON o.dst_id = w.dst_id GROUP BY o.dst_id, l.n, u.n""")
+@table("lineitem")
+def q7_claim_payload(lines: DataFrame) -> DataFrame:
+    """The claims of an investor with their histories; a run's number stands for the time at which it came."""
+    seen = line_sightings(lines)
+    events = lifecycle.article_events(seen.select("run", "url", *lifecycle.KEYS).distinct())
+    past = lifecycle.history(seen, lifecycle.support(events)).withColumn("processed_at", F.col("run"))
+    articles = lines.sparkSession.createDataFrame([], "url string, article_id string, source_name string, published_at timestamp, trace_id string")
+    reviews = lines.sparkSession.createDataFrame([], "src_id string, rel_type string, dst_id string, run long, decision string, comment string, reviewer string")
+    shown = claims.payload("investor:3", lifecycle.fold(events), past, reviews, articles)
+    return shown.select("relationship", "direction", "counterparty_id", "lifecycle_status", "active_support_count", F.size("assertions").cast("long").alias("n_assertions"), F.nullif("primary_assertion.evidence", F.lit("")).alias("primary_evidence"))
+
+
 @both("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6 OFFSET 12")
 @table("orders")
 def o6_page(orders: DataFrame) -> DataFrame:

@@ -21,18 +21,19 @@ from claimloom.operators import conflicts, extract, lifecycle, resolve
 from claimloom.operators.components import durable
 from claimloom.operators.metrics import tally
 from claimloom.operators.ranking import ranked_within
+from claimloom.plans import claims
 from claimloom.sources.store import Store
 
 ENTITY = "id string, label string, name string, canonical_name string, aliases array<string>, evidence_status string, description string"
-EMITTED = "run long, url string, src_id string, rel_type string, dst_id string"
+EMITTED = "run long, url string, rel_type string, src_id string, dst_id string, pos long, evidence_status string, evidence string, keywords string, article_title string"
 REVIEWS = "src_id string, rel_type string, dst_id string, run long, decision string, comment string, reviewer string"
-CLAIMS = "src_id string, rel_type string, dst_id string, article_urls array<string>, active_article_urls array<string>, lifecycle_status string, review_status string, review_reasons array<string>, support_changed boolean"
+CLAIMS = "src_id string, rel_type string, dst_id string, article_urls array<string>, active_article_urls array<string>, lifecycle_status string, review_status string, review_reasons array<string>, support_changed boolean, evidence_status string, evidence string, keywords string, article_titles array<string>"
 #: The two ends of a claim, whichever way it goes.
 PAIR = ("least(src_id, dst_id) AS lo", "greatest(src_id, dst_id) AS hi")
 LONGEST_TEXT = 20_000
 ARTICLES = "article_id string, url string, title string, summary string, text string, author string, source_name string, source_url string, published_at timestamp, tags array<string>, raw_extraction string, run long, trace_id string, trace_url string, experiment_id string, provenance array<string>"
 VECTORS = "entity_id string, entity_type string, vector array<float>"
-EMPTY = {"entities": ENTITY, "emitted": EMITTED, "runs": "url string, run long", "reviews": REVIEWS, "articles": ARTICLES, "sources": "id string, name string, url string, run long", "article_edges": "src_id string, rel_type string, dst_id string, evidence_status string, evidence string", "vectors": VECTORS}
+EMPTY = {"entities": ENTITY, "emitted": EMITTED, "runs": "url string, run long, processed_at timestamp", "reviews": REVIEWS, "articles": ARTICLES, "sources": "id string, name string, url string, run long", "article_edges": "src_id string, rel_type string, dst_id string, evidence_status string, evidence string", "vectors": VECTORS}
 
 
 def extracted(articles: DataFrame, extractor: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -107,9 +108,9 @@ def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, out
     for side, column in (("source", "src_id"), ("target", "dst_id")):
         own = keyed.select(F.col("article_id").alias("a"), F.col("entity_type").alias("t"), "k", F.col("entity_id").alias(column))
         ends = ends.withColumn("sk", key_column(F.col(f"{side}_name"), F.col(f"{side}_type"))).join(own, (F.col("article_id") == F.col("a")) & (F.col(f"{side}_type") == F.col("t")) & (F.col("sk") == F.col("k"))).drop("a", "t", "k", "sk")
-    urls = good.select(F.col("article_id").alias("u"), "url")
-    made = ends.join(urls, F.col("article_id") == F.col("u")).select(F.lit(run).cast("long").alias("run"), "url", "rel_type", "src_id", F.col("source_type").alias("src_label"), "dst_id", F.col("target_type").alias("dst_label"), "evidence_status", "article_id")
-    emitted = durable(lifecycle.emitted_claims(made).select("run", "url", "src_id", "rel_type", "dst_id"))
+    urls = good.select(F.col("article_id").alias("u"), "url", F.col("title").alias("article_title"))
+    made = ends.join(urls, F.col("article_id") == F.col("u")).select(F.lit(run).cast("long").alias("run"), "url", "rel_type", "src_id", F.col("source_type").alias("src_label"), "dst_id", F.col("target_type").alias("dst_label"), F.col("pos").cast("long").alias("pos"), "evidence_status", "evidence", "keywords", "article_title", "article_id")
+    emitted = durable(lifecycle.sightings(made))
     counts = tally_of(good, articles, fits, seen, made)
     if embedder:
         first = resolved.where("method = 'new'").select(F.col("cand_id").alias("r"), "entity_id", "entity_type").join(vectors, F.col("r") == F.col("cand_id")).where("vector is not null")
@@ -125,16 +126,16 @@ def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, out
     own_urls = good.select(F.col("url").alias("own")).distinct()
     touched = durable(_old(spark, store, "emitted").join(own_urls, F.col("url") == F.col("own"), "left_semi").unionByName(emitted).selectExpr(*PAIR).distinct())
     store.append("emitted", emitted)
-    store.append("runs", own_urls.select(F.col("own").alias("url"), F.lit(run).cast("long").alias("run")))
+    store.append("runs", own_urls.select(F.col("own").alias("url"), F.lit(run).cast("long").alias("run"), F.current_timestamp().alias("processed_at")))
     refresh(spark, store, touched)
     return counts
 
 
-def _resolved(cands: DataFrame, relations: DataFrame, index: DataFrame, entities: DataFrame, claims: DataFrame, vectors: DataFrame | None, known: DataFrame | None) -> DataFrame:
+def _resolved(cands: DataFrame, relations: DataFrame, index: DataFrame, entities: DataFrame, stored: DataFrame, vectors: DataFrame | None, known: DataFrame | None) -> DataFrame:
     """resolve() of a batch; nothing merges into what it has a relation with, in its article or in the graph."""
     near = durable(extract.neighbour_keys(relations, key_column))
     names = entities.select(F.col("id").alias("node_id"), key_column(F.col("name"), F.col("label")).alias("key"))
-    live_claims = claims.where(live(F.col("lifecycle_status"), F.col("review_status"))).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
+    live_claims = stored.where(live(F.col("lifecycle_status"), F.col("review_status"))).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     ways = live_claims.unionByName(live_claims.select(F.col("b").alias("a"), F.col("a").alias("b")))
     blocked = durable(resolve.blocked_by_neighbours(cands, near, index).unionByName(resolve.blocked_by_graph(cands.select("cand_id", "key"), names, ways)).distinct())
     first = durable(resolve.resolve(cands, index, key_column, blocked, vectors, known))
@@ -167,12 +168,24 @@ def refresh(spark: SparkSession, store: Store, touched: DataFrame | None = None)
         emitted, reviews = (ends(x).join(touched, same, "left_semi").drop("p_lo", "p_hi") for x in (emitted, reviews))
     runs = _old(spark, store, "runs").groupBy("url").agg(F.array_sort(F.collect_set("run")).alias("runs"))
     events = lifecycle.article_events_for(emitted, runs).unionByName(lifecycle.review_events(reviews))
-    folded = conflicts.flagged(lifecycle.fold(events))
+    told = lifecycle.evidence(emitted).select(*[F.col(k).alias(f"e_{k}") for k in lifecycle.KEYS], "evidence_status", "evidence", "keywords", "article_titles")
+    folded = conflicts.flagged(lifecycle.fold(events)).join(told, [F.col(k) == F.col(f"e_{k}") for k in lifecycle.KEYS], "left").drop(*[f"e_{k}" for k in lifecycle.KEYS])
     if touched is not None and store.version("claims"):
         folded = folded.unionByName(ends(store.read("claims")).join(touched, same, "left_anti").drop("p_lo", "p_hi"))
     store.write("claims", folded)
 
 
+def claim_payload(spark: SparkSession, store: Store, node_id: str) -> DataFrame:
+    """The claims of a node with their assertions and reviews, from the store's logs."""
+    emitted, runs, reviews = (_old(spark, store, x) for x in ("emitted", "runs", "reviews"))
+    emitted = emitted.where((F.col("src_id") == node_id) | (F.col("dst_id") == node_id))
+    of = runs.groupBy("url").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    past = lifecycle.history(emitted, lifecycle.support(lifecycle.article_events_for(emitted, of)))
+    when = runs.groupBy(F.col("url").alias("w_url"), F.col("run").alias("w_run")).agg(F.max("processed_at").alias("processed_at"))
+    past = past.join(when, (F.col("article_url") == F.col("w_url")) & (F.col("run") == F.col("w_run")), "left").drop("w_url", "w_run")
+    return claims.payload(node_id, _claims(spark, store), past, reviews, _old(spark, store, "articles"))
+
+
 def review(spark: SparkSession, store: Store, src_id: str, rel_type: str, dst_id: str, decision: str, comment: str | None = None, reviewer: str | None = None) -> bool:
     """Records a decision about a claim after the latest run; False if there is no such claim. Ends are taken as given."""
     if decision not in REVIEW or decision == "needs_review":

@@ -27,12 +27,67 @@ def emitted_claims(relations: DataFrame) -> DataFrame:
     return claim_ends(relations).where("src_id is not null").distinct()
 
 
-def claim_ends(relations: DataFrame) -> DataFrame:
-    """(run, url, rel_type, src_id, dst_id) of each row of relations; without relation and ends, if it makes no claim."""
+def claim_ends(relations: DataFrame, *more: str) -> DataFrame:
+    """(run, url, rel_type, src_id, dst_id, more columns) of each row of relations; without relation and ends, if it makes no claim."""
     merger = F.col("rel_type") == "MERGED_WITH"
     good = F.col("rel_type").isin(*DOMAIN_RELATIONS) & admitted(F.col("evidence_status")) & valid_direction(F.col("rel_type"), F.col("src_label"), F.col("dst_label")) & (F.col("src_id") != F.col("dst_id"))
     low, high = F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")
-    return relations.select("run", "url", F.when(good, F.col("rel_type")).alias("rel_type"), F.when(good, F.when(merger, low).otherwise(F.col("src_id"))).alias("src_id"), F.when(good, F.when(merger, high).otherwise(F.col("dst_id"))).alias("dst_id"))
+    return relations.select("run", "url", F.when(good, F.col("rel_type")).alias("rel_type"), F.when(good, F.when(merger, low).otherwise(F.col("src_id"))).alias("src_id"), F.when(good, F.when(merger, high).otherwise(F.col("dst_id"))).alias("dst_id"), *more)
+
+
+def sightings(relations: DataFrame) -> DataFrame:
+    """Each time that an article says a claim: the columns of emitted_claims(), and pos, evidence_status, evidence, keywords, article_title."""
+    return claim_ends(relations, "pos", "evidence_status", "evidence", "keywords", "article_title").where("src_id is not null")
+
+
+def evidence(seen: DataFrame) -> DataFrame:
+    """(src_id, rel_type, dst_id) with evidence_status, evidence, keywords and article_titles, from sightings() in order of run, url, pos.
+
+    The status is stated once anything stated it. Evidence is replaced by
+    evidence that is stated or, as long as nothing is, by the latest; where what
+    is stated comes without, that of others stands. Keywords are the last ones,
+    titles a list without repeats.
+
+    What decides are first and last times, so this is one aggregation by claim;
+    only claims with stated sightings, all without evidence, and others with it
+    on both sides of the first of them are looked at again.
+    """
+    t = F.struct("run", "url", "pos")
+    stated, told = F.col("evidence_status") == "stated", F.coalesce(F.col("evidence"), F.lit("")) != ""
+    said, worded = F.struct(t.alias("t"), "evidence"), F.coalesce(F.col("keywords"), F.lit("")) != ""
+    marks = seen.groupBy(*KEYS).agg(
+        F.min(F.when(stated, t)).alias("stated"),
+        F.max(F.when(stated & told, said)).alias("best"),
+        F.min(F.when(~stated & told, said)).alias("first"),
+        F.max(F.when(~stated & told, said)).alias("last"),
+        F.max(F.when(worded, F.struct(t.alias("t"), "keywords"))).alias("words"),
+    )
+    between = F.col("stated").isNotNull() & F.col("best").isNull() & (F.col("first.t") < F.col("stated")) & (F.col("last.t") > F.col("stated"))
+    asked = marks.where(between).select(*[F.col(k).alias(f"a_{k}") for k in KEYS], F.col("stated").alias("until"))
+    before = seen.join(asked, [F.col(k) == F.col(f"a_{k}") for k in KEYS]).where(~stated & told & (t < F.col("until"))).groupBy(*[F.col(k).alias(f"b_{k}") for k in KEYS]).agg(F.max(said).alias("before"))
+    titled = seen.where(F.coalesce(F.col("article_title"), F.lit("")) != "").groupBy(*KEYS, "article_title").agg(F.min(t).alias("t"))
+    titles = titled.groupBy(*[F.col(k).alias(f"t_{k}") for k in KEYS]).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "article_title"))), lambda x: x["article_title"]).alias("article_titles"))
+    both = marks.join(before, [F.col(k) == F.col(f"b_{k}") for k in KEYS], "left").join(titles, [F.col(k) == F.col(f"t_{k}") for k in KEYS], "left")
+    late = F.when(F.col("stated").isNull() | (F.col("last.t") < F.col("stated")), F.col("last.evidence")).otherwise(F.col("first.evidence"))
+    return both.select(
+        *KEYS,
+        F.when(F.col("stated").isNotNull(), "stated").otherwise("attributed").alias("evidence_status"),
+        F.coalesce("best.evidence", "before.evidence", late).alias("evidence"),
+        F.col("words.keywords").alias("keywords"),
+        F.coalesce("article_titles", F.array().cast("array<string>")).alias("article_titles"),
+    )
+
+
+def history(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """Provenance of claims, a row an event: asserted for each sighting, and not_reproduced or direction_changed where an article's support went (known: support()).
+
+    Rows: src_id, rel_type, dst_id, run, pos, event, article_url, article_title, evidence_status, evidence.
+    """
+    none = F.lit(None).cast("string")
+    said = seen.select(*KEYS, "run", "pos", F.lit("asserted").alias("event"), F.col("url").alias("article_url"), "article_title", "evidence_status", "evidence").distinct()
+    lost = known.select(*KEYS, "url", F.explode("moves").alias("m")).where("m.step < 0")
+    gone = lost.select(*KEYS, F.expr("m.seq div 10").alias("run"), F.lit(None).cast("long").alias("pos"), F.lower("m.kind").alias("event"), F.col("url").alias("article_url"), none.alias("article_title"), none.alias("evidence_status"), none.alias("evidence"))
+    return said.unionByName(gone)
 
 
 def article_events(emitted: DataFrame) -> DataFrame:

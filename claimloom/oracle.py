@@ -224,3 +224,4 @@ SQL = {
     "stream_windowed_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "o2_null_order": "SELECT event_id, nullif(value::BIGINT % 5, 0) AS v FROM events ORDER BY v DESC NULLS FIRST, event_id LIMIT 50",
 }
+SQL["g5_claim_stream"] = SQL["g4_claim_lifecycle"]

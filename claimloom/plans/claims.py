@@ -115,3 +115,54 @@ def sorted_assertions(assertions: Column) -> Column:
 def allowed_actions(review: Column) -> tuple[Column, Column, Column]:
     """Whether a client may accept, reject, reset."""
     return review != "accepted", review != "rejected", review.isin("accepted", "rejected")
+
+
+def payload(node_id: str, states: DataFrame, history: DataFrame, reviews: DataFrame, articles: DataFrame) -> DataFrame:
+    """The claims of a node as a client shows them, with their assertions and their reviews.
+
+    states: claims with their states (src_id, rel_type, dst_id, article_urls,
+    active_article_urls, lifecycle_status, review_status, review_reasons,
+    support_changed and whatever else is known of them). history:
+    lifecycle.history() rows with processed_at. reviews: src_id, rel_type,
+    dst_id, run, decision, comment, reviewer. articles: url, article_id,
+    source_name, published_at, trace_id.
+
+    All three logs are brought down to the node's own claims before anything is
+    gathered. Assertions are newest first, reviews in order; of the last review
+    comment, reviewer and run stand beside the claim.
+    """
+    at = states.where((F.col("src_id") == node_id) | (F.col("dst_id") == node_id))
+    out = F.col("src_id") == node_id
+    keys = ["src_id", "rel_type", "dst_id"]
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.where((F.col("src_id") == node_id) | (F.col("dst_id") == node_id))
+
+    known = articles.select(F.col("url").alias("a_url"), "article_id", "source_name", F.col("published_at").cast("string").alias("published_at"), "trace_id")
+    told = own(history).withColumn("processed_at", F.col("processed_at").cast("string")).join(known, F.col("article_url") == F.col("a_url"), "left")
+    record = F.struct("event", "article_id", "article_url", "article_title", "source_name", "published_at", "run", "processed_at", "trace_id", "evidence_status", "evidence")
+    listed = told.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", F.coalesce("pos", F.lit(1 << 62)).alias("pos"), "event", record.alias("r")))).alias("h"))
+    listed = listed.select(*[F.col(k).alias(f"h_{k}") for k in keys], sorted_assertions(F.transform("h", lambda x: x["r"])).alias("assertions"))
+    decided = own(reviews).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "decision", "comment", "reviewer"))).alias("review_history"))
+    decided = decided.select(*[F.col(k).alias(f"r_{k}") for k in keys], "review_history", latest_review(F.col("review_history")).alias("last"))
+    both = at.join(listed, [F.col(k) == F.col(f"h_{k}") for k in keys], "left").join(decided, [F.col(k) == F.col(f"r_{k}") for k in keys], "left")
+    rest = [c for c in states.columns if c not in (*keys, "lifecycle_status", "review_status", "review_reasons", "support_changed")]
+    return both.select(
+        F.col("rel_type").alias("relationship"),
+        F.when(F.col("rel_type") == "MERGED_WITH", "undirected").when(out, "outgoing").otherwise("incoming").alias("direction"),
+        F.when(out, F.col("dst_id")).otherwise(F.col("src_id")).alias("counterparty_id"),
+        F.coalesce("lifecycle_status", F.lit(SUPPORTED)).alias("lifecycle_status"),
+        F.coalesce("review_status", F.lit("unreviewed")).alias("review_status"),
+        "review_reasons",
+        F.coalesce("support_changed", F.lit(False)).alias("support_changed"),
+        support_count(F.col("active_article_urls"), F.col("article_urls")).alias("active_support_count"),
+        F.coalesce("assertions", F.array().cast(listed.schema["assertions"].dataType)).alias("assertions"),
+        primary_assertion(F.col("assertions")).alias("primary_assertion"),
+        F.coalesce("review_history", F.array().cast(decided.schema["review_history"].dataType)).alias("review_history"),
+        F.col("last.comment").alias("review_comment"),
+        F.col("last.reviewer").alias("reviewed_by"),
+        F.col("last.run").alias("reviewed_after_run"),
+        F.col("src_id").alias("source_id"),
+        F.col("dst_id").alias("target_id"),
+        *rest,
+    )

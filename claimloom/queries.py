@@ -14,7 +14,8 @@ from claimloom.operators.components import shared_folder
 from claimloom.plans import claims, insights, lookup, subgraph
 from claimloom.sources import acquire
 from claimloom.sources.graph import Graph
-from claimloom.streaming.ingest import counted_stream
+from claimloom.streaming.claims import claims_now, follow_articles, follow_claims
+from claimloom.streaming.ingest import counted_stream, pattern
 
 EDGE = ["src_id", "rel_type", "dst_id"]
 
@@ -133,13 +134,29 @@ def _vectors(table: DataFrame) -> DataFrame:
     return resolve.nearest(queries, entities, threshold=0.55, excluded=own).select("cand_id", "entity_id", F.round("score", 6).alias("score"))
 
 
-def _lifecycle(lines: DataFrame) -> DataFrame:
+def line_relations(lines: DataFrame, *more) -> DataFrame:
+    """Lines as relations that two runs of seven articles found; returned ones in the second run."""
     run = F.when(F.col("l_returnflag") == "R", 2).otherwise(1)
-    relations = lines.select(run.cast("long").alias("run"), F.concat(F.lit("u"), (F.col("l_orderkey") % 7).cast("string")).alias("url"), F.lit("INVESTED_IN").alias("rel_type"), F.concat(F.lit("investor:"), (F.col("l_suppkey") % 10).cast("string")).alias("src_id"), F.lit("Investor").alias("src_label"), F.concat(F.lit("startup:"), (F.col("l_partkey") % 4000).cast("string")).alias("dst_id"), F.lit("Startup").alias("dst_label"), F.lit("stated").alias("evidence_status"))
-    state = lifecycle.fold(lifecycle.article_events(lifecycle.emitted_claims(relations)))
+    return lines.select(run.cast("long").alias("run"), F.concat(F.lit("u"), (F.col("l_orderkey") % 7).cast("string")).alias("url"), F.lit("INVESTED_IN").alias("rel_type"), F.concat(F.lit("investor:"), (F.col("l_suppkey") % 10).cast("string")).alias("src_id"), F.lit("Investor").alias("src_label"), F.concat(F.lit("startup:"), (F.col("l_partkey") % 4000).cast("string")).alias("dst_id"), F.lit("Startup").alias("dst_label"), F.lit("stated").alias("evidence_status"), *more)
+
+
+def _lifecycle(lines: DataFrame) -> DataFrame:
+    return shown_states(lifecycle.fold(lifecycle.article_events(lifecycle.emitted_claims(line_relations(lines)))))
+
+
+def shown_states(state: DataFrame) -> DataFrame:
     return state.select("src_id", "dst_id", F.size("article_urls").cast("long").alias("n_urls"), F.size("active_article_urls").cast("long").alias("n_active"), "lifecycle_status", "review_status", F.array_join("review_reasons", "|").alias("review_reasons"), "support_changed")
 
 
+def _claim_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as a stream of relations; states as the two claim streams leave them."""
+    path, folder = f"{sf_dir}/lineitem.parquet", f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    stream = line_relations(spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern(path)))
+    follow_articles(stream, folder).awaitTermination()
+    follow_claims(spark.readStream.schema(lifecycle.EVENTS).option("recursiveFileLookup", "true").parquet(f"{folder}/events"), folder).awaitTermination()
+    return shown_states(claims_now(spark, folder))
+
+
 def _tally(orders: DataFrame) -> DataFrame:
     return metrics.tally(orders.select((F.col("o_orderstatus") == "P").alias("failed"), (F.col("o_custkey") % 9).alias("entity_count"), (F.col("o_custkey") % 13).alias("graph_operations")))
 
@@ -186,6 +203,7 @@ QUERIES = {
     "g11_transaction_conflicts": on_graph(lambda g: conflicts.transaction_pairs(g.edges("ACQUIRED", "MERGED_WITH"))),
     "g12_flagged_claims": on_graph(lambda g: joined_lists(conflicts.flagged(g.edges(*DOMAIN_RELATIONS)).where("size(review_reasons) > 0").select(*EDGE, "review_status", "review_reasons"))),
     "g4_claim_lifecycle": on_table("lineitem", _lifecycle),
+    "g5_claim_stream": _claim_stream,
     "p3_evidence_gate": on_graph(_gate),
     "p4_claim_direction": on_graph(_direction),
     "p12_lens": on_graph(_lens),

@@ -13,10 +13,14 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+def pattern(path: str) -> str:
+    """A path as a pattern: a plain path of a stream can't be a single file."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def counted_stream(spark: SparkSession, path: str, folder: str) -> DataFrame:
     """windowed_counts() of all events that are in a table now, read as a stream; folder keeps its state and each batch's result."""
-    # as a pattern: a plain path of a stream can't be a single file
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern(path))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")

@@ -48,6 +48,13 @@ def test_runs_reviews_and_contradictions(spark, tmp_path):
     ingest.ingest(spark, store, 3, *batch(spark, ("a1", text(("entity", "Acme", "Startup", "stated", "m"), ("entity", "Robots", "Topic", "stated", "t"), ("relation", "Acme", "Robots", "HAS_TOPIC", "stated", "", "about")))))
     c = claims(store)["startup:acme-gmbh", "ACQUIRED", "startup:beta"]
     assert (c.lifecycle_status, c.review_status, c.review_reasons, c.support_changed, c.active_article_urls) == ("unsupported_by_latest_source_processing", "needs_review", ["not_reproduced_same_article"], True, [])
+    assert (c.evidence_status, c.evidence, c.article_titles) == ("stated", "bought", ["T a1"])
+    shown = {(r.relationship, r.direction): r for r in ingest.claim_payload(spark, store, "startup:acme-gmbh").collect()}
+    r = shown["ACQUIRED", "outgoing"]
+    assert [a.event for a in r.assertions] == ["not_reproduced", "asserted"] and r.assertions[1].evidence == "bought" and r.assertions[1].article_id == "a1" and r.assertions[1].source_name == "Daily" and r.assertions[0].processed_at > r.assertions[1].processed_at
+    assert r.primary_assertion.evidence == "bought" and r.counterparty_id == "startup:beta" and r.active_support_count == 1 and r.review_history == []
+    r = shown["ACQUIRED", "incoming"]
+    assert (r.review_status, r.review_comment, r.reviewed_by, [x.decision for x in r.review_history]) == ("rejected", "no", "me", ["rejected"])
     assert store.read("articles").count() == 2 and store.read("sources").first().id == "source:daily"
     a1 = store.read("articles").where("article_id = 'a1'").first()
     assert len(a1.provenance) == 2 and a1.run == 3 and '"topics":[{"name":"Robots"' in a1.raw_extraction

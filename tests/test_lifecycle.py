@@ -171,6 +171,35 @@ def test_emitted_claims(spark):
     assert sorted((r.rel_type, r.src_id, r.dst_id) for r in lifecycle.emitted_claims(df).collect()) == [("INVESTED_IN", "i", "a"), ("MERGED_WITH", "a", "z")]
 
 
+def test_evidence_of_random_sightings(spark):
+    """Against one sighting after another: status only rises, evidence is replaced by stated or equal ones, keywords by any, titles are kept."""
+    rng = random.Random(10)
+    rows = []
+    for c in range(300):
+        for _ in range(rng.randint(1, 8)):
+            rows.append(("a", "ACQUIRED", f"c{c}", rng.randint(1, 3), rng.choice("uv"), rng.randint(0, 9), rng.choice(["stated", "attributed", "attributed"]), rng.choice(["", None, "x", "y", "z"]), rng.choice(["", None, "k", "l"]), rng.choice(["", None, "T", "U"])))
+    rows = list({r[:6]: r for r in rows}.values())
+    want = {}
+    for src, rel, dst, _, _, _, status, text, words, title in sorted(rows, key=lambda r: r[:6]):
+        s = want.setdefault((src, rel, dst), [None, None, None, []])
+        if text and (not s[1] or status == "stated" or s[0] == status):
+            s[1] = text
+        s[0] = "stated" if "stated" in (s[0], status) else "attributed"
+        s[2] = words or s[2]
+        s[3] += [title] * bool(title and title not in s[3])
+    df = spark.createDataFrame(rows, "src_id string, rel_type string, dst_id string, run long, url string, pos long, evidence_status string, evidence string, keywords string, article_title string")
+    got = {(r.src_id, r.rel_type, r.dst_id): [r.evidence_status, r.evidence, r.keywords, r.article_titles] for r in lifecycle.evidence(df).collect()}
+    assert got == want
+
+
+def test_history_has_what_was_said_and_what_went(spark):
+    rows = [(1, "u", "ACQUIRED", "a", "Startup", "b", "Startup", 0, "stated", "bought", "", "T"), (1, "v", "ACQUIRED", "a", "Startup", "b", "Startup", 0, "stated", "", "", ""), (2, "u", "ACQUIRED", "b", "Startup", "a", "Startup", 0, "attributed", "the other way", "", "T2"), (3, "u", "ACQUIRED", "b", "Startup", "a", "Startup", 1, "stated", "", "", "T2")]
+    seen = lifecycle.sightings(spark.createDataFrame(rows, "run long, url string, rel_type string, src_id string, src_label string, dst_id string, dst_label string, pos long, evidence_status string, evidence string, keywords string, article_title string"))
+    events = lifecycle.article_events(seen.select("run", "url", *lifecycle.KEYS).distinct())
+    got = sorted((r.src_id, r.run, r.event, r.article_url, r.evidence or "") for r in lifecycle.history(seen, lifecycle.support(events)).collect())
+    assert got == [("a", 1, "asserted", "u", "bought"), ("a", 1, "asserted", "v", ""), ("a", 2, "direction_changed", "u", ""), ("b", 2, "asserted", "u", "the other way"), ("b", 3, "asserted", "u", "")]
+
+
 def test_upsert(spark):
     schema = "id string, name string, aliases array<string>, evidence_status string, description string"
     old = spark.createDataFrame([("e", "Old", ["o"], "stated", "first")], schema)
