@@ -5,17 +5,21 @@ authors leave out (end tags of p, li, dt, dd, option, table parts; a row's table
 body) and passes over end tags that close nothing. Rendering walks the tree:
 
 - Invisible: script, style, template, head and the like; the attribute hidden;
-  display:none, in a style attribute or in a style sheet's rule for a tag, class
-  or id (the more specific one counts); comments; the options of a drop-down
-  list but the chosen one; of an svg all but its texts. Below visibility:hidden
+  display:none, in a style attribute or in a style sheet's rule (the more
+  specific one counts; selectors of tags, classes and ids, below or directly
+  below one another; rules for media as they hold on SCREEN); comments; a closed
+  dialog, of closed details all but the summary; the options of a drop-down list
+  but the chosen one; of an svg all but its texts. Below visibility:hidden
   nothing shows but what is visibility:visible again. What only screen readers
   pass over (aria-hidden) shows.
 - Blocks stand on lines of their own, paragraphs and headings after a blank
   line; br ends a line; pre keeps its white space; hr is a rule.
-- List items begin with "- " or their number and are indented by depth.
+- List items begin with "- " or their number (start, value and reversed count)
+  and are indented by depth.
 - Tables: cells of a column are padded to one width (that of its widest cell of
   no more than WIDEST characters), joined by " | "; a cell with colspan takes
-  that many columns, one with rowspan its place in the rows below, too.
+  that many columns, one with rowspan its place in the rows below, too, within
+  its group of rows. Padding is bounded, see laid_out().
 
 Edge cases: null and empty pages give an empty text. A tag that the page's end
 cuts off is passed over, as browsers do; "<" before anything but a letter, "/",
@@ -29,25 +33,32 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.functions.markup import RAW, attributes, scan
 from claimloom.llm.common import mapped, small_batches
 
 DEEPEST = 150
 #: Widest cell that a column is padded for.
 WIDEST = 200
-NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
-#: What stands in a tag after its name; a quote begins a value only after "=".
-BODY = re.compile(r"(?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?+)*+")
-ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-SELECTOR = re.compile(r"([\w-]*)([.#][\w-]+)?")
+#: Columns of a table's grid, and how many times longer than its texts a table may be for being aligned.
+COLUMNS, PADDED = 1000, 10
+#: Ancestors that are looked at for selectors of several parts, for each character of the page.
+LOOKS = 20
+#: A compound selector: a tag or *, classes and an id; nothing else is understood.
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][^\s.#:\[\]+~>*,()]+)*)")
+#: The screen that media queries are asked of, in CSS pixels, and what else is true of it.
+SCREEN = {"width": 1280.0, "height": 800.0}
+FEATURES = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "scripting": "enabled", "update": "fast", "color": ""}
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noembed noframes xmp iframe".split())
-INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes annotation annotation-xml".split())
+INVISIBLE = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes annotation annotation-xml rp".split())
+#: Elements that stand apart from the text beside them.
+APART = frozenset("button textarea".split())
 #: Of an svg, only the text in DRAWN shows, unless it's within UNDRAWN.
 DRAWN = frozenset("text foreignobject".split())
 UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern".split())
@@ -79,46 +90,18 @@ SCOPE = {"td", "th", "table", "html", "body"}
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "marks", "parent", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
+        self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.marks: frozenset | None = None
 
-
-def attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(source)))} if source.strip(" /\n\t") else {}
-
-
-def scan(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes): kind is text, start, end."""
-    at = text_from = 0
-    while (at := page.find("<", at)) >= 0:
-        following = page[at + 1 : at + 2]
-        ending = following == "/"
-        name = NAME.match(page, at + 1 + ending)
-        if not name and not (following and following in "!?/"):
-            at += 1
-            continue
-        if at > text_from:
-            yield "text", page[text_from:at], ""
-        if not name:  # a comment, a declaration or nothing
-            close = "-->" if page.startswith("<!--", at) else ">"
-            end = page.find(close, at + 2)
-            at = text_from = end + len(close) if end >= 0 else len(page)
-            continue
-        body = BODY.match(page, name.end())
-        at = text_from = body.end() + 1
-        if at > len(page):  # the page ends within the tag
-            return
-        tag = name[0].lower()
-        yield ("end" if ending else "start"), tag, body[0]
-        if tag in RAW and not ending and not body[0].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            stop = end.start() if end else len(page)
-            yield "text", page[at:stop], ""
-            at = text_from = stop
-    if text_from < len(page):
-        yield "text", page[text_from:], ""
+    def named(self) -> frozenset[str]:
+        """The classes and the id, as selectors have them."""
+        if self.marks is None:
+            attrs = attributes(self.attributes) if self.attributes else {}
+            self.marks = frozenset(["." + c for c in attrs.get("class", "").split()] + (["#" + attrs["id"]] if attrs.get("id") else []))
+        return self.marks
 
 
 def build(page: str) -> tuple[Node, list[str]]:
@@ -163,16 +146,16 @@ def build(page: str) -> tuple[Node, list[str]]:
             if name in CLOSES_P:
                 close({"p"}, SCOPE | {"button"})
             if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
+                row = Node("tr", "", stack[-1])
                 stack[-1].children.append(row)
                 stack.append(row)
-            node = Node(name, rest)
+            node = Node(name, rest, stack[-1])
             stack[-1].children.append(node)
             if name not in VOID and not (rest.endswith("/") and (within or name in ("svg", "math", "path"))) and len(stack) < DEEPEST:
                 stack.append(node)
         else:
             if name == "br":
-                stack[-1].children.append(Node("br"))
+                stack[-1].children.append(Node("br", "", stack[-1]))
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
@@ -194,26 +177,113 @@ def declared(block: str) -> dict[str, str]:
     return out
 
 
-def styles(sheets: list[str]) -> dict[str, dict[str, str]]:
-    """What sheets for the screen declare for each selector of a tag, class or id, such as p, .x, #y, p.x."""
-    out: dict[str, dict[str, str]] = {}
-    for sheet in sheets:
-        opened, text = [], ""
-        for part in re.split(r"([{}])", re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
-            if part == "{":
-                opened.append(text.rsplit(";", 1)[-1].strip().lower())
-                text = ""
-            elif part == "}":
-                selectors = opened.pop() if opened else "@"
-                found = declared(text) if not selectors.startswith("@") else {}
-                if found and not any(x.startswith("@media") and "print" in x for x in opened):
-                    for selector in map(str.strip, selectors.split(",")):
-                        if selector and SELECTOR.fullmatch(selector):
-                            out.setdefault(selector, {}).update(found)
-                text = ""
+def on_screen(query: str) -> bool:
+    """Does a media query hold on SCREEN? What isn't understood doesn't."""
+    for part in query.lower().split(","):
+        terms = [t.strip() for t in re.split(r"\band\b", part)]
+        turned = terms[0].startswith("not ")
+        terms[0] = re.sub(r"^(not|only)\s+", "", terms[0])
+        good = True
+        for term in terms:
+            if not term.startswith("("):
+                good = good and term in ("all", "screen", "")
+                continue
+            name, _, value = term.strip("() \t\n").partition(":")
+            name, value = name.strip(), value.strip()
+            bound, _, side = name.rpartition("-")
+            size = re.fullmatch(r"(\d+(?:\.\d+)?|\.\d+)(px|em|rem)?", value)
+            if bound in ("min", "max") and side in SCREEN and size:
+                pixels = float(size[1]) * (16 if size[2] in ("em", "rem") else 1)
+                good = good and (SCREEN[side] >= pixels if bound == "min" else SCREEN[side] <= pixels)
             else:
-                text = part
-    return out
+                good = good and name in FEATURES and value in ("", FEATURES[name])
+        if good != turned:
+            return True
+    return False
+
+
+def selector(text: str) -> list[tuple[str, str, frozenset]] | None:
+    """A selector from right to left: (what joins it to the one before, tag, marks); None if it has parts that aren't understood."""
+    out: list[tuple[str, str, frozenset]] = []
+    for piece in re.sub(r"\s*>\s*", " > ", text).split():
+        if piece == ">":
+            if not out or out[-1][0] == ">":
+                return None
+            out.append((">", "", frozenset()))
+            continue
+        m = COMPOUND.fullmatch(piece)
+        if not m or not piece:
+            return None
+        parent = bool(out) and out[-1][0] == ">" and not out[-1][1] and not out[-1][2]
+        if parent:
+            out.pop()
+        out.append((">" if parent else " ", (m[1] or "*").lower(), frozenset(re.findall(r"[.#][^.#]+", m[2]))))
+    return out[::-1] if out and (out[-1][1] or out[-1][2]) else None
+
+
+def _picks(node: Node, part: tuple[str, str, frozenset]) -> bool:
+    return part[1] in ("*", node.tag) and part[2] <= node.named()
+
+
+class Rules:
+    """What sheets declare, by a mark or the tag that an element must have: (specificity and place, selector, declarations)."""
+
+    def __init__(self, sheets: list[str], left: int):
+        """left: how many elements may be looked at for selectors of several parts; from then on these pick nothing."""
+        self.by: dict[str, list] = {}
+        self.left = left
+        known: dict[tuple, list] = {}
+        place = 0
+        for sheet in sheets:
+            opened, text = [], ""
+            for part in re.split(r"([{}])", re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+                if part == "{":
+                    opened.append(text.rsplit(";", 1)[-1].strip())
+                    text = ""
+                elif part == "}":
+                    chosen = opened.pop() if opened else "@"
+                    found = declared(text) if not chosen.startswith("@") else {}
+                    if found and all(not x.lower().startswith("@media") or on_screen(x[6:].strip()) for x in opened):
+                        for one in chosen.split(","):
+                            parts = selector(one.strip())
+                            if parts:
+                                place += 1
+                                ids = sum(m[0] == "#" for p in parts for m in p[2])
+                                weight = (ids, sum(len(p[2]) for p in parts) - ids, sum(p[1] != "*" for p in parts), place)
+                                if tuple(parts) not in known:
+                                    known[tuple(parts)] = [weight, parts, {}]
+                                    self.by.setdefault(min(parts[0][2]) if parts[0][2] else parts[0][1], []).append(known[tuple(parts)])
+                                known[tuple(parts)][0] = weight
+                                known[tuple(parts)][2].update(found)
+                    text = ""
+                else:
+                    text = part
+
+    def fits(self, node: Node, parts: list[tuple[str, str, frozenset]]) -> bool:
+        """Does a selector pick an element? Of each part all ancestors are kept that it could mean, so no search goes back."""
+        if not _picks(node, parts[0]):
+            return False
+        here = [node]
+        for (joined, _, _), part in zip(parts, parts[1:]):
+            found: dict[int, Node] = {}
+            for n in here:
+                up = n.parent
+                while up is not None and id(up) not in found and self.left > 0:
+                    self.left -= 1
+                    if _picks(up, part):
+                        found[id(up)] = up
+                    if joined == ">":
+                        break
+                    up = up.parent
+            here = list(found.values())
+        return bool(here)
+
+    def of(self, node: Node) -> dict[str, str]:
+        met = [r for key in (*node.named(), node.tag, "*") for r in self.by.get(key, ()) if self.fits(node, r[1])]
+        out: dict[str, str] = {}
+        for _, _, found in sorted(met, key=lambda r: r[0]):
+            out.update(found)
+        return out
 
 
 def options(node: Node, off: bool = False) -> Iterator[tuple[Node, dict[str, str], bool]]:
@@ -237,23 +307,17 @@ def shown(node: Node, attrs: dict[str, str]) -> list[tuple[Node, dict[str, str]]
 
 
 class Renderer:
-    def __init__(self, sheet: dict[str, dict[str, str]]):
-        self.sheet = sheet
+    def __init__(self, rules: Rules):
+        self.rules = rules
         self.visible = True
         self.counts = {"blocks": 0, "items": 0, "tables": 0, "cells": 0, "hidden": 0}
 
     def hidden(self, node: Node, attrs: dict[str, str]) -> bool:
-        return "hidden" in attrs or self.style(node, attrs).get("display") == "none"
+        return "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs) or self.style(node, attrs).get("display") == "none"
 
     def style(self, node: Node, attrs: dict[str, str]) -> dict[str, str]:
         """display and visibility of an element, as far as anything sets them."""
-        if not attrs and not self.sheet:
-            return {}
-        out: dict[str, str] = {}
-        if self.sheet:
-            marks = ["." + c for c in attrs.get("class", "").lower().split()] + (["#" + attrs["id"].lower()] if attrs.get("id") else [])
-            for selector in [node.tag, *(y for x in marks for y in (x, node.tag + x))]:
-                out.update(self.sheet.get(selector, {}))
+        out = self.rules.of(node) if self.rules.by else {}
         if "style" in attrs:
             out.update(declared(attrs["style"]))
         return out
@@ -272,7 +336,15 @@ class Renderer:
         """The element's lines; an empty line asks for a blank one there."""
         out: list[str] = []
         inline: list[str] = []
+        step = 1
         number = 0
+        if node.tag == "ol":
+            own = attributes(node.attributes) if node.attributes else {}
+            step = -1 if "reversed" in own else 1
+            first = whole(own.get("start"))
+            number = (sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if step < 0 else 1) - step if first is None else first - step
+        # of a closed details element the first summary shows
+        shut = node.tag == "details" and "open" not in (attributes(node.attributes) if node.attributes else {})
 
         def flush() -> None:
             text = "".join(inline)
@@ -321,6 +393,8 @@ class Renderer:
                     self.counts["hidden"] += 1
                     continue
                 before = self.enter(child, attrs)
+                if tag in APART:
+                    inline.append(" ")
                 if tag in ("img", "input"):
                     shown_text = attrs.get("alt") if tag == "img" else attrs.get("value") if attrs.get("type", "").strip().lower() in SHOWN_INPUT else None
                     if shown_text and self.visible:
@@ -342,7 +416,8 @@ class Renderer:
                 elif tag == "li":
                     flush()
                     self.counts["items"] += 1
-                    number += 1
+                    told = whole(attrs.get("value")) if node.tag == "ol" else None
+                    number = number + step if told is None else told
                     mark = f"{number}. " if node.tag == "ol" else "- "
                     own = [x for x in self.lines(child, depth + 1) if x]
                     if own:
@@ -359,17 +434,21 @@ class Renderer:
                     out.extend(["", *own, ""] if tag in SPACED else own)
                 else:
                     walk(child.children)
+                if tag in APART:
+                    inline.append(" ")
                 self.visible = before
 
-        walk([node] if node.tag in ("svg", "select") else node.children)
+        walk([c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1] if shut else [node] if node.tag in ("svg", "select") else node.children)
         flush()
         return out
 
     def table(self, node: Node, depth: int) -> list[str]:
         captions: list[str] = []
-        rows: list[list[tuple[str, int, int]]] = []
+        rows: list[tuple[int, list[tuple[str, int, int]]]] = []
+        group = 0
 
         def gather(children: list) -> None:
+            nonlocal group
             loose = []
             for child in children:
                 if isinstance(child, str):
@@ -382,7 +461,9 @@ class Renderer:
                     continue
                 before = self.enter(child, attrs)
                 if child.tag in ("tbody", "thead", "tfoot"):
+                    group += 1
                     gather(child.children)
+                    group += 1
                 elif child.tag == "tr":
                     row(child)
                 else:
@@ -405,38 +486,72 @@ class Renderer:
                 self.counts["cells"] += 1
                 cells.append((" ".join(x for x in self.lines(cell, depth + 1) if x), span(attrs, "colspan", 100), span(attrs, "rowspan", 65534)))
                 self.visible = before
-            rows.append(cells)
+            rows.append((group, cells))
 
         gather(node.children)
-        # the grid: where each cell begins, past columns that cells above still take
-        width: list[int] = []
-        taken: dict[int, int] = {}
-        grid = []
-        for cells in rows:
-            at, line, below = 0, [], {}
-            for text, across, down in cells:
-                while taken.get(at):
-                    at += 1
-                line.append((at, across, text))
-                width += [0] * (at + across - len(width))
-                if across == 1 and len(text) <= WIDEST:
-                    width[at] = max(width[at], len(text))
-                if down > 1:
-                    below.update(dict.fromkeys(range(at, at + across), down - 1))
-                at += across
-            grid.append(line)
-            taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
-        out = []
-        for line in grid:
-            at, cells = 0, []
-            for begin, across, text in line:
-                cells += [" " * w for w in width[at:begin]]
-                cells.append(text.ljust(sum(width[begin : begin + across]) + 3 * (across - 1)))
-                at = begin + across
-            joined = " | ".join(cells).rstrip()
-            if joined.strip(" |"):
-                out.append(joined)
-        return captions + out
+        return captions + laid_out(rows)
+
+
+def laid_out(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
+    """Lines of a table from rows of (text, columns, rows); cells of one column begin at one place.
+
+    A cell that reaches into the rows below does so within its group of rows.
+    Columns that no cell begins in take no room. A row is as long as it takes to
+    reach its last cell with text; where that would make the table more than
+    PADDED times as long as its texts and bars, its cells stand without padding.
+    """
+    until = np.zeros(COLUMNS + 101, np.int64)  # of each column, the first row that a cell from above leaves free
+    placed: list[list[tuple[int, int, str]]] = []
+    last = None
+    for r, (group, cells) in enumerate(rows):
+        if group != last:
+            until[:] = 0
+            last = group
+        free = np.flatnonzero(until <= r)
+        at, line = 0, []
+        for text, across, down in cells:
+            k = int(np.searchsorted(free, at))
+            begin = int(free[k]) if k < len(free) and at < COLUMNS else COLUMNS  # what is beyond them stands in the last one
+            end = min(begin + across, COLUMNS + 1)
+            line.append((begin, end, text))
+            if down > 1:
+                until[begin:end] = np.maximum(until[begin:end], r + down)
+            at = end
+        placed.append(line)
+    begins = sorted({b for line in placed for b, _, _ in line})
+    column = {b: i for i, b in enumerate(begins)}
+    width = [0] * len(begins)
+    ends = np.searchsorted(begins, np.arange(COLUMNS + 102))  # of a place, the first column that begins there or after it
+    for line in placed:
+        for b, e, text in line:
+            if ends[e] - column[b] == 1 and len(text) <= WIDEST:
+                width[column[b]] = max(width[column[b]], len(text))
+    room = np.concatenate([[0], np.cumsum(np.array(width, np.int64) + 3)])
+    lines = []
+    for line in placed:
+        while line and not line[-1][2]:
+            line.pop()
+        if line:
+            lines.append(line)
+    long = sum(int(room[column[line[-1][0]]]) for line in lines)
+    if long > PADDED * sum(len(t) + 3 for line in lines for _, _, t in line) + WIDEST:
+        return [" | ".join(t for _, _, t in line if t) for line in lines]
+    out = []
+    for line in lines:
+        at, cells = 0, []
+        for b, e, text in line:
+            first, after = column[b], int(ends[e])
+            cells += [" " * w for w in width[at:first]]
+            cells.append(text.ljust(int(room[after] - room[first]) - 3))
+            at = after
+        out.append(" | ".join(cells).rstrip())
+    return out
+
+
+def whole(value: str | None) -> int | None:
+    """A whole number of up to nine digits, as the attributes start and value have it."""
+    m = re.match(r"\s*([+-]?[0-9]{1,9})(?![0-9])", value or "")
+    return int(m[1]) if m else None
 
 
 def span(attrs: dict[str, str], name: str, most: int) -> int:
@@ -450,7 +565,7 @@ def render(page) -> tuple[str, dict[str, int]]:
     if not isinstance(page, str) or not page:
         return "", {"blocks": 0, "items": 0, "tables": 0, "cells": 0, "hidden": 0}
     root, sheets = build(page)
-    renderer = Renderer(styles(sheets))
+    renderer = Renderer(Rules(sheets, LOOKS * max(1000, len(page))))
     out: list[str] = []
     for line in renderer.lines(root):
         line = line.rstrip()

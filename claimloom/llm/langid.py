@@ -34,8 +34,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.markup import attributes, scan
 from claimloom.llm.common import durable, mapped, small_batches, within_bytes
-from claimloom.llm.htmltext import attributes, render
+from claimloom.llm.htmltext import render
 from claimloom.llm.urlfilter import host_and_path
 
 #: Bounds of the training sample.
@@ -46,8 +47,7 @@ BITS, MODEL_CELLS = 16, 1 << 24
 MOST_SENT = 500_000
 TEMPER = 0.05
 STRENGTH = 5.0
-HTML_TAG = re.compile(r"<html\b([^>]*)>", re.I)
-META_LANGUAGE = re.compile(r"<meta\b[^>]*content-language[^>]*>", re.I)
+MARKED = re.compile(r"<(?:html|meta)\b", re.I)
 #: Second-level labels that belong to the suffix, as in co.uk.
 SECOND_LEVEL = frozenset("ac co com edu gov net org".split())
 
@@ -101,10 +101,19 @@ def levels(host: str) -> tuple[str, str]:
 
 
 def declared(page: str) -> str:
-    m = HTML_TAG.search(page)
-    value = attributes(m[1]).get("lang", "") if m else ""
-    if not value and (m := META_LANGUAGE.search(page)):
-        value = attributes(m[0][5:-1]).get("content", "")
+    """The language that the page's html tag declares, else its first content-language; comments and scripts declare nothing."""
+    value, seen = "", False
+    for kind, name, rest in scan(page) if MARKED.search(page) else ():
+        if kind != "start" or name not in ("html", "meta"):
+            continue
+        attrs = attributes(rest)
+        if name == "html" and not seen:
+            seen = True
+            if attrs.get("lang"):
+                value = attrs["lang"]
+                break
+        elif name == "meta" and not value and attrs.get("http-equiv", attrs.get("name", "")).strip().lower() == "content-language":
+            value = attrs.get("content", "")
     return re.split(r"[-_,\s]", value.strip().lower())[0]
 
 
