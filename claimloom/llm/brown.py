@@ -63,6 +63,8 @@ DISCOUNT = 0.6
 PRIOR = 1.0
 #: Neighbours of words that a task gathers before it hands them on.
 GATHER = 2_000_000
+#: Words that training has more often than this have their neighbours added up in SALTS tasks first.
+SALTED_FROM, SALTS = 1_000_000, 64
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -222,7 +224,7 @@ def affinity(table: np.ndarray) -> np.ndarray:
     return got
 
 
-def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes: int | None = None, clustered: int | None = None, head_words: int = HEAD) -> DataFrame:
+def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes: int | None = None, clustered: int | None = None, head_words: int = HEAD, salted_from: int = SALTED_FROM) -> DataFrame:
     """A row per row of documents (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     import xxhash
 
@@ -326,7 +328,8 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
     class_of_unit = own.astype(np.int64)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, code, around): how often each class stands beside a word that the exchange didn't assign."""
+        """(key, code, salt, around): how often each class stands beside a word that the exchange didn't assign. salt: 0, or of very frequent words, so that their rows go to many tasks first."""
+        own_salt = 1 + TaskContext.get().partitionId() % SALTS
 
         def out(parts: list) -> Iterator[pa.RecordBatch]:
             code, key, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -338,12 +341,13 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
             what["at"], what["n"] = pair % (2 * k), np.minimum(n, 255)
             start = np.searchsorted(pair, np.arange(len(u) + 1) * (2 * k))
             code = code[first].astype(np.int32)
+            salt = np.where(head_c[np.maximum(code, 0)] * (code > 0) > salted_from, own_salt, 0).astype(np.int32)
             for a in range(0, len(u), 50_000):
                 b = min(len(u), a + 50_000)
                 offsets = ((start[a : b + 1] - start[a]) * ENTRY.itemsize).astype(np.int32)
                 data = what[start[a] : start[b]].tobytes()
                 around = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(code[a:b]), around], names=["key", "code", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(code[a:b]), pa.array(salt[a:b]), around], names=["key", "code", "salt", "around"])
 
         parts, size = [], 0
         for batch in (x for b in batches for x in stretches(b.to_pandas())):
@@ -360,18 +364,56 @@ def score_lm(documents: DataFrame, held_out: tuple[int, int] = HELD_OUT, classes
         if parts:
             yield from out(parts)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, codes, salts, their classes' sums) of rows sorted by key and salt, some at a time: what is held is a batch, and the sums of the word that goes on in the next.
+
+        packed: rows are of ENTRY, else of sums.
+        """
+        held = None
         for batch in batches:
-            joined = [b"".join(x) for x in batch["arounds"]]
-            what = np.frombuffer(b"".join(joined), ENTRY)
-            word = np.repeat(np.arange(len(joined)), [len(x) // ENTRY.itemsize for x in joined])
-            seen = np.bincount(word * (2 * k) + what["at"], weights=what["n"], minlength=len(joined) * 2 * k).reshape(-1, 2 * k)
-            code = batch["code"].to_numpy()
-            best = (seen @ gain + prior[np.where(code < 0, -1 - code, head_pool[np.maximum(code, 0)])]).argmax(1)
-            yield pd.DataFrame({"key": batch["key"], "code": batch["code"], "c": seen[:, :k].sum(1).astype(np.int64), "class": best.astype(np.int32)})
-
-    gathered = learned.mapInArrow(neighbours, "key long, code int, around binary").groupBy("key").agg(F.max("code").alias("code"), F.collect_list("around").alias("arounds"))
-    assigned = durable(gathered.mapInPandas(assign, "key long, code int, c long, class int"))
+            n = batch.num_rows
+            if not n:
+                continue
+            key, code, salt = (batch.column(c).to_numpy() for c in ("key", "code", "salt"))
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            first = np.flatnonzero(new)
+            rows = batch.column("around").to_pylist()
+            if packed:
+                what = np.frombuffer(b"".join(rows), ENTRY)
+                word = np.repeat(np.cumsum(new) - 1, [len(x) // ENTRY.itemsize for x in rows])
+                sums = np.bincount(word * (2 * k) + what["at"], weights=what["n"], minlength=len(first) * 2 * k).reshape(-1, 2 * k)
+            else:
+                sums = np.add.reduceat(np.frombuffer(b"".join(rows), np.float64).reshape(-1, 2 * k), first)
+            key, code, salt = key[first], code[first], salt[first]
+            if held is not None:
+                if (held[0][0], held[2][0]) == (key[0], salt[0]):
+                    sums[0] += held[3][0]
+                else:
+                    yield held
+            if len(key) > 1:
+                yield key[:-1], code[:-1], salt[:-1], sums[:-1]
+            held = key[-1:], code[-1:], salt[-1:], sums[-1:].copy()
+        if held is not None:
+            yield held
+
+    def assign(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+        """(key, code, c, class) of each word, or the sums of one that has more in other tasks."""
+        for key, code, salt, sums in summed(batches, packed):
+            best = (sums @ gain + prior[np.where(code < 0, -1 - code, head_pool[np.maximum(code, 0)])]).argmax(1)
+            around = pa.array([x.tobytes() if s else None for x, s in zip(sums, salt.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code), pa.array(sums[:, :k].sum(1).astype(np.int64)), pa.array(best.astype(np.int32)), around], names=["key", "code", "c", "class", "around"])
+
+    # no row and no task gathers a word's neighbours: rows of a word come one after another and are added up;
+    # those of very frequent words in SALTS tasks first, each of which hands on one row of sums
+    kinds = "key long, code int, c long, class int, around binary"
+    found = learned.mapInArrow(neighbours, "key long, code int, salt int, around binary")
+    assigned = durable(found.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(lambda b: assign(b, True), kinds))
+    if (head_c[shift:] > salted_from).any():
+        sums = assigned.where("around is not null").select("key", "code", F.lit(0).alias("salt"), "around")
+        again = sums.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: assign(b, False), kinds)
+        assigned = durable(assigned.where("around is null").unionByName(again))
+    assigned = assigned.drop("around")
     # the final classes of codes, and what they weigh
     pool_class = class_of_unit[shift:]
     class_of = np.concatenate((np.full(POOLS, -1), class_of_unit[:shift], np.zeros(len(head_c) - shift, np.int64)))

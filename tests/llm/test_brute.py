@@ -176,6 +176,45 @@ def test_rare_words_take_the_class_of_their_contexts(spark):
         assert all(right > wrong + 0.5 for right, wrong in zip(scores[::2], scores[1::2]))
 
 
+def test_op4_frequent_words_are_added_up_in_parts(spark, monkeypatch):
+    """A word outside the exchange that is in every text, its neighbours added up in one go or over many tasks: the same scores, and no row with all of them."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words) + " planted" for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    plain = {r.doc_id: r.score for r in brown.score_lm(df, classes=6, clustered=1).collect()}
+    monkeypatch.setattr(brown, "GATHER", 200)
+    for salted_from in (10**9, 40, 0):
+        got = {r.doc_id: r.score for r in brown.score_lm(df, classes=6, clustered=1, salted_from=salted_from).collect()}
+        assert max(abs(got[i] - plain[i]) for i in plain) < 1e-9
+
+
+def test_op4_exchange_leaves_no_better_single_move():
+    """Against the likelihood of class bigrams worked out anew for every move of every word."""
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        units, k = 12, 4
+        table = rng.poisson(rng.gamma(0.5, 4, (units, units)))
+        before, after = np.nonzero(table)
+        own = brown.exchange(before, after, table[before, after].astype(float), units, k, rounds=50)
+
+        def likelihood(own):
+            classes = np.zeros((k, k))
+            np.add.at(classes, (own[before], own[after]), table[before, after])
+            h = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+            return h(classes.ravel()) - h(classes.sum(0)) - h(classes.sum(1))
+
+        here = likelihood(own)
+        for u in range(1, units):
+            for c in range(1, k):
+                moved = own.copy()
+                moved[u] = c
+                assert likelihood(moved) <= here + 1e-6 or own[u] == c or not (table[u].sum() + table[:, u].sum()), (u, c)
+
+
+
 def test_classes_grow_with_the_vocabulary():
     sizes = [brown.grown(v) for v in (100, 400_000, 1_500_000, 10**8)]
     assert sizes == sorted(sizes) and sizes[0] == (48, 1500) and sizes[1][0] > 48 and sizes[2][1] > 1500
