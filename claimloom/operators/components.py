@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Steps:
+    """Tables of the steps of an iteration, in a folder of their own below the shared one, gone after the with block.
+
+    For joins of what joins have made, over and over: a checkpoint keeps the
+    estimate of its size, which every join multiplies, until planning takes longer
+    than the work; a table is as large as its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b); root is the least node of the component. Loops are left out.
 

@@ -20,6 +20,7 @@ from claimloom.model import REVIEW, admitted, live
 from claimloom.operators import conflicts, extract, lifecycle, resolve
 from claimloom.operators.components import durable
 from claimloom.operators.metrics import tally
+from claimloom.operators.ordered import resolve_in_order
 from claimloom.operators.ranking import ranked_within
 from claimloom.plans import claims
 from claimloom.sources.store import Store
@@ -132,21 +133,13 @@ def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, out
 
 
 def _resolved(cands: DataFrame, relations: DataFrame, index: DataFrame, entities: DataFrame, stored: DataFrame, vectors: DataFrame | None, known: DataFrame | None) -> DataFrame:
-    """resolve() of a batch; nothing merges into what it has a relation with, in its article or in the graph."""
+    """A batch resolved in order; nothing merges into what it has a relation with, in its article or in the graph."""
     near = durable(extract.neighbour_keys(relations, key_column))
     names = entities.select(F.col("id").alias("node_id"), key_column(F.col("name"), F.col("label")).alias("key"))
     live_claims = stored.where(live(F.col("lifecycle_status"), F.col("review_status"))).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     ways = live_claims.unionByName(live_claims.select(F.col("b").alias("a"), F.col("a").alias("b")))
     blocked = durable(resolve.blocked_by_neighbours(cands, near, index).unionByName(resolve.blocked_by_graph(cands.select("cand_id", "key"), names, ways)).distinct())
-    first = durable(resolve.resolve(cands, index, key_column, blocked, vectors, known))
-    # what an earlier neighbour of the article was resolved to can't be a later one, either
-    met = cands.select("cand_id", "article_id", "entity_type", "key", "seq").join(first.select(F.col("cand_id").alias("f"), "entity_id"), F.col("cand_id") == F.col("f"))
-    of = near.select(F.col("article_id").alias("na"), F.col("entity_type").alias("nt"), "k", F.explode("neighbours").alias("n"))
-    asked = met.join(of, (F.col("article_id") == F.col("na")) & (F.col("entity_type") == F.col("nt")) & (F.col("key") == F.col("k")))
-    other = met.select(F.col("article_id").alias("oa"), F.concat_ws(":", "entity_type", "key").alias("on"), F.col("seq").alias("os"), F.col("entity_id").alias("oe"))
-    same = (F.col("article_id") == F.col("oa")) & (F.col("n") == F.col("on")) & (F.col("entity_id") == F.col("oe")) & (F.col("os") < F.col("seq"))
-    more = durable(asked.join(other, same).select("cand_id", "entity_id").distinct())
-    return first if more.isEmpty() else durable(resolve.resolve(cands, index, key_column, blocked.unionByName(more), vectors, known))
+    return durable(resolve_in_order(cands, index, key_column, blocked, near, vectors, known))
 
 
 def tally_of(good: DataFrame, articles: DataFrame, fits, seen: DataFrame, made: DataFrame) -> dict[str, int]:

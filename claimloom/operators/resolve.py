@@ -72,7 +72,7 @@ def five_scores(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def fuzzy(candidates: DataFrame, index: DataFrame, threshold: float = FUZZY, blocked: DataFrame | None = None) -> DataFrame:
     """Candidates (cand_id, entity_type, key) with the entity whose greatest similarity is best, if its least one is at the threshold or above.
 
-    Ties go to the least entity id. Blocked entities don't take part. Token sets of twenty and more may differ by
+    Ties go to the least entity id. Blocked entities don't take part. With seq and since, only what is older than the candidate does. Token sets of twenty and more may differ by
     one token and still pass; those meet on the set without each one of its tokens.
     """
     def blocks(df: DataFrame) -> DataFrame:
@@ -82,16 +82,20 @@ def fuzzy(candidates: DataFrame, index: DataFrame, threshold: float = FUZZY, blo
         spread = F.array_union(F.array(whole), F.when(F.size(found) >= 19, F.array_union(less, F.array(F.concat(F.lit("-"), whole)))).otherwise(less))
         return df.where(F.size(found) > 0).withColumn("block", F.explode(spread))
 
-    mine = blocks(candidates.select("cand_id", F.col("entity_type").alias("t"), "key")).withColumnRenamed("key", "a")
-    theirs = blocks(index).select("entity_type", "entity_id", F.col("key").alias("b"), F.col("block").alias("other"))
-    pairs = mine.join(theirs, (F.col("t") == F.col("entity_type")) & (F.col("block") == F.col("other"))).select("cand_id", "a", "b", "entity_id").distinct()
+    seq = F.col("seq") if "seq" in candidates.columns else F.lit(None).cast("long")
+    since = F.col("since") if "since" in index.columns else F.lit(None).cast("long")
+    candidates, index = candidates.withColumn("seq", seq), index.withColumn("since", since)
+    older = F.col("since").isNull() | (F.col("since") < F.col("seq"))
+    mine = blocks(candidates.select("cand_id", F.col("entity_type").alias("t"), "key", "seq")).withColumnRenamed("key", "a")
+    theirs = blocks(index).select("entity_type", "entity_id", F.col("key").alias("b"), F.col("block").alias("other"), "since")
+    pairs = mine.join(theirs, (F.col("t") == F.col("entity_type")) & (F.col("block") == F.col("other")) & older).select("cand_id", "a", "b", "entity_id").distinct()
     pairs = pairs.where(levenshtein(F.col("a"), F.col("b")) >= threshold)
     if blocked is not None:
         pairs = pairs.join(blocked.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
     good = durable(five_scores(pairs).where(F.col("minimum") >= threshold).select("cand_id", "a", "b", "entity_id", "composite", "minimum"))
     # who else could have a greatest similarity as great: equal token sets, or all words of one among the other's
     able = good.select("cand_id", "a").distinct()
-    rivals = mine.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi").join(theirs, (F.col("t") == F.col("entity_type")) & (F.col("block") == F.col("other"))).select("cand_id", "a", "b", "entity_id")
+    rivals = mine.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi").join(theirs, (F.col("t") == F.col("entity_type")) & (F.col("block") == F.col("other")) & older).select("cand_id", "a", "b", "entity_id")
     rivals = rivals.unionByName(nested(candidates.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi"), index)).distinct()
     if blocked is not None:
         rivals = rivals.join(blocked.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
@@ -105,18 +109,23 @@ def nested(candidates: DataFrame, index: DataFrame) -> DataFrame:
     def word_rows(df: DataFrame) -> DataFrame:
         return df.withColumn("words", F.array_distinct(F.filter(F.split("key", " "), lambda w: w != ""))).where(F.size("words") > 0)
 
-    theirs = word_rows(index.select("entity_type", "entity_id", "key")).select("entity_type", "entity_id", F.col("key").alias("b"), F.col("words").alias("b_words"))
+    # the first time that an entity has a name counts
+    since = F.col("since") if "since" in index.columns else F.lit(None).cast("long")
+    seq = F.col("seq") if "seq" in candidates.columns else F.lit(None).cast("long")
+    older = F.col("since").isNull() | (F.col("since") < F.col("seq"))
+    candidates, index = candidates.withColumn("seq", seq), index.withColumn("since", since)
+    theirs = word_rows(index.select("entity_type", "entity_id", "key", "since")).select("entity_type", "entity_id", F.col("key").alias("b"), F.col("words").alias("b_words"), "since")
     spread = theirs.withColumn("word", F.explode("b_words"))
     often = spread.groupBy("entity_type", "word").agg(F.count("*").alias("n")).withColumnsRenamed({"entity_type": "n_type", "word": "n_word"})
     counted = (F.col("entity_type") == F.col("n_type")) & (F.col("word") == F.col("n_word"))
     # an entity stands at its rarest word, where a candidate with all its words finds it
-    rare = spread.join(often, counted).groupBy("entity_type", "entity_id", "b", "b_words").agg(F.min(F.struct("n", "word")).alias("rarest")).select("entity_type", "entity_id", "b", "b_words", F.col("rarest.word").alias("word"))
-    mine = word_rows(candidates.select("cand_id", F.col("entity_type").alias("t"), "key")).select("cand_id", "t", F.col("key").alias("a"), F.col("words").alias("a_words"))
+    rare = spread.join(often, counted).groupBy("entity_type", "entity_id", "b", "b_words", "since").agg(F.min(F.struct("n", "word")).alias("rarest")).select("entity_type", "entity_id", "b", "b_words", "since", F.col("rarest.word").alias("word"))
+    mine = word_rows(candidates.select("cand_id", F.col("entity_type").alias("t"), "key", "seq")).select("cand_id", "t", "seq", F.col("key").alias("a"), F.col("words").alias("a_words"))
     own = mine.withColumn("w", F.explode("a_words"))
-    within = own.join(rare, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where(F.size(F.array_except("b_words", "a_words")) == 0)
+    within = own.join(rare, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where((F.size(F.array_except("b_words", "a_words")) == 0) & older)
     # and a candidate asks at its own rarest word for entities that have all its words; a word that no entity has ends the search
-    asked = own.join(often, (F.col("t") == F.col("n_type")) & (F.col("w") == F.col("n_word")), "left").groupBy("cand_id", "t", "a", "a_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("rarest")).select("cand_id", "t", "a", "a_words", F.col("rarest.w").alias("w"))
-    beyond = asked.join(spread, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where(F.size(F.array_except("a_words", "b_words")) == 0)
+    asked = own.join(often, (F.col("t") == F.col("n_type")) & (F.col("w") == F.col("n_word")), "left").groupBy("cand_id", "t", "seq", "a", "a_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("rarest")).select("cand_id", "t", "seq", "a", "a_words", F.col("rarest.w").alias("w"))
+    beyond = asked.join(spread, (F.col("t") == F.col("entity_type")) & (F.col("w") == F.col("word"))).where((F.size(F.array_except("a_words", "b_words")) == 0) & older)
     columns = ["cand_id", "a", "b", "entity_id"]
     return within.select(*columns).unionByName(beyond.select(*columns))
 
