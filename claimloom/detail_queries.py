@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import normalize, present
 from claimloom.model import DOMAIN_RELATIONS, EVIDENCE, evidence_rank, insightful, live
-from claimloom.operators import conflicts, extract, lifecycle, metrics, resolve
+from claimloom.operators import conflicts, extract, lifecycle, metrics, ordered, resolve, vectors
 from claimloom.operators.ranking import page, side_by_side
 from claimloom.oracle import DOMAIN, GRAPH
 from claimloom.plans import claims, subgraph
@@ -152,6 +152,37 @@ def q7_claim_payload(lines: DataFrame) -> DataFrame:
     return shown.select("relationship", "direction", "counterparty_id", "lifecycle_status", "active_support_count", F.size("assertions").cast("long").alias("n_assertions"), F.nullif("primary_assertion.evidence", F.lit("")).alias("primary_evidence"))
 
 
+@both("""
+  WITH reg AS (SELECT lower(p_name) AS key, max('startup:' || p_partkey) AS id FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+  said AS (SELECT o_orderkey, lower(p_name) AS key, CASE WHEN o_orderkey % 2 = 0 THEN p_name ELSE p_name || ' GmbH' END AS name FROM orders JOIN part ON o_orderkey % 500 = p_partkey),
+  placed AS (SELECT *, row_number() OVER w AS n, first_value(name) OVER w AS first FROM said WINDOW w AS (PARTITION BY key ORDER BY o_orderkey))
+  SELECT o_orderkey AS cand_id, coalesce(reg.id, 'startup:' || trim(regexp_replace(lower(first), '[^a-z0-9]+', '-', 'g'), '-')) AS entity_id, CASE WHEN reg.id IS NULL AND n = 1 THEN 'new' ELSE 'exact' END AS method
+  FROM placed LEFT JOIN reg ON placed.key = reg.key""")
+@graph
+def r15_r16_resolution_in_order(g: Graph) -> DataFrame:
+    """Orders as mentions of parts, one after the other; every third part is known before."""
+    part = g.table("part")
+    own = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("startup:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("Startup").alias("label"), F.col("p_name").alias("name"), F.col("p_name").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"))
+    named = g.table("orders").join(part.select("p_partkey", "p_name"), F.col("o_orderkey") % 500 == F.col("p_partkey"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" GmbH")))
+    cands = named.select(F.col("o_orderkey").alias("cand_id"), F.col("o_orderkey").alias("seq"), F.lit("Startup").alias("entity_type"), name.alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return ordered.resolve_in_order(cands, resolve.registry(own, normalize.key_column), normalize.key_column).select("cand_id", "entity_id", "method")
+
+
+@both("""
+  WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0),
+  s AS (SELECT q.vec_id AS cand_id, e.vec_id AS entity_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS c FROM q JOIN embeddings e ON q.label = e.label),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY c DESC, entity_id) AS place FROM s)
+  SELECT cand_id, entity_id, place::INT AS place, round(c, 6) AS cosine FROM r WHERE place <= 10""")
+@table("embeddings")
+def j10_nearest_of_a_kind(rows: DataFrame) -> DataFrame:
+    """The ten nearest vectors of the same label, for the stated query set."""
+    kind = F.col("label").cast("string").alias("entity_type")
+    cells = vectors.placed_in_cells(rows.select(kind, F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")))
+    asked = rows.where("vec_id % 50 = 0").select(kind, F.col("vec_id").alias("cand_id"), F.col("embedding").alias("vector"))
+    return vectors.k_nearest(asked, cells, 10).select("cand_id", "entity_id", "place", F.round("cosine", 6).alias("cosine"))
+
+
 @both("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6 OFFSET 12")
 @table("orders")
 def o6_page(orders: DataFrame) -> DataFrame:

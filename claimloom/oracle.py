@@ -103,10 +103,10 @@ SQL = {
       found AS (SELECT * FROM m UNION SELECT * FROM edges WHERE rel_type IN ({DOMAIN}) AND (src_id IN (SELECT id FROM top) OR dst_id IN (SELECT id FROM top)) UNION SELECT * FROM edges WHERE rel_type IN ('FROM_SOURCE', 'HAS_TOPIC') AND src_id IN (SELECT src_id FROM m))
       SELECT src_id, rel_type, dst_id FROM found WHERE coalesce(review_status, 'unreviewed') <> 'rejected'""",
     "q9_entity_graph_edges": GRAPH + """
-      , one AS (SELECT DISTINCT b AS id FROM ways WHERE a = 'startup:1'), two AS (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM one)),
-      near AS (SELECT id, min(h) AS hops FROM (SELECT 'startup:1' AS id, 0 AS h UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id),
+      , one AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a = 'startup:1'), two AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM one)),
+      near AS MATERIALIZED (SELECT id, min(h) AS hops FROM (SELECT 'startup:1' AS id, 0 AS h UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id),
       ranked AS (SELECT n.id, hops, row_number() OVER (PARTITION BY hops = 0 ORDER BY hops, lower(coalesce(n.name, n.title, n.id)), n.id) AS r FROM near JOIN nodes n ON n.id = near.id),
-      kept AS (SELECT id FROM ranked WHERE hops = 0 OR r <= 60)
+      kept AS MATERIALIZED (SELECT id FROM ranked WHERE hops = 0 OR r <= 60)
       SELECT src_id, rel_type, dst_id FROM edges WHERE src_id IN (SELECT id FROM kept) AND dst_id IN (SELECT id FROM kept) AND coalesce(review_status, 'unreviewed') <> 'rejected'""",
     "q9_best_match": GRAPH + """
       , d AS (SELECT id, count(*) AS n FROM (SELECT src_id AS id FROM edges UNION ALL SELECT dst_id FROM edges) GROUP BY id)
@@ -146,7 +146,7 @@ SQL = {
       SELECT rel_type, least(src_id, dst_id) AS low_id, greatest(src_id, dst_id) AS high_id FROM living WHERE rel_type IN ({DIRECTED}) AND src_id <> dst_id
       GROUP BY ALL HAVING count(DISTINCT src_id) = 2""",
     "g11_transaction_conflicts": GRAPH + """
-      SELECT x.src_id, x.dst_id, y.src_id AS merged_src, y.dst_id AS merged_dst FROM living x JOIN living y ON (x.src_id = y.src_id AND x.dst_id = y.dst_id) OR (x.src_id = y.dst_id AND x.dst_id = y.src_id) WHERE x.rel_type = 'ACQUIRED' AND y.rel_type = 'MERGED_WITH'""",
+      SELECT x.src_id, x.dst_id, y.src_id AS merged_src, y.dst_id AS merged_dst FROM living x JOIN living y ON least(x.src_id, x.dst_id) = least(y.src_id, y.dst_id) AND greatest(x.src_id, x.dst_id) = greatest(y.src_id, y.dst_id) WHERE x.rel_type = 'ACQUIRED' AND y.rel_type = 'MERGED_WITH'""",
     "g12_flagged_claims": GRAPH + f"""
       , inv AS (SELECT x.src_id, x.rel_type, x.dst_id FROM living x JOIN living y ON x.src_id = y.dst_id AND x.dst_id = y.src_id AND x.rel_type = y.rel_type WHERE x.rel_type IN ({DIRECTED}) AND x.src_id <> x.dst_id),
       tr AS (SELECT x.src_id AS a, x.dst_id AS b, y.src_id AS c, y.dst_id AS d FROM living x JOIN living y ON least(x.src_id, x.dst_id) = least(y.src_id, y.dst_id) AND greatest(x.src_id, x.dst_id) = greatest(y.src_id, y.dst_id) WHERE x.rel_type = 'ACQUIRED' AND y.rel_type = 'MERGED_WITH'),
