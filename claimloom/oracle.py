@@ -225,3 +225,4 @@ SQL = {
     "o2_null_order": "SELECT event_id, nullif(value::BIGINT % 5, 0) AS v FROM events ORDER BY v DESC NULLS FIRST, event_id LIMIT 50",
 }
 SQL["g5_claim_stream"] = SQL["g4_claim_lifecycle"]
+SQL["q8_search_by_index"] = SQL["q8_search"]

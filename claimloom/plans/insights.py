@@ -55,18 +55,48 @@ def top_investors(graph: Graph, limit: int = 10) -> DataFrame:
     return top.join(shown, F.col("id") == F.col("top_id")).select("id", "name", "type", "investments", "examples").orderBy(F.desc("investments"), F.asc_nulls_last("name"), "id")
 
 
+#: Investors that the bound is found with, and those of a startup that are compared in one go.
+LEADERS, TOGETHER = 256, 1000
+
+
+def least_shared(deals: DataFrame, limit: int) -> int:
+    """A number that the pair in the last shown place shares at least: what it is among the investors with most deals alone."""
+    degrees = deals.groupBy("src_id").agg(F.count("*").alias("n"))
+    leaders = degrees.orderBy(F.desc("n"), "src_id").limit(LEADERS).select(F.col("src_id").alias("leader"))
+    own = durable(deals.join(F.broadcast(leaders), F.col("src_id") == F.col("leader"), "left_semi"))  # LEADERS rows are sent
+    best = shared_counts(own).orderBy(F.desc("shared_startups")).limit(limit).select("shared_startups").collect()
+    return best[-1][0] if len(best) == limit else 1
+
+
+def shared_counts(deals: DataFrame) -> DataFrame:
+    """(source_id, target_id, shared_startups) of deals (src_id, dst_id), each once; source before target.
+
+    A startup with more than TOGETHER investors is cut into blocks of about so
+    many, and each block meets each block by itself: no task holds more than two
+    blocks of a startup.
+    """
+    sizes = deals.groupBy("dst_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")).withColumnRenamed("dst_id", "of")
+    cut = deals.join(sizes, F.col("dst_id") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("src_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = cut.select(F.col("src_id").alias("source_id"), F.col("dst_id").alias("s"), F.col("own").alias("i"), F.col("other").alias("j"))
+    two = cut.select(F.col("src_id").alias("target_id"), F.col("dst_id").alias("t"), F.col("other").alias("k"), F.col("own").alias("l"))
+    met = (F.col("s") == F.col("t")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l")) & (F.col("source_id") < F.col("target_id"))
+    return one.join(two, met).groupBy("source_id", "target_id").agg(F.count("*").alias("shared_startups"))
+
+
 def co_investments(graph: Graph, limit: int = 20) -> DataFrame:
     """Pairs of investors by the startups that both are in.
 
-    The pair count is inherent in the question; it is made on hashed-down rows
-    of two ids, and examples are looked up for the pairs that are shown only.
+    A pair shares no more startups than either has: those with fewer than the
+    last shown pair shares at least take no part, whatever they are in. Names and
+    examples are looked up for the pairs that are shown only.
     """
     within(limit, 1, 100, "limit")
     deals = counted(graph.edges("INVESTED_IN")).where(F.col("src_label").isin(*BACKERS) & (F.col("dst_label") == "Startup")).select("src_id", "dst_id")
+    deals = durable(deals)  # two columns, used for the bound, the pairs and the examples
+    enough = deals.groupBy("src_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_shared(deals, limit)).select(F.col("src_id").alias("able"))
+    counts = shared_counts(deals.join(enough, F.col("src_id") == F.col("able"), "left_semi"))  # (investor, startup) is unique
     one = deals.select(F.col("src_id").alias("source_id"), "dst_id")
     two = deals.select(F.col("src_id").alias("target_id"), F.col("dst_id").alias("other"))
-    pairs = one.join(two, (F.col("dst_id") == F.col("other")) & (F.col("source_id") < F.col("target_id")))
-    counts = pairs.groupBy("source_id", "target_id").agg(F.count("*").alias("shared_startups"))  # (investor, startup) is unique
     names = graph.nodes(*BACKERS).select("id", "name", "label")
     named = counts.join(names.select(F.col("id").alias("i1"), F.col("name").alias("source"), F.col("label").alias("source_type")), F.col("source_id") == F.col("i1"))
     named = named.join(names.select(F.col("id").alias("i2"), F.col("name").alias("target"), F.col("label").alias("target_type")), F.col("target_id") == F.col("i2"))

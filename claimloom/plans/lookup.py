@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import key as name_key
 from claimloom.model import ENTITY_TYPES, checked_label, within
+from claimloom.plans.search_index import found_by_terms
 from claimloom.sources.graph import Graph, undirected
 
 
@@ -23,19 +24,31 @@ def beginning(term: str):
     return lambda word: word.startswith(term)
 
 
-def search(graph: Graph, query: str, limit: int = 15) -> DataFrame:
+def searched(graph: Graph) -> DataFrame:
+    """Entities as search reads them."""
+    return graph.nodes(*ENTITY_TYPES).select("id", F.coalesce("name", "canonical_name").alias("name"), F.col("label").alias("type"), "aliases", "description", "canonical_name", F.col("name").alias("own_name"))
+
+
+def search(graph: Graph, query: str, limit: int = 15, index: str | None = None) -> DataFrame:
     """Entities of which every term begins a word of name, canonical name, alias or description.
 
     score: over the terms, the number of fields with such a word. If none is
-    found, entities whose names contain the query, at score 1.
+    found, entities whose names contain the query, at score 1. index: the folder
+    of search_index.write_index(searched(graph)); with it only the postings of the
+    terms are read, and the entities that they name.
     """
     within(limit, 1, 50, "limit")
-    nodes = graph.nodes(*ENTITY_TYPES).select("id", F.coalesce("name", "canonical_name").alias("name"), F.col("label").alias("type"), "aliases", "description", "canonical_name", F.col("name").alias("own_name"))
+    nodes = searched(graph) if index is None else graph.spark.read.parquet(f"{index}/shown")
     columns = ["id", "name", "type", "score", "aliases", "description"]
     if not query.strip():
         return nodes.withColumn("score", F.lit(0.0)).select(*columns).limit(0)
     terms = name_key(query, "Startup").split()
-    if terms:
+    if terms and index is not None:
+        scored = found_by_terms(graph.spark, index, terms).withColumnRenamed("id", "hit")
+        hits = nodes.join(scored, F.col("id") == F.col("hit")).orderBy(F.desc("score"), "name", "id").limit(limit).select(*columns)
+        if not hits.isEmpty():
+            return hits
+    elif terms:
         fields = {"f1": F.col("own_name"), "f2": F.col("canonical_name"), "f3": F.concat_ws(" ", "aliases"), "f4": F.col("description")}
         words = nodes.select("*", *[F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+").alias(n) for n, c in fields.items()])
         found, total = F.lit(True), F.lit(0)
