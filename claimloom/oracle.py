@@ -226,3 +226,6 @@ SQL = {
 }
 SQL["g5_claim_stream"] = SQL["g4_claim_lifecycle"]
 SQL["q8_search_by_index"] = SQL["q8_search"]
+SQL["q14_walk_of_three"] = GRAPH + """
+      , n1 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a = 'investor:3'), n2 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM n1)), n3 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM n2))
+      SELECT id, min(h) AS hops FROM (SELECT 'investor:3' AS id, 0 AS h UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2 UNION ALL SELECT id, 3 FROM n3) GROUP BY id"""

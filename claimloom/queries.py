@@ -12,6 +12,7 @@ from claimloom.model import DOMAIN_RELATIONS, admitted, valid_direction
 from claimloom.operators import conflicts, extract, lifecycle, metrics, resolve
 from claimloom.operators.components import shared_folder
 from claimloom.plans import claims, insights, lookup, subgraph
+from claimloom.plans.adjacency import walk, write_adjacency
 from claimloom.plans.search_index import write_index
 from claimloom.sources import acquire
 from claimloom.sources.graph import Graph
@@ -45,6 +46,13 @@ def _search_by_index(g: Graph) -> DataFrame:
     return joined_lists(lookup.search(g, "ring sm", index=folder))
 
 
+def _walk(g: Graph) -> DataFrame:
+    """The neighbours of all nodes written as a table, and a walk of three steps over it."""
+    folder = f"{shared_folder(g.spark)}/neighbours-{uuid.uuid4().hex}"
+    write_adjacency(g.links(), folder)
+    return walk(g.spark, folder, g.spark.createDataFrame([("investor:3",)], "id string"), 3)
+
+
 def _gate(g: Graph) -> DataFrame:
     passes = admitted(F.col("evidence_status"))
     return g.edges().groupBy("rel_type").agg(F.count("*").alias("n_before"), F.count_if(passes).alias("n_after"), F.count_if(~passes).alias("n_dropped"))
@@ -203,6 +211,7 @@ QUERIES = {
     "q11_feed_edges": on_graph(lambda g: subgraph.feed(g)[1].select(*EDGE)),
     "q13_entity_listing": on_graph(lambda g: lookup.listing(g, "Startup")),
     "q14_bfs": on_graph(_focus),
+    "q14_walk_of_three": on_graph(_walk),
     "q15_visible_nodes": on_graph(_visible),
     "q16_neighbourhood": on_graph(lambda g: subgraph.neighbourhood(g.edges(), "startup:1")),
     "q17_focus_node": on_graph(lambda g: lookup.focus(g.nodes(), "Order 7")),

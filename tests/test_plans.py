@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from claimloom.plans import insights, search_index
+from claimloom.plans import adjacency, insights, search_index
 
 NODE = "id string, name string, type string, aliases array<string>, description string, canonical_name string, own_name string"
 
@@ -60,3 +60,32 @@ def test_pairs_with_a_startup_that_nearly_all_are_in(spark, monkeypatch):
         able = {i for i in of if len(of[i]) >= bound}
         assert len(able) < 45 and {p for p, n in want.items() if n >= best[limit - 1]} <= set(itertools.combinations(sorted(able), 2))
     assert insights.least_shared(df, 10**6) == 1
+
+
+def test_walks_read_the_buckets_of_their_frontier(spark, tmp_path, monkeypatch):
+    rng = random.Random(13)
+    links = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(90)] + [("hub", f"m{i}") for i in range(70)] + [("m3", "n1"), ("x", "x"), (None, "n1"), ("n2", None)] * 2
+    ways = {}
+    for a, b in links:
+        if a and b:
+            ways.setdefault(a, set()).add(b)
+            ways.setdefault(b, set()).add(a)
+    monkeypatch.setattr(adjacency, "PACKED", 8)
+    folder = f"{tmp_path}/rows"
+    adjacency.write_adjacency(spark.createDataFrame(links, "src_id string, dst_id string"), folder, 16)
+    rows = spark.read.parquet(folder)
+    assert {(r.node, x) for r in rows.collect() for x in r.neighbours} == {(a, b) for a, bs in ways.items() for b in bs}
+    assert rows.where("node = 'hub'").count() > 4 and max(len(r.neighbours) for r in rows.collect()) < 40
+    for few in (10_000, 3):  # named buckets, or a join
+        monkeypatch.setattr(adjacency, "FEW", few)
+        for start, depth in ((["n1"], 3), (["hub"], 2), (["x", "n5", "nowhere"], 4), ([], 2), (["n1"], 0)):
+            want, frontier = dict.fromkeys(start, 0), set(start)
+            for k in range(1, depth + 1):
+                frontier = {b for a in frontier for b in ways.get(a, ())} - want.keys()
+                want |= dict.fromkeys(frontier, k)
+            got = adjacency.walk(spark, folder, spark.createDataFrame([(s,) for s in start], "id string"), depth, 16)
+            assert {r.id: r.hops for r in got.collect()} == want and got.count() == len(want)
+    monkeypatch.setattr(adjacency, "FEW", 10)
+    plan = adjacency.neighbours_of(rows, spark.createDataFrame([("hub",)], "id string"), 16)._jdf.queryExecution().executedPlan().toString()
+    bucket = spark.createDataFrame([("hub",)], "id string").select(adjacency.bucket_of(F.col("id"), 16)).first()[0]
+    assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {bucket}\b", plan) and "GreaterThanOrEqual(node,hub)" in plan
