@@ -9,9 +9,11 @@ the claims that it touches again, and those between the same two ends.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from claimloom.functions.normalize import display_column, key_column, slug_colum
 from claimloom.model import REVIEW, admitted, live
 from claimloom.operators import conflicts, extract, lifecycle, resolve
 from claimloom.operators.components import durable
-from claimloom.operators.metrics import tally
+from claimloom.operators.metrics import observed_tally
 from claimloom.operators.ordered import resolve_in_order
 from claimloom.operators.ranking import ranked_within
 from claimloom.plans import claims
@@ -37,14 +39,39 @@ VECTORS = "entity_id string, entity_type string, vector array<float>"
 EMPTY = {"entities": ENTITY, "emitted": EMITTED, "runs": "url string, run long, processed_at timestamp", "reviews": REVIEWS, "articles": ARTICLES, "sources": "id string, name string, url string, run long", "article_edges": "src_id string, rel_type string, dst_id string, evidence_status string, evidence string", "vectors": VECTORS}
 
 
-def extracted(articles: DataFrame, extractor: Callable[[list[str]], list[str]]) -> DataFrame:
-    """articles (article_id, text) with the output of a function from a batch of texts to their extraction output."""
+#: Calls of an extractor for one article, seconds of the longest wait between two, and how many call at once.
+ATTEMPTS, LONGEST_WAIT, CALLERS = 3, 12.0, 3
+EXTRACTED = "article_id string, text string, attempts int, seconds double, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"article_id": batch["article_id"], "text": extractor(list(batch["text"]))})
 
-    return articles.select("article_id", "text").mapInPandas(run, "article_id string, text string")
+def extracted(articles: DataFrame, extractor: Callable[[str], str], attempts: int = ATTEMPTS, callers: int = CALLERS, wait: float = 1.0) -> DataFrame:
+    """articles (article_id, text) with the output of a function of a text, attempts, the seconds of the last one, and the error of those that failed to the end.
+
+    A call that raises is made again, `attempts` times in all, after the lesser of
+    2^attempt and LONGEST_WAIT times `wait` seconds. There are as many tasks as
+    callers, and each makes one call after another, so no more are ever under way;
+    an executor that is lost has its tasks' calls made again elsewhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                for attempt in range(1, attempts + 1):
+                    began = time.perf_counter()
+                    try:
+                        out, error = extractor(text or ""), None
+                    except Exception as e:  # whatever a service's client raises
+                        out, error = None, f"{type(e).__name__}: {e}"[:500]
+                    if error is None or attempt == attempts:
+                        break
+                    time.sleep(wait * min(2.0**attempt, LONGEST_WAIT))
+                rows.append((out, attempt, time.perf_counter() - began, error))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("article_id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], [c.split()[0] for c in EXTRACTED.split(", ")])
+
+    return articles.select(F.col("article_id").cast("string").alias("article_id"), "text").repartition(callers).mapInArrow(run, EXTRACTED)
 
 
 def embedded(rows: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
@@ -69,16 +96,23 @@ def _full(articles: DataFrame) -> DataFrame:
     return articles.select(*[F.col(c).cast(t).alias(c) if c in articles.columns else F.lit(None).cast(t).alias(c) for c, t in given.items()])
 
 
-def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, outputs: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None) -> dict[str, int]:
-    """Writes a run's articles and what outputs (article_id, text) say of them.
+def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, outputs: DataFrame | None = None, embedder: Callable[[list[str]], list[list[float]]] | None = None, extractor: Callable[[str], str] | None = None) -> dict[str, int]:
+    """Writes a run's articles and what outputs (article_id, text) or an extractor say of them.
 
     articles: article_id, url, title, source_name, published_at, text; summary,
     author, source_url, tags, trace_id, trace_url, experiment_id if they have
     them. Those whose text has fewer than 20 characters are refused and count as
-    failed. embedder: from texts to vectors, for entities that names don't tell.
+    failed; so are those that the extractor failed for, which write nothing. A row
+    for each article goes to article_runs, and the counts returned are observed as
+    it is written. embedder: from texts to vectors, for entities that names don't tell.
     """
     fits = F.length(F.trim(F.coalesce("text", F.lit("")))) >= 20
     good = durable(_full(articles).where(fits))
+    if outputs is None:
+        said = durable(extracted(good, extractor))
+        store.append("extractions", said.select("article_id", F.lit(run).cast("long").alias("run"), "attempts", "seconds", "error"))
+        outputs = said.where("error is null").select("article_id", "text")
+        good = durable(good.join(outputs.select(F.col("article_id").alias("told")), F.col("article_id") == F.col("told"), "left_semi"))
     mentions, relations = extract.typed(extract.parse(outputs.join(good.select(F.col("article_id").alias("own")), F.col("article_id") == F.col("own"), "left_semi")))
     raw = extract.snapshot(mentions, relations)
     mentions = extract.deduplicated_topics(mentions.where(admitted(F.col("evidence_status"))).withColumn("k", key_column(F.col("name"), F.col("entity_type"))), "k").drop("k")
@@ -112,7 +146,7 @@ def ingest(spark: SparkSession, store: Store, run: int, articles: DataFrame, out
     urls = good.select(F.col("article_id").alias("u"), "url", F.col("title").alias("article_title"))
     made = ends.join(urls, F.col("article_id") == F.col("u")).select(F.lit(run).cast("long").alias("run"), "url", "rel_type", "src_id", F.col("source_type").alias("src_label"), "dst_id", F.col("target_type").alias("dst_label"), F.col("pos").cast("long").alias("pos"), "evidence_status", "evidence", "keywords", "article_title", "article_id")
     emitted = durable(lifecycle.sightings(made))
-    counts = tally_of(good, articles, fits, seen, made)
+    counts = tally_of(store, run, good, articles, seen, made)
     if embedder:
         first = resolved.where("method = 'new'").select(F.col("cand_id").alias("r"), "entity_id", "entity_type").join(vectors, F.col("r") == F.col("cand_id")).where("vector is not null")
         store.append("vectors", first.groupBy("entity_id", "entity_type").agg(F.min_by("vector", "cand_id").alias("vector")))
@@ -142,10 +176,15 @@ def _resolved(cands: DataFrame, relations: DataFrame, index: DataFrame, entities
     return durable(resolve_in_order(cands, index, key_column, blocked, near, vectors, known))
 
 
-def tally_of(good: DataFrame, articles: DataFrame, fits, seen: DataFrame, made: DataFrame) -> dict[str, int]:
+def tally_of(store: Store, run: int, good: DataFrame, articles: DataFrame, seen: DataFrame, made: DataFrame) -> dict[str, int]:
+    """Writes what a run did with each article; the counts are taken from the rows as they pass."""
     work = lifecycle.operations(seen, made.select("article_id"))
-    per = articles.select("article_id", (~fits).alias("failed")).join(work.select(F.col("article_id").alias("w"), F.col("entities").alias("entity_count"), F.col("operations").alias("graph_operations")), F.col("article_id") == F.col("w"), "left")
-    return tally(per.select("failed", F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.coalesce("graph_operations", F.lit(3)).alias("graph_operations"))).first().asDict()
+    passed = good.select(F.col("article_id").alias("g")).distinct()
+    per = articles.select("article_id").join(passed, F.col("article_id") == F.col("g"), "left").join(work.select(F.col("article_id").alias("w"), F.col("entities").alias("entity_count"), F.col("operations").alias("graph_operations")), F.col("article_id") == F.col("w"), "left")
+    rows = per.select("article_id", F.lit(run).cast("long").alias("run"), F.col("g").isNull().alias("failed"), F.coalesce("entity_count", F.lit(0)).cast("long").alias("entity_count"), F.coalesce("graph_operations", F.lit(3)).cast("long").alias("graph_operations"))
+    observed, rows = observed_tally(rows)
+    store.append("article_runs", rows)
+    return observed.get
 
 
 def _claims(spark: SparkSession, store: Store) -> DataFrame:

@@ -229,3 +229,12 @@ SQL["q8_search_by_index"] = SQL["q8_search"]
 SQL["q14_walk_of_three"] = GRAPH + """
       , n1 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a = 'investor:3'), n2 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM n1)), n3 AS MATERIALIZED (SELECT DISTINCT b AS id FROM ways WHERE a IN (SELECT id FROM n2))
       SELECT id, min(h) AS hops FROM (SELECT 'investor:3' AS id, 0 AS h UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2 UNION ALL SELECT id, 3 FROM n3) GROUP BY id"""
+SQL["m1_observed_tally"] = SQL["m1_tally"]
+SQL["r10_r13_resolution"] = """
+      WITH reg AS (SELECT lower(p_name) AS key, max('startup:' || p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+      said AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name END AS words FROM part),
+      cands AS (SELECT p_partkey AS cand_id, CASE p_partkey % 4 WHEN 1 THEN words || ' GmbH' WHEN 3 THEN words ELSE upper(words) END AS name, lower(words) AS key, array_to_string(list_sort(list_distinct(string_split(lower(words), ' '))), ' ') AS tokens FROM said),
+      met AS (SELECT cands.*, id FROM cands LEFT JOIN reg ON cands.key = reg.key),
+      fresh AS (SELECT *, row_number() OVER w AS n, first_value(name) OVER w AS first FROM met WHERE id IS NULL WINDOW w AS (PARTITION BY tokens ORDER BY cand_id))
+      SELECT cand_id, 'Startup' AS entity_type, name, key, id AS entity_id, 'exact' AS method, 1.0::DOUBLE AS similarity FROM met WHERE id IS NOT NULL
+      UNION ALL SELECT cand_id, 'Startup', name, key, 'startup:' || trim(regexp_replace(lower(first), '[^a-z0-9]+', '-', 'g'), '-'), CASE WHEN n = 1 THEN 'new' ELSE 'exact' END, NULL FROM fresh"""

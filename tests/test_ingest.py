@@ -66,10 +66,88 @@ def test_runs_reviews_and_contradictions(spark, tmp_path):
 
 def test_extractor_and_embedder(spark):
     df = spark.createDataFrame([("a", "x"), ("b", None)], "article_id string, text string")
-    assert sorted(r.text for r in ingest.extracted(df, lambda xs: [f"<{x}>" for x in xs]).collect()) == ["<None>", "<x>"]
+    assert sorted((r.article_id, r.text, r.attempts, r.error) for r in ingest.extracted(df, lambda x: f"<{x}>").collect()) == [("a", "<x>", 1, None), ("b", "<>", 1, None)]
     assert sorted(len(r.vector) for r in ingest.embedded(df, "text", lambda xs: [[float(len(x))] * (1 + len(x)) for x in xs]).collect()) == [1, 2]
 
 
+def stub(folder, fails):
+    """An extractor that fails as often for a text as its number says, and notes when it was called, and how many were under way."""
+
+    def call(text):
+        import os
+        import time
+
+        name, _, body = text.partition("|")
+        mine = os.path.join(folder, name)
+        os.makedirs(mine, exist_ok=True)
+        open(os.path.join(folder, f"on-{name}"), "w").close()
+        under_way = sum(x.startswith("on-") for x in os.listdir(folder))
+        calls = len(os.listdir(mine))
+        with open(os.path.join(mine, f"{calls}-{time.time()}-{under_way}"), "w"):
+            pass
+        time.sleep(0.05)
+        os.remove(os.path.join(folder, f"on-{name}"))
+        if calls < fails[name]:
+            raise OSError(f"not now ({calls})")
+        return body
+
+    return call
+
+
+def test_an_extractor_that_fails_is_called_again(spark, tmp_path):
+    import os
+
+    fails = {"a": 0, "b": 2, "c": 9, "d": 1}
+    df = spark.createDataFrame([(n, f"{n}|text") for n in fails], "article_id string, text string")
+    got = {r.article_id: r for r in ingest.extracted(df, stub(str(tmp_path), fails), callers=2, wait=0.1).collect()}
+    assert {n: (r.text, r.attempts, r.error) for n, r in got.items()} == {"a": ("text", 1, None), "b": ("text", 3, None), "c": (None, 3, "OSError: not now (2)"), "d": ("text", 2, None)}
+    calls = {n: sorted(os.listdir(tmp_path / n)) for n in fails}
+    times = [float(x.split("-")[1]) for x in calls["b"]]
+    assert 0.2 <= times[1] - times[0] < 0.4 <= times[2] - times[1] < 0.8  # 2 and 4 tenths
+    assert max(int(x.split("-")[2]) for xs in calls.values() for x in xs) <= 2
+    assert ingest.extracted(df.limit(0), stub(str(tmp_path), fails)).count() == 0
+
+
+def test_runs_with_an_extractor(spark, tmp_path):
+    """Articles whose extraction fails to the end count as failed and write nothing."""
+    outputs = {"a1": text(("entity", "Acme", "Startup", "stated", "m")), "a2": None}
+    articles, _ = batch(spark, ("a1", "x"), ("a2", "x"), ("a3", None))
+    from pyspark.sql import functions as F
+
+    def extractor(told):
+        if told.startswith("a2"):
+            raise ValueError("never")
+        return outputs["a1"]
+
+    store = Store(spark, str(tmp_path))
+    ingest.LONGEST_WAIT, before = 0.01, ingest.LONGEST_WAIT
+    try:
+        got = ingest.ingest(spark, store, 1, articles.withColumn("text", F.concat("article_id", F.lit(" "), "text")).where("article_id <> 'a3'").unionByName(articles.where("article_id = 'a3'")), extractor=extractor)
+    finally:
+        ingest.LONGEST_WAIT = before
+    assert got == {"processed": 1, "failed": 2, "entities": 1, "relationships_created": 3 + 1 + 1}
+    assert [r.article_id for r in store.read("articles").collect()] == ["a1"]
+    assert {(r.article_id, r.failed, r.graph_operations) for r in store.read("article_runs").collect()} == {("a1", False, 5), ("a2", True, 3), ("a3", True, 3)}
+    assert {r.article_id: (r.attempts, r.error) for r in store.read("extractions").collect()} == {"a1": (1, None), "a2": (3, "ValueError: never")}
+
+
+def test_latency_counts_add_up(spark):
+    import random
+
+    from claimloom.operators import metrics
+
+    rng = random.Random(3)
+    values = [(i % 3, rng.lognormvariate(5, 2)) for i in range(400)] + [(1, 0.0), (2, None)]
+    df = spark.createDataFrame(values, "day int, ms double")
+    exact = metrics.nearest_rank(df, "ms", [50, 95]).first()
+    whole = metrics.latency_percentiles(metrics.latency_counts(df, "ms"), [50, 95]).first()
+    parts = metrics.latency_percentiles(metrics.latency_counts(df, "ms", "day"), [50, 95]).first()
+    assert tuple(whole) == tuple(parts) and all(e <= w <= e * 2 ** (1 / 8) * 1.0001 for e, w in zip(exact, whole))
+    seen, rows = metrics.observed_tally(spark.createDataFrame([(True, 1, 2), (False, 3, 4), (None, 5, 6)], "failed boolean, entity_count long, graph_operations long"))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == metrics.tally(rows).first().asDict() == {"processed": 2, "failed": 1, "entities": 8, "relationships_created": 10}
+
+
 def test_sql_functions(spark):
     register(spark)
     r = spark.sql("SELECT norm_key('Acme GmbH', 'Startup') a, norm_display('Berlin-based Acme') b, norm_slug('Ä B') c, token_set('the acme of x') d, jaro_winkler('martha', 'marhta') e, token_sort_ratio('a b', 'b a') f, token_set_ratio('acme labs', 'acme') g, cosine(array(1d, 0d), array(1d, 1d)) h, parse_article_html('https://e.com', '<h1>T</h1>').title i").first()
