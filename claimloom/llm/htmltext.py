@@ -496,7 +496,7 @@ def laid_out(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
     """Lines of a table from rows of (text, columns, rows); cells of one column begin at one place.
 
     A cell that reaches into the rows below does so within its group of rows.
-    Columns that no cell begins in take no room. A row is as long as it takes to
+    A row is as long as it takes to
     reach its last cell with text; where that would make the table more than
     PADDED times as long as its texts and bars, its cells stand without padding.
     """
@@ -518,14 +518,11 @@ def laid_out(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
                 until[begin:end] = np.maximum(until[begin:end], r + down)
             at = end
         placed.append(line)
-    begins = sorted({b for line in placed for b, _, _ in line})
-    column = {b: i for i, b in enumerate(begins)}
-    width = [0] * len(begins)
-    ends = np.searchsorted(begins, np.arange(COLUMNS + 102))  # of a place, the first column that begins there or after it
+    width = [0] * max((e for line in placed for _, e, _ in line), default=0)
     for line in placed:
         for b, e, text in line:
-            if ends[e] - column[b] == 1 and len(text) <= WIDEST:
-                width[column[b]] = max(width[column[b]], len(text))
+            if e - b == 1 and len(text) <= WIDEST:
+                width[b] = max(width[b], len(text))
     room = np.concatenate([[0], np.cumsum(np.array(width, np.int64) + 3)])
     lines = []
     for line in placed:
@@ -533,17 +530,16 @@ def laid_out(rows: list[tuple[int, list[tuple[str, int, int]]]]) -> list[str]:
             line.pop()
         if line:
             lines.append(line)
-    long = sum(int(room[column[line[-1][0]]]) for line in lines)
+    long = sum(int(room[line[-1][0]]) for line in lines)
     if long > PADDED * sum(len(t) + 3 for line in lines for _, _, t in line) + WIDEST:
         return [" | ".join(t for _, _, t in line if t) for line in lines]
     out = []
     for line in lines:
         at, cells = 0, []
         for b, e, text in line:
-            first, after = column[b], int(ends[e])
-            cells += [" " * w for w in width[at:first]]
-            cells.append(text.ljust(int(room[after] - room[first]) - 3))
-            at = after
+            cells += [" " * w for w in width[at:b]]
+            cells.append(text.ljust(int(room[e] - room[b]) - 3))
+            at = e
         out.append(" | ".join(cells).rstrip())
     return out
 
