@@ -101,7 +101,7 @@ def line_sightings(lines: DataFrame) -> DataFrame:
 
 SEEN = """
   WITH seen AS (
-    SELECT 'investor:' || l_suppkey % 10 AS src_id, 'startup:' || l_partkey % 4000 AS dst_id, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS run, 'u' || l_orderkey % 7 AS url, l_orderkey * 8 + l_linenumber AS pos,
+    SELECT DISTINCT 'investor:' || l_suppkey % 10 AS src_id, 'startup:' || l_partkey % 4000 AS dst_id, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS run, 'u' || l_orderkey % 7 AS url, l_orderkey * 8 + l_linenumber AS pos,
            CASE WHEN l_linenumber % 3 <> 0 THEN 'e' || l_orderkey ELSE '' END AS evidence, CASE WHEN l_linenumber = 1 THEN 'k' || l_orderkey END AS keywords, 'T' || l_orderkey % 5 AS title, l_linestatus = 'O' AND l_linenumber % 2 = 0 AS stated
     FROM lineitem),
   placed AS (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id ORDER BY run, url, pos) AS t FROM seen)"""
@@ -121,7 +121,7 @@ def g4_claim_evidence(lines: DataFrame) -> DataFrame:
 
 @both(SEEN + """,
   runs AS (SELECT DISTINCT url, run FROM seen)
-  SELECT src_id, dst_id, run::BIGINT AS run, 'asserted' AS event, url AS article_url, count(*) AS n FROM (SELECT DISTINCT src_id, dst_id, run, url, pos FROM seen) GROUP BY ALL
+  SELECT src_id, dst_id, run::BIGINT AS run, 'asserted' AS event, url AS article_url, count(*) AS n FROM seen GROUP BY ALL
   UNION ALL SELECT src_id, dst_id, 2, 'not_reproduced', url, 1 FROM (SELECT src_id, dst_id, url, max(run) AS last FROM seen GROUP BY ALL) s WHERE last = 1 AND EXISTS (SELECT 1 FROM runs r WHERE r.url = s.url AND r.run = 2)""")
 @table("lineitem")
 def g9_claim_history(lines: DataFrame) -> DataFrame:
