@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from claimloom.functions.batches import small_batches
 from claimloom.operators.components import durable
 
 __all__ = ["durable", "fold", "in_fold", "kept_rows", "labelled_sample", "mapped", "raw", "sigmoid", "slices", "small_batches", "table", "within_bytes", "words"]
 
-#: Rows and bytes of an Arrow batch that holds whole texts; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of texts of a training sample of either label, at most.
 SAMPLE_BYTES = 64 << 20
 #: Characters between words: a word is a run of anything else.
@@ -35,22 +34,6 @@ def words(text) -> list[bytes]:
     return raw(text).split()
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows and about BATCH_BYTES bytes.
-
-    With Spark's 10,000 rows, a batch of whole texts is tens of megabytes in each
-    Python worker and again, several times over, beside the executor's heap. The
-    plan reads these settings when it runs, so they stay lowered; a session that
-    has lower ones keeps them.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(name).removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(name, str(most))
-    return df
-
-
 def slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows with about so many bytes of strings together, so that their words fit in memory."""
     size = np.zeros(batch.num_rows, np.int64)

@@ -7,7 +7,9 @@ expressions. Markup is read in one pass, a page at a time, in an Arrow function.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable, Iterator
+from html.entities import html5
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from claimloom.functions.batches import small_batches
 from claimloom.functions.markup import ALONE, attributes, scan
 from claimloom.operators.ranking import ordered_distinct
 
@@ -66,6 +69,15 @@ NESTED = 50
 #: Tags that an open paragraph or list item doesn't reach out of.
 BOUNDARY = frozenset("ul ol article div body".split())
 LINKED = frozenset("article main h2 h3".split())
+#: A reference with its semicolon; HTML also reads some without.
+CLOSED = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+#: Pages whose rows are made together.
+TOGETHER = 100
+
+
+def unescape_closed(text: str) -> str:
+    """Text with those references read that a semicolon ends, as XML has them; "&amp" stays."""
+    return CLOSED.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or f"{m[1]};" in html5 else m[0], text)
 
 
 class Element:
@@ -96,9 +108,10 @@ class Element:
 
 
 class Page:
-    """The elements of a page in order, and its words."""
+    """The elements of a page in order, and its words. closed: references count only with a semicolon."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, closed: bool = False):
+        self.unescape = unescape_closed if closed else html.unescape
         self.words: list[str] = []
         self.clean: list[str] = []  # without those inside NOISE
         self.elements: list[Element] = []
@@ -151,7 +164,7 @@ class Page:
             self._close_to(depth - 1)
 
     def _text(self, text: str) -> None:
-        found = (html.unescape(text) if "&" in text and self.stack[-1].tag not in ("script", "style") else text).split()
+        found = (self.unescape(text) if "&" in text and self.stack[-1].tag not in ("script", "style") else text).split()
         self.words += found
         if not self.stack[-1].noise:
             self.clean += found
@@ -182,9 +195,9 @@ def _distinct(values) -> list[str]:
     return list(seen.values())
 
 
-def article(url: str | None, page: str | None) -> tuple:
+def article(url: str | None, page: str | None, closed: bool = False) -> tuple:
     """(canonical url, title, summary, author, published, tags, text) of a page."""
-    read = Page(page or "")
+    read = Page(page or "", closed)
     one = lambda test: (lambda e: read.text(e) if e is not None else "")(read.first(test))
     link = read.first(lambda e: e.tag == "link" and "canonical" in (e.attrs.get("rel") or "").lower().split())
     canonical = urljoin(url or "", link.attrs.get("href") or "") if link is not None and link.attrs.get("href") else url or ""
@@ -219,7 +232,7 @@ def _read(pages: DataFrame, rows_of: Callable[[str | None, str | None], list[tup
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             rows, at = [], []
             for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
                 found = rows_of(url, page)
@@ -229,12 +242,16 @@ def _read(pages: DataFrame, rows_of: Callable[[str | None, str | None], list[tup
             columns = [pa.array(list(c), f.type) for c, f in zip(made, list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int64())), *columns], schema=arrow)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """The article in each of pages (page_id, url, html)."""
-    return _read(pages, lambda url, page: [(url, *article(url, page))], ARTICLE)
+def articles(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """The article in each of pages (page_id, url, html).
+
+    closed: in texts only references that a semicolon ends are read, as SQL or XML
+    would; else also those that browsers read without one.
+    """
+    return _read(pages, lambda url, page: [(url, *article(url, page, closed))], ARTICLE)
 
 
 def page_links(url: str | None, page: str | None) -> list[tuple[int, str]]:

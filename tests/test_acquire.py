@@ -126,3 +126,10 @@ def test_collect(spark):
     got = acquire.collect("https://www.e.com/", "E", feed, links, saved).collect()
     assert sorted(r.url for r in got) == ["https://e.com/2", "https://e.com/news/about"] and {r.published_at for r in got} == {datetime(2024, 3, 1)}
     assert acquire.collect("https://www.e.com/", "E", feed, links, saved, most=1).count() == 1
+
+
+def test_titles_read_closed_references_only(spark):
+    page = "<h1>a&amp;&lt;b&gt; &quot;c&quot; &#65;&nosuch; and&amp</h1>"
+    pages = spark.createDataFrame([(1, "https://e.com/x", page)], "page_id long, url string, html string")
+    assert acquire.articles(pages, closed=True).first().title == 'a&<b> "c" A&nosuch; and&amp'
+    assert acquire.articles(pages).first().title == 'a&<b> "c" A&nosuch; and&'
