@@ -1,13 +1,18 @@
 """Neighbours of nodes as a table, made once, of which a walk reads the buckets of its frontier.
 
-A row has a node and up to about PACKED of its neighbours; a hub has as many
-rows as it takes, spread over tasks by slot. Rows stand in folders by a hash of
+A row has a node and up to PACKED of its neighbours; a hub has as many
+rows as it takes, spread over tasks by ranges of its neighbours. Rows stand in folders by a hash of
 the node and are sorted by it, so that a frontier of few nodes reads the row
 groups of these nodes in their folders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +28,44 @@ def bucket_of(node: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
 
 
+def packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, slot, neighbours) of rows (bucket, node, other) that come sorted; a row that repeats is one."""
+    last, part = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, PACKED):
+            rows = batch.slice(at, PACKED)
+            node, other = rows.column("node"), rows.column("other")
+            first = last != (node[0].as_py(), other[0].as_py())
+            last = (node[-1].as_py(), other[-1].as_py())
+            turned = pc.not_equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)
+            new = np.append(first, turned | pc.not_equal(other[1:], other[:-1]).to_numpy(zero_copy_only=False))
+            starts = np.flatnonzero(np.append(True, turned))
+            held = np.add.reduceat(new.astype(np.int32), starts)
+            starts, lengths = starts[held > 0], held[held > 0]
+            offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+            index = pa.array(starts)
+            lists = pa.ListArray.from_arrays(offsets, other.filter(pa.array(new)))
+            slots = pa.array(np.full(len(starts), part, np.int32))
+            part += 1
+            yield pa.RecordBatch.from_arrays([rows.column("bucket").take(index), node.take(index), slots, lists], names=["bucket", "node", "slot", "neighbours"])
+
+
 def packed(links: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, node, slot, neighbours) of links (src_id, dst_id), repeated or not, seen from both ends."""
+    """(bucket, node, slot, neighbours) of links (src_id, dst_id), repeated or not, seen from both ends.
+
+    The ways are ranged and sorted once by (bucket, node, other), so that repeats
+    stand together, a hub is spread over the ranges that it fills, and rows of a
+    node follow each other; slot tells apart those of one task.
+    """
     way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
-    ways = durable(links.select(F.explode(F.array(way("src_id", "dst_id"), way("dst_id", "src_id"))).alias("w")).select("w.*").where("node is not null and other is not null").distinct())
-    slots = ways.groupBy(F.col("node").alias("of")).agg(F.ceil(F.count("*") / PACKED).cast("int").alias("slots"))
-    placed = ways.join(slots, F.col("node") == F.col("of")).withColumn("slot", F.pmod(F.xxhash64("other"), F.col("slots")).cast("int"))
-    rows = placed.groupBy("node", "slot").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
-    return rows.select(bucket_of(F.col("node"), buckets).alias("bucket"), "node", "slot", "neighbours")
+    ways = links.select(F.explode(F.array(way("src_id", "dst_id"), way("dst_id", "src_id"))).alias("w")).select("w.*").where("node is not null and other is not null")
+    order = ["bucket", "node", "other"]
+    ranged = ways.select(bucket_of(F.col("node"), buckets).alias("bucket"), "node", "other").repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.mapInArrow(packed_runs, "bucket int, node string, slot int, neighbours array<string>")
 
 
 def write_adjacency(links: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    packed(links, buckets).repartition("bucket", "slot").sortWithinPartitions("bucket", "node").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    packed(links, buckets).write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def neighbours_of(rows: DataFrame, frontier: DataFrame, buckets: int = BUCKETS) -> DataFrame:
