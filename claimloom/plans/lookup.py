@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.normalize import key as name_key
 from claimloom.model import ENTITY_TYPES, checked_label, within
+from claimloom.operators.components import durable
 from claimloom.plans.search_index import found_by_terms
-from claimloom.sources.graph import Graph, undirected
+from claimloom.sources.graph import Graph
+
+#: Neighbours that are few enough to send to every task.
+FEW = 100_000
 
 
 def matches(nodes: DataFrame, needle: str) -> DataFrame:
@@ -67,12 +71,17 @@ def search(graph: Graph, query: str, limit: int = 15, index: str | None = None)
 def profile(graph: Graph, label: str, name: str, most: int = 50) -> DataFrame:
     """The best match of a label (by kind of match, then id) and up to `most` neighbours, one row for each, at least one."""
     checked_label(label)
-    node = matches(graph.nodes(label), name_key(name, label)).orderBy(F.desc("relevance"), "id").limit(1).select("id", "name", F.col("label").alias("type"), "description")
-    node = F.broadcast(node)
-    ways = undirected(graph.edges()).join(node.select(F.col("id").alias("center")), F.col("a") == F.col("center")).select("center", "b", "rel_type").distinct()
+    node = durable(matches(graph.nodes(label), name_key(name, label)).orderBy(F.desc("relevance"), "id").limit(1).select("id", "name", F.col("label").alias("type"), "description"))
+    # one row; its id is named in the filters, which go below the aggregations that make edges
+    center = (node.first() or [None])[0]
+    edges = graph.edges()
+    ends = lambda near, far: edges.where(F.col(near) == F.lit(center)).select(F.col(far).alias("b"), "rel_type")
+    ways = durable(ends("src_id", "dst_id").unionByName(ends("dst_id", "src_id")).distinct())
     names = graph.nodes().select(F.col("id").alias("related_id"), F.coalesce("name", "title").alias("related_name"), F.col("label").alias("related_type"))
-    related = ways.join(names, F.col("b") == F.col("related_id")).orderBy("rel_type", "related_name", "related_id").limit(most)
-    return node.join(related, F.col("id") == F.col("center"), "left").select("id", "name", "type", "description", "related_id", "related_name", "related_type", F.col("rel_type").alias("relationship"))
+    few = ways.limit(FEW + 1).count() <= FEW
+    related = names.join(F.broadcast(ways) if few else ways, F.col("b") == F.col("related_id")).orderBy("rel_type", "related_name", "related_id").limit(most)
+    shown = related.select(F.lit(center).alias("center"), "related_id", "related_name", "related_type", F.col("rel_type").alias("relationship"))
+    return durable(node.join(F.broadcast(shown), F.col("id") == F.col("center"), "left").drop("center"))  # most rows, asked for more than once
 
 
 def investor_profile(graph: Graph, name: str) -> DataFrame:
