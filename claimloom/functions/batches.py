@@ -1,4 +1,4 @@
-"""Batches that Python functions get, when rows hold whole texts or pages."""
+"""How rows are dealt: batches that Python functions get, partitions of shuffles."""
 
 from __future__ import annotations
 
@@ -22,3 +22,16 @@ def small_batches(df: DataFrame) -> DataFrame:
         if not (now.isdigit() and 0 < int(now) <= most):
             conf.set(name, str(most))
     return df
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df in partitions of about so many rows by a key, for work that makes much of each row of a small file.
+
+    Shuffles that follow get as many partitions at least, so that a task's share
+    stays what it is when the table grows; adaptive execution joins small ones again.
+    """
+    name, conf = "spark.sql.shuffle.partitions", df.sparkSession.conf
+    parts = max(1, -(-df.count() // rows))
+    if parts > int(conf.get(name)):
+        conf.set(name, str(parts))
+    return df.repartition(parts, key)

@@ -26,10 +26,10 @@ def parse(outputs: DataFrame, text: str = "text") -> DataFrame:
     four parts, of other kinds, or with a required part empty are passed over.
     A missing or unknown status is unsure and defaulted. A null text has no rows.
     """
-    lines = outputs.select("article_id", F.posexplode(F.split(F.col(text), LINE_ENDS)).alias("pos", "line")).withColumn("line", F.trim("line"))
-    stops = F.min(F.when(F.col("line").contains(COMPLETE), F.col("pos"))).alias("stop")
-    cut = lines.groupBy("article_id").agg(stops).withColumnRenamed("article_id", "own")
-    lines = lines.join(cut, F.col("article_id") == F.col("own")).where((F.col("line") != "") & (F.col("pos") < F.coalesce("stop", F.lit(2**31 - 1))))
+    lines = outputs.where("article_id is not null").select("article_id", F.transform(F.split(F.col(text), LINE_ENDS), lambda x: F.trim(x)).alias("lines"))
+    stop = F.array_position(F.transform("lines", lambda x: x.contains(COMPLETE)), True).cast("int")
+    cut = F.when(stop > 0, F.slice("lines", F.lit(1), stop - 1)).otherwise(F.col("lines"))
+    lines = lines.select("article_id", F.posexplode(cut).alias("pos", "line")).where("line <> ''")
     part = F.split("line", r"<\|#\|>", 7)
     lines = lines.select("article_id", "pos", F.transform(part, lambda x: F.trim(x)).alias("p")).withColumn("n", F.size("p")).where("n >= 4")
     at = lambda i: F.get("p", F.lit(i))
@@ -62,7 +62,9 @@ def typed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = F.element_at(F.create_map(*[F.lit(x) for t in ENTITY_TYPES for x in (t.lower(), t)]), F.lower(F.trim("entity_type")))
     label = F.when(F.lower(F.trim("entity_type")).isin(*[t.lower() for t in ENTITY_TYPES]), label)
     mentions = parsed.where("kind = 'entity'").withColumn("entity_type", label).where("entity_type is not null").select("article_id", "pos", "entity_type", "name", "evidence_status", "evidence_status_defaulted", "description")
-    ends = mentions.groupBy("article_id", F.lower("name").alias("low")).agg(F.max_by("entity_type", "pos").alias("type"))
+    number = F.array_position(F.array(*map(F.lit, ENTITY_TYPES)), F.col("entity_type"))  # a number, so that a hash table can hold it
+    ends = mentions.groupBy("article_id", F.lower("name").alias("low")).agg(F.max_by(number, "pos").alias("number"))
+    ends = ends.select("article_id", "low", F.element_at(F.array(*map(F.lit, ENTITY_TYPES)), F.col("number").cast("int")).alias("type"))
     out = parsed.where((F.col("kind") == "relation") & F.col("rel_type").isin(*DOMAIN_RELATIONS))
     for side in ("source", "target"):
         own = ends.select(F.col("article_id").alias("a"), "low", F.col("type").alias(f"{side}_type"))

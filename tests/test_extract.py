@@ -47,3 +47,21 @@ def test_gate_and_endpoints(spark):
     relations = spark.createDataFrame([(1, 2, "FOUNDED_BY", "ACME", "Startup", "Bob", "Person", None, "attributed", False, "e"), (1, 3, "MERGED_WITH", "Un", "Startup", "Sure", "Startup", None, "unsure", True, "e")], "article_id long, pos int, rel_type string, source_name string, source_type string, target_name string, target_type string, keywords string, evidence_status string, evidence_status_defaulted boolean, evidence string")
     rows = x.with_endpoints(kept, relations, key_column).where("materialised").collect()
     assert [(r.name, r.entity_type, r.evidence_status) for r in rows] == [("Bob", "Person", "attributed")]
+
+
+def test_a_text_is_cut_by_itself_and_ends_are_hashed(spark):
+    """No task gathers an article's lines to find where its text stops, and no texts are sorted for the ends' types."""
+    from claimloom.functions.batches import dealt
+
+    sep = x.SEPARATOR
+    text = f"entity{sep}A{sep}startup{sep}stated{sep}x\n{x.COMPLETE}\nentity{sep}B{sep}topic{sep}stated{sep}y"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, x.COMPLETE), (None, text)], "article_id long, text string")
+    parsed = x.parse(rows)
+    assert [(r.article_id, r.pos, r.name) for r in parsed.collect()] == [(1, 0, "A")]
+    assert "Aggregate" not in parsed._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in x.typed(parsed)[1]._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert dealt(spark.range(1000), "id", 100).rdd.getNumPartitions() == 10 and spark.conf.get("spark.sql.shuffle.partitions") == "10"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
