@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.batches import dealt
+
 #: Letters that a folder is named by; what begins with others is in one folder.
 HEAD = r"^[a-z0-9]{1,2}"
 #: Rows of a file of postings, at most.
 ROWS = 5_000_000
+#: Entities whose words a task finds.
+NODES_A_TASK = 25_000
 FIELDS = ("own_name", "canonical_name", "aliases", "description")
 
 
@@ -38,7 +42,7 @@ def write_index(nodes: DataFrame, folder: str) -> None:
     """nodes: id, name, type, aliases, description, canonical_name, own_name."""
     nodes.write.mode("overwrite").parquet(f"{folder}/shown")
     # in ranges of the words, so that one that a third of all entities have is spread over several files
-    ranged = postings(nodes).repartitionByRange("head", "word", "id").sortWithinPartitions("head", "word", "id")
+    ranged = postings(dealt(nodes, "id", NODES_A_TASK)).repartitionByRange("head", "word", "id").sortWithinPartitions("head", "word", "id")
     ranged.write.mode("overwrite").option("maxRecordsPerFile", ROWS).partitionBy("head").parquet(f"{folder}/postings")
 
 
