@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.model import CONFLICT_REASONS, DIRECTIONAL_RELATIONS, DOMAIN_RELATIONS, SUPPORTED, live
+from claimloom.operators.components import durable
 from claimloom.operators.ranking import side_by_side
 
+#: Pairs that are few enough to send to every task.
+FEW = 100_000
 KEYS = ["src_id", "rel_type", "dst_id"]
 
 
@@ -37,6 +40,28 @@ def conflict_count(edges: DataFrame) -> DataFrame:
     return side_by_side(inverse_pairs(edges).agg(F.count("*").alias("inverse")), transaction_pairs(edges).agg(F.count("*").alias("competing"))).withColumn("conflicts", F.col("inverse") + F.col("competing"))
 
 
+def contested(edges: DataFrame) -> DataFrame:
+    """The edges between two nodes that have live claims of both directions, or an acquisition and a merger: all that flagged() can flag, and little else.
+
+    A pair's live claims are bits of one number, so the pairs are found by a hash
+    aggregation; they are few, and edges are then asked for by them.
+    """
+    kinds = [*DIRECTIONAL_RELATIONS, "MERGED_WITH"]
+    up, low, high = F.col("src_id") < F.col("dst_id"), F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")
+    bit = F.lit(0)
+    for i, r in enumerate(kinds):
+        bit = F.when(F.col("rel_type") == r, F.when(up, 1 << 2 * i).otherwise(2 << 2 * i)).otherwise(bit)
+    own = _live(edges).where(F.col("rel_type").isin(*kinds) & F.col("src_id").isNotNull() & F.col("dst_id").isNotNull())
+    pairs = own.groupBy(low.alias("low"), high.alias("high")).agg(F.bit_or(bit).alias("bits"))
+    has = lambda *bits: F.forall(F.array(*[F.lit(sum(b)) for b in bits]), lambda b: F.col("bits").bitwiseAND(b) != 0)
+    test = has([3 << 2 * kinds.index("ACQUIRED")], [3 << 2 * kinds.index("MERGED_WITH")])
+    for i in range(len(DIRECTIONAL_RELATIONS)):
+        test |= has([1 << 2 * i], [2 << 2 * i])
+    found = durable(pairs.where(test).select("low", "high"))
+    found = F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
+    return edges.join(found, (low == F.col("low")) & (high == F.col("high")), "left_semi")
+
+
 def flagged(edges: DataFrame) -> DataFrame:
     """edges with claims in conflict set to needs_review and the reason added to review_reasons once.
 

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from claimloom.plans import adjacency, insights, search_index
+from claimloom.operators import conflicts
+from claimloom.plans import adjacency, insights, lookup, search_index, subgraph
+from claimloom.sources import graph
 
 NODE = "id string, name string, type string, aliases array<string>, description string, canonical_name string, own_name string"
 
@@ -89,3 +91,53 @@ def test_walks_read_the_buckets_of_their_frontier(spark, tmp_path, monkeypatch):
     plan = adjacency.neighbours_of(rows, spark.createDataFrame([("hub",)], "id string"), 16)._jdf.queryExecution().executedPlan().toString()
     bucket = spark.createDataFrame([("hub",)], "id string").select(adjacency.bucket_of(F.col("id"), 16)).first()[0]
     assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {bucket}\b", plan) and "GreaterThanOrEqual(node,hub)" in plan
+
+
+ROOT = "/root/testdata/sf0.001"
+
+
+def test_edges_are_grouped_by_numbers(spark, monkeypatch):
+    """Hash tables of fixed-width rows, no sort of texts; more lines get more partitions."""
+    monkeypatch.setattr(graph, "LINES_A_PART", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        plan = subgraph.degrees(graph.Graph(spark, ROOT).edges())._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and int(spark.conf.get("spark.sql.shuffle.partitions")) >= 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = spark.createDataFrame([(x,) for x in (None, "", "A", "AB", "N", "Q", "R", "r")], "f string")
+    assert [r.p for r in rows.select(graph.place_of("f", graph.FLAGS).alias("p")).collect()] == [None, 0, 1, 2, 3, 4, 5, 6]
+
+
+def test_few_ids_are_asked_for_before_links_are_made(spark, monkeypatch):
+    """Both ways of going on reach the same nodes, and few ids are not exploded out of all links."""
+    rng = random.Random(3)
+    links = spark.createDataFrame([(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)] + [(None, "n1"), ("n2", None)], "src_id string, dst_id string")
+    start = spark.createDataFrame([("n1",), ("n2",)], "id string")
+    asked, at_ends = [], subgraph.at_ends
+    monkeypatch.setattr(subgraph, "at_ends", lambda *a: asked.append(a) or at_ends(*a))
+    got = {r.id: r.hops for r in subgraph.hops(links, start, 3).collect()}
+    assert len(asked) == 3
+    monkeypatch.setattr(subgraph, "FEW", 0)
+    assert got == {r.id: r.hops for r in subgraph.hops(links, start, 3).collect()} and len(asked) == 3
+
+
+def test_a_profile_asks_for_the_edges_of_its_node(spark, monkeypatch):
+    """No edge is made that doesn't touch the node: the filters name its id and stand at the scans."""
+    plans = []
+    monkeypatch.setattr(lookup, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert lookup.investor_profile(graph.Graph(spark, ROOT), "Supplier#000000003").count() == 50
+    edges = plans[1]
+    at = {line.lstrip(" :+-") for line in edges.splitlines() if "Aggregate [rel" in line}
+    assert at and edges.index("investor:3") > 0 and "(investor:3)" not in edges.split("Aggregate")[0]
+
+
+def test_contested_edges_are_those_that_are_flagged(spark):
+    rng = random.Random(6)
+    kinds = ["INVESTED_IN", "ACQUIRED", "MERGED_WITH", "PARTNERED_WITH"]
+    rows = sorted({(f"n{rng.randrange(9)}", rng.choice(kinds), f"n{rng.randrange(9)}") for _ in range(90)})
+    rows = [(*r, rng.choice(["supported", "supported", "gone"]), rng.choice(["accepted", "unreviewed", "rejected", None])) for r in rows] + [(None, "ACQUIRED", "n1", "supported", None)]
+    edges = spark.createDataFrame(rows, "src_id string, rel_type string, dst_id string, lifecycle_status string, review_status string")
+    shown = lambda df: sorted(map(str, conflicts.flagged(df).where("size(review_reasons) > 0").collect()))
+    few = conflicts.contested(edges)
+    assert shown(few) == shown(edges) and shown(edges) and few.count() < len(rows)
