@@ -141,8 +141,19 @@ def _started(rows: DataFrame, folder: str, name: str):
 
 
 def follow_articles(stream: DataFrame, folder: str):
-    """Starts the article stream over relations (see lifecycle.emitted_claims); events go to folder/events."""
-    rows = claim_ends(stream)
+    """Starts the article stream over relations (see lifecycle.emitted_claims); events go to folder/events.
+
+    An article's rows come to one task. So the batches of relations are first
+    written to folder/made with each claim of a run once: sightings that repeat are
+    combined in all tasks, and an article's task reads what its state will hold.
+    """
+    spark, found = stream.sparkSession, claim_ends(stream)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{folder}/made/batch={number}")
+
+    found.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/made-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.readStream.schema(found.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/made")
     return _started(rows.groupBy("url").transformWithStateInPandas(Articles(), EVENTS, "Update", "None"), folder, "events")
 
 

@@ -71,3 +71,13 @@ def test_the_steps_of_the_stream_are_those_of_the_fold(spark):
     rows = [(*k, seq, kind, url, detail) for k, es in histories.items() for seq, url, kind, detail in es]
     got = {(r.src_id, r.rel_type, r.dst_id): (r.article_urls, r.active_article_urls, r.lifecycle_status, r.review_status, r.review_reasons, r.support_changed) for r in lifecycle.fold(spark.createDataFrame(rows, lifecycle.EVENTS)).collect()}
     assert got == {k: s for k, es in histories.items() if (s := claims.folded(list(es)))}
+
+
+def test_sightings_that_repeat_are_combined_before_an_article_gathers_them(spark, tmp_path):
+    from claimloom.streaming import claims
+
+    row = (1, "u", "INVESTED_IN", "investor:1", "Investor", "startup:1", "Startup", "stated")
+    spark.createDataFrame([row] * 500, claims.RELATIONS).write.parquet(f"{tmp_path}/in")
+    claims.run_claims(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/made").count() == 1
+    assert claims.claims_now(spark, f"{tmp_path}/out").count() == 1
