@@ -133,3 +133,15 @@ def test_titles_read_closed_references_only(spark):
     pages = spark.createDataFrame([(1, "https://e.com/x", page)], "page_id long, url string, html string")
     assert acquire.articles(pages, closed=True).first().title == 'a&<b> "c" A&nosuch; and&amp'
     assert acquire.articles(pages).first().title == 'a&<b> "c" A&nosuch; and&'
+
+
+def test_pages_come_in_small_batches(spark):
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        conf.set(name, "10000")
+        pages = spark.range(250).selectExpr("id AS page_id", "'https://e.com/x' AS url", "concat('<h1>', id, '</h1>') AS html")
+        assert sorted(int(r.title) for r in acquire.articles(pages).collect()) == list(range(250))
+        assert int(conf.get(name)) <= 1000
+    finally:
+        conf.set(name, before)
