@@ -141,3 +141,21 @@ def test_contested_edges_are_those_that_are_flagged(spark):
     shown = lambda df: sorted(map(str, conflicts.flagged(df).where("size(review_reasons) > 0").collect()))
     few = conflicts.contested(edges)
     assert shown(few) == shown(edges) and shown(edges) and few.count() < len(rows)
+
+
+def test_lines_are_paired_in_runs_of_their_numbers(spark, tmp_path):
+    """Lines that are one, two or three numbers apart meet, wherever runs of numbers end; a line of a short order is sent to its pairs once."""
+    rng = random.Random(6)
+    lines = [(o, rng.randrange(40), rng.randrange(9), n, rng.choice("ANR"), rng.choice("OF")) for o in range(12) for n in rng.choices(range(-4, 30), k=25)]
+    lines += [(50, None, 1, 3, "A", "O"), (50, 7, 1, None, "A", "O"), (50, 8, 1, 4, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for a, b in itertools.product([x for x in lines if None not in (x[1], x[3])], repeat=2):
+        rel = {1: "ACQUIRED", 2: "MERGED_WITH", 3: "PARTNERED_WITH"}.get(b[3] - a[3])
+        if a[0] == b[0] and rel and a[1] != b[1]:
+            ends = f"startup:{a[1]}", f"startup:{b[1]}"
+            k = (rel, *(sorted(ends) if rel == "MERGED_WITH" else ends))
+            want[k] = want.get(k, 0) + 1
+    found = graph.Graph(spark, str(tmp_path)).edges("ACQUIRED", "MERGED_WITH", "PARTNERED_WITH").collect()
+    assert {(r.rel_type, r.src_id, r.dst_id): r.support for r in found} == want and len(found) == len(want)
+    assert spark.range(1, 8).select(F.size(graph.runs_before("id", [1, 2, 3])).alias("n")).where("n > 1").isEmpty()
