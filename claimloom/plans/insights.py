@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.model import admitted, insightful, within
-from claimloom.operators.components import durable
+from claimloom.operators.components import durable, kept
 from claimloom.operators.ranking import few_per
 from claimloom.sources.graph import Graph
 
@@ -57,6 +57,8 @@ def top_investors(graph: Graph, limit: int = 10) -> DataFrame:
 
 #: Investors that the bound is found with, and those of a startup that are compared in one go.
 LEADERS, TOGETHER = 256, 1000
+#: Pairs of investors, one for each startup that both are in, that a task makes.
+PAIRS_A_TASK = 1_000_000
 
 
 def least_shared(deals: DataFrame, limit: int) -> int:
@@ -68,17 +70,24 @@ def least_shared(deals: DataFrame, limit: int) -> int:
     return best[-1][0] if len(best) == limit else 1
 
 
+def tasks_for(pairs: int) -> int:
+    return max(1, -(-pairs // PAIRS_A_TASK))
+
+
 def shared_counts(deals: DataFrame) -> DataFrame:
     """(source_id, target_id, shared_startups) of deals (src_id, dst_id), each once; source before target.
 
     A startup with more than TOGETHER investors is cut into blocks of about so
     many, and each block meets each block by itself: no task holds more than two
-    blocks of a startup.
+    blocks of a startup. Pairs are far more than the deals that they come of, so
+    deals go to as many tasks as their pairs need: by the size of the deals
+    adaptive execution would join these tasks until one held most pairs.
     """
-    sizes = deals.groupBy("dst_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks")).withColumnRenamed("dst_id", "of")
-    cut = deals.join(sizes, F.col("dst_id") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("src_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = cut.select(F.col("src_id").alias("source_id"), F.col("dst_id").alias("s"), F.col("own").alias("i"), F.col("other").alias("j"))
-    two = cut.select(F.col("src_id").alias("target_id"), F.col("dst_id").alias("t"), F.col("other").alias("k"), F.col("own").alias("l"))
+    sizes = kept(deals.groupBy(F.col("dst_id").alias("of")).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / TOGETHER).cast("int")))
+    parts = tasks_for(sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
+    cut = deals.join(sizes.select("of", "blocks"), F.col("dst_id") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("src_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = cut.select(F.col("src_id").alias("source_id"), F.col("dst_id").alias("s"), F.col("own").alias("i"), F.col("other").alias("j")).repartition(parts, "s", "i", "j")
+    two = cut.select(F.col("src_id").alias("target_id"), F.col("dst_id").alias("t"), F.col("other").alias("k"), F.col("own").alias("l")).repartition(parts, "t", "k", "l")
     met = (F.col("s") == F.col("t")) & (F.col("i") == F.col("k")) & (F.col("j") == F.col("l")) & (F.col("source_id") < F.col("target_id"))
     return one.join(two, met).groupBy("source_id", "target_id").agg(F.count("*").alias("shared_startups"))
 

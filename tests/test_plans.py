@@ -159,3 +159,14 @@ def test_lines_are_paired_in_runs_of_their_numbers(spark, tmp_path):
     found = graph.Graph(spark, str(tmp_path)).edges("ACQUIRED", "MERGED_WITH", "PARTNERED_WITH").collect()
     assert {(r.rel_type, r.src_id, r.dst_id): r.support for r in found} == want and len(found) == len(want)
     assert spark.range(1, 8).select(F.size(graph.runs_before("id", [1, 2, 3])).alias("n")).where("n > 1").isEmpty()
+
+
+def test_deals_are_dealt_by_their_pairs(spark, monkeypatch):
+    """Tasks that make pairs are as many as the pairs need, however few the deals are; none is joined to another."""
+    monkeypatch.setattr(insights, "PAIRS_A_TASK", 50)
+    deals = [(f"i{i:02}", f"s{s}") for i in range(20) for s in range(6)]
+    got = insights.shared_counts(spark.createDataFrame(deals, "src_id string, dst_id string"))
+    assert insights.tasks_for(6 * 190) == 23 and insights.tasks_for(0) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\([^\n]*, 23\), REPARTITION_BY_NUM", plan)) == 2
+    assert {r.shared_startups for r in got.collect()} == {6} and got.count() == 190
