@@ -19,15 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.batches import dealt
 from claimloom.functions.normalize import slug_column, tokens_column
 from claimloom.functions.similarity import index_score, jaro_winkler_column, levenshtein, token_jaccard, token_set_column, token_sort_column
-from claimloom.operators.components import components, durable
+from claimloom.operators.components import components, durable, kept
 from claimloom.operators.vectors import Cells, k_nearest, placed_in_cells
 
 FUZZY = 0.95
 VECTOR = 0.88
 NEIGHBOURS = 5
 SHORT, SHORT_CAP = 4, 0.95
+#: Pairs of names that a task compares: small rows, of which adaptive execution would put all in one task.
+PAIRS_A_TASK = 25_000
 
 
 def registry(entities: DataFrame, key) -> DataFrame:
@@ -99,7 +102,7 @@ def fuzzy(candidates: DataFrame, index: DataFrame, threshold: float = FUZZY, blo
     rivals = rivals.unionByName(nested(candidates.join(able.select(F.col("cand_id").alias("able")), F.col("cand_id") == F.col("able"), "left_semi"), index)).distinct()
     if blocked is not None:
         rivals = rivals.join(blocked.select(F.col("cand_id").alias("x"), F.col("entity_id").alias("e")), (F.col("cand_id") == F.col("x")) & (F.col("entity_id") == F.col("e")), "left_anti")
-    scored = five_scores(rivals).select("cand_id", "entity_id", "composite", "minimum")
+    scored = five_scores(dealt(kept(rivals), "cand_id", PAIRS_A_TASK)).select("cand_id", "entity_id", "composite", "minimum")
     best = scored.groupBy("cand_id").agg(F.min(F.struct((-F.col("composite")).alias("m"), "entity_id", (-F.col("minimum")).alias("n"))).alias("best"))
     return best.select("cand_id", F.col("best.entity_id").alias("entity_id"), (-F.col("best.n")).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -158,16 +161,17 @@ def resolve(candidates: DataFrame, index: DataFrame, key, blocked: DataFrame | N
     spread = candidates.select("cand_id", "seq", "entity_type", "name", F.posexplode(names).alias("at", "written"))
     keyed = spread.withColumn("k", key(F.col("written"), F.col("entity_type")))
     cands = keyed.groupBy("cand_id", "seq", "entity_type", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k"))), lambda x: x["k"]).alias("keys"))
-    cands = cands.withColumn("key", F.get("keys", F.lit(0)))
+    # keys and similarities are Python's work: what they make is kept, for it is read again and again
+    cands, index = kept(cands.withColumn("key", F.get("keys", F.lit(0)))), kept(index)
     hit = exact(cands, index, blocked).select(F.col("cand_id").alias("e_id"), F.col("entity_id").alias("exact_id"))
     near = fuzzy(cands.select("cand_id", "entity_type", "key").where("key <> ''"), index, blocked=blocked).select(F.col("cand_id").alias("f_id"), F.col("entity_id").alias("fuzzy_id"), "similarity")
     placed = cands.join(hit, F.col("cand_id") == F.col("e_id"), "left").join(near, F.col("cand_id") == F.col("f_id"), "left").drop("e_id", "f_id")
+    placed = kept(placed)
     if vectors is not None and entity_vectors is not None:
-        placed = durable(placed)
         open_ = placed.where("exact_id is null and fuzzy_id is null").select(F.col("cand_id").alias("o_id"), "entity_type")
         asked = vectors.join(open_, F.col("cand_id") == F.col("o_id"))
         met = nearest(asked.select("cand_id", "entity_type", "vector"), entity_vectors.select("entity_id", "entity_type", "vector"), threshold=threshold, excluded=blocked)
-        placed = placed.join(met.select(F.col("cand_id").alias("v_id"), F.col("entity_id").alias("vector_id"), F.col("score")), F.col("cand_id") == F.col("v_id"), "left").drop("v_id")
+        placed = kept(placed.join(met.select(F.col("cand_id").alias("v_id"), F.col("entity_id").alias("vector_id"), F.col("score")), F.col("cand_id") == F.col("v_id"), "left").drop("v_id"))
     else:
         placed = placed.withColumn("vector_id", F.lit(None).cast(dict(index.dtypes)["entity_id"])).withColumn("score", F.lit(None).cast("double"))
     fresh = placed.where("exact_id is null and fuzzy_id is null and vector_id is null")

@@ -199,3 +199,21 @@ def test_the_last_entity_of_a_key_has_it(spark):
     entities = spark.createDataFrame([("a", "Topic", "X", "X", [], 2), ("b", "Topic", "X", "X", [], 1)], "id string, label string, name string, canonical_name string, aliases array<string>, seq long")
     assert resolve.registry(entities, key_column).first().entity_id == "a"
     assert resolve.registry(entities.drop("seq"), key_column).first().entity_id == "b"
+
+
+def test_names_are_compared_once_and_in_many_tasks(spark, monkeypatch):
+    """What is made of names is kept before it is read again, and pairs of names are dealt over tasks."""
+    taken, told, long = [], [], "northern light software systems of greater europe and beyond n{} qq"
+    monkeypatch.setattr(resolve, "PAIRS_A_TASK", 5)
+    deal = resolve.dealt
+    monkeypatch.setattr(resolve, "dealt", lambda df, key, rows: (taken.append(deal(df, key, rows).rdd.getNumPartitions()), deal(df, key, rows))[1])
+    monkeypatch.setattr(resolve, "kept", lambda df, keep=resolve.kept: (told.append(df.columns), keep(df))[1])
+    entities = spark.createDataFrame([(f"startup:{i}", "Startup", long.format(i), long.format(i), []) for i in range(20)], "id string, label string, name string, canonical_name string, aliases array<string>")
+    cands = spark.createDataFrame([(i, i, "Startup", long.format(i) + " qq", []) for i in range(20)], "cand_id long, seq long, entity_type string, name string, aliases array<string>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = resolve.resolve(cands, resolve.registry(entities, key_column), key_column)
+        assert max(taken, default=0) == 4 and len(told) == 4  # keys, the registry, pairs of names, what was matched
+        assert {(r.cand_id, r.entity_id) for r in got.collect()} == {(i, f"startup:{i}") for i in range(20)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
