@@ -4,6 +4,9 @@ A row has a node and up to PACKED of its neighbours; a hub has as many
 rows as it takes, spread over tasks by ranges of its neighbours. Rows stand in folders by a hash of
 the node and are sorted by it, so that a frontier of few nodes reads the row
 groups of these nodes in their folders.
+
+Where ids are whole numbers, a row has a node and one neighbour: columns of
+numbers are packed by the file, and need no lists that Python makes of them.
 """
 
 from __future__ import annotations
@@ -64,8 +67,23 @@ def packed(links: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return ranged.mapInArrow(packed_runs, "bucket int, node string, slot int, neighbours array<string>")
 
 
+def numbered(links: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, node, neighbour) of links (src_id, dst_id) whose ids are whole numbers, seen from both ends; a link that repeats is a row each time.
+
+    Rows are dealt by slices of buckets, as many as shuffles have partitions;
+    adaptive execution spreads a slice that a hub fills over tasks. One number is
+    sorted by, and nothing is sampled.
+    """
+    slices = buckets * max(1, -(-int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("neighbour"))
+    ways = links.where("src_id is not null and dst_id is not null").select(F.explode(F.array(way("src_id", "dst_id"), way("dst_id", "src_id"))).alias("w")).select("w.*")
+    dealt = ways.select(bucket_of(F.col("node"), slices).alias("slice"), "node", "neighbour").hint("rebalance", "slice").sortWithinPartitions("node")
+    return dealt.select(F.pmod("slice", F.lit(buckets)).alias("bucket"), "node", "neighbour")
+
+
 def write_adjacency(links: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    packed(links, buckets).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    rows = numbered(links, buckets) if dict(links.dtypes)["src_id"] == "bigint" else packed(links, buckets)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def neighbours_of(rows: DataFrame, frontier: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -77,7 +95,8 @@ def neighbours_of(rows: DataFrame, frontier: DataFrame, buckets: int = BUCKETS)
         low, high = min(r.id for r in listed), max(r.id for r in listed)  # goes to the row groups
         rows = rows.where(F.col("bucket").isin(named) & F.col("node").between(low, high))
         frontier = F.broadcast(ids)
-    return rows.join(frontier, F.col("node") == F.col("id"), "left_semi").select(F.explode("neighbours").alias("id")).distinct()
+    found = F.col("neighbour") if "neighbour" in rows.columns else F.explode("neighbours")
+    return rows.join(frontier, F.col("node") == F.col("id"), "left_semi").select(found.alias("id")).distinct()
 
 
 def walk(spark: SparkSession, folder: str, start: DataFrame, depth: int, buckets: int = BUCKETS) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from claimloom import queries
 from claimloom.operators import conflicts
 from claimloom.plans import adjacency, insights, lookup, search_index, subgraph
 from claimloom.sources import graph
@@ -96,6 +97,46 @@ def test_walks_read_the_buckets_of_their_frontier(spark, tmp_path, monkeypatch):
 ROOT = "/root/testdata/sf0.001"
 
 
+def odd_tables(spark, folder, far=0):
+    """Tables with null keys, negative ones, null texts, a text in two kinds, repeated lines, and a key that is far away."""
+    part = [(1, "b1"), (2, "b2"), (3, None), (-4, "b1"), (5, "5-LOW"), (None, "b3")]
+    orders = [(1, 1, "1-URGENT"), (2, 2, None), (-3, None, "5-LOW"), (4, -7, "1-URGENT"), (5, 5 + far, "")]
+    lines = [(1, 1, 3, 1), (1, 2, 4, 2), (1, 3, 5, 3), (1, -4, None, 6), (2, None, 3, 1), (2, 9, -1, 6), (-3, 1, 3, 1), (-3, 1, 3, 2), (4, 5, 6, 1), (4, 2, 7, 4), (5 + far, 1, 7, 1), (None, 1, 3, 1)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    rows = [(*x, "A", "O") for x in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{folder}/lineitem.parquet")
+    return graph.Graph(spark, folder)
+
+
+def test_links_in_numbers_are_the_links(spark, tmp_path):
+    """No text is shuffled, sampled or sorted for a walk, and no list is made by Python; rows are by one number."""
+    g = odd_tables(spark, str(tmp_path), (1 << 60) - 6)
+    assert g.numbers_fit()
+    links, texts = g.numbered_links()
+    assert dict(links.dtypes) == {"src_id": "bigint", "dst_id": "bigint"}
+    named = links.distinct().where("src_id is not null and dst_id is not null")
+    for end in ("src_id", "dst_id"):
+        named = g.with_ids(named.withColumnRenamed(end, "id"), texts).withColumnRenamed("id", end)
+    got = {frozenset((r.src_id, r.dst_id)) for r in named.collect()}
+    assert got == {frozenset((r.src_id, r.dst_id)) for r in g.links().where("src_id is not null and dst_id is not null").distinct().collect()}
+    plan = adjacency.numbered(links)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "rangepartitioning" not in plan and "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+def test_walk_of_numbers(spark, tmp_path, monkeypatch):
+    """Three steps over numbers are those over texts, for few ids and many; keys that have no number go by texts."""
+    walk = queries.QUERIES["q14_walk_of_three"]
+    odd_tables(spark, f"{tmp_path}/odd")
+    assert not odd_tables(spark, f"{tmp_path}/far", 1 << 60).numbers_fit()
+    for folder, few in (("odd", 1), ("far", 10_000)):
+        monkeypatch.setattr(adjacency, "FEW", few)
+        g = graph.Graph(spark, f"{tmp_path}/{folder}")
+        want = {(r.id, r.hops) for r in subgraph.hops(g.links(), spark.createDataFrame([("investor:3",)], "id string"), 3).collect() if r.id is not None}
+        got = [(r.id, r.hops) for r in walk(spark, f"{tmp_path}/{folder}").collect()]
+        assert set(got) == want and len(got) == len(want) > 10
+
+
 def test_edges_are_grouped_by_numbers(spark, monkeypatch):
     """Hash tables of fixed-width rows, no sort of texts; more lines get more partitions."""
     monkeypatch.setattr(graph, "LINES_A_PART", 1000)
